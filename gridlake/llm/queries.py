@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import bpe, langid, packing, quality, suffix
+from gridlake.llm import bpe, jaccard, langid, packing, quality, suffix
 from gridlake.llm.common import read
 
 try:
@@ -24,6 +24,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.spans(read(spark, sf_dir, "documents"), with_text=False).drop("spans", "kept_text")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), TOKENIZERS("word_bpe_49k.json"))
 
@@ -36,6 +40,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_suffix_dedup, op6_bpe, op7_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_suffix_dedup, op5_ngram_jaccard_join, op6_bpe, op7_quality_rules, op9_packing)}
 
 SQL: dict[str, str] = {}
