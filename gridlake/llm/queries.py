@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import bpe, jaccard, langid, packing, quality, suffix
+from gridlake.llm import bpe, jaccard, langid, neardup, packing, quality, suffix
 from gridlake.llm.common import read
 
 try:
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.spans(read(spark, sf_dir, "documents"), with_text=False).drop("spans", "kept_text")
 
@@ -40,6 +44,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_suffix_dedup, op5_ngram_jaccard_join, op6_bpe, op7_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_near_dedup, op4_suffix_dedup, op5_ngram_jaccard_join, op6_bpe, op7_quality_rules, op9_packing)}
 
 SQL: dict[str, str] = {}
