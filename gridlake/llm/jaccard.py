@@ -335,3 +335,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = lambda c: F.when(F.col(c) == NULL_ID, F.lit(None)).otherwise(F.col(c)).cast("long")
     return components(docs, id_col, text_col, words, percent, **k).select(
         real("_id").alias("doc_id"), "n_shingles", real("c_id").alias("component_id"), ((F.col("_id") == F.col("c_id")) & (F.col("_th") == F.col("c_th"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs, unchanged, that stand for their component: the smallest id, and one row of repeated ones."""
+    found = components(docs, id_col, text_col, words, percent)
+    keys = cut(found.groupBy("_id", "_th", "c_id", "c_th").agg(F.count("*").alias("copies")))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    stay = lambda rows: docs.join(rows.select("_id", "_th"), (key[0] == F.col("_id")) & (key[1] == F.col("_th")), "left_semi")
+    best = keys.where("_id = c_id and _th = c_th")
+    if not best.where("copies > 1").limit(1).count():
+        return stay(best)
+    return stay(best.where("copies = 1")).unionByName(
+        stay(best.where("copies > 1")).withColumns({"_dup_id": key[0], "_dup_th": key[1]}).dropDuplicates(["_dup_id", "_dup_th"]).drop("_dup_id", "_dup_th"))

@@ -133,27 +133,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, vocab, (land.T @ alpha).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score, and the columns named in keep."""
+def _judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [j for j, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    if known:
+        s = model.score([texts[j] for j in known])
+        for j, k, v in zip(known, s.argmax(1), s.max(1)):
+            langs[j], scores[j] = model.langs[k], float(min(1.0, max(0.0, v)))
+    return langs, scores
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
+
+    def run(batches):
+        for b in batches:
+            langs, scores = _judge(shared.value, b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, unchanged, whose language is known with a score of at least min_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [docs.schema[c] for c in keep]
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        model = shared.value
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = part.column(2).to_pylist()
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                known = [j for j, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-                if known:
-                    s = model.score([texts[j] for j in known])
-                    for j, k, v in zip(known, s.argmax(1), s.max(1)):
-                        langs[j], scores[j] = model.langs[k], float(min(1.0, max(0.0, v)))
-                rest = [part.column(j) for j in range(3, part.num_columns)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *rest],
-                                                 ["doc_id", "held_out", "lang_pred", "score", *(f"keep_{j}" for j in range(len(rest)))])
-
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", keep_{j} {f.dataType.simpleString()}" for j, f in enumerate(extra))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{j}") for j, c in enumerate(keep))).mapInArrow(run, schema)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(f"keep_{j}").alias(f"kept_{c}" if c in ("doc_id", "held_out", "lang_pred", "score") else c) for j, c in enumerate(keep)))
+            langs, scores = _judge(shared.value, b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -85,8 +85,19 @@ def word_length(d: Doc) -> bool:
 
 
 def duplicate_lines(d: Doc) -> bool:
-    n, dup = d.lines()
-    return 100 * dup > 30 * n
+    """Most of the text is lines that came before."""
+    seen: set[bytes] = set()
+    again = 0
+    for x in d.raw.split(b"\n"):
+        if x in seen:
+            again += len(x)
+        seen.add(x)
+    return 2 * again > len(d.raw)
+
+
+def stutter(d: Doc) -> bool:
+    """Words that repeat the word before them."""
+    return 100 * sum(a == b for a, b in zip(d.words, d.words[1:])) > 30 * d.n_words
 
 
 def letterless_words(d: Doc) -> bool:
@@ -104,7 +115,7 @@ def bullets(d: Doc) -> bool:
     return 100 * sum(x.startswith(("- ", "* ", "•", "‣")) for x in lines) > 90 * len(lines)
 
 
-RULES = {f.__name__: f for f in (symbols, word_length, duplicate_lines, letterless_words, shouting, bullets)}
+RULES = {f.__name__: f for f in (symbols, word_length, duplicate_lines, stutter, letterless_words, shouting, bullets)}
 
 
 def base(d: Doc) -> dict:
@@ -162,3 +173,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+
+
+def accepted(docs: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """The rows of docs, unchanged, that pass the base rule and the cascade."""
+    order = order or rule_order(docs, text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        rules = [RULES[x] for x in order]
+        for b in batches:
+            docs_ = (Doc(t or "") for t in b.column(at).to_pylist())
+            yield b.filter(pa.array([not base(d)["base_failed"] and not any(f(d) for f in rules) for d in docs_], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import bpe, jaccard, langid, neardup, packing, quality, suffix
+from gridlake.llm import bpe, chat, html, jaccard, langid, license, neardup, packing, quality, suffix
 from gridlake.llm.common import read
 
 try:
@@ -24,6 +24,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.spans(read(spark, sf_dir, "documents"), with_text=False).drop("spans", "kept_text")
 
@@ -40,10 +44,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_near_dedup, op4_suffix_dedup, op5_ngram_jaccard_join, op6_bpe, op7_quality_rules, op9_packing)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_embedding_near_dedup, op3_html_extraction, op4_suffix_dedup, op5_ngram_jaccard_join,
+        op6_bpe, op7_quality_rules, op8_license_scan, op9_packing, op10_chat_format,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_license_scan": license.oracle(), "op10_chat_format": chat.ORACLE}
