@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 NULL_ID = 2**63 - 1
 
 
+#: Rows and bytes in a batch for Python: texts are long, so the default row count would make batches of many MB.
+BATCH_ROWS = 512
+BATCH_BYTES = "8m"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of sf_dir; also sets the session's Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
