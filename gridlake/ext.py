@@ -18,7 +18,7 @@ class _Namespace:
 def register_namespace(name: str):
     """Class decorator: the class, made from a grid, becomes the grid's attribute of that name."""
     def put(make):
-        if hasattr(Grid, name) and not isinstance(Grid.__dict__.get(name), _Namespace):
+        if (hasattr(Grid, name) or name in Grid.__dataclass_fields__) and not isinstance(Grid.__dict__.get(name), _Namespace):
             raise AttributeError(f"a grid has {name!r} already")
         setattr(Grid, name, _Namespace(name, make))
         return make

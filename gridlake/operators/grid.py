@@ -363,7 +363,7 @@ class Grid:
 
     def sizes(self) -> dict[str, int]:
         """The optimizer's size estimate of each element, in bytes."""
-        size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         return {"obs": size(self.obs.df), "var": size(self.var.df)} | {f"layers/{k or 'X'}": size(m.df) for k, m in self.elements.items()} | {
             f"{s}/{k}": size(e.df) for s in ("obsm", "varm", "obsp", "varp") for k, e in getattr(self, s + "_").items()}
 

@@ -62,6 +62,8 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, firs
         header = comments[-1].split() if comments else [str(i) for i in range(width)]
     if len(header) > width:
         header = header[1:]
+    if len(header) != width:
+        raise ValueError(f"{len(header)} column names for {width} columns")
     header = [h.strip('"') for h in header]
     cut = F.split("line", r"\s+" if delimiter is None else "\\Q" + delimiter + "\\E")
     rows = numbered.where((F.col("n") >= data_from) & ~F.col("line").startswith("#")).select((F.col("n") - data_from).alias("n"), cut.alias("f"))
