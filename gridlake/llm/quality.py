@@ -25,7 +25,7 @@ WINDOW = 8
 #: At most about so many documents are timed to order the rules.
 SAMPLE_DOCS = 512
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_WITH_LETTER = re.compile(r"[^\x20\x09-\x0D]*?[^\W\d_][^\x20\x09-\x0D]*+")
 _SYMBOL_BYTES = SYMBOLS.encode()
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -101,8 +101,7 @@ def stutter(d: Doc) -> bool:
 
 
 def letterless_words(d: Doc) -> bool:
-    plain = sum(1 for w in d.text.split() if _LETTER.search(w))
-    return 100 * plain < 70 * d.n_words
+    return 100 * len(_WORD_WITH_LETTER.findall(d.text)) < 70 * d.n_words
 
 
 def shouting(d: Doc) -> bool:
@@ -111,7 +110,7 @@ def shouting(d: Doc) -> bool:
 
 
 def bullets(d: Doc) -> bool:
-    lines = [x.lstrip() for x in d.text.split("\n") if x.strip()]
+    lines = [x.lstrip(" \t") for x in d.text.split("\n") if x.strip(" \t\r\x0b\x0c")]
     return 100 * sum(x.startswith(("- ", "* ", "•", "‣")) for x in lines) > 90 * len(lines)
 
 
@@ -187,3 +186,27 @@ def accepted(docs: DataFrame, text_col: str = "text", order: list[str] | None =
             yield b.filter(pa.array([not base(d)["base_failed"] and not any(f(d) for f in rules) for d in docs_], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: The same in SQL (of rules over letters, for texts whose letters are Unicode letters).
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, string_split(t, chr(10)) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(words[i:i + 7], chr(31)) AS s FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+twice AS (SELECT rid, unnest(starts) AS i FROM (SELECT rid, list(i) AS starts FROM win GROUP BY rid, s HAVING count(*) > 1)),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(8) AS r(k) GROUP BY rid),
+line AS (SELECT rid, x, count(*) - 1 AS more FROM (SELECT rid, unnest(lines) AS x FROM w) GROUP BY rid, x),
+dup AS (SELECT rid, sum(CASE WHEN regexp_matches(x, '[^\x20\x09-\x0D]') THEN more ELSE 0 END) AS n, sum(more * strlen(x)) AS bytes FROM line GROUP BY rid),
+c AS (
+  SELECT doc_id, t, words, strlen(t) AS bytes, dup.bytes AS again, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS with_letter, length(t) - length(replace(t, '!', '')) AS bangs,
+    len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS stutters,
+    list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
+j AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * again > bytes OR 100 * stutters > 30 * n_words
+    OR 100 * with_letter < 70 * n_words OR 100 * bangs > 50 * n_words
+    OR 100 * len(list_filter(full_lines, lambda x: regexp_matches(x, '^[ \t]*(- |\* |•|‣)'))) > 90 * len(full_lines)) AS kept
+FROM j"""

@@ -64,4 +64,6 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op8_license_scan": license.oracle(), "op10_chat_format": chat.ORACLE}
+SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": neardup.ORACLE, "op5_ngram_jaccard_join": jaccard.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_license_scan": license.oracle(), "op10_chat_format": chat.ORACLE,
+}
