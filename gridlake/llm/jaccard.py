@@ -2,16 +2,17 @@
 
 Documents are sets of word shingles (64-bit hashes). Documents with equal sets are one class, stood for by the one
 with the smallest id. All shingles have one global order: rarest first (by the logarithm of how many classes hold
-them; every second shingle by hash is counted, the others come after), then by hash.
+them), then by hash.
 
 1. Candidates. Two sets whose Jaccard similarity reaches the threshold share a shingle among the first
    n - ceil(threshold * n) + 1 of each. Only such shingles that two classes hold are sent to buckets.
-2. A bucket proposes stars, not all pairs: for each shingle, its smallest class (and, in long lists, two more) with
-   each of the others.
+2. A bucket proposes stars, not all pairs: for each shingle, its most central class (the one with the smallest share
+   of shingles that no other class has) with each of the others. Two sets of n and m shingles, u and v of which no
+   other class has, overlap in min(n - u, m - v) at most; pairs that this rules out are not verified.
 3. Verification. The order's hash range is cut into FRAGMENTS vertical fragments. The overlap of a proposed pair is
    counted in each fragment on its own, and the counts are summed per pair.
 4. Linked classes get components. Where a shingle's classes still lie in several components, all pairs across
-   components are proposed and verified, so no link is lost. Then components are final.
+   components that the bound allows are proposed and verified, so no link is lost. Then components are final.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; a null id counts as the largest id (its component_id is null where no
@@ -36,8 +37,6 @@ FRAGMENTS = 8
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 24
-#: A shingle's list of more classes than this gets two more centres.
-LONG_LIST = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -143,14 +142,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = list(shingle_sets(texts, words))
         return keys, sets
 
-    def counted(sets):
-        """Shingles whose frequency is asked for: every second one by a hash bit, sorted by bucket."""
-        h = np.concatenate([np.zeros(0, U64), *sets])
-        return h[(h & U64(1)) == 0]
-
     def ask_counts(key, left, right):
         _, sets = chosen(left, right)
-        h = counted(sets)
+        h = np.concatenate([np.zeros(0, U64), *sets])
         out = [(b, key[0].as_py(), ((h[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4").tobytes()) for b, at in by_bucket((h >> to_bucket).astype(np.int64), n_buckets)]
         return pb(list(zip(*out)) or [[], [], []], {"bucket": pa.int64(), "p": pa.int64(), "low": pa.binary()})
 
@@ -171,17 +165,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not keys:
             return pb([[]] * 9, SCHEMA)
         h = np.concatenate(sets)
-        log = np.full(len(h), 254, np.uint8)  # not counted: after all others
-        sel = np.flatnonzero((h & U64(1)) == 0)
+        log = np.zeros(len(h), np.uint8)
         answers = {r["bucket"]: r["log"] for r in rows if r["log"] is not None}
-        for b, at in by_bucket((h[sel] >> to_bucket).astype(np.int64), n_buckets):
-            log[sel[at]] = np.frombuffer(answers[b], np.uint8)
+        for b, at in by_bucket((h >> to_bucket).astype(np.int64), n_buckets):
+            log[at] = np.frombuffer(answers[b], np.uint8)
         tokens, owner, out = [], [], []
+        alone = np.zeros(len(sets), "<i8")
         at = 0
         for i, s in enumerate(sets):
             n = len(s)
             lg = log[at : at + n]
             at += n
+            alone[i] = (lg == 0).sum()
             first = np.argsort(lg, kind="stable")[: prefix_length(n, percent)]
             first = first[lg[first] > 0]
             if not len(first):
@@ -197,7 +192,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, th, n = np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8")
             for b, at in by_bucket((tokens >> to_bucket).astype(np.int64), n_buckets):
                 o = owner[at]
-                meta = np.stack([ids[o], th[o], n[o]], 1)
+                meta = np.stack([ids[o], th[o], n[o], alone[o]], 1)
                 out.append((b, p, ((tokens[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4").tobytes(), meta.tobytes(), None, None, None, None, None))
         return pb(list(zip(*out)) or [[]] * 9, SCHEMA)
 
@@ -214,84 +209,84 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def by_shingle(table):
         low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()])
-        meta = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in table.column("meta").to_pylist()])
+        meta = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in table.column("meta").to_pylist()])
         keys, doc = np.unique(meta, axis=0, return_inverse=True)  # classes in the order of their keys
         order = np.lexsort((doc.ravel(), low))
         low, doc = low[order], doc.ravel()[order]
         edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
         return keys, doc, edge[:-1], edge[1:]
 
-    pair_schema = "a_id long, a_th long, a_n long, b_id long, b_th long, b_n long, bucket long"
-    pair_types = {c.split()[0]: pa.int64() for c in pair_schema.split(", ")}
+    side = ("id", "th", "n", "u")
+    pair_columns = [f"{x}_{c}" for x in "ab" for c in side]
+    pair_schema = ", ".join(f"{c} long" for c in [*pair_columns, "bucket"])
+    pair_types = dict.fromkeys([*pair_columns, "bucket"], pa.int64())
 
     def rows_of(keys, pairs, bucket):
-        pairs = np.unique(pairs, axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
-        cols = [*keys[pairs[:, 0]].T, *keys[pairs[:, 1]].T, np.full(len(pairs), bucket)]
-        return pb(cols, pair_types)
+        """Distinct pairs of classes, the one with the smaller key first."""
+        code = np.unique(pairs.min(1) * len(keys) + pairs.max(1)) if len(pairs) else np.zeros(0, np.int64)
+        a, b = code // max(1, len(keys)), code % max(1, len(keys))
+        return pb([*keys[a].T, *keys[b].T, np.full(len(code), bucket)], pair_types)
+
+    def centres(keys, doc, first, last):
+        """For each list the place of its most central class."""
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((np.arange(len(keys)), keys[:, 3] / keys[:, 2]))] = np.arange(len(keys))
+        by_rank = np.argsort(rank)
+        return by_rank[np.minimum.reduceat(rank[doc], first)] if len(first) else first
 
     def stars(key, table):
         keys, doc, first, last = by_shingle(table)
-        noise = mix(mix(keys[:, 0].astype(U64)) + keys[:, 1].astype(U64))
-        size = last - first
-        rec = np.repeat(np.arange(len(first)), size)
-        centre = doc[first][rec]
-        got = [np.stack([centre, doc], 1)[centre != doc]]
-        for pick in (np.minimum, np.maximum):
-            if (size > LONG_LIST).any():
-                best = pick.reduceat(noise[doc], first)[rec]
-                here = noise[doc] == best
-                second = np.zeros(len(first), np.int64)
-                second[rec[here]] = doc[here]
-                c = second[rec]
-                far = (size[rec] > LONG_LIST) & (c != doc)
-                got.append(np.stack([np.minimum(c, doc), np.maximum(c, doc)], 1)[far])
-        # a pair is proposed once in a bucket
-        pairs = np.concatenate(got)
-        code = np.unique(pairs[:, 0] * len(keys) + pairs[:, 1])
-        return rows_of(keys, np.stack([code // max(1, len(keys)), code % max(1, len(keys))], 1), key[0].as_py())
+        centre = np.repeat(centres(keys, doc, first, last), last - first)
+        return rows_of(keys, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
+
+    def allowed(keys, i, others):
+        """Which others may link with class i, by the bound on the overlap."""
+        n, m = keys[i, 2], keys[others, 2]
+        most = np.minimum(n - keys[i, 3], m - keys[others, 3])
+        return 100 * most >= percent * (n + m - most)
 
     def across(key, table, open_pairs):
-        """All pairs across components, in lists whose centre is not linked with every member."""
+        """All pairs across components that the bound allows, in lists whose centre is not linked with every member."""
         if not open_pairs.num_rows or not table.num_rows:
-            return rows_of(np.zeros((0, 3), np.int64), [], 0)
+            return rows_of(np.zeros((0, 4), np.int64), [], 0)
         keys, doc, first, last = by_shingle(table)
-        number = {(int(a), int(b)): i for i, (a, b, _) in enumerate(keys)}
-        far: dict[int, dict[int, tuple]] = {}
+        number = {(int(a), int(b)): i for i, (a, b) in enumerate(keys[:, :2].tolist())}
+        away: dict[tuple[int, int], tuple] = {}  # (centre, class) -> component
         for r in open_pairs.to_pylist():
             a, b = number.get((r["a_id"], r["a_th"])), number.get((r["b_id"], r["b_th"]))
             if a is not None and b is not None:
-                far.setdefault(a, {})[b] = (r["c_id"], r["c_th"])
-        n = keys[:, 2]
-        seen: set[bytes] = set()
+                away[a, b], away[b, a] = (r["c_id"], r["c_th"]), (r["d_id"], r["d_th"])
+        lists_of: dict[int, list[tuple[int, int, int]]] = {}
+        comp: dict[int, tuple] = {}
+        for a, z, c in zip(first.tolist(), last.tolist(), centres(keys, doc, first, last).tolist()):
+            for x in doc[a:z].tolist():
+                if (c, x) in away:
+                    lists_of.setdefault(x, []).append((a, z, c))
+                    comp[x] = away[c, x]
+                    comp[c] = away[x, c]
         got = []
-        for a, z in zip(first.tolist(), last.tolist()):
-            away = far.get(int(doc[a]))
-            if not away:
-                continue
-            members = doc[a:z]
-            name = members.tobytes()
-            if name in seen or not any(int(m) in away for m in members):
-                continue
-            seen.add(name)
-            label = {}
-            comp = np.array([0 if int(m) not in away else label.setdefault(away[int(m)], len(label) + 1) for m in members])
-            for i in np.flatnonzero(comp):  # members away from the centre, against all of other components
-                other = members[(comp != comp[i]) & ((comp < comp[i]) | (comp == 0))]
-                fit = (100 * np.minimum(n[other], n[members[i]]) >= percent * np.maximum(n[other], n[members[i]]))
-                o = other[fit]
-                if len(o):
-                    got.append(np.stack([np.minimum(o, members[i]), np.maximum(o, members[i])], 1))
+        for x, where in lists_of.items():
+            # members that are not named here lie in their centre's component
+            for c in {c for _, _, c in where}:
+                others = np.unique(np.concatenate([doc[a:z] for a, z, k in where if k == c]))
+                others = others[(others != x) & allowed(keys, x, others)]
+                others = others[[comp.get(y, comp[c]) != comp[x] for y in others.tolist()]]
+                if len(others):
+                    got.append(np.stack([np.full(len(others), x), others], 1))
         return rows_of(keys, np.concatenate(got) if got else [], key[0].as_py())
 
+    once = ["a_id", "a_th", "a_n", "b_id", "b_th", "b_n"]
+
     def overlap(batches):
         for b in batches:
             x, y = b.column("ha").to_pylist(), b.column("hb").to_pylist()
             n = [len(np.intersect1d(unpack48(i), unpack48(j), assume_unique=True)) for i, j in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(n, pa.int64())], ["a_id", "a_th", "a_n", "b_id", "b_th", "b_n", "common"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(n, pa.int64())], [*once, "common"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Overlaps by fragment, summed per pair, against the threshold."""
-        fit = pairs.where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+        most = "least(a_n - a_u, b_n - b_u)"
+        fit = pairs.where(f"100 * {most} >= {percent} * (a_n + b_n - {most})").select(*once)
         members = sets.join(fit, (sets._id == fit.b_id) & (sets._th == fit.b_th)).select("a_id", "a_th", "a_n", "b_id", "b_th", "b_n", F.col("f"), F.col("blob").alias("hb"))
         centres = sets.join(fit.select("a_id", "a_th").distinct(), (sets._id == F.col("a_id")) & (sets._th == F.col("a_th")), "left_semi").select(
             F.col("_id").alias("a_id"), F.col("_th").alias("a_th"), "f", F.col("blob").alias("ha"))
@@ -305,8 +300,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return connected_components(edges)
 
     star = lists.groupBy("bucket").applyInArrow(stars, pair_schema)
-    once = ["a_id", "a_th", "a_n", "b_id", "b_th", "b_n"]
-    links = cut(verified(star.select(*once).distinct()))
+    links = cut(verified(star.select(*pair_columns).distinct()))
     label = labelled(links)
     named = label.select(F.col("node._id").alias("k_id"), F.col("node._th").alias("k_th"), F.col("component._id").alias("c_id"), F.col("component._th").alias("c_th"))
     of_a = named.select(F.col("k_id").alias("a_id"), F.col("k_th").alias("a_th"), F.col("c_id").alias("d_id"), F.col("c_th").alias("d_th"))
@@ -315,9 +309,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         star.join(links, ["a_id", "a_th", "b_id", "b_th"], "left_anti").join(of_a, ["a_id", "a_th"], "left").join(of_b, ["b_id", "b_th"], "left")
         .select("bucket", "a_id", "a_th", "b_id", "b_th", F.coalesce("c_id", "b_id").alias("c_id"), F.coalesce("c_th", "b_th").alias("c_th"),
                 F.coalesce("d_id", "a_id").alias("d_id"), F.coalesce("d_th", "a_th").alias("d_th"))
-        .where("c_id <> d_id or c_th <> d_th").select("bucket", "a_id", "a_th", "b_id", "b_th", "c_id", "c_th"))
+        .where("c_id <> d_id or c_th <> d_th"))
     if still.limit(1).count():
-        more = lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema).select(*once).distinct()
+        more = lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema).select(*pair_columns).distinct()
         fresh = more.join(star.select("a_id", "a_th", "b_id", "b_th").distinct(), ["a_id", "a_th", "b_id", "b_th"], "left_anti")
         found_more = cut(verified(fresh))
         if found_more.limit(1).count():
