@@ -9,6 +9,8 @@ them), then by hash.
 2. A bucket proposes stars, not all pairs: for each shingle, its most central class (the one with the smallest share
    of shingles that no other class has) with each of the others. Two sets of n and m shingles, u and v of which no
    other class has, overlap in min(n - u, m - v) at most; pairs that this rules out are not verified.
+   Neither are pairs across components (below) whose numbers of shingles in SKETCH vertical fragments differ too much:
+   the sum of these differences is at most the symmetric difference.
 3. Verification. The order's hash range is cut into FRAGMENTS vertical fragments. The overlap of a proposed pair is
    counted in each fragment on its own, and the counts are summed per pair.
 4. Linked classes get components. Where a shingle's classes still lie in several components, all pairs across
@@ -34,6 +36,8 @@ from gridlake.llm.suffix import Block, by_bucket, mix, pb
 
 U64 = np.uint64
 FRAGMENTS = 8
+#: Fragments in which shingles are only counted, to rule out pairs.
+SKETCH = 64
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 24
@@ -189,11 +193,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((None, p, None, None, keys[i][0], keys[i][1], n, k, pack48(s[edge[k] : edge[k + 1]])))
         if tokens:
             tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-            ids, th, n = np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8")
+            about = np.stack([np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8"), alone], 1)
+            sketch = np.stack([np.bincount((s >> U64(58)).astype(np.int64), minlength=SKETCH) for s in sets]).astype("<i4")
             for b, at in by_bucket((tokens >> to_bucket).astype(np.int64), n_buckets):
-                o = owner[at]
-                meta = np.stack([ids[o], th[o], n[o], alone[o]], 1)
-                out.append((b, p, ((tokens[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4").tobytes(), meta.tobytes(), None, None, None, None, None))
+                docs_, place = np.unique(owner[at], return_inverse=True)
+                low = ((tokens[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4")
+                out.append((b, p, low.tobytes() + place.astype("<u4").tobytes(), about[docs_].tobytes() + sketch[docs_].tobytes(), None, None, None, None, None))
         return pb(list(zip(*out)) or [[]] * 9, SCHEMA)
 
     SCHEMA = {"bucket": pa.int64(), "p": pa.int64(), "low": pa.binary(), "meta": pa.binary(), "_id": pa.int64(), "_th": pa.int64(), "n": pa.int64(), "f": pa.int64(), "blob": pa.binary()}
@@ -208,13 +213,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = found.where("f is not null").select("_id", "_th", "f", "blob")
 
     def by_shingle(table):
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()])
-        meta = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in table.column("meta").to_pylist()])
-        keys, doc = np.unique(meta, axis=0, return_inverse=True)  # classes in the order of their keys
-        order = np.lexsort((doc.ravel(), low))
-        low, doc = low[order], doc.ravel()[order]
+        """Classes in the order of their keys (id, th, n, u) with their sketches; the lists of classes by shingle, and where each begins and ends."""
+        low, doc, about, sketch, at = [], [], [], [], 0
+        for x, y in zip(table.column("low").to_pylist(), table.column("meta").to_pylist()):
+            k = len(y) // (32 + 4 * SKETCH)
+            a = np.frombuffer(x, "<u4").reshape(2, -1)
+            low.append(a[0])
+            doc.append(a[1].astype(np.int64) + at)
+            about.append(np.frombuffer(y, "<i8", 4 * k).reshape(k, 4))
+            sketch.append(np.frombuffer(y, "<i4", SKETCH * k, 32 * k).reshape(k, SKETCH))
+            at += k
+        low, doc, about, sketch = (np.concatenate(c) for c in (low, doc, about, sketch))
+        by_key = np.lexsort((about[:, 1], about[:, 0]))
+        number = np.empty(at, np.int64)
+        number[by_key] = np.arange(at)
+        doc = number[doc]
+        order = np.lexsort((doc, low))
+        low, doc = low[order], doc[order]
         edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
-        return keys, doc, edge[:-1], edge[1:]
+        return about[by_key], sketch[by_key], doc, edge[:-1], edge[1:]
 
     side = ("id", "th", "n", "u")
     pair_columns = [f"{x}_{c}" for x in "ab" for c in side]
@@ -235,21 +252,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return by_rank[np.minimum.reduceat(rank[doc], first)] if len(first) else first
 
     def stars(key, table):
-        keys, doc, first, last = by_shingle(table)
+        keys, _, doc, first, last = by_shingle(table)
         centre = np.repeat(centres(keys, doc, first, last), last - first)
         return rows_of(keys, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
 
-    def allowed(keys, i, others):
-        """Which others may link with class i, by the bound on the overlap."""
+    def allowed(keys, sketch, i, others):
+        """Which others may link with class i, by the bounds on the overlap."""
         n, m = keys[i, 2], keys[others, 2]
         most = np.minimum(n - keys[i, 3], m - keys[others, 3])
+        most = np.minimum(most, (n + m - np.abs(sketch[others] - sketch[i]).sum(1)) // 2)
         return 100 * most >= percent * (n + m - most)
 
     def across(key, table, open_pairs):
         """All pairs across components that the bound allows, in lists whose centre is not linked with every member."""
         if not open_pairs.num_rows or not table.num_rows:
             return rows_of(np.zeros((0, 4), np.int64), [], 0)
-        keys, doc, first, last = by_shingle(table)
+        keys, sketch, doc, first, last = by_shingle(table)
         number = {(int(a), int(b)): i for i, (a, b) in enumerate(keys[:, :2].tolist())}
         away: dict[tuple[int, int], tuple] = {}  # (centre, class) -> component
         for r in open_pairs.to_pylist():
@@ -269,7 +287,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # members that are not named here lie in their centre's component
             for c in {c for _, _, c in where}:
                 others = np.unique(np.concatenate([doc[a:z] for a, z, k in where if k == c]))
-                others = others[(others != x) & allowed(keys, x, others)]
+                others = others[(others != x) & allowed(keys, sketch, x, others)]
                 others = others[[comp.get(y, comp[c]) != comp[x] for y in others.tolist()]]
                 if len(others):
                     got.append(np.stack([np.full(len(others), x), others], 1))
@@ -312,7 +330,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("c_id <> d_id or c_th <> d_th"))
     if still.limit(1).count():
         more = lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema).select(*pair_columns).distinct()
-        fresh = more.join(star.select("a_id", "a_th", "b_id", "b_th").distinct(), ["a_id", "a_th", "b_id", "b_th"], "left_anti")
+        fresh = cut(more.join(star.select("a_id", "a_th", "b_id", "b_th").distinct(), ["a_id", "a_th", "b_id", "b_th"], "left_anti"))
         found_more = cut(verified(fresh))
         if found_more.limit(1).count():
             links = links.union(found_more)
