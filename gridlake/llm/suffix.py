@@ -43,10 +43,13 @@ MIN_LENGTH = 50
 K = 24
 #: Text bytes in a group of documents and behind a bucket, on average.
 GROUP_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
-MIN_BUCKETS = 24
+BUCKET_BYTES = 6 << 20
+MIN_BUCKETS = 60
 #: Text bytes hashed at once.
 BLOCK = 1 << 20
+#: Bytes under one transform (more only if one anchor has more), and windows looked at together.
+TRANSFORM_BYTES = 1 << 20
+WINDOWS = 1 << 19
 #: Windows in a context at most; longer runs (periodic text) are several contexts.
 MAX_RUN = 60_000
 
@@ -156,10 +159,11 @@ def by_bucket(bucket: np.ndarray, n: int):
             yield b, order[edges[b] : edges[b + 1]]
 
 
-def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transform(texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array, transform and symbols of a collection; each text ends in a mark of its own (0, in order).
 
-    UTF-8 has no byte over 0xF4, so symbols are bytes plus one.
+    UTF-8 has no byte over 0xF4, so symbols are bytes plus one. With a depth, rows that agree in so many symbols may
+    come in any order: intervals of strings up to that length are the same.
     """
     raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     s = raw + np.uint8(1)  # the end mark 0xFF becomes 0
@@ -178,7 +182,7 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new[1:] = (ks[1:] != ks[:-1]) | (left[order][1:] < width)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if new.all():
+        if new.all() or (depth is not None and width >= depth):
             break
         after = np.zeros(n, np.int64)
         after[: n - width] = rank[width:]
@@ -274,12 +278,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         bucket = U64(key[0].as_py())
         p, single, many = (table.column(c).to_pylist() for c in ("p", "single", "many"))
         ones = [np.frombuffer(x, "<u4") for x in single]
-        every = np.concatenate([*ones, *(np.frombuffer(x, "<u4") for x in many), *(np.frombuffer(x, "<u4") for x in many)])
-        u, n = np.unique(every, return_counts=True)
-        u = u[n > 1]
-        out = []
+        more = [np.frombuffer(x, "<u4") for x in many]
+        # once in every group that has it; those that a group has in several documents count twice
+        _, inverse, n = np.unique(np.concatenate([*ones, *more, *more]), return_inverse=True, return_counts=True)
+        shared = n[inverse] > 1
+        out, at = [], 0
         for q, one in zip(p, ones):
-            hit = one[np.isin(one, u)]
+            hit = one[shared[at : at + len(one)]]
+            at += len(one)
             if len(hit):
                 out.append((q, ((bucket << U64(32)) | hit.astype(U64)).astype("<u8").tobytes()))
         return pb(list(zip(*out)) or [[], []], {"p": pa.int64(), "anchors": pa.binary()})
@@ -381,37 +387,47 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             s["doc"], s["at"], s["n"] = doc[whole], r["at"][whole], r["n"][whole]
             gone.append(s)
             where.append(p[whole])
-            if need.any():
-                named = [(c, t) for x in right.to_pylist() for c, t in zip(np.frombuffer(x["cls"], "<u4").tolist(), x["bytes"].split(b"\xff"))]
-                named.sort()
-                number = np.array([c for c, _ in named], np.int64)
-                texts = [t for _, t in named]
-                sa, bwt, _ = transform(texts)
+            named = sorted((c, t) for x in right.to_pylist() for c, t in zip(np.frombuffer(x["cls"], "<u4").tolist(), x["bytes"].split(b"\xff")))
+            number = np.array([c for c, _ in named], np.int64)
+            anchor = r["low"][first[number]] if len(named) else []
+            i = 0
+            while i < len(named):
+                # some whole anchors at a time: contexts of different anchors have no window in common
+                j, size = i, 0
+                while j < len(named) and (size < TRANSFORM_BYTES or anchor[j] == anchor[j - 1]):
+                    size += len(named[j][1]) + 1
+                    j += 1
+                texts, number_ = [t for _, t in named[i:j]], number[i:j]
+                i = j
+                sa, bwt, _ = transform(texts, length)
                 level = intervals(sa, bwt, length)
                 size = np.array([len(t) + 1 for t in texts], np.int64)
                 begin = np.cumsum(size) - size
                 owner = np.searchsorted(begin, sa, "right") - 1
-                windows = size - length  # of each text
                 edge = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
-                smallest = np.repeat(np.minimum.reduceat(least[number[owner]], edge), np.diff(np.append(edge, len(sa))))
+                smallest = np.repeat(np.minimum.reduceat(least[number_[owner]], edge), np.diff(np.append(edge, len(sa))))
                 by_place = np.empty(len(sa), np.int64)
                 by_place[sa] = smallest
-                slot = np.full(len(first), -1, np.int64)
-                slot[number] = np.arange(len(number))
-                some = np.flatnonzero(need[cls])
-                t = slot[cls[some]]
-                n = windows[t]
-                rec = np.repeat(np.arange(len(some)), n)
-                off = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
-                cut = by_place[begin[t][rec] + off] < ids[some][rec]
-                # runs of removed windows within a record
-                start = cut & ~np.concatenate([[False], cut[:-1] & (rec[1:] == rec[:-1])])
-                stop = cut & ~np.concatenate([cut[1:] & (rec[1:] == rec[:-1]), [False]])
-                a, z = np.flatnonzero(start), np.flatnonzero(stop)
-                s = np.zeros(len(a), SPAN)
-                s["doc"], s["at"], s["n"] = doc[some][rec[a]], r["at"][some][rec[a]] + off[a], z - a + 1
-                gone.append(s)
-                where.append(p[some][rec[a]])
+                # the records of these classes (records are in the order of their classes), some windows at a time
+                some = np.arange(np.searchsorted(cls, number_[0]), np.searchsorted(cls, number_[-1], "right"))
+                some = some[need[cls[some]]]
+                t = np.searchsorted(number_, cls[some])
+                n = size[t] - length
+                steps = np.unique(np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), WINDOWS)), len(n)))
+                for a, z in zip(steps[:-1], steps[1:]):
+                    m = n[a:z]
+                    rec = np.repeat(np.arange(a, z), m)
+                    off = np.arange(len(rec)) - np.repeat(np.cumsum(m) - m, m)
+                    cut = by_place[begin[t[rec]] + off] < ids[some[rec]]
+                    # runs of removed windows within a record
+                    joined = rec[1:] == rec[:-1]
+                    start = np.flatnonzero(cut & ~np.concatenate([[False], cut[:-1] & joined]))
+                    stop = np.flatnonzero(cut & ~np.concatenate([cut[1:] & joined, [False]]))
+                    at = some[rec[start]]
+                    s = np.zeros(len(start), SPAN)
+                    s["doc"], s["at"], s["n"] = doc[at], r["at"][at] + off[start], stop - start + 1
+                    gone.append(s)
+                    where.append(p[at])
             s, q = np.concatenate(gone), np.concatenate(where)
             by = np.argsort(q, kind="stable")
             s, q = s[by], q[by]

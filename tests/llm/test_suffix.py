@@ -43,6 +43,10 @@ def test_random_overlaps(docs_of, seed):
     rows += [(70 + i, ("xy" * 200)[i:]) for i in range(4)] + [(80, "a" * 300), (81, "b" + "a" * 120), (82, "a" * 50), (83, "a" * 49)]
     r.shuffle(rows)
     assert ours(docs_of(rows), group_bytes=2000, bucket_bytes=4000) == want(rows)
+    with pytest.MonkeyPatch.context() as m:  # many small steps
+        m.setattr(suffix, "TRANSFORM_BYTES", 100)
+        m.setattr(suffix, "WINDOWS", 7)
+        assert ours(docs_of(rows)) == want(rows)
     assert ours(docs_of(rows)) == want(rows)
 
 
@@ -65,7 +69,9 @@ def test_intervals_give_common_prefixes():
         texts = ["".join(r.choice("ab") for _ in range(r.randrange(1, 30))).encode() for _ in range(r.randrange(1, 9))]
         sa, bwt, s = suffix.transform(texts)
         joined = b"\xff".join(texts) + b"\xff"
-        for length in (1, 3, 6):
+        for length in (1, 3, 6, 12):
+            if length == 12:
+                sa, bwt, s = suffix.transform(texts, length)
             level = suffix.intervals(sa, bwt, length)
             groups = {}
             for row, p in zip(level.tolist(), sa.tolist()):
