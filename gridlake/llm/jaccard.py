@@ -8,9 +8,8 @@ them), then by hash.
    n - ceil(threshold * n) + 1 of each. Only such shingles that two classes hold are sent to buckets.
 2. A bucket proposes stars, not all pairs: for each shingle, its most central class (the one with the smallest share
    of shingles that no other class has) with each of the others. Two sets of n and m shingles, u and v of which no
-   other class has, overlap in min(n - u, m - v) at most; pairs that this rules out are not verified.
-   Neither are pairs across components (below) whose numbers of shingles in SKETCH vertical fragments differ too much:
-   the sum of these differences is at most the symmetric difference.
+   other class has, overlap in min(n - u, m - v) at most. Their numbers of shingles in SKETCH vertical fragments bound
+   it too: the sum of the differences is at most the symmetric difference. Pairs that this rules out are not verified.
 3. Verification. The order's hash range is cut into FRAGMENTS vertical fragments. The overlap of a proposed pair is
    counted in each fragment on its own, and the counts are summed per pair.
 4. Linked classes get components. Where a shingle's classes still lie in several components, all pairs across
@@ -36,8 +35,8 @@ from gridlake.llm.suffix import Block, by_bucket, mix, pb
 
 U64 = np.uint64
 FRAGMENTS = 8
-#: Fragments in which shingles are only counted, to rule out pairs.
-SKETCH = 64
+#: Fragments in which shingles are only counted, to rule out pairs. Counts stop at 255, which can only loosen the bound.
+SKETCH = 256
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 24
@@ -194,7 +193,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if tokens:
             tokens, owner = np.concatenate(tokens), np.concatenate(owner)
             about = np.stack([np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8"), alone], 1)
-            sketch = np.stack([np.bincount((s >> U64(58)).astype(np.int64), minlength=SKETCH) for s in sets]).astype("<i4")
+            sketch = np.stack([np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=SKETCH), 255) for s in sets]).astype(np.uint8)
             for b, at in by_bucket((tokens >> to_bucket).astype(np.int64), n_buckets):
                 docs_, place = np.unique(owner[at], return_inverse=True)
                 low = ((tokens[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4")
@@ -216,12 +215,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Classes in the order of their keys (id, th, n, u) with their sketches; the lists of classes by shingle, and where each begins and ends."""
         low, doc, about, sketch, at = [], [], [], [], 0
         for x, y in zip(table.column("low").to_pylist(), table.column("meta").to_pylist()):
-            k = len(y) // (32 + 4 * SKETCH)
+            k = len(y) // (32 + SKETCH)
             a = np.frombuffer(x, "<u4").reshape(2, -1)
             low.append(a[0])
             doc.append(a[1].astype(np.int64) + at)
             about.append(np.frombuffer(y, "<i8", 4 * k).reshape(k, 4))
-            sketch.append(np.frombuffer(y, "<i4", SKETCH * k, 32 * k).reshape(k, SKETCH))
+            sketch.append(np.frombuffer(y, np.uint8, SKETCH * k, 32 * k).reshape(k, SKETCH))
             at += k
         low, doc, about, sketch = (np.concatenate(c) for c in (low, doc, about, sketch))
         by_key = np.lexsort((about[:, 1], about[:, 0]))
@@ -233,16 +232,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
         return about[by_key], sketch[by_key], doc, edge[:-1], edge[1:]
 
-    side = ("id", "th", "n", "u")
-    pair_columns = [f"{x}_{c}" for x in "ab" for c in side]
+    pair_columns = [f"{x}_{c}" for x in "ab" for c in ("id", "th", "n")] + ["most"]
     pair_schema = ", ".join(f"{c} long" for c in [*pair_columns, "bucket"])
     pair_types = dict.fromkeys([*pair_columns, "bucket"], pa.int64())
 
-    def rows_of(keys, pairs, bucket):
-        """Distinct pairs of classes, the one with the smaller key first."""
+    def bound(keys, sketch, a, b):
+        """At most so many shingles are in both of two classes, for each of the pairs."""
+        most = np.minimum(keys[a, 2] - keys[a, 3], keys[b, 2] - keys[b, 3])
+        apart = np.zeros(len(a), np.int64)
+        for i in range(0, len(a), 8192):
+            apart[i : i + 8192] = np.abs(sketch[a[i : i + 8192]].astype(np.int16) - sketch[b[i : i + 8192]]).sum(1)
+        return np.minimum(most, (keys[a, 2] + keys[b, 2] - apart) // 2)
+
+    def rows_of(keys, sketch, pairs, bucket):
+        """Distinct pairs of classes, the one with the smaller key first, and the bound on their overlap."""
         code = np.unique(pairs.min(1) * len(keys) + pairs.max(1)) if len(pairs) else np.zeros(0, np.int64)
         a, b = code // max(1, len(keys)), code % max(1, len(keys))
-        return pb([*keys[a].T, *keys[b].T, np.full(len(code), bucket)], pair_types)
+        return pb([*keys[a, :3].T, *keys[b, :3].T, bound(keys, sketch, a, b), np.full(len(code), bucket)], pair_types)
 
     def centres(keys, doc, first, last):
         """For each list the place of its most central class."""
@@ -252,21 +258,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return by_rank[np.minimum.reduceat(rank[doc], first)] if len(first) else first
 
     def stars(key, table):
-        keys, _, doc, first, last = by_shingle(table)
+        keys, sketch, doc, first, last = by_shingle(table)
         centre = np.repeat(centres(keys, doc, first, last), last - first)
-        return rows_of(keys, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
+        return rows_of(keys, sketch, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
 
     def allowed(keys, sketch, i, others):
         """Which others may link with class i, by the bounds on the overlap."""
-        n, m = keys[i, 2], keys[others, 2]
-        most = np.minimum(n - keys[i, 3], m - keys[others, 3])
-        most = np.minimum(most, (n + m - np.abs(sketch[others] - sketch[i]).sum(1)) // 2)
-        return 100 * most >= percent * (n + m - most)
+        most = bound(keys, sketch, np.full(len(others), i), others)
+        return 100 * most >= percent * (keys[i, 2] + keys[others, 2] - most)
 
     def across(key, table, open_pairs):
         """All pairs across components that the bound allows, in lists whose centre is not linked with every member."""
         if not open_pairs.num_rows or not table.num_rows:
-            return rows_of(np.zeros((0, 4), np.int64), [], 0)
+            return rows_of(np.zeros((0, 4), np.int64), np.zeros((0, SKETCH), np.uint8), [], 0)
         keys, sketch, doc, first, last = by_shingle(table)
         number = {(int(a), int(b)): i for i, (a, b) in enumerate(keys[:, :2].tolist())}
         away: dict[tuple[int, int], tuple] = {}  # (centre, class) -> component
@@ -291,7 +295,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 others = others[[comp.get(y, comp[c]) != comp[x] for y in others.tolist()]]
                 if len(others):
                     got.append(np.stack([np.full(len(others), x), others], 1))
-        return rows_of(keys, np.concatenate(got) if got else [], key[0].as_py())
+        return rows_of(keys, sketch, np.concatenate(got) if got else [], key[0].as_py())
 
     once = ["a_id", "a_th", "a_n", "b_id", "b_th", "b_n"]
 
@@ -303,8 +307,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Overlaps by fragment, summed per pair, against the threshold."""
-        most = "least(a_n - a_u, b_n - b_u)"
-        fit = pairs.where(f"100 * {most} >= {percent} * (a_n + b_n - {most})").select(*once)
+        fit = pairs.where(f"100 * most >= {percent} * (a_n + b_n - most)").select(*once)
         members = sets.join(fit, (sets._id == fit.b_id) & (sets._th == fit.b_th)).select("a_id", "a_th", "a_n", "b_id", "b_th", "b_n", F.col("f"), F.col("blob").alias("hb"))
         centres = sets.join(fit.select("a_id", "a_th").distinct(), (sets._id == F.col("a_id")) & (sets._th == F.col("a_th")), "left_semi").select(
             F.col("_id").alias("a_id"), F.col("_th").alias("a_th"), "f", F.col("blob").alias("ha"))
