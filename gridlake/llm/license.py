@@ -4,8 +4,15 @@ A text is cut into units: its lines, and its paragraphs (runs of lines without a
 A unit is lower-cased, everything but letters and digits becomes a blank, and its distinct word bigrams are taken.
 With d bigrams in the unit and n in a template, a Dice coefficient of at least t needs
 n * t / (2 - t) <= d <= n * (2 - t) / t, so other templates are pruned before any bigram is compared. A unit gets the
-best template at or above the threshold (the first listed of equals). All of it is done within the row: no shuffle,
-and one source or one long text does not gather rows.
+best template at or above the threshold (the first listed of equals).
+
+A notice may also stand in a unit with other words: behind them on its line, or hard-wrapped, with or without comment
+marks, in a longer paragraph. So where no unit matched, windows of each template's length in words, across lines, are
+compared too; a window starts at a bigram of its template. Of windows that overlap the best one counts (of equals the
+longer, then the first listed). A text is cut into windows only if it holds a word that each match must hold, and only
+for templates of whose bigrams it has enough: both follow from the threshold, and nothing that matches is lost by them.
+
+All of it is done within the row: no shuffle, and one source or one long text does not gather rows.
 
 Defined results: null or empty text matches nothing (n_matches 0, licenses '', best_dice 0); null and repeated ids
 are kept, one result a row; other columns are ignored; an empty table gives an empty result.
@@ -65,15 +72,65 @@ def units(text: Column) -> Column:
     return F.concat(lines, paragraphs)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
+def needed_words(templates: list[list[str]], percent: int) -> list[str]:
+    """Words of which a text must hold one to reach the threshold with any template. A match has at least
+    n * percent / (200 - percent) of a template's n bigrams, so at least one of any set of more than the others."""
+    out = set()
+    for b in templates:
+        spare = len(b) - -(-len(b) * percent // (200 - percent)) + 1
+        left = set(b)
+        for w in sorted({w for g in b for w in g.split()}, key=lambda w: (-len(w), w)):
+            if len(b) - len(left) >= spare:
+                break
+            out.add(w)
+            left = {g for g in left if w not in g.split()}
+    return sorted(out)
+
+
+def _sequence(text: Column) -> Column:
+    """All word bigrams of a text, in order."""
+    return _let(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x00]+", " ")), " "), lambda w: F.zip_with(
+        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _windows(seq: Column, known: Column, percent: int) -> Column:
+    """The windows that match, none of which overlap: at, to, dice, first, name."""
+
+    def of(t: Column, b: Column) -> Column:
+        starts = F.filter(F.transform(b, lambda g, i: F.when(F.array_contains(t["bigrams"], g), i)), lambda i: i.isNotNull())
+        scored = F.transform(starts, lambda i: _let(F.array_distinct(F.slice(b, i + 1, t["size"])), lambda w: F.struct(
+            (F.size(F.array_intersect(w, t["bigrams"])) * -2.0 / (F.size(w) + t["n"])).alias("order"), (-t["size"]).alias("less"), (-t["first"]).alias("nr"), i.alias("at"),
+            (i + t["size"] + 1).alias("to"), t["name"].alias("name"))))
+        return F.filter(scored, lambda x: x["order"] * -100 >= percent)
+
+    def near(b: Column) -> Column:
+        return _let(F.array_distinct(b), lambda d: F.filter(known, lambda t: F.size(F.array_intersect(d, t["bigrams"])) * (200 - percent) >= t["n"] * percent))
+
+    found = _let(seq, lambda b: F.array_sort(F.flatten(F.transform(near(b), lambda t: of(t, b)))))
+    kept = _let(found, lambda all_: F.aggregate(all_, F.filter(all_, lambda x: F.lit(False)), lambda acc, x: F.when(
+        F.exists(acc, lambda y: (y["at"] < x["to"]) & (x["at"] < y["to"])), acc).otherwise(F.array_append(acc, x))))
+    return F.transform(kept, lambda x: F.struct((-x["order"]).alias("dice"), (-x["nr"]).alias("first"), x["name"].alias("name")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_matches (units with a licence), licenses (names, sorted, by comma), best_dice."""
-    rows = [(name, template_bigrams(t)) for name, t in (templates or TEMPLATES)]
+    """One row per document: doc_id, n_matches (units and windows with a licence), licenses (names, sorted, by comma), best_dice."""
+    rows = [(name, template_bigrams(t), len(words(t)) - 1) for name, t in (templates or TEMPLATES)]
     known = F.array(*(
-        F.struct(F.lit(name).alias("name"), F.lit(-i).alias("first"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams"))
-        for i, (name, b) in enumerate(rows)))
-    small = -(-min(len(b) for _, b in rows) * percent // (200 - percent))
+        F.struct(F.lit(name).alias("name"), F.lit(-i).alias("first"), F.lit(len(b)).alias("n"), F.lit(size).alias("size"), F.array(*map(F.lit, b)).alias("bigrams"))
+        for i, (name, b, size) in enumerate(rows)))
+    small = -(-min(len(b) for _, b, _ in rows) * percent // (200 - percent))
     # a unit of fewer than small + 1 words (one blank or mark between two at least) can't match any template
-    long_enough = F.filter(units(F.coalesce(F.col(text_col), F.lit(""))), lambda u: F.length(u) >= 2 * small + 1)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    long_enough = F.filter(units(body), lambda u: F.length(u) >= 2 * small + 1)
 
     def best(b: Column) -> Column:
         d = F.size(b)
@@ -82,6 +139,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         return F.array_max(F.filter(scored, lambda s: s["dice"] * 100 >= percent))
 
     hits = F.filter(F.transform(F.transform(long_enough, bigrams), best), lambda x: x.isNotNull())
+
+    # units that matched give way to a mark that no template has
+    mark = F.lit(" \x00 ")
+    hit = lambda u: _let(bigrams(u), best).isNotNull()
+    lines = lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda u: F.when(hit(u), mark).otherwise(u)), "\n")
+    rest = F.array_join(F.transform(F.split(F.replace(body, F.lit("\x00"), F.lit(" ")), r"\n\s*\n"), lambda p: F.when(F.contains(p, F.lit("\n")) & hit(p), mark).otherwise(lines(p))), "\n")
+    may = F.lower(body).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(needed_words([b for _, b, _ in rows], percent))})(?![\p{{L}}\p{{N}}])")
+    hits = F.concat(hits, F.when(may, _windows(_sequence(rest), known, percent)).otherwise(F.array().cast("array<struct<dice:double,first:int,name:string>>")))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), hits.alias("hits")).select(
         "doc_id", F.size("hits").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.col("hits.name"))), ",").alias("licenses"),

@@ -1,4 +1,6 @@
+import itertools
 import re
+import textwrap
 
 import duckdb
 
@@ -42,3 +44,27 @@ def test_native_plan_and_odd_rows(spark, odd):
     df = lic.scan(odd)
     assert not re.search("Python|Pandas|Arrow|Exchange", df._jdf.queryExecution().executedPlan().toString())
     assert df.count() == odd.count() and lic.scan(odd.where("false")).count() == 0
+
+
+def test_notices_among_other_words(docs_of):
+    by = {t: n for n, t in lic.TEMPLATES}
+    text = lambda start: next(t for t in by if t.startswith(start))
+    gpl, mit, bsd = text("This program is free software: "), text("Permission is hereby"), text("Redistribution and use")
+    gpl_no, mit_no, mit_as = text("This program is distributed"), text("The above copyright notice and this"), text("THE SOFTWARE IS")
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    some = "some words of another kind that no licence has " * 20
+    rows = [
+        (1, some + "Released under the MIT License."), (2, some + "Licensed under CC BY-NC 4.0. " + some + "Released under the MIT License. " + some),
+        (3, wrap("a.py - does this and that", "# ") + "\n#\n" + wrap(gpl, "# ") + "\n#\n" + wrap(gpl_no, "# ") + "\n#\n" + wrap(some, "# ") + "\nimport os\n"),
+        (4, " * Copyright\n" + wrap(mit, " * ") + "\n" + wrap(mit_no, " * ") + "\n" + wrap(mit_as, " * ") + "\n" + wrap(some)),
+        (5, some + wrap(bsd) + " " + some), (6, some + "released under the license"), (7, "Released under the MIT License.\n" + some), (8, some + "Released under the\n\nMIT License. " + some),
+    ]
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in lic.scan(docs_of(rows)).collect()}
+    assert got == {1: (1, "MIT"), 2: (2, "CC-BY-NC-4.0,MIT"), 3: (2, "GPL,GPL-3.0"), 4: (3, "MIT"), 5: (1, "BSD"), 6: (0, ""), 7: (1, "MIT"), 8: (1, "MIT")}
+
+
+def test_needed_words_lose_nothing():
+    grams = [lic.template_bigrams(t) for _, t in lic.TEMPLATES]
+    for b, percent in itertools.product(grams, (50, 80, 95)):
+        lost = {g for g in b if not set(g.split()) & set(lic.needed_words([b], percent))}
+        assert len(lost) * (200 - percent) < len(b) * percent
