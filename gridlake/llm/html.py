@@ -6,7 +6,9 @@ Neighbouring blocks are joined by smoothness edges, stronger the closer they are
 cut, found by maximum flow, separates content (source side) from boilerplate.
 
 The classifier is a fixed linear rule over the block's text (words, share of link text, list item, heading, marks of
-a legal line) and its ancestors (semantic elements, roles, words in class and id).
+a legal line) and its ancestors (semantic elements, roles, words in class and id). Elements and roles that never hold
+main text are ruled out; a word in class or id that names boilerplate is a finite cost, weaker the further the ancestor
+and the larger its share of the page's text, so a wrapper named after the sidebar that it holds does not empty the page.
 
 Defined results: null or empty html, or a page without content, gives the empty text; null ids and urls are kept;
 repeated rows get equal results; other columns are ignored; broken markup is read as browsers do where it matters
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HARD = 10_000
+#: Cost of a class or id that names boilerplate, right around a block and with next to none of the page's text.
+HINT = 160
 #: Elements that never hold main text.
 DROP = frozenset("nav footer aside form button select textarea iframe noscript template svg canvas menu dialog object audio video head title option datalist fieldset".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
@@ -49,10 +53,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "hint", "hard", "head", "main", "good")
+    __slots__ = ("tag", "hint", "hard", "head", "main", "good", "size")
 
     def __init__(self, tag: str, attrs: str):
         self.tag = tag
+        self.size = 0
         self.main = tag in MAIN
         self.hard = tag in DROP
         self.hint = self.good = False
@@ -171,22 +176,38 @@ def blocks(html: str) -> list[Block]:
         elif tag == "body":
             close(("head",))
         e = Element(tag, m.group(3))
-        if e.main:  # what holds an article is no advert
+        if e.main:  # what holds an article is no page head
             for x in path:
-                x.hint = x.head = False
+                x.head = False
         path.append(e)
     flush()
     return out
 
 
-def balance(b: Block) -> int:
+def weigh(found: list[Block]) -> int:
+    """Characters that may be main text: on the page, and set as the size of each element."""
+    total = 0
+    for b in found:
+        if not any(x.hard for x in b.path):
+            total += len(b.text)
+            for x in b.path:
+                x.size += len(b.text)
+    return total
+
+
+def balance(b: Block, total: int) -> int:
     """Capacity from the source less capacity to the sink: above zero for content."""
     inside = any(x.main for x in b.path)
-    if any(x.hard or x.hint for x in b.path) or (not inside and any(x.head for x in b.path)):
+    if any(x.hard for x in b.path):
         return -HARD
+    cost = 0.0
+    for away, x in enumerate(reversed(b.path)):
+        if x.hint or (x.head and not inside):
+            cost = max(cost, HINT * (1 - x.size / total) / (1 + away / 4))
     words = b.text.count(" ") + 1
     linked = min(1.0, b.link / max(1, len(b.text)))
     s = min(words, 40) - 6 + (40 if inside else 0) + (15 if any(x.good for x in b.path) else 0)
+    s -= int(cost)
     if linked > 0.4:
         s -= int(60 * linked)
     if b.tag in HEADINGS:
@@ -288,7 +309,8 @@ def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
         return ""
-    keep = minimum_cut([balance(b) for b in found], edges(found))
+    total = weigh(found)
+    keep = minimum_cut([balance(b, total) for b in found], edges(found))
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 

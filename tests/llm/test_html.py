@@ -52,3 +52,14 @@ def test_odd_rows(spark):
     by = {(r.page_id, r.url): r for r in html.extract(df).collect()}
     assert by[1, None].text == "" and by[2, "u"].n_chars == 0 and by[None, "u"].text == ("word " * 30).strip() and by[5, "u"].text == ""
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_class_words_are_a_finite_cost():
+    body = "This is a paragraph of the main text that has quite a lot of words so that it looks like prose, doesn't it?"
+    side = "<div class='widget'><p>A few words about the people who write on this site and why they do it</p></div>"
+    for wrap in ('<div id="content-sidebar-wrap">', '<div class="layout has-sidebar">'):
+        page = f"<body>{wrap}<div class='col'><h2>Head</h2>{f'<p>{body}</p>' * 6}</div>{side}</div></body>"
+        assert html.main_text(page).split("\n\n") == ["Head", *[body] * 6]
+    teaser = "<article><h3>Other story</h3><p>What the other story is about, told in some more words than one line has</p></article>"
+    page = f"<body><main><article>{f'<p>{body}</p>' * 6}</article></main><section class='related'>{teaser * 3}</section></body>"
+    assert html.main_text(page).split("\n\n") == [body] * 6
