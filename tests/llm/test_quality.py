@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from gridlake.llm import quality
@@ -49,3 +50,14 @@ def test_odd_rows(odd):
 def test_white_space_is_ascii_only(docs_of):
     r = quality.quality(docs_of([(1, "a b\x0bc\x0cd \x1ce")])).first()
     assert (r.n_words, r.word_chars) == (4, 7)
+
+
+def test_long_words_take_linear_time():
+    t = time.perf_counter()
+    assert quality.letterless_words(quality.Doc("7" * 2_000_000)) and not quality.letterless_words(quality.Doc("a7 7a 7b 777"))
+    assert not quality.letterless_words(quality.Doc("abc " * 3 + "1é2 12"))
+    assert time.perf_counter() - t < 2
+
+
+def test_the_sample_is_bounded(docs_of):
+    assert sorted(quality.rule_order(docs_of([(None, None)] * 2000 + [(1, "word " * 30)] * 1500))) == sorted(quality.RULES)
