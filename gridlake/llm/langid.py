@@ -6,8 +6,9 @@ Nystroem landmarks stand for the training texts, and one-versus-rest ridge regre
 A batch of texts is scored as (presence matrix) x (landmark presence, weighted): the matrix of kernel values never
 has to be held, because (B L') A = B (L' A).
 
-The classifier is fitted on a bounded sample of labelled rows: LANDMARKS_PER_LANG and TRAIN_PER_LANG rows a
-language, chosen by a hash of the id. Everything else covers every row and whole texts.
+The classifier is fitted on a bounded sample of labelled rows: LANDMARKS_PER_LANG and about TRAIN_PER_LANG rows a
+language, chosen by a hash of id and text (equal texts count once), for the MAX_LANGS most frequent labels. Everything
+else covers every row and whole texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0; null labels and null ids do not train
 (a null id is not held out either); repeated rows get equal results; other columns are ignored; without any
@@ -32,8 +33,8 @@ RIDGE = 1e-4
 UNKNOWN = "und"
 #: Pipeline: a document goes if its language is unknown or the score is below this.
 MIN_SCORE = 0.25
-#: Labels rarer than this among the training rows are not learned.
-MIN_ROWS = 2
+#: Labels that are learned at most, the most frequent ones.
+MAX_LANGS = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(r"[\W\d_]+")
@@ -54,11 +55,10 @@ def grams(text: str) -> np.ndarray:
 
 
 def _chosen(labelled: DataFrame, counts: dict[str, int], per_lang: int, seed: int) -> DataFrame:
-    """About per_lang rows of each language, by a hash of the id."""
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1 + per_lang * 1_000_000 // n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < share)
+    """About per_lang texts of each language, by a hash of id and text; text, lang, h."""
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 1 + per_lang * 1_000_000 // n))))
+    rows = labelled.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed))).where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")])
+    return rows.groupBy("lang", "text").agg(F.min("h").alias("h"))
 
 
 class Model:
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         landmarks_per_lang: int = LANDMARKS_PER_LANG, train_per_lang: int = TRAIN_PER_LANG, ridge: float = RIDGE) -> Model | None:
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n >= MIN_ROWS}  # a row a language
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     langs = sorted(counts)
@@ -92,8 +92,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             g = [grams(t).tobytes() if _LETTER.search(t) else b"" for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), b.column(1)], ["g", "lang"])
 
-    marks = _chosen(labelled, counts, landmarks_per_lang, 1).select("text", "lang").mapInArrow(sets, "g binary, lang string").where(
-        F.length("g") > 0).collect()  # bounded by landmarks_per_lang
+    few = _chosen(labelled, counts, landmarks_per_lang, 1).orderBy("h", "lang").limit(2 * landmarks_per_lang * len(langs))
+    marks = few.select("text", "lang").mapInArrow(sets, "g binary, lang string").where(
+        F.length("g") > 0).collect()  # bounded by the limit
     own = [np.frombuffer(r.g, np.uint32) for r in sorted(marks, key=lambda r: (r.lang, r.g))]
     if not own:
         return None
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     m = len(own)
     kk, ky, n = np.zeros((m, m)), np.zeros((m, len(langs))), 0
-    partial = _chosen(labelled, counts, train_per_lang, 2).select("text", "lang").coalesce(8).mapInArrow(sums, "kk binary, ky binary, n long")
+    partial = _chosen(labelled, counts, train_per_lang, 2).select("text", "lang").repartition(8).mapInArrow(sums, "kk binary, ky binary, n long")
     for r in partial.toLocalIterator():  # at most eight rows of a fixed size
         kk += np.frombuffer(r.kk).reshape(m, m)
         ky += np.frombuffer(r.ky).reshape(m, -1)
