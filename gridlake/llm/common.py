@@ -28,7 +28,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridlake-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridlake-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,16 +44,43 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text ('' for null), and the internal key (_id, _th): rows equal in both are interchangeable,
-    rows that share an id but not a text stay apart. A null id counts as the largest one."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        text.alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(text).alias("_th"),
-    )
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_key{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
+#: Rows equal in id and text, of which more are dealt apart.
+REPEATS = 256
+
+
+def _often(keyed: DataFrame, repeats: int) -> tuple[DataFrame | None, int, int]:
+    """Keys (_often_id, _often_th) of more than `repeats` rows, None if there are none; bytes of text; rows."""
+    n = keyed.groupBy("_id", "_th").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    all_ = n.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    often = n.where(F.col("n") > repeats).select(F.col("_id").alias("_often_id"), F.col("_th").alias("_often_th"))
+    return often if (all_.most or 0) > repeats else None, all_.b or 0, all_.n or 0
+
+
+def told_apart(keyed: DataFrame, repeats: int = REPEATS) -> tuple[DataFrame, int, int]:
+    """keyed (_id, _th, text, ...) with _salt, its bytes of text and its rows.
+
+    Groups are dealt by a hash of (_id, _th, _salt). The salt is 0 but where more than `repeats` rows are equal in id and
+    text: there each row has its own, written to the checkpoint folder once, so that no retry can deal a row anew."""
+    often, size, n = _often(keyed, repeats)
+    if often is None:
+        return keyed.withColumn("_salt", F.lit(0).cast("long")), size, n
+    hit = keyed.join(often, (F.col("_id") == F.col("_often_id")) & (F.col("_th") == F.col("_often_th")), "left")
+    return cut(hit.withColumn("_salt", F.when(F.col("_often_id").isNotNull(), F.monotonically_increasing_id()).otherwise(0)).drop("_often_id", "_often_th")), size, n
+
+
+def folded(keyed: DataFrame, repeats: int = REPEATS) -> tuple[DataFrame, int]:
+    """keyed (_id, _th, text), with one row for those of which more than `repeats` are equal, and its bytes of text."""
+    often, size, _ = _often(keyed, repeats)
+    if often is None:
+        return keyed, size
+    same = (F.col("_id") == F.col("_often_id")) & (F.col("_th") == F.col("_often_th"))
+    return keyed.join(often, same, "left_anti").unionByName(keyed.join(often, same, "left_semi").groupBy("_id", "_th").agg(F.min("text").alias("text"))), size
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import NULL_ID, connected_components, cut, shuffle_parts
+from gridlake.llm.common import NULL_ID, connected_components, cut, folded, free_names, shuffle_parts
 from gridlake.llm.suffix import Block, by_bucket, mix, pb
 
 U64 = np.uint64
@@ -118,7 +118,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: _id, _th (the internal key), n_shingles, component_id, keeper (the component's
     smallest key is this row's key), component_th."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first().b or 0
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed, size = folded(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text")))
     parts = shuffle_parts(spark)
     n_groups = max(1, -(-size // group_bytes))
     bits = max(MIN_BUCKETS, -(-size // bucket_bytes)).bit_length()
@@ -128,8 +129,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     every = cut(sets_of(docs, words, id_col, text_col))
     reps = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("rep"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     groups = keyed.withColumn("p", p_of("_id", "_th")).repartition(parts, "p").groupBy("p")
     wanted = reps.select(p_of("rep._id", "rep._th").alias("p"), F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th")).groupBy("p")
 
@@ -355,14 +354,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs, unchanged, that stand for their component: the smallest id, and one row of repeated ones."""
     found = components(docs, id_col, text_col, words, percent)
-    keys = cut(found.groupBy("_id", "_th", "c_id", "c_th").agg(F.count("*").alias("copies")))
+    id_, th, again_id, again_th = free_names(docs, 4)
+    keys = cut(found.groupBy("_id", "_th", "c_id", "c_th").agg(F.count("*").alias("copies"))).where("_id = c_id and _th = c_th").select(F.col("_id").alias(id_), F.col("_th").alias(th), "copies")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
-    stay = lambda rows: docs.join(rows.select("_id", "_th"), (key[0] == F.col("_id")) & (key[1] == F.col("_th")), "left_semi")
-    best = keys.where("_id = c_id and _th = c_th")
-    if not best.where("copies > 1").limit(1).count():
-        return stay(best)
-    return stay(best.where("copies = 1")).unionByName(
-        stay(best.where("copies > 1")).withColumns({"_dup_id": key[0], "_dup_th": key[1]}).dropDuplicates(["_dup_id", "_dup_th"]).drop("_dup_id", "_dup_th"))
+    stay = lambda rows: docs.join(rows.select(id_, th), (key[0] == F.col(id_)) & (key[1] == F.col(th)), "left_semi")
+    if not keys.where("copies > 1").limit(1).count():
+        return stay(keys)
+    return stay(keys.where("copies = 1")).unionByName(
+        stay(keys.where("copies > 1")).withColumns({again_id: key[0], again_th: key[1]}).dropDuplicates([again_id, again_th]).drop(again_id, again_th))
 
 
 #: The same in SQL (four words, 85 percent).

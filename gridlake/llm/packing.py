@@ -1,7 +1,7 @@
 """Packing documents into fixed-length token sequences.
 
-Documents are dealt at random (by a hash of id and text) into groups of bounded size, so each group is packed by one
-task on its own. Within a group, full sequences are cut off long documents first; what remains is placed by
+Documents are dealt at random (by a hash of id and text, and of a number where many rows are equal) into groups of
+bounded size, so each group is packed by one task on its own. Within a group, full sequences are cut off long documents first; what remains is placed by
 first-fit decreasing, where a tournament tree over the free room of all bins finds the first bin that fits in
 log time. Then the emptiest bins are cut up to fill the gaps of the others, so a group ends with one padded bin
 at most.
@@ -13,6 +13,7 @@ documents of their own; other columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -21,20 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.bpe import byte_alphabet
+from gridlake.llm.common import NULL_ID, told_apart
 
 SEQUENCE = 2048
 END_ID = 1
-#: Characters in a group, on average.
-GROUP_CHARS = 4_000_000
+#: Bytes of text in a group, on average.
+GROUP_BYTES = 4_000_000
 #: How byte-level tokenizers of this kind cut a text into words (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space in a run that goes to tiktoken, at most.
+LONG_RUN = 10_000
+_SPACE_RUNS = re.compile(r"\s+").findall
+
 
 class Ids:
     """Token ids as the tokenizers library gives them for the file at path.
 
     Texts without a special token's string go through tiktoken with the same vocabulary, which is several times as
-    fast and gives the same ids: in a byte-level file whose ids rise with its merges, an id is a rank.
+    fast and gives the same ids: in a byte-level file whose ids rise with its merges, an id is a rank. Its pattern can't
+    take very long runs of white space, so texts with one go through the library.
     """
 
     def __init__(self, path: str):
@@ -59,7 +66,8 @@ class Ids:
         return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        long = len(text) > LONG_RUN and max(map(len, _SPACE_RUNS(text)), default=0) > LONG_RUN
+        if self.fast is None or long or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -128,11 +136,13 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, i
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE, group_chars: int = GROUP_CHARS,
+def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE, group_bytes: int = GROUP_BYTES,
                    id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    size = docs.agg(F.sum(F.length(text_col)).alias("c"), F.count("*").alias("n")).first()
-    groups = max(1, -(-((size.c or 0) + 64 * size.n) // group_chars))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"))
+    keyed, size, n = told_apart(keyed)
+    groups = max(1, -(-(size + 64 * n) // group_bytes))
 
     def encode(batches):
         ids = Ids(path)
@@ -159,8 +169,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE, group_c
                 c.append(v)
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).alias("g"),
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = keyed.select(F.pmod(F.xxhash64("_id", "_th", "_salt"), F.lit(groups)).alias("g"), "doc_id", "text")
     return dealt.mapInArrow(encode, "g long, doc_id long, ids binary, n long").groupBy("g").applyInArrow(
         place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

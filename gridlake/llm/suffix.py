@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import NULL_ID, shuffle_parts
+from gridlake.llm.common import NULL_ID, shuffle_parts, told_apart
 
 MIN_LENGTH = 50
 #: Bytes in an anchor.
@@ -50,8 +50,6 @@ BLOCK = 1 << 20
 #: Bytes under one transform (more only if one anchor has more), and windows looked at together.
 TRANSFORM_BYTES = 1 << 20
 WINDOWS = 1 << 19
-#: Windows in a context at most; longer runs (periodic text) are several contexts.
-MAX_RUN = 60_000
 
 U64 = np.uint64
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -247,13 +245,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first().b or 0
+    keyed, size, _ = told_apart(keyed)
     parts = shuffle_parts(docs.sparkSession)
     n_groups = max(1, -(-size // group_bytes))
     bits = max(MIN_BUCKETS, -(-size // bucket_bytes)).bit_length()
     n_buckets = 1 << bits
     to_low, to_bucket = U64(32 - bits), U64(64 - bits)
-    groups = keyed.withColumn("p", F.pmod(F.xxhash64("_id", "_th", F.lit(3)), F.lit(n_groups))).repartition(parts, "p")
+    groups = keyed.withColumn("p", F.pmod(F.xxhash64("_id", "_th", "_salt", F.lit(3)), F.lit(n_groups))).repartition(parts, "p")
 
     def anchor_sets(key, table):
         _, ids, texts = group_rows(table)
@@ -298,16 +296,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         for i, b in blocks(texts):
             v, first, n, place = b.anchors(length, k, True)
             anchors.append(v >> to_low)
-            long = np.flatnonzero(n > MAX_RUN)
-            for x in long:  # periodic text: cut the run
-                more = np.arange(first[x] + MAX_RUN, first[x] + n[x], MAX_RUN)
-                anchors.append(np.full(len(more), v[x] >> to_low, U64))
-                place = np.concatenate([place, np.full(len(more), place[x])])
-                first, n = np.concatenate([first, more]), np.concatenate([n, np.minimum(MAX_RUN, first[x] + n[x] - more)])
-                n[x] = MAX_RUN
             doc = np.searchsorted(b.starts, first, "right") - 1
             r = np.zeros(len(first), CONTEXT)
-            r["low"] = (anchors[-1] if not len(long) else np.concatenate(anchors[-1 - len(long) :])) & U64(0xFFFFFFFF)
+            r["low"] = anchors[-1] & U64(0xFFFFFFFF)
             r["ctx"] = b.hash(first, first + n + length - 1) >> U64(32)
             r["at"], r["n"] = first - b.starts[doc], n
             # every window holds the anchor and half bytes before it, or the anchor and the other half after it

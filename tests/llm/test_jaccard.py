@@ -80,3 +80,13 @@ def test_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert ours(odd) == brute(rows)
     assert jaccard.near_duplicates(odd.where("false")).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(None, a)] * 400 + [(2, b)] * 300 + [(3, b + " more"), (4, None), (4, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "p", 0) for r in rows], "doc_id long, text string, _id int, _th int, _key0 int, p string, _salt int")
+    assert ours(df) == brute(rows)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "4", "None"]

@@ -71,3 +71,17 @@ def test_odd_rows(odd, docs_of):
     special = docs_of([(1, "a<|endoftext|>b"), (2, "plain")])
     check(packing.pack_documents(special, PATH).collect(), {1: "a<|endoftext|>b", 2: "plain"})
     assert packing.pack_documents(odd.where("false"), PATH).count() == 0
+
+
+def test_very_long_white_space(docs_of):
+    texts = {1: "a" + " " * 1_000_000 + "b", 2: "\n" * 300_000, 3: "word " * 5 + " \t" * 200_000 + "x" + " " * 12_000}
+    check(packing.pack_documents(docs_of(list(texts.items())), PATH).collect(), texts)
+
+
+def test_repeated_rows_are_dealt_apart(docs_of):
+    rows = packing.pack_documents(docs_of([(None, "the same text again")] * 600 + [(1, "another")]), PATH, group_bytes=2000).collect()
+    assert sum(r.doc_id is None for r in rows if r.start == 0) == 600
+    by = {}
+    for r in rows:
+        by[r.sequence_id >> 32] = by.get(r.sequence_id >> 32, 0) + 1
+    assert len(by) > 5 and max(by.values()) < 200

@@ -93,3 +93,8 @@ def test_kept_text_drops_cut_characters(docs_of):
     s = "é" * 40
     got = {r.doc_id: r for r in suffix.spans(docs_of([(1, "a" + s), (2, "b" + s + "c")])).collect()}
     assert got[2].kept_text == "bc" and got[2].spans == [[1, 81]]
+
+
+def test_repeated_rows_are_dealt_apart(docs_of):
+    rows = [(None, "the same words of more than fifty bytes in each of the rows")] * 300 + [(7, "x the same words of more than fifty bytes in each of the rows")] * 290
+    assert ours(docs_of(rows), group_bytes=2000) == want(rows)
