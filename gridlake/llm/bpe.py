@@ -3,7 +3,8 @@
 Reads a public tokenizer file (its path is a parameter; executors open it themselves). A short word is merged
 with a contiguous rank array: part boundaries and the rank of each adjacent pair sit in two lists; scan for the
 smallest rank, delete that boundary, refresh the two neighbouring ranks. Very long words use a heap with the same
-order of merges, so one huge word costs n log n. Words repeat, so each worker keeps a bounded cache.
+order of merges, so one huge word costs n log n. Words repeat, and so does what stands between two spaces: each worker
+keeps bounded caches of their ids and decoded tokens.
 
 Defined results: null and empty text give no tokens; the special tokens' own strings in a text become their ids;
 ids may be null or repeat (each row is encoded alone); other columns are ignored.
@@ -23,9 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_RANK = 1 << 60
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 #: Longer words are merged with a heap.
 LONG_WORD = 160
-CACHE_WORDS = 300_000
+#: Entries in a cache; longer strings are not cached.
+CACHE = 300_000
+CACHE_LENGTH = 64
+
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -37,6 +44,13 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def keep(cache: dict, key: str, value) -> None:
+    if len(key) <= CACHE_LENGTH:
+        if len(cache) >= CACHE:
+            cache.clear()
+        cache[key] = value
+
+
 class WordBpe:
     """Encoder and decoder for one tokenizer file with an end-of-word suffix."""
 
@@ -48,16 +62,17 @@ class WordBpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # both parts' ids -> rank and id of the whole, each as one number
         for rank, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.pairs[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.pairs[self.vocab[left] << ID_BITS | self.vocab[right]] = rank << ID_BITS | self.vocab[left + right]
         self.letters = byte_alphabet()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.spaces = regex.compile(r"\s+")
-        self.ids: dict[str, tuple[list[int], str]] = {}
+        self.of_word: dict[str, tuple[bytes, str]] = {}
+        self.of_chunk: dict[str, tuple[bytes, str]] = {}
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -70,71 +85,80 @@ class WordBpe:
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def merge_short(self, parts: list[int]) -> list[int]:
-        pair = self.pairs.get
-        none = (NO_RANK, -1)
-        bounds = list(range(len(parts)))  # where each remaining part starts
-        ranks = [pair((parts[i], parts[i + 1]), none)[0] for i in range(len(parts) - 1)]
-        ids = list(parts)
-        while ranks:
-            low = min(ranks)
-            if low == NO_RANK:
-                break
+        rank_of = self.pairs.get
+        ids = list(parts)  # by where a part starts
+        bounds = list(range(len(ids)))  # where each remaining part starts
+        ranks = [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(ids, ids[1:])]  # of each part with the next one
+        while ranks and (low := min(ranks)) != NO_RANK:
             i = ranks.index(low)
-            ids[i] = pair((ids[i], ids[i + 1]))[1]
-            del bounds[i + 1], ids[i + 1], ranks[i]
+            at = bounds[i]
+            ids[at] = new = low & ID_MASK
+            del bounds[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pair((ids[i], ids[i + 1]), none)[0]
+                ranks[i] = rank_of(new << ID_BITS | ids[bounds[i + 1]], NO_RANK)
             if i:
-                ranks[i - 1] = pair((ids[i - 1], ids[i]), none)[0]
-        return ids
+                ranks[i - 1] = rank_of(ids[bounds[i - 1]] << ID_BITS | new, NO_RANK)
+        return [ids[at] for at in bounds]
 
     def merge_long(self, parts: list[int]) -> list[int]:
         ids, n = list(parts), len(parts)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(p[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := self.pairs.get((ids[i], ids[i + 1])))]
+        rank_of = self.pairs.get
+        heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := rank_of(ids[i] << ID_BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
-            ids[i], ids[j] = self.pairs[left, right][1], -1
+            ids[i], ids[j] = rank & ID_MASK, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := self.pairs.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (p[0], a, ids[a], ids[b]))
+                if a >= 0 and b >= 0 and (p := rank_of(ids[a] << ID_BITS | ids[b])) is not None:
+                    heapq.heappush(heap, (p, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[list[int], str]:
-        """Ids of one word and their tokens joined by blanks; cached."""
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids of one word (little-endian, 32 bit) and their tokens joined by blanks."""
         parts = self.start(word)
         ids = self.merge_short(parts) if len(parts) <= LONG_WORD else self.merge_long(parts)
-        got = ids, " ".join(self.token[i] for i in ids)
-        if len(word) <= 64:
-            if len(self.ids) >= CACHE_WORDS:
-                self.ids.clear()
-            self.ids[word] = got
-        return got
-
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        ids: list[int] = []
+        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The same for all words between two spaces. No word reaches across a space, and neither do composition and lower-casing."""
+        got = []
+        for w in self.words(self.normalise(chunk)):
+            known = self.of_word.get(w)
+            if known is None:
+                known = self.word(w)
+                keep(self.of_word, w, known)
+            got.append(known)
+        whole = got[0] if len(got) == 1 else (b"".join(x[0] for x in got), " ".join(x[1] for x in got if x[1]))
+        keep(self.of_chunk, chunk, whole)
+        return whole
+
+    def encode_with_text(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text (little-endian, 32 bit) and the decoded text."""
+        ids: list[bytes] = []
         shown: list[str] = []
-        known = self.ids.get
+        known = self.of_chunk.get
         for piece in self.cut(text) if "<|" in text else (text,):
             if piece in self.special:
-                ids.append(self.special[piece])
+                ids.append(np.uint32(self.special[piece]).astype("<u4").tobytes())
                 shown.append(piece)
                 continue
-            for w in self.words(self.normalise(piece)):
-                got = known(w) or self.word(w)
-                ids += got[0]
-                shown.append(got[1])
-        return ids, " ".join(x for x in shown if x)
+            # str.split() also cuts at four separators that are no spaces here
+            for c in self.spaces.split(piece) if _SEPARATORS.search(piece) else piece.split():
+                got = known(c) or self.chunk(c)
+                if got[1]:
+                    ids.append(got[0])
+                    shown.append(got[1])
+        return b"".join(ids), " ".join(shown)
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_with_text(text)[0]
+        return np.frombuffer(self.encode_with_text(text)[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks: the file names no decoder."""
@@ -151,7 +175,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 part = b.slice(i, 256)
                 got = [bpe.encode_with_text(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.string())],
+                    [part.column(0), pa.array([np.frombuffer(x[0], "<i4") for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.string())],
                     ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -169,10 +193,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             n, a, z = [], [], []
             for t in b.column(1).to_pylist():
-                ids, _ = bpe.encode_with_text(t or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                z.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                ids, shown = bpe.encode_with_text(t or "")
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
+                z.append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
