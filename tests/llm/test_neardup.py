@@ -4,8 +4,8 @@ import pytest
 from gridlake.llm import neardup
 
 
-def brute(rows, threshold=0.95, dim=8):
-    good = [i for i, (_, v) in enumerate(rows) if v and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+def brute(rows, threshold=0.95):
+    good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n = [0] * len(rows)
     root = list(range(len(rows)))
 
@@ -16,8 +16,8 @@ def brute(rows, threshold=0.95, dim=8):
 
     for a in good:
         for b in good:
-            x, y = np.array(rows[a][1]), np.array(rows[b][1])
-            if a != b and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
+            x, y = (np.array(rows[i][1]) / np.abs(rows[i][1]).max() for i in (a, b))
+            if a != b and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
                 n[a] += 1
                 root[find(a)] = find(b)
     least = {}
@@ -31,8 +31,8 @@ def brute(rows, threshold=0.95, dim=8):
     return sorted(out, key=str)
 
 
-def ours(spark, rows, **k):
-    df = spark.createDataFrame([(d, v, 1, "x") for d, v in rows], "vec_id long, embedding array<float>, n int, v string")
+def ours(spark, rows, real="float", **k):
+    df = spark.createDataFrame([(d, v, 1, "x", 0, 0) for d, v in rows], f"vec_id long, embedding array<{real}>, n int, v string, dim int, block int")
     return sorted([tuple(r) for r in neardup.near_duplicates(df, **k).collect()], key=str)
 
 
@@ -62,3 +62,16 @@ def test_bound_is_rigorous():
 def test_empty_and_all_invalid(spark):
     assert ours(spark, []) == []
     assert ours(spark, [(1, None), (2, [0.0, 0.0])]) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_every_length_is_compared(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, np.float32(r.normal(size=3 + k % 7)).tolist()) for k in range(70)]
+    rows += [(100 + d, [3 * x for x in v]) for d, v in rows[:20]] + [(200, [1.0, 0.5]), (201, [1.0, 0.5]), (202, [0.1, 0.05]), (203, [1.0]), (204, [-2.0])]
+    assert ours(spark, rows, block=4) == brute(rows)
+
+
+def test_components_far_from_one(spark):
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e-200, 1e-200, 0.0]), (3, [1e308, 1e308, 1e300]), (4, [5e-324, 0.0, 0.0]), (5, [1e308, 0.0, 1e307]), (6, [0.0, 0.0, 1e-310])]
+    assert ours(spark, rows, real="double") == brute(rows)
+    assert {d: n for d, n, _, _ in ours(spark, rows, real="double")} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 1, 6: 0}
