@@ -1,18 +1,22 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A classifier gives each block a cost of being called boilerplate (if it looks like
-content) or content (if it looks like boilerplate); these are the capacities from the source and to the sink.
-Neighbouring blocks are joined by smoothness edges, stronger the closer they are in the document tree. The minimum
-cut, found by maximum flow, separates content (source side) from boilerplate.
-
-The classifier is a fixed linear rule over the block's text (words, share of link text, list item, heading, marks of
-a legal line) and its ancestors (semantic elements, roles, words in class and id). Elements and roles that never hold
-main text are ruled out; a word in class or id that names boilerplate is a finite cost, weaker the further the ancestor
-and the larger its share of the page's text, so a wrapper named after the sidebar that it holds does not empty the page.
+A page is cut into text blocks. A linear classifier gives each block a balance: what calling it boilerplate costs (if it
+looks like content) or calling it content (if it looks like boilerplate); these are the capacities from the source and
+to the sink. Neighbouring blocks are joined by smoothness edges, stronger the closer they are in the document tree. The
+minimum cut, found by maximum flow, separates content (source side) from boilerplate.
+
+The classifier looks at a block's words (an item of a list or table counts with the whole list), share of link text,
+heading, marks of a legal line, and at the elements around it. All of its evidence is finite and calibrated against the
+edges: a one-word paragraph, or one that is all link, is boilerplate by itself and content among paragraphs of prose,
+and a long line between the links of a menu goes with the menu. Elements such as nav and footer, and class and id names
+that are words for boilerplate, weigh more than any prose; a vaguer name (related-work, has-sidebar) weighs less than
+prose. Where nearly all of a page's prose stands inside elements of such names, or of a form, these are
+wrappers, and their weight falls with their share of the page's text. Only what is never shown as text (controls, hidden
+elements, raw elements) is left out before.
 
 Defined results: null or empty html, or a page without content, gives the empty text; null ids and urls are kept;
 repeated rows get equal results; other columns are ignored; broken markup is read as browsers do where it matters
-(unclosed elements, stray ends, raw text in script and style).
+(unclosed elements, stray ends, raw text in script and style). Time grows in proportion to the page, however deep.
 """
 
 from __future__ import annotations
@@ -25,11 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: More than all else together: for what is never shown as text.
 HARD = 10_000
-#: Cost of a class or id that names boilerplate, right around a block and with next to none of the page's text.
-HINT = 160
-#: Elements that never hold main text.
-DROP = frozenset("nav footer aside form button select textarea iframe noscript template svg canvas menu dialog object audio video head title option datalist fieldset".split())
+#: Balance of a block: words that count at most, words that make it neutral, and what else speaks for or against content.
+WORDS, NEUTRAL, IN_MAIN, IN_GOOD, HEADING = 40, 10, 8, 6, 8
+LINKED, LEGAL, ITEM = 28, 24, 6
+#: Weight of an element or clear name for boilerplate, and of a vague name (times the square of such words' share in it).
+BOILERPLATE, MIXED = 160, 64
+#: Prose outside all such elements (words in blocks of NEUTRAL words or more) that shows that they aren't wrappers.
+PROSE = 30
+#: Edges: of next neighbours by closeness in the tree, what siblings get besides, and the divisor where the evidence around two blocks differs.
+EDGE, SIBLING, CONTRAST = 24, 14, 8
+#: Elements that are never shown as text.
+DROP = frozenset("button select textarea iframe noscript template svg canvas object audio video head title option datalist".split())
+#: Elements for boilerplate, and those that may also wrap a whole page.
+SIDE = frozenset("nav footer aside menu dialog".split())
+FORM = frozenset(("form", "fieldset"))
+LISTS = frozenset("ul ol dl table".split())
+ITEMS = frozenset("li dt dd td th".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -40,7 +57,10 @@ MAIN = frozenset(("article", "main"))
 BAD = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets related recommended recommendations share sharing social comment comments commentlist discussion disqus reply replies respond "
-    "footer toolbar pagination pager paging login search copyright legal disclaimer skip tags tagcloud rail".split())
+    "footer toolbar pagination pager paging login search copyright legal disclaimer skip tags tagcloud rail posts stories links teaser teasers".split())
+#: Those that say little in a name with other words, and words that turn a name into one for what is around.
+VAGUE = frozenset("related recommended recommendations side share sharing social notice notices alert search legal copyright disclaimer tags rail skip reply replies respond paging pager login posts stories links".split())
+AROUND = frozenset("has with no without open".split())
 #: Words that name a site's head; inside an article they may hold its title.
 HEAD_WORDS = frozenset("header masthead topbar hero".split())
 GOOD = frozenset("article content entry post story body text main prose markdown".split())
@@ -53,44 +73,54 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "hint", "hard", "head", "main", "good", "size")
-
-    def __init__(self, tag: str, attrs: str):
-        self.tag = tag
-        self.size = 0
-        self.main = tag in MAIN
-        self.hard = tag in DROP
-        self.hint = self.good = False
-        self.head = tag == "header"
+    """One element. Filled in by weigh: cost (of its own and all around it), share of text."""
+
+    __slots__ = ("tag", "parent", "depth", "hidden", "side", "named", "head", "main", "good", "size", "words", "inside", "cost", "list")
+
+    def __init__(self, tag: str, attrs: str, parent: Element | None):
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.size = self.words = 0
+        self.hidden, self.main, self.side, self.head = tag in DROP, tag in MAIN, tag in SIDE, tag == "header"
+        self.named = float(BOILERPLATE) if tag in FORM else 0.0
+        self.good = False
+        self.list = self if tag in LISTS else parent.list if parent else None
         if attrs.strip(" /\n\t"):
             for name, a, b, c, bare in _ATTR.findall(attrs):
                 name, value = (name or bare).lower(), unescape(a or b or c)
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    self.hint |= not words.isdisjoint(BAD)
-                    self.head |= not words.isdisjoint(HEAD_WORDS)
-                    self.good |= not words.isdisjoint(GOOD)
+                    if tag not in ("html", "body"):  # theirs speak of the page, not of its text
+                        for one in value.split():
+                            self.name(one)
                 elif name == "role":
                     r = ROLES.get(value.strip().lower(), 0)
-                    self.hard |= r < 0
+                    self.side |= r < 0
                     self.main |= r > 0
                 elif name == "hidden" and not value or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                    self.hard = True
-        if tag in ("html", "body"):  # their classes speak of the page, not of its text
-            self.hint = self.head = self.good = False
+                    self.hidden = True
+
+    def name(self, one: str) -> None:
+        words = [w.lower() for w in _WORD.findall(one)]
+        if words:
+            share = sum(w in BAD for w in words) / len(words)
+            clear = share == 1 or (any(w in BAD and w not in VAGUE for w in words) and AROUND.isdisjoint(words))
+            self.named = max(self.named, BOILERPLATE if clear else MIXED * share * share)
+            self.head |= any(w in HEAD_WORDS for w in words)
+            self.good |= any(w in GOOD for w in words)
 
 
 class Block:
-    __slots__ = ("text", "link", "path", "tag")
+    __slots__ = ("text", "link", "at", "words")
 
-    def __init__(self, text: str, link: int, path: list[Element], tag: str):
-        self.text, self.link, self.path, self.tag = text, link, path, tag
+    def __init__(self, text: str, link: int, at: Element | None):
+        self.text, self.link, self.at, self.words = text, link, at, text.count(" ") + 1
 
 
-def blocks(html: str) -> list[Block]:
-    """Text blocks in page order, with the open elements around each."""
+def blocks(html: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks in page order, each with the element it stands in, and all elements, outer ones first."""
     out: list[Block] = []
+    made: list[Element] = []
     path: list[Element] = []
+    is_open: dict[str, int] = {}
     parts: list[str] = []
     link_chars = links = 0
     at = 0
@@ -107,13 +137,17 @@ def blocks(html: str) -> list[Block]:
         if parts:
             t = " ".join("".join(parts).split())
             if t:
-                out.append(Block(t, link_chars, path.copy(), path[-1].tag if path else ""))
+                out.append(Block(t, link_chars, path[-1] if path else None))
             parts.clear()
         link_chars = 0
 
     def close(tags, stop=()) -> None:
+        if not any(is_open.get(t) for t in tags):
+            return
         for k in range(len(path) - 1, -1, -1):
             if path[k].tag in tags:
+                for x in path[k:]:
+                    is_open[x.tag] -= 1
                 del path[k:]
                 return
             if path[k].tag in stop:
@@ -175,63 +209,95 @@ def blocks(html: str) -> list[Block]:
             close(("option",), ("select",))
         elif tag == "body":
             close(("head",))
-        e = Element(tag, m.group(3))
-        if e.main:  # what holds an article is no page head
-            for x in path:
-                x.head = False
+        e = Element(tag, m.group(3), path[-1] if path else None)
         path.append(e)
+        made.append(e)
+        is_open[tag] = is_open.get(tag, 0) + 1
     flush()
-    return out
-
-
-def weigh(found: list[Block]) -> int:
-    """Characters that may be main text: on the page, and set as the size of each element."""
-    total = 0
+    return out, made
+
+
+def weigh(found: list[Block], made: list[Element]) -> None:
+    """Sets each element's cost, from its own evidence and that of all around it."""
+    holds_main = set()
+    for x in reversed(made):  # what holds an article is no page head
+        if x.parent and (x.main or x in holds_main):
+            holds_main.add(x.parent)
+    clean: dict[Element | None, bool] = {None: True}
+    for x in made:
+        up = x.parent
+        x.hidden |= bool(up and up.hidden)
+        x.inside = x.main or bool(up and up.inside)
+        x.good |= bool(up and up.good)
+        x.head &= not x.inside and x not in holds_main
+        clean[x] = clean[up] and not (x.hidden or x.side or x.head or x.named)
+    prose = total = 0
+    main = False
     for b in found:
-        if not any(x.hard for x in b.path):
+        if b.at:
+            b.at.words += b.words
+        if not (b.at and b.at.hidden):
             total += len(b.text)
-            for x in b.path:
-                x.size += len(b.text)
-    return total
-
-
-def balance(b: Block, total: int) -> int:
+            if b.at:
+                b.at.size += len(b.text)
+            if clean[b.at]:
+                prose += b.words if b.words >= NEUTRAL and 2 * b.link < len(b.text) else 0
+                main |= bool(b.at and b.at.inside)
+    for x in reversed(made):
+        if x.parent:
+            x.parent.size += x.size
+            x.parent.words += x.words
+    wrapped = not main and prose < PROSE
+    for x in made:
+        own = max(BOILERPLATE if x.side or x.head else 0, x.named * (1 - x.size / total) ** 2 if wrapped and total else x.named)
+        x.cost = HARD if x.hidden else min(BOILERPLATE, own + (x.parent.cost if x.parent else 0))
+
+
+def balance(b: Block) -> int:
     """Capacity from the source less capacity to the sink: above zero for content."""
-    inside = any(x.main for x in b.path)
-    if any(x.hard for x in b.path):
-        return -HARD
-    cost = 0.0
-    for away, x in enumerate(reversed(b.path)):
-        if x.hint or (x.head and not inside):
-            cost = max(cost, HINT * (1 - x.size / total) / (1 + away / 4))
-    words = b.text.count(" ") + 1
+    x = b.at
+    words, tag = b.words, x.tag if x else ""
     linked = min(1.0, b.link / max(1, len(b.text)))
-    s = min(words, 40) - 6 + (40 if inside else 0) + (15 if any(x.good for x in b.path) else 0)
-    s -= int(cost)
     if linked > 0.4:
-        s -= int(60 * linked)
-    if b.tag in HEADINGS:
-        s += 8
-    elif b.tag == "li" and not inside:
-        s -= 6
-    if b.text[0] == "©" or (words < 25 and "©" in b.text):
-        s -= 60
+        s = min(words, 2 * NEUTRAL) - NEUTRAL - int(LINKED * linked)
+    else:
+        if tag in ITEMS and x.list:
+            words = max(words, x.list.words)
+        s = (min(words, WORDS) - NEUTRAL) * (2 if words > NEUTRAL else 1)
+    if x:
+        s += IN_MAIN * x.inside + IN_GOOD * x.good - int(x.cost)
+    if tag in HEADINGS:
+        s += HEADING
+    elif tag == "li" and not x.inside:
+        s -= ITEM
+    if b.text[0] == "©" or (b.words < 25 and "©" in b.text):
+        s -= LEGAL
     return s
 
 
+def steps(x: Element | None, y: Element | None, most: int) -> int:
+    """Steps in the tree from x to y, or more than most."""
+    n = 0
+    while x is not y and n <= most:
+        if y is None or (x is not None and x.depth >= y.depth):
+            x = x.parent
+        else:
+            y = y.parent
+        n += 1
+    return n
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """Smoothness: each block with the next two, by closeness in the tree."""
+    """Smoothness: each block with the next two, by closeness in the tree; weak across the border of an article or a sidebar."""
+    around = [(bool(b.at and b.at.inside), b.at.cost if b.at else 0) for b in found]
     out = []
     for i, b in enumerate(found):
         for j in (i + 1, i + 2):
             if j < len(found):
-                c, k = found[j], 0
-                for x, y in zip(b.path, c.path):
-                    if x is not y:
-                        break
-                    k += 1
-                apart = len(b.path) + len(c.path) - 2 * k
-                w = 24 // ((1 + apart) * (j - i)) + (8 if apart <= 2 and j == i + 1 else 0)
+                apart = steps(b.at, found[j].at, EDGE)
+                w = EDGE // ((1 + apart) * (j - i)) + (SIBLING if apart <= 2 and j == i + 1 else 0)
+                if around[i][0] != around[j][0] or abs(around[i][1] - around[j][1]) > MIXED // 4:
+                    w //= CONTRAST
                 if w:
                     out.append((i, j, w))
     return out
@@ -306,11 +372,12 @@ def minimum_cut(balance_of: list[int], links: list[tuple[int, int, int]]) -> lis
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html) if html else []
+    found, made = blocks(html) if html else ([], [])
+    weigh(found, made)
+    found = [b for b in found if not (b.at and b.at.hidden)]
     if not found:
         return ""
-    total = weigh(found)
-    keep = minimum_cut([balance(b, total) for b in found], edges(found))
+    keep = minimum_cut([balance(b) for b in found], edges(found))
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 

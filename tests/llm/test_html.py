@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
 from gridlake.llm import html
@@ -54,6 +55,63 @@ def test_odd_rows(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+BODY = "This is a paragraph of the main text that has quite a lot of words so that it looks like prose, doesn't it?"
+
+
+def flips(page):
+    """Texts of blocks whose side the cut changes: kept, and dropped, against the sign of their balance."""
+    found, made = html.blocks(page)
+    html.weigh(found, made)
+    found = [b for b in found if not (b.at and b.at.hidden)]
+    balance = [html.balance(b) for b in found]
+    keep = html.minimum_cut(balance, html.edges(found))
+    return [b.text for b, v, k in zip(found, balance, keep) if k and v < 0], [b.text for b, v, k in zip(found, balance, keep) if not k and v > 0]
+
+
+def test_the_cut_changes_labels_for_the_better():
+    page = f"<body><div><p>{BODY}</p><p>Yes.</p><p><a href=x>Read the whole report here</a></p><p>{BODY}</p><p>© is a sign.</p><p>{BODY}</p></div></body>"
+    assert flips(page)[0] == ["Yes.", "Read the whole report here", "© is a sign."]
+    assert html.main_text(page).split("\n\n") == [BODY, "Yes.", "Read the whole report here", BODY, "© is a sign.", BODY]
+    item = "<li><a href=x>One of the sections</a></li>"
+    page = f"<body><ul>{item * 3}<li>Those of our pages that have no link of their own yet</li>{item * 3}</ul><div><p>{BODY}</p><p>{BODY}</p></div></body>"
+    assert flips(page)[1] == ["Those of our pages that have no link of their own yet"]
+    assert html.main_text(page).split("\n\n") == [BODY, BODY]
+
+
+def test_the_cut_matters_on_the_table():
+    """One- and two-word paragraphs of articles: test_table shows that the results are right."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    assert sum(len(flips(h or "")[0]) for h in pages) > 50
+
+
+def test_names_of_wrappers_and_a_form_around_the_page():
+    side = "<div class=sidebar><p>A few words about the people who write on this site and why they do it</p></div>"
+    for wrap in ("div class='content has-sidebar'", "div class='layout-with-sidebar'", "div class='two-col sidebar-right'", "form action=x"):
+        for more in ("", side):
+            page = f"<body><nav><a href=a>Home</a></nav><{wrap}><h2>Head</h2><p>{BODY}</p><p>{BODY}</p>{more}</{wrap.split()[0]}><footer>© 2020 Us</footer></body>"
+            assert html.main_text(page).split("\n\n") == ["Head", BODY, BODY]
+    page = f"<article><h1>T</h1><p>{BODY}</p><section class='related-work'><h2>Related work</h2><p>{BODY}</p><p>Short one.</p><p>{BODY}</p></section><section class='related-posts'><p>{BODY}</p></section></article>"
+    assert html.main_text(page).split("\n\n") == ["T", BODY, "Related work", BODY, "Short one.", BODY]
+
+
+def test_comments_longer_than_the_article():
+    comment = f"<li class='comment-body'><p>{BODY} {BODY}</p></li>"
+    for where in ("<section id='comments'>", "<div class='comment-list'>", "<div class='post-comments'>"):
+        page = f"<body><div><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div>{where}<ul>{comment * 20}</ul></body>"
+        assert html.main_text(page).split("\n\n") == ["Head", BODY, BODY]
+    assert html.main_text(f"<body><p>{BODY}</p><div class='sidebar-right'><p>{BODY}</p></div><aside><p>{BODY}</p><p>{BODY}</p></aside></body>") == BODY
+
+
+def test_deep_pages_take_linear_time():
+    t = time.perf_counter()
+    assert html.main_text("<div>" * 20_000 + "text " * 50) == ("text " * 50).strip()
+    html.main_text("<div>some text here" * 20_000)
+    html.main_text("<div><p>some text here</x></b></p>" * 20_000)
+    assert time.perf_counter() - t < 6
+
+
 def test_class_words_are_a_finite_cost():
     body = "This is a paragraph of the main text that has quite a lot of words so that it looks like prose, doesn't it?"
     side = "<div class='widget'><p>A few words about the people who write on this site and why they do it</p></div>"
