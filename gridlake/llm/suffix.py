@@ -12,7 +12,10 @@ anchor), so equal windows have equal keys and every bucket of keys can be treate
    its distinct anchor hashes to buckets; buckets answer which of them other groups or documents have too.
 2. For those anchors each group sends one record per run of windows with the same anchor (a context): hashes, the
    document's id and the place. Equal contexts of one group are settled there, so a passage in a third of all rows
-   leaves a group once.
+   leaves a group once. Buckets count the runs of each anchor. Where an anchor has very many (blanks, a common sentence
+   with ever other text behind it), its windows are dealt on by the longer string that windows with the anchor at about
+   the same place have in common: the more runs, the longer that string, up to the window itself. So parts stay small,
+   and lie in different buckets.
 3. Buckets fold equal contexts into one class with the smallest document id, and ask for the bytes of a class only
    if another class of the anchor shares a longer substring with it.
 4. Buckets build the transform over those bytes, expand the intervals, and take the smallest document id of every
@@ -22,7 +25,7 @@ anchor), so equal windows have equal keys and every bucket of keys can be treate
 Equality of contexts is by 100 or more hash bits (within one anchor); windows that differ in context are compared
 byte by byte through the transform.
 
-Defined results: null or empty text has no bytes and loses none; a null id counts as larger than every real id;
+Defined results: ill-formed UTF-8 in a string column is read with U+FFFD in its place; null or empty text has no bytes and loses none; a null id counts as larger than every real id;
 documents with equal ids (repeated rows too) do not remove each other's text; other columns may be carried along;
 an empty table gives an empty result.
 """
@@ -46,10 +49,12 @@ GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 60
 #: Text bytes hashed at once.
-BLOCK = 1 << 20
-#: Bytes under one transform (more only if one anchor has more), and windows looked at together.
-TRANSFORM_BYTES = 1 << 20
-WINDOWS = 1 << 19
+BLOCK = 1 << 18
+#: Bytes under one transform (more only if one part of an anchor has more), and windows looked at together.
+TRANSFORM_BYTES = 1 << 18
+WINDOWS = 1 << 17
+#: With more runs than these an anchor's windows are dealt by a string 1 / 2, 3 / 4, ... of the way from the anchor to the whole window.
+RUNS = (1 << 9, 1 << 11, 1 << 13, 1 << 16, 1 << 20)
 
 U64 = np.uint64
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -125,7 +130,8 @@ class Block:
         first = np.flatnonzero(ok & ~np.concatenate([[False], same]))
         # a run ends at the next start or where windows stop being valid
         stop = np.flatnonzero(ok & ~np.concatenate([same & ok[1:], [False]])) + 1
-        return v[first], first, stop - first, at[first].astype(np.int64) if places else first
+        # smallest hashes are small numbers: mixed again, so that their high bits deal them evenly
+        return mix(v[first] + U64(_BASE)), first, stop - first, at[first].astype(np.int64) if places else first
 
 
 def blocks(texts: list[bytes]):
@@ -241,7 +247,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end), kept_text
     (characters that lost a byte go whole; null unless with_text), and the columns to carry as carry_0, carry_1, ..."""
     half = (length - k) // 2
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
@@ -265,49 +271,87 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         v, d = v[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
         many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(v) else np.zeros(0, bool)
+        runs = np.diff(np.append(first, len(v)))
         v = v[first]
         out = []
         for b, at in by_bucket((v >> to_bucket).astype(np.int64), n_buckets):
             low = ((v[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4")
-            out.append((b, key[0].as_py(), low[~many[at]].tobytes(), low[many[at]].tobytes()))
-        return pb(list(zip(*out)) or [[], [], [], []], {"bucket": pa.int64(), "p": pa.int64(), "single": pa.binary(), "many": pa.binary()})
+            more = runs[at] > 1
+            out.append((b, key[0].as_py(), low[~many[at]].tobytes(), low[many[at]].tobytes(), low[more].tobytes(), runs[at][more].astype("<u4").tobytes()))
+        return pb(list(zip(*out)) or [[]] * 6, {"bucket": pa.int64(), "p": pa.int64(), "single": pa.binary(), "many": pa.binary(), "often": pa.binary(), "runs": pa.binary()})
 
     def shared_anchors(key, table):
+        """For each group: its anchors that others have too (if it has them in one document only), and those to deal on, with the level."""
         bucket = U64(key[0].as_py())
-        p, single, many = (table.column(c).to_pylist() for c in ("p", "single", "many"))
-        ones = [np.frombuffer(x, "<u4") for x in single]
-        more = [np.frombuffer(x, "<u4") for x in many]
-        # once in every group that has it; those that a group has in several documents count twice
-        _, inverse, n = np.unique(np.concatenate([*ones, *more, *more]), return_inverse=True, return_counts=True)
-        shared = n[inverse] > 1
-        out, at = [], 0
-        for q, one in zip(p, ones):
-            hit = one[shared[at : at + len(one)]]
-            at += len(one)
-            if len(hit):
-                out.append((q, ((bucket << U64(32)) | hit.astype(U64)).astype("<u8").tobytes()))
-        return pb(list(zip(*out)) or [[], []], {"p": pa.int64(), "anchors": pa.binary()})
+        p, *lists = (table.column(c).to_pylist() for c in ("p", "single", "many", "often", "runs"))
+        ones, more, often, runs = ([np.frombuffer(x, "<u4") for x in of] for of in lists)
+        all_ = np.concatenate([*ones, *more])
+        low, inverse = np.unique(all_, return_inverse=True)
+        weight = np.bincount(inverse, minlength=len(low))
+        # those that a group has in several documents count twice
+        shared = weight + np.bincount(inverse[sum(map(len, ones)) :], minlength=len(low)) > 1
+        total = weight + np.bincount(np.searchsorted(low, np.concatenate(often)), np.concatenate(runs).astype(np.float64) - 1, len(low)).astype(np.int64)
+        level = np.searchsorted(RUNS, total).astype(np.uint8)
+        out = []
+        for q, one, many in zip(p, ones, more):
+            i, j = np.searchsorted(low, one), np.searchsorted(low, many)
+            at = np.concatenate([i[shared[i]], j[level[j] > 0]])
+            if len(at):
+                out.append((q, ((bucket << U64(32)) | low[at].astype(U64)).astype("<u8").tobytes(), level[at].tobytes()))
+        return pb(list(zip(*out)) or [[], [], []], {"p": pa.int64(), "anchors": pa.binary(), "level": pa.binary()})
+
+    def dealt_on(b, v, first, n, place, level):
+        """Runs of an anchor cut by its place in the window: key, first window, windows, (no place), answered.
+
+        Windows with the anchor at offsets j * width to (j + 1) * width - 1 have in common the string from the last one's
+        beginning to the first one's end, of length - width + 1 bytes; its hash is the key."""
+        width = -(-(length - k + 1) // (1 << level)) if level < len(RUNS) else 1
+        lowest, highest = place - first - n + 1, place - first  # offsets of the anchor in the run's windows
+        pieces = highest // width - lowest // width + 1
+        of = np.repeat(np.arange(len(v)), pieces)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + (lowest // width)[of]
+        least, most = np.maximum(j * width, lowest[of]), np.minimum((j + 1) * width - 1, highest[of])
+        start = place[of] - most
+        common = place[of] - j * width
+        common_end = place[of] - ((j + 1) * width - 1) + length
+        h = mix(b.hash(common, common_end) + U64(level) * U64(0x9E3779B97F4A7C15) + j.astype(U64))
+        return h >> to_low, start, most - least + 1, None, np.ones(len(of), bool)
 
     def contexts(key, left, right):
         p = key[0].as_py()
         _, ids, texts = group_rows(left)
-        known = np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("anchors").to_pylist())]))
-        got, docs_, anchors = [], [], []
+        known = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("anchors").to_pylist())])
+        level_of = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in right.column("level").to_pylist())])
+        by = np.argsort(known)
+        known, level_of = np.append(known[by], U64(2**64 - 1)), np.append(level_of[by], np.uint8(0))
+        got, docs_, anchors, told = [], [], [], []
         for i, b in blocks(texts):
             v, first, n, place = b.anchors(length, k, True)
-            anchors.append(v >> to_low)
-            doc = np.searchsorted(b.starts, first, "right") - 1
-            r = np.zeros(len(first), CONTEXT)
-            r["low"] = anchors[-1] & U64(0xFFFFFFFF)
-            r["ctx"] = b.hash(first, first + n + length - 1) >> U64(32)
-            r["at"], r["n"] = first - b.starts[doc], n
-            # every window holds the anchor and half bytes before it, or the anchor and the other half after it
-            lo, hi = place - half, place + length - half
-            has_l, has_r = first <= lo, (first + n - 1 >= lo) & (hi <= b.n)
-            for name, ok, x, y in (("hl", has_l, lo, place + k), ("hr", has_r, place, hi)):
-                r[name][ok] = (b.hash(x[ok], y[ok]) >> U64(48)) | U64(1)
-            got.append(r)
-            docs_.append(i + doc)
+            anchor = v >> to_low
+            at = np.searchsorted(known, anchor)
+            answered = known[at] == anchor
+            level = np.where(answered, level_of[at], 0)
+            plain = level == 0
+            parts_ = [(anchor[plain], first[plain], n[plain], place[plain], answered[plain], np.zeros(int(plain.sum()), np.uint8))]
+            parts_ += [(*dealt_on(b, v[level == x], first[level == x], n[level == x], place[level == x], x), x) for x in np.unique(level[~plain]).tolist()]
+            for anchor, first, n, place, answered, level in parts_:
+                doc = np.searchsorted(b.starts, first, "right") - 1
+                r = np.zeros(len(first), CONTEXT)
+                r["low"] = anchor & U64(0xFFFFFFFF)
+                r["ctx"] = b.hash(first, first + n + length - 1) >> U64(32)
+                r["at"], r["n"] = first - b.starts[doc], n
+                if place is not None:
+                    # every window holds the anchor and half bytes before it, or the anchor and the other half after it
+                    lo, hi = place - half, place + length - half
+                    has_l, has_r = first <= lo, (first + n - 1 >= lo) & (hi <= b.n)
+                    for name, ok, x, y in (("hl", has_l, lo, place + k), ("hr", has_r, place, hi)):
+                        r[name][ok] = (b.hash(x[ok], y[ok]) >> U64(48)) | U64(1)
+                elif level < len(RUNS):  # all contexts of a part have a string in common; a single window is known by its hash
+                    r["hl"] = 1
+                got.append(r)
+                docs_.append(i + doc)
+                anchors.append(anchor)
+                told.append(answered)
         r = np.concatenate(got or [np.zeros(0, CONTEXT)])
         doc = np.concatenate(docs_ or [np.zeros(0, np.int64)])
         anchor = np.concatenate(anchors or [np.zeros(0, U64)])
@@ -318,7 +362,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             first = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
             d = ids[doc][order]
             local = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(d))))
-            keep = np.isin(anchor, known)
+            keep = np.concatenate(told)
             keep[order] |= local
             r, doc, anchor = r[keep], doc[keep], anchor[keep]
         if len(r):
@@ -462,8 +506,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                         ["doc_id", *types, *(f"carry_{i}" for i in range(len(extra)))])
 
     g = groups.groupBy("p")
-    sent = g.applyInArrow(anchor_sets, "bucket long, p long, single binary, many binary")
-    shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "p long, anchors binary")
+    sent = g.applyInArrow(anchor_sets, "bucket long, p long, single binary, many binary, often binary, runs binary")
+    shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "p long, anchors binary, level binary")
     found = g.cogroup(shared.groupBy("p")).applyInArrow(contexts, "bucket long, p long, r binary, doc binary, id binary, own binary").repartition(parts, "bucket")
     asked = found.groupBy("bucket").applyInArrow(ask, "p long, bucket long, a binary")
     given = g.cogroup(asked.groupBy("p")).applyInArrow(answer, "bucket long, cls binary, bytes binary")

@@ -47,9 +47,30 @@ def test_random_overlaps(docs_of, seed):
         m.setattr(suffix, "TRANSFORM_BYTES", 100)
         m.setattr(suffix, "WINDOWS", 7)
         assert ours(docs_of(rows)) == want(rows)
+    for runs in ((1, 2, 4, 8, 16), (0, 100, 100, 100, 100), (0, 0, 5, 50, 100), (0, 0, 0, 2, 30), (0, 0, 0, 0, 9), (0, 0, 0, 0, 0)):
+        with pytest.MonkeyPatch.context() as m:  # frequent anchors dealt on at every level
+            m.setattr(suffix, "RUNS", runs)
+            assert ours(docs_of(rows), group_bytes=2000, bucket_bytes=4000) == want(rows)
     assert ours(docs_of(rows)) == want(rows)
 
 
+def test_common_sentence_and_blanks(docs_of):
+    """An anchor in every document, with other text around it."""
+    r = random.Random(4)
+    sentence = "a sentence that stands in each of the many documents of this table"
+    rows = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 40))) + r.choice([sentence, " " * 45, sentence + " " * 30]) + "".join(r.choice("abcd ") for _ in range(r.randrange(0, 40)))) for i in range(900)]
+    assert ours(docs_of(rows), group_bytes=4000) == want(rows)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix, "RUNS", (20, 60, 200, 400, 700))
+        assert ours(docs_of(rows), group_bytes=4000) == want(rows)
+
+
+def test_ill_formed_text(spark):
+    df = spark.createDataFrame([(1, b"ab\xffcd" * 20), (2, b"x" + b"ab\xffcd" * 20), (3, b"\xff" * 70)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) AS text")
+    by = {r.doc_id: r for r in suffix.spans(df).collect()}
+    assert (by[1].n_removed, by[2].n_removed, by[2].n_bytes, by[3].n_bytes) == (0, 140, 141, 210)
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
