@@ -10,10 +10,11 @@ them), then by hash.
    of shingles that no other class has) with each of the others. Two sets of n and m shingles, u and v of which no
    other class has, overlap in min(n - u, m - v) at most. Their numbers of shingles in SKETCH vertical fragments bound
    it too: the sum of the differences is at most the symmetric difference. Pairs that this rules out are not verified.
-3. Verification. The order's hash range is cut into FRAGMENTS vertical fragments. The overlap of a proposed pair is
-   counted in each fragment on its own, and the counts are summed per pair.
+3. Verification. The global order is cut into vertical fragments at CUTS. The overlap of a proposed pair is counted in
+   each fragment on its own, and the counts are summed per pair. (Shingles that no other class has count nowhere.)
 4. Linked classes get components. Where a shingle's classes still lie in several components, all pairs across
-   components that the bound allows are proposed and verified, so no link is lost. Then components are final.
+   components that the bound allows are proposed and verified, so no link is lost. The classes of a long list are
+   compared in tiles of TILE by TILE, each pair of tiles in a task of its own. Then components are final.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; a null id counts as the largest id (its component_id is null where no
@@ -34,7 +35,10 @@ from gridlake.llm.common import NULL_ID, connected_components, cut, folded, free
 from gridlake.llm.suffix import Block, by_bucket, mix, pb
 
 U64 = np.uint64
-FRAGMENTS = 8
+#: Where the global order is cut: the first logarithm of a count in each further fragment.
+CUTS = (2, 3, 4, 6, 9)
+#: Classes of a list that are compared in one piece.
+TILE = 512
 #: Fragments in which shingles are only counted, to rule out pairs. Counts stop at 255, which can only loosen the bound.
 SKETCH = 256
 GROUP_BYTES = 4 << 20
@@ -185,10 +189,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 continue
             tokens.append(s[first])
             owner.append(np.full(len(first), i, "<u4"))
-            f = (s >> U64(61)).astype(np.int64)
-            edge = np.searchsorted(f, np.arange(FRAGMENTS + 1))
-            for k in range(FRAGMENTS):
-                out.append((None, p, None, None, keys[i][0], keys[i][1], n, k, pack48(s[edge[k] : edge[k + 1]])))
+            fragment = np.searchsorted(CUTS, lg, "right")
+            for k in np.unique(fragment[lg > 0]).tolist():
+                out.append((None, p, None, None, keys[i][0], keys[i][1], n, k, pack48(s[(fragment == k) & (lg > 0)])))
         if tokens:
             tokens, owner = np.concatenate(tokens), np.concatenate(owner)
             about = np.stack([np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8"), alone], 1)
@@ -261,47 +264,75 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         centre = np.repeat(centres(keys, doc, first, last), last - first)
         return rows_of(keys, sketch, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
 
-    def allowed(keys, sketch, i, others):
-        """Which others may link with class i, by the bounds on the overlap."""
-        most = bound(keys, sketch, np.full(len(others), i), others)
-        return 100 * most >= percent * (keys[i, 2] + keys[others, 2] - most)
-
     def across(key, table, open_pairs):
-        """All pairs across components that the bound allows, in lists whose centre is not linked with every member."""
-        if not open_pairs.num_rows or not table.num_rows:
-            return rows_of(np.zeros((0, 4), np.int64), np.zeros((0, SKETCH), np.uint8), [], 0)
-        keys, sketch, doc, first, last = by_shingle(table)
-        number = {(int(a), int(b)): i for i, (a, b) in enumerate(keys[:, :2].tolist())}
-        away: dict[tuple[int, int], tuple] = {}  # (centre, class) -> component
-        for r in open_pairs.to_pylist():
-            a, b = number.get((r["a_id"], r["a_th"])), number.get((r["b_id"], r["b_th"]))
-            if a is not None and b is not None:
-                away[a, b], away[b, a] = (r["c_id"], r["c_th"]), (r["d_id"], r["d_th"])
-        lists_of: dict[int, list[tuple[int, int, int]]] = {}
-        comp: dict[int, tuple] = {}
-        for a, z, c in zip(first.tolist(), last.tolist(), centres(keys, doc, first, last).tolist()):
-            for x in doc[a:z].tolist():
-                if (c, x) in away:
-                    lists_of.setdefault(x, []).append((a, z, c))
-                    comp[x] = away[c, x]
-                    comp[c] = away[x, c]
-        got = []
-        for x, where in lists_of.items():
-            # members that are not named here lie in their centre's component
-            for c in {c for _, _, c in where}:
-                others = np.unique(np.concatenate([doc[a:z] for a, z, k in where if k == c]))
-                others = others[(others != x) & allowed(keys, sketch, x, others)]
-                others = others[[comp.get(y, comp[c]) != comp[x] for y in others.tolist()]]
-                if len(others):
-                    got.append(np.stack([np.full(len(others), x), others], 1))
-        return rows_of(keys, sketch, np.concatenate(got) if got else [], key[0].as_py())
+        """Lists of classes that lie in several components: pairs across components that the bound allows, of a long list tiles."""
+        bucket = key[0].as_py()
+        none = rows_of(np.zeros((0, 4), np.int64), np.zeros((0, SKETCH), np.uint8), [], 0)
+        pairs, tiles = [np.zeros((0, 2), np.int64)], []
+        if open_pairs.num_rows and table.num_rows:
+            keys, sketch, doc, first, last = by_shingle(table)
+            m = len(keys)
+            number = {k: i for i, k in enumerate(map(tuple, keys[:, :2].tolist()))}
+            col = {c: open_pairs.column(c).to_pylist() for c in open_pairs.schema.names}
+            a, b = (np.array([number[k] for k in zip(col[f"{x}_id"], col[f"{x}_th"])], np.int64) for x in "ab")
+            code = {c: i for i, c in enumerate({*zip(col["c_id"], col["c_th"]), *zip(col["d_id"], col["d_th"])})}
+            of_a, of_b = (np.array([code[c] for c in zip(col[f"{x}_id"], col[f"{x}_th"])], np.int64) for x in "dc")
+            # (centre, class), the component of the class and the centre's; classes not named here lie in their centre's
+            away, at = np.unique(np.concatenate([a * m + b, b * m + a]), return_index=True)
+            its, centres_ = np.concatenate([of_b, of_a])[at], np.concatenate([of_a, of_b])[at]
+            ask = np.repeat(centres(keys, doc, first, last), last - first) * m + doc
+            at = np.minimum(np.searchsorted(away, ask), len(away) - 1)
+            hit = away[at] == ask
+            for i in np.flatnonzero(np.logical_or.reduceat(hit, first)).tolist():
+                l_ = slice(first[i], last[i])
+                who, comp = doc[l_], np.where(hit[l_], its[at[l_]], centres_[at[l_][hit[l_]][0]])
+                if len(who) <= TILE:
+                    x, y = np.triu_indices(len(who), 1)
+                    x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+                    pairs.append(np.stack([who[x], who[y]], 1))
+                    pairs[-1] = pairs[-1][allowed(bound(keys, sketch, *pairs[-1].T), *keys[pairs[-1], 2].T)]
+                else:
+                    for j in range(0, len(who), TILE):
+                        w = who[j : j + TILE]
+                        tiles.append((bucket, int(i), j // TILE, keys[w].astype("<i8").tobytes() + comp[j : j + TILE].astype("<i8").tobytes() + sketch[w].tobytes()))
+            none = rows_of(keys, sketch, np.concatenate(pairs), bucket)
+        tile_types = {"list": pa.int64(), "tile": pa.int64(), "members": pa.binary()}
+        short = none.append_column("list", pa.nulls(len(none), pa.int64())).append_column("tile", pa.nulls(len(none), pa.int64())).append_column("members", pa.nulls(len(none), pa.binary()))
+        long = pa.table([*(pa.nulls(len(tiles), pa.int64()) for _ in pair_columns), *(pa.array(c, t) for c, t in zip(list(zip(*tiles)) or [[]] * 4, [pa.int64(), *tile_types.values()]))], short.schema.names)
+        return pa.concat_tables([short, long])
+
+    def allowed(most, n, m):
+        return 100 * most >= percent * (n + m - most)
+
+    def tiles_compared(batches):
+        """Pairs across components, of two tiles of one list, that the bound allows."""
+
+        def load(x):
+            k = len(x) // (40 + SKETCH)
+            return np.frombuffer(x, "<i8", 4 * k).reshape(k, 4), np.frombuffer(x, "<i8", k, 32 * k), np.frombuffer(x, np.uint8, SKETCH * k, 40 * k).reshape(k, SKETCH)
+
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                (ka, ca, sa), (kb, cb, sb) = load(x), load(y)
+                keys, comp, sketch = np.concatenate([ka, kb]), np.concatenate([ca, cb]), np.concatenate([sa, sb])
+                i, j = np.divmod(np.arange(len(ka) * len(kb)), len(kb))
+                j += len(ka)
+                some = comp[i] != comp[j]
+                i, j = i[some], j[some]
+                swap = (keys[i, 0] > keys[j, 0]) | ((keys[i, 0] == keys[j, 0]) & (keys[i, 1] > keys[j, 1]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                most = bound(keys, sketch, i, j)
+                ok = allowed(most, keys[i, 2], keys[j, 2])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*keys[i[ok], :3].T, *keys[j[ok], :3].T, most[ok])], pair_columns)
 
     once = ["a_id", "a_th", "a_n", "b_id", "b_th", "b_n"]
 
     def overlap(batches):
         for b in batches:
-            x, y = b.column("ha").to_pylist(), b.column("hb").to_pylist()
-            n = [len(np.intersect1d(unpack48(i), unpack48(j), assume_unique=True)) for i, j in zip(x, y)]
+            # shingles of 48 bits under the number of their row, so that one search serves the batch
+            x, y = (np.concatenate([np.zeros(0, U64), *(unpack48(v) | U64(r << 48) for r, v in enumerate(b.column(c).to_pylist()))]) for c in ("ha", "hb"))
+            at = np.searchsorted(x, y)
+            n = np.bincount((y[np.append(x, U64(0))[at] == y] >> U64(48)).astype(np.int64), minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(n, pa.int64())], [*once, "common"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -331,7 +362,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 F.coalesce("d_id", "a_id").alias("d_id"), F.coalesce("d_th", "a_th").alias("d_th"))
         .where("c_id <> d_id or c_th <> d_th"))
     if still.limit(1).count():
-        more = lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema).select(*pair_columns).distinct()
+        opened = cut(lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema + ", list long, tile long, members binary"))
+        tile = opened.where("members is not null").select("bucket", "list", "tile", "members")
+        i, j = tile.select("bucket", "list", F.col("tile").alias("i")), tile.select("bucket", "list", F.col("tile").alias("j"))
+        both = i.join(j, ["bucket", "list"]).where("i <= j").join(tile.withColumnsRenamed({"tile": "i", "members": "x"}), ["bucket", "list", "i"]).join(
+            tile.withColumnsRenamed({"tile": "j", "members": "y"}), ["bucket", "list", "j"]).select("x", "y")
+        pair_types_sql = ", ".join(f"{c} long" for c in pair_columns)
+        more = opened.where("members is null").select(*pair_columns).union(both.mapInArrow(tiles_compared, pair_types_sql)).distinct()
         fresh = cut(more.join(star.select("a_id", "a_th", "b_id", "b_th").distinct(), ["a_id", "a_th", "b_id", "b_th"], "left_anti"))
         found_more = cut(verified(fresh))
         if found_more.limit(1).count():

@@ -71,6 +71,24 @@ def test_chain_that_its_smallest_member_does_not_link(docs_of):
     assert ours(docs_of(rows)) == brute(rows)
 
 
+def test_long_lists_are_compared_in_tiles(docs_of):
+    """Many classes with a common passage in their prefixes, linked in small clusters, some only by way of others."""
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for _ in range(60):
+        base = common + [f"u{r.randrange(10**6)}" for _ in range(r.randrange(2, 60))]
+        for _ in range(r.randrange(1, 4)):
+            w = list(base)
+            for _ in range(r.randrange(0, 4)):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "TILE", 7)
+        assert ours(docs_of(rows)) == brute(rows)
+        assert ours(docs_of(rows), group_bytes=4000, bucket_bytes=8000) == brute(rows)
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert ours(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
