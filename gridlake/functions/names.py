@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,15 @@ def convert_string(s: str):
 def make_unique(df: DataFrame, name: str, order: str, join: str = "-") -> DataFrame:
     """Suffix later occurrences of a label with the next number that gives a free label; nulls stay.
 
-    Labels are dealt by value, so only equal labels meet in a task. A suffixed label that some row has already is
-    skipped, as many times as needed: free numbers are the sequence without the taken ones.
+    Occurrences are counted from positions in a range sort by label and order, so a label on any share of the rows
+    gathers nowhere. A suffixed label that some row has already is skipped, as many times as needed: free numbers are
+    the sequence without the taken ones.
     """
-    w = Window.partitionBy(name).orderBy(order)
-    ranked = df.withColumn("_rank", F.when(F.col(name).isNotNull(), F.row_number().over(w) - 1).otherwise(0))
+    from gridlake.operators.axis import with_positions
+
+    at = with_positions(df.withColumn("_by", F.struct(name, order)), "_by", "_at").drop("_by")
+    first = at.groupBy(F.col(name).alias("_label")).agg(F.min("_at").alias("_first"))
+    ranked = at.join(first, F.col(name) == F.col("_label"), "left").withColumn("_rank", F.when(F.col(name).isNotNull(), F.col("_at") - F.col("_first")).otherwise(0)).drop("_label", "_first", "_at")
     later = ranked.where("_rank > 0").groupBy(F.col(name).alias("_base")).agg(F.max("_rank").alias("_most"))
     # numbers that are taken for a base: labels of the form base + join + number
     suffix = F.regexp_extract(F.col(name), re.escape(join) + r"([1-9]\d{0,17})$", 1)

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.session import materialise
+from gridlake.session import materialise, settings
 
 KEY, NAME, ORD = "_key", "_name", "_ord"
 #: In an axis with new keys, the key that elements know a row by.
@@ -37,12 +39,22 @@ def with_positions(df: DataFrame, order: str = KEY, name: str = ORD) -> DataFram
     """
     local = materialise(df.orderBy(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = local.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row a partition
-    offset, pairs = 0, []
-    for r in sizes:
-        pairs += [F.lit(r["_p"]), F.lit(offset)]
-        offset += r.n
-    start = F.create_map(*pairs)[F.col("_p")] if pairs else F.lit(0)
-    return local.withColumn(name, (start + F.col("_i")).cast("long")).drop("_p", "_i")
+    offsets = list(zip((r["_p"] for r in sizes), accumulate((r.n for r in sizes), initial=0)))
+    starts = df.sparkSession.createDataFrame(offsets, "_p int, _start long")
+    return local.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+
+
+def distinct_values(rows: DataFrame, column: str) -> list:
+    """The distinct values of a category column; more than max_categories raise."""
+    most = settings().max_categories
+    got = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{column!r} has more than {most} values; raise max_categories to allow it")
+    return got
+
+
+#: A slice of so many first rows is taken without sorting all of them.
+HEAD = 10_000
 
 
 @dataclass(frozen=True)
@@ -54,14 +66,26 @@ class Axis:
     #: A pending slice over `df`'s positions, composed without a job.
     window: range | None = None
     _n: int | None = None
+    #: Of a concatenated axis: its label column and each source's label; and the sources that a selection leaves.
+    label: tuple[str, tuple[str, ...]] | None = None
+    sources: tuple[int, ...] | None = None
+    #: The frame whose positions were worked out, and the result: axes over one frame share it.
+    _sorted: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @staticmethod
     def of(df: DataFrame, key: str | Column, name: str | Column | None = None, columns: Iterable[str] | None = None, categories=None) -> Axis:
         """From a table: its key column, its label (the key as text unless given) and its annotation columns."""
         k = F.col(key) if isinstance(key, str) else key
+        if settings().restrict_index_types and name is not None:
+            kind = df.select(F.col(name) if isinstance(name, str) else name).dtypes[0][1]
+            if kind in ("float", "double", "boolean") or kind.startswith(("array", "map", "struct", "binary")):
+                raise TypeError(f"labels are text or whole numbers, not {kind}; cast them, or lift restrict_index_types")
         label = k.cast("string") if name is None else (F.col(name) if isinstance(name, str) else name).cast("string")
         used = [c for c in (key, name) if isinstance(c, str)]
         cols = list(columns) if columns is not None else [c for c in df.columns if c not in used]
+        twice = sorted({c for c in cols if cols.count(c) > 1})
+        if twice:
+            raise ValueError(f"columns occur twice: {twice}")
         clash = [c for c in cols if c in (KEY, NAME)]
         if clash:
             raise ValueError(f"column names are reserved: {clash}")
@@ -83,7 +107,9 @@ class Axis:
             return self.df
         if w.step < 0:
             raise ValueError("a reversed slice has new keys; take() it first")
-        p = with_positions(self.df)
+        if w.start == 0 and w.step == 1 and w.stop <= HEAD:
+            return self.df.orderBy(KEY).limit(w.stop)
+        p = self.all_positions()
         inside = (F.col(ORD) >= w.start) & (F.col(ORD) < w.stop)
         return p.where(inside if w.step == 1 else inside & ((F.col(ORD) - w.start) % w.step == 0)).drop(ORD)
 
@@ -94,8 +120,14 @@ class Axis:
             object.__setattr__(self, "_n", self.df.count())
         return self._n
 
+    def all_positions(self) -> DataFrame:
+        """The frame's rows, before any slice, with positions; sorted once."""
+        if self._sorted.get("of") is not self.df:
+            self._sorted.update(of=self.df, rows=with_positions(self.df))
+        return self._sorted["rows"]
+
     def positions(self) -> DataFrame:
-        return with_positions(self.rows)
+        return self.all_positions() if self.window is None else with_positions(self.rows)
 
     # Selection
     def sliced(self, s: slice) -> Axis:
@@ -104,7 +136,7 @@ class Axis:
         w = base[s]
         if w.step < 0:
             inside = F.col(ORD).between(w[-1], w[0]) & ((F.lit(w.start) - F.col(ORD)) % -w.step == 0) if len(w) else F.lit(False)
-            found = with_positions(self.df).where(inside).withColumn("_new", F.floor((F.lit(w.start) - F.col(ORD)) / -w.step))
+            found = self.all_positions().where(inside).withColumn("_new", F.floor((F.lit(w.start) - F.col(ORD)) / -w.step))
             return self._rekeyed(found.drop(ORD))
         return replace(self, window=w, full=False, _n=None)
 
@@ -118,7 +150,7 @@ class Axis:
         spark = self.df.sparkSession
         base = self.window or range(n)
         want = spark.createDataFrame([(i, base[p]) for i, p in enumerate(positions)], f"_new long, {ORD} long")
-        return self._rekeyed(with_positions(self.df).join(want, ORD).drop(ORD))
+        return self._rekeyed(self.all_positions().join(want, ORD).drop(ORD))
 
     def _rekeyed(self, found: DataFrame) -> Axis:
         kept = [c for c in found.columns if c not in (KEY, "_new", FROM)]
@@ -141,6 +173,17 @@ class Axis:
             raise ValueError(f"labels repeat on this axis, select by position: {sorted({r[NAME] for r in state})}")
         return self._rekeyed(found)
 
+    def reindexed(self, names: list[str | None], fill: dict[str, Any] | None = None) -> Axis:
+        """A row for each label, in that order and new ones too, whose columns are null or filled. Labels must not repeat on the axis."""
+        spark = self.df.sparkSession
+        if self.repeated().limit(1).count():
+            raise ValueError("labels repeat on this axis; make them unique first")
+        want = spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"_new long, {NAME} string")
+        have = self.rows.drop(KEY, FROM).withColumnRenamed(NAME, "_had").withColumn("_hit", F.lit(True))
+        found = want.join(have, F.col(NAME).eqNullSafe(F.col("_had")), "left")
+        cols = [F.when(F.col("_hit").isNull(), F.lit((fill or {}).get(c)).cast(t)).otherwise(F.col(c)).alias(c) for c, t in self.df.select(*self.columns).dtypes]
+        return Axis(found.select(F.col("_new").alias(KEY), NAME, *cols), True, self.categories, None, len(names))
+
     def named(self, name: str) -> Axis:
         """Every row with one label."""
         if self.rows.where(F.col(NAME) == name).limit(1).count() == 0:
@@ -157,7 +200,21 @@ class Axis:
         return self.sliced(slice(at[start][0] if start is not None else None, at[stop][1] + 1 if stop is not None else None, step))
 
     def where(self, condition: Column | str) -> Axis:
-        return Axis(self.rows.where(condition), False, self.categories)
+        left = self._sources_left(condition)
+        rows = self.rows if left is None else self.rows.where(F.col(f"{KEY}.src").isin(*left))
+        return Axis(rows.where(condition), False, self.categories, label=self.label, sources=left)
+
+    def _sources_left(self, condition: Column | str) -> tuple[int, ...] | None:
+        """Sources of a concatenation that a condition on its label alone leaves; others need not be scanned at all."""
+        if self.label is None:
+            return self.sources
+        name, values = self.label
+        table = self.df.sparkSession.createDataFrame(list(enumerate(values)), f"src int, `{name}` string")
+        try:
+            hit = [r.src for r in table.where(condition).select("src").collect()]  # a row a source
+        except AnalysisException:  # it speaks of other columns
+            return self.sources
+        return tuple(i for i in hit if self.sources is None or i in self.sources)
 
     def masked(self, mask: list[bool]) -> Axis:
         if len(mask) != self.count():
@@ -175,6 +232,10 @@ class Axis:
             return self.where(index)
         if isinstance(index, DataFrame):
             return self.matching(index)
+        if hasattr(index, "df") and hasattr(index, "sparse"):  # a matrix of one column: rows with a true (or other than zero) cell
+            return self.matching(index.df.where(F.col("value").cast("boolean")).select("o").distinct())
+        if hasattr(index, "toarray"):  # a sparse mask of one row or column
+            index = index.toarray()
         if hasattr(index, "to_numpy"):
             index = index.to_numpy()
         if hasattr(index, "ravel") and hasattr(index, "dtype"):  # numpy: (n, 1) and (1, n) count as n
@@ -217,13 +278,22 @@ class Axis:
 
     def own(self) -> Axis:
         """This selection as an axis in its own right."""
-        return self if self.full and self.window is None else Axis(self.rows.drop(FROM), True, self.categories)
+        if self.full and self.window is None:
+            return self
+        categories = self.categories
+        if categories and settings().remove_unused_categories:
+            rows = self.rows
+            used = {c: set(distinct_values(rows, c)) for c in categories}
+            categories = {c: Categories(tuple(x for x in v.values if x in used[c]), v.ordered) for c, v in categories.items()}
+        return Axis(self.rows.drop(FROM), True, categories)
 
     # Links from elements to this axis
     def keep(self, element: DataFrame, column: str) -> DataFrame:
         """Rows of an element whose key the axis has, with the axis's own keys."""
         if self.full:
             return element
+        if self.sources is not None and FROM not in self.df.columns:
+            element = element.where(F.col(f"{column}.src").isin(*self.sources))
         if FROM in self.df.columns:
             link = self.rows.select(F.col(FROM).alias(column), F.col(KEY).alias("_to"))
             names = [F.col("_to").alias(c) if c == column else F.col(c) for c in element.columns]
@@ -236,5 +306,5 @@ class Axis:
 
     def used_categories(self, column: str) -> list[str]:
         """Categories that still occur, in category order (the distinct values of one category column)."""
-        used = {r[0] for r in self.rows.select(column).distinct().collect()}
-        return [c for c in self.categories[column].values if c in used] if column in self.categories else sorted(x for x in used if x is not None)
+        used = set(distinct_values(self.rows, column))
+        return [c for c in self.categories[column].values if c in used] if column in self.categories else sorted(used)

@@ -9,9 +9,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from gridlake.functions.names import natural_key
-from gridlake.operators.axis import KEY, NAME, Axis, Categories
+from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
@@ -61,19 +62,35 @@ def concat_axis(axes: list[Axis], join: str, label: str | None, keys: list[str],
     if label:
         cats[label] = Categories(tuple(keys))
     df = _union(parts)
-    return Axis(df.select(KEY, NAME, *(c for c in columns if c != label), *([label] if label else [])), True, cats)
+    return Axis(df.select(KEY, NAME, *(c for c in columns if c != label), *([label] if label else [])), True, cats, label=(label, tuple(keys)) if label else None)
+
+
+def same_labels(a: Axis, b: Axis) -> str | None:
+    """`keys` if two axes have the same labels under the same keys, `order` if they have the same labels in the same order."""
+    x, y = a.rows.select(KEY, NAME), b.rows.select(KEY, NAME)
+    if dict(x.dtypes)[KEY] == dict(y.dtypes)[KEY] and _same_frames(x, y):
+        return "keys"
+    if not _same_frames(x.select(NAME), y.select(NAME)):
+        return None
+    places = a.positions().select(NAME, F.col(ORD).alias("_a")).join(b.positions().select(NAME, F.col(ORD).alias("_b")), NAME)
+    return "order" if not places.where("_a <> _b").limit(1).count() else None
 
 
 def aligned_axis(axes: list[Axis], join: str) -> tuple[Axis, list[DataFrame | None]]:
     """The other axis's labels, and for each input a map from its keys to the new ones (none where they are the same).
 
-    inner: labels that all have, in the first input's order; outer: all labels, sorted unless the inputs share one axis.
+    inner: labels that all have, in the first input's order; outer: all labels, sorted unless the inputs have the same ones in the same order.
     """
     if all(a is axes[0] or a.df is axes[0].df and a.full and axes[0].full for a in axes):
         return Axis(axes[0].rows.select(KEY, NAME), True), [None] * len(axes)
     for a in axes:
         if settings().check_uniqueness and a.repeated().limit(1).count():
             raise ValueError("labels repeat on the axis that is joined; make them unique first")
+    alike = [same_labels(axes[0], a) for a in axes[1:]]
+    if all(x == "keys" for x in alike):
+        return Axis(axes[0].rows.select(KEY, NAME), True), [None] * len(axes)
+    if all(alike):
+        join = "inner"
     names = [a.rows.select(NAME) for a in axes]
     if join == "inner":
         common = reduce(lambda x, y: x.join(y, NAME, "left_semi"), names)
@@ -126,6 +143,27 @@ def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps,
     return Matrix(_union(parts), sparse)
 
 
+def _common_fields(have: list[Aligned | None], join: str) -> list[Aligned | None]:
+    """Ragged arrays of structs with the fields that all have (inner) or any has (outer, null where one lacks it)."""
+    types = [a.df.schema["value"].dataType for a in have if a is not None]
+    if not all(isinstance(t, ArrayType) and isinstance(t.elementType, StructType) for t in types):
+        return have
+    fields = [{f.name: f.dataType for f in t.elementType} for t in types]
+    names = shared_keys(fields) if join == "inner" else union_keys(fields)
+    if all(list(f) == names for f in fields):
+        return have
+    kind = {n: next(f[n] for f in fields if n in f) for n in names}
+
+    def taken(a: Aligned | None) -> Aligned | None:
+        if a is None:
+            return None
+        mine = a.df.schema["value"].dataType.elementType.names
+        one = lambda x: F.struct(*((x[n] if n in mine else F.lit(None).cast(kind[n])).alias(n) for n in names))
+        return replace(a, df=a.df.select(KEY, F.transform("value", one).alias("value")))
+
+    return [taken(a) for a in have]
+
+
 def concat_aligned(slots: list[dict[str, Aligned]], axes: list[Axis], join: str, fill: float | None) -> dict[str, Aligned]:
     out = {}
     for k in shared_keys(slots) if join == "inner" else union_keys(slots):
@@ -134,6 +172,10 @@ def concat_aligned(slots: list[dict[str, Aligned]], axes: list[Axis], join: str,
         fixed = all(w is not None for w in widths)
         if not fixed and any(w is not None for w in widths):
             raise ValueError(f"{k!r} mixes arrays of fixed and of any length")
+        kinds = {a.df.schema["value"].dataType.typeName() for a in have if a is not None}
+        if len(kinds) > 1:
+            raise ValueError(f"{k!r} mixes {' and '.join(sorted(kinds))}")
+        have = have if fixed else _common_fields(have, join)
         width = (min if join == "inner" else max)(widths) if fixed else None
         value = float("nan") if fill is None else fill
         parts = []
@@ -157,16 +199,19 @@ def concat_pairs(slots: list[dict[str, Pairs]], join: str) -> dict[str, Pairs]:
 
 
 def merge_columns(axes: list[Axis], new: Axis, maps, rule: str | Callable | None) -> Axis:
-    """Annotation of the joined axis. Columns are compared after alignment, so a value against a missing label differs."""
+    """Annotation of the joined axis. Columns are compared after alignment, so a value against a missing label differs.
+
+    A callable gets a mapping of names to columns for each input, aligned, and returns one mapping."""
     if rule is None:
         return new
-    if callable(rule):
-        raise TypeError("a callable merges mappings; give it as uns_merge")
     names = [dict.fromkeys(a.columns) for a in axes]
     frames = [_mapped(a.rows.select(KEY, *a.columns), KEY, m) for a, m in zip(axes, maps)]
     table = new.df
     for i, f in enumerate(frames):
         table = table.join(f.select(KEY, *(F.col(c).alias(f"_{i}_{c}") for c in names[i])), KEY, "left")
+    if callable(rule):
+        made = rule([{c: F.col(f"_{i}_{c}") for c in n} for i, n in enumerate(names)])
+        return Axis(table.select(KEY, NAME, *(c.alias(k) for k, c in made.items())), True)
     picked, checks = {}, []
     for c in union_keys(names):
         have = [i for i, n in enumerate(names) if c in n]
@@ -188,12 +233,14 @@ def _same_frames(a: DataFrame, b: DataFrame) -> bool:
 
 
 def merge_elements(slots: list[dict[str, Any]], maps, keys: tuple[str, ...], rule: str | Callable | None) -> dict[str, Any]:
-    """Aligned arrays or graphs of the joined axis, by the same rules."""
+    """Aligned arrays or graphs of the joined axis, by the same rules. A callable gets a mapping for each input, aligned."""
     if rule is None:
         return {}
-    if rule not in RULES:
+    if not callable(rule) and rule not in RULES:
         raise ValueError(f"no merge rule {rule!r}")
     moved = [{k: replace(e, df=reduce(lambda d, c: _mapped(d, c, m), keys, e.df)) for k, e in s.items()} for s, m in zip(slots, maps)]
+    if callable(rule):
+        return dict(rule(moved)) if any(moved) else {}
     out = {}
     for k in union_keys(moved):
         have = [s[k] for s in moved if k in s]

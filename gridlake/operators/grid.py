@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.names import make_unique, natural_key
-from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, with_positions
+from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, distinct_values, with_positions
 from gridlake.operators.element import Aligned, Matrix, Pairs
+from gridlake.operators.merge import equal
 from gridlake.session import settings
 
 
@@ -24,6 +25,14 @@ class Raw:
     var: Axis
     varm: dict[str, Aligned] = field(default_factory=dict)
 
+    def vector(self, obs: Axis, label: str) -> DataFrame:
+        """(_key, _name, value) along obs of one column of the raw matrix; absent cells are 0."""
+        of = self.var.rows.where(F.col(NAME) == label).select(F.col(KEY).alias("v"))
+        if of.limit(1).count() == 0:
+            raise KeyError(label)
+        cells = self.x.df.join(of, "v", "left_semi").select(F.col("o").alias(KEY), "value")
+        return obs.rows.select(KEY, NAME).join(cells, KEY, "left").select(KEY, NAME, F.coalesce("value", F.lit(0)).alias("value"))
+
     def __getitem__(self, index) -> Raw:
         obs, var = unpack(index)
         if obs != slice(None):
@@ -46,6 +55,27 @@ def unpack(index: Any) -> tuple[Any, Any]:
     return (*parts, *[slice(None)] * (2 - len(parts)))
 
 
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """The same columns and the same rows, however often."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    b = b.select(*a.columns)
+    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
+def equal_maps(a: Any, b: Any) -> bool:
+    if isinstance(a, Mapping) and isinstance(b, Mapping):
+        return set(a) == set(b) and all(equal_maps(a[k], b[k]) for k in a)
+    if isinstance(a, DataFrame) and isinstance(b, DataFrame):
+        return same_rows(a, b)
+    return equal(a, b)
+
+
+def drawn(c: Column) -> Column:
+    """A number below 2**60 from a digest of a text: the same wherever and however often it is drawn."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def check_key(key: str) -> str:
     if not isinstance(key, str):
         raise TypeError(f"keys are strings, not {type(key).__name__}")
@@ -180,17 +210,25 @@ class Grid:
         for c, old in axis.categories.items():
             used = axis.used_categories(c)
             cats[c] = Categories(tuple(used), old.ordered)
-            colors = uns.get(f"{c}_colors")
-            if isinstance(colors, list) and len(colors) == len(old.values):
-                uns[f"{c}_colors"] = [x for x, v in zip(colors, old.values) if v in set(used)]
+            uns |= self._colors(c, old.values, used)
         return replace(self, uns=uns, **{side: replace(axis, categories=cats)})
 
+    def _colors(self, column: str, old, used) -> dict[str, list]:
+        """The entries of uns' list of colours that go with the categories used."""
+        colors = self.uns.get(f"{column}_colors")
+        fits = isinstance(colors, list) and len(colors) == len(old)
+        return {f"{column}_colors": [x for x, v in zip(colors, old) if v in set(used)]} if fits else {}
+
     def realised(self) -> Grid:
         """This view as a grid in its own right: axes have just these rows, elements speak of their keys."""
         if self.obs.full and self.var.full:
             return self
         raw = self.raw
-        return replace(self, obs=self.obs.own(), var=self.var.own(), elements=self.layers, obsm_=self.obsm, varm_=self.varm, obsp_=self.obsp, varp_=self.varp,
+        obs, var, uns = self.obs.own(), self.var.own(), dict(self.uns)
+        for old, new in ((self.obs, obs), (self.var, var)):
+            for c in old.categories:
+                uns |= self._colors(c, old.categories[c].values, new.categories[c].values)
+        return replace(self, obs=obs, var=var, uns=uns, elements=self.layers, obsm_=self.obsm, varm_=self.varm, obsp_=self.obsp, varp_=self.varp,
                        raw_=raw and replace(raw, var=raw.var.own()))
 
     copy = realised
@@ -257,6 +295,10 @@ class Grid:
         """Axes and all slots change sides; raw goes."""
         return Grid(self.var, self.obs, {k: m.transposed() for k, m in self.elements.items()}, self.varm_, self.obsm_, self.varp_, self.obsp_, self.uns)
 
+    def reindexed(self, side: str, names: list[str | None], fill: dict[str, Any] | None = None) -> Axis:
+        """An axis for these labels, in order; columns of labels that are new here are null or filled."""
+        return self.axis(side).reindexed(names, fill)
+
     def transpose(self) -> Grid:
         return self.T
 
@@ -269,8 +311,8 @@ class Grid:
         if names is None:
             names = [r[0] for r in self.var.rows.orderBy(KEY).select(NAME).collect()]  # they become columns
         cells = m.df.join(self.var.rows.select(F.col(KEY).alias("v"), F.col(NAME).alias("_var")), "v")
-        wide = cells.groupBy("o").pivot("_var", names).agg(F.first("value"))
-        out = self.obs.rows.select(F.col(KEY), F.col(NAME)).join(wide, F.col(KEY) == F.col("o"), "left").drop("o")
+        wide = cells.select(F.col("o").alias(KEY), "_var", "value").groupBy(KEY).pivot("_var", names).agg(F.first("value"))  # a label may be called o
+        out = self.obs.rows.select(KEY, NAME).join(wide, KEY, "left")
         return out.fillna(0, subset=names) if m.sparse else out
 
     def vector(self, side: str, key: str, layer: str | None = None) -> DataFrame:
@@ -320,7 +362,7 @@ class Grid:
         found = {}
         for i, c in enumerate(text):
             if n[f"d{i}"] < n.n:
-                found[c] = Categories(tuple(sorted((r[0] for r in axis.rows.select(c).where(F.col(c).isNotNull()).distinct().collect()), key=natural_key)))
+                found[c] = Categories(tuple(sorted(distinct_values(axis.rows, c), key=natural_key)))
         return replace(self, **{side: replace(axis, categories={**axis.categories, **found})})
 
     # Chunks
@@ -336,25 +378,60 @@ class Grid:
             yield self[a:z], a, z
 
     def sample_rows(self, n: int = 1000, replace_: bool = True, seed: int = 0) -> Grid:
-        """n random rows: with replacement by drawn positions, without by the smallest random numbers."""
+        """n random rows: with replacement by drawn positions, without by the smallest random numbers. A seed always draws the same."""
         total = self.n_obs
         n = min(n, total)
         spark = self.obs.df.sparkSession
         if replace_:
-            draws = spark.range(n).select(F.col("id").alias("_new"), F.floor(F.rand(seed) * total).cast("long").alias(ORD))
+            draws = spark.range(n).select(F.col("id").alias("_new"), (drawn(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))) % total).alias(ORD))
             return replace(self, obs=self.obs._rekeyed(self.obs.positions().join(draws, ORD).drop(ORD)))
-        picked = self.obs.rows.orderBy(F.xxhash64(F.col(KEY), F.lit(seed)), KEY).limit(n)
+        picked = self.obs.rows.orderBy(drawn(F.concat_ws(":", F.lit(str(seed)), F.to_json(F.struct(KEY)))), KEY).limit(n)
         return replace(self, obs=Axis(picked, False, self.obs.categories))
 
     # Comparison and description
     def equals(self, other: Grid) -> bool:
-        if set(self.elements) != set(other.elements):
+        """The same axes and the same values in every slot, uns and raw included."""
+        slots = ("elements", "obsm_", "varm_", "obsp_", "varp_")
+        if any(set(getattr(self, s)) != set(getattr(other, s)) for s in slots) or (self.raw_ is None) != (other.raw_ is None):
             return False
-        for side in ("obs", "var"):
-            a, b = self.axis(side).rows, other.axis(side).rows
-            if sorted(a.columns) != sorted(b.columns) or a.exceptAll(b.select(*a.columns)).limit(1).count() or b.select(*a.columns).exceptAll(a).limit(1).count():
+        if not all(same_rows(self.axis(s).rows.drop(FROM), other.axis(s).rows.drop(FROM)) for s in ("obs", "var")):
+            return False
+        if not all(self.layer(k).same_as(other.layer(k)) for k in self.elements):
+            return False
+        for s in ("obsm", "varm", "obsp", "varp"):
+            a, b = getattr(self, s), getattr(other, s)
+            if not all(getattr(a[k], "width", None) == getattr(b[k], "width", None) and same_rows(a[k].df, b[k].df) for k in a):
+                return False
+        if self.raw_ is not None:
+            a, b = self.raw, other.raw
+            if set(a.varm) != set(b.varm) or not same_rows(a.var.rows, b.var.rows) or not a.x.same_as(b.x) or not all(same_rows(a.varm[k].df, b.varm[k].df) for k in a.varm):
                 return False
-        return all(self.layer(k).same_as(other.layer(k)) for k in self.elements)
+        return equal_maps(self.uns, other.uns)
+
+    def to_memory(self) -> dict[str, Any]:
+        """Every slot on the driver: pandas frames of the axes and of the elements (matrices as o, v, value). More than max_local_rows rows raise."""
+        most = settings().max_local_rows
+
+        def local(df: DataFrame, what: str):
+            if df.limit(most + 1).count() > most:
+                raise ValueError(f"{what} has more than {most} rows; raise max_local_rows to allow it")
+            return df.toPandas()
+
+        out: dict[str, Any] = {"obs": local(self.obs.rows.orderBy(KEY), "obs"), "var": local(self.var.rows.orderBy(KEY), "var"), "uns": dict(self.uns)}
+        out["layers"] = {k: local(m.df, f"layer {k!r}") for k, m in self.layers.items()}
+        for s in ("obsm", "varm", "obsp", "varp"):
+            out[s] = {k: local(e.df, f"{s}/{k}") for k, e in getattr(self, s).items()}
+        if self.raw_ is not None:
+            out["raw"] = {"X": local(self.raw.x.df, "raw"), "var": local(self.raw.var.rows, "raw var")}
+        return out
+
+    def fold(self, f: Callable[[Any, str, str | None, Any], Any], start: Any) -> Any:
+        """f(so far, slot, key, element) over the axes and every element."""
+        got = f(f(start, "obs", None, self.obs), "var", None, self.var)
+        for s in ("layers", "obsm", "varm", "obsp", "varp"):
+            for k, e in getattr(self, s).items():
+                got = f(got, s, k, e)
+        return got
 
     def __eq__(self, other):
         raise NotImplementedError("== is not defined for grids; use equals()")

@@ -15,6 +15,7 @@ from gridlake.operators.element import Aligned, Matrix, Pairs, from_rows, to_row
 from gridlake.operators.grid import Grid
 from gridlake.operators.merge import merge_maps
 from gridlake.plans.refs import A
+from gridlake.session import materialise
 from gridlake.sources import store, text
 
 QUERIES: dict = {}
@@ -36,8 +37,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder on storage that all executors share."""
-    from gridlake.session import materialise
-
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         materialise(spark.range(1))
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
@@ -57,7 +56,7 @@ def regional(spark: SparkSession, d: str) -> dict[str, Grid]:
     """One grid per region of the supplier: the orders and parts of its lines, quantities."""
     line = table(spark, d, "lineitem")
     home = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
-    sold = line.join(home, "l_suppkey").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("v"), "l_quantity", "n_regionkey")
+    sold = materialise(line.join(home, "l_suppkey").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("v"), "l_quantity", "n_regionkey"))  # joined once for all grids and axes
     out = {}
     for r in range(5):
         mine = sold.where(F.col("n_regionkey") == r)
@@ -276,19 +275,32 @@ _merged("unique", ["p_brand", "p_retailprice", "p_type"])
 _merged("first", ["p_brand", "p_size", "p_retailprice", "p_type"])
 _merged("only", ["p_retailprice"])
 
-UNS = [{"a": 1, "b": {"x": 1, "y": 2}}, {"a": 1, "b": {"x": 1, "y": 3}, "c": 4}, {"a": 1, "b": {"x": 1}}]
+_N = "(SELECT count(*) FROM {})".format
 
 
-@query("""SELECT * FROM (VALUES ('same', 'a=1;b.x=1'), ('unique', 'a=1;b.x=1;c=4'), ('first', 'a=1;b.x=1;b.y=2;c=4'), ('only', 'c=4')) AS t(rule, merged)""")
+@query(f"""SELECT 'same' AS rule, 'by.nation=' || {_N('nation')} || ';n=' || {_N('region')} AS merged
+UNION ALL SELECT 'unique', 'by.nation=' || {_N('nation')} || ';more=' || {_N('part')} || ';n=' || {_N('region')}
+UNION ALL SELECT 'first', 'by.nation=' || {_N('nation')} || ';by.who=' || {_N('supplier')} || ';more=' || {_N('part')} || ';n=' || {_N('region')}
+UNION ALL SELECT 'only', 'more=' || {_N('part')}""")
 def merge_uns(spark, d):
+    n = {t: table(spark, d, t).count() for t in ("region", "nation", "supplier", "customer", "part")}
+    maps = [{"n": n["region"], "by": {"nation": n["nation"], "who": n["supplier"]}}, {"n": n["region"], "by": {"nation": n["nation"], "who": n["customer"]}, "more": n["part"]},
+            {"n": n["region"], "by": {"nation": n["nation"]}}]
     flat = lambda m, p="": [x for k, v in sorted(m.items()) for x in (flat(v, f"{p}{k}.") if isinstance(v, dict) else [f"{p}{k}={v}"])]
-    return spark.createDataFrame([(r, ";".join(flat(merge_maps(UNS, r)))) for r in ("same", "unique", "first", "only")], "rule string, merged string")
+    return spark.createDataFrame([(r, ";".join(flat(merge_maps(maps, r)))) for r in ("same", "unique", "first", "only")], "rule string, merged string")
+
+
+@query("SELECT p_partkey AS v, p_size + 1 AS size, p_brand || '/' || p_brand AS brand FROM part")
+def merge_callable(spark, d):
+    """A rule of one's own: the larger size, both brands."""
+    rule = lambda maps: {"size": F.greatest(*(m["p_size"] for m in maps)), "brand": F.concat_ws("/", maps[0]["p_brand"], maps[1]["p_brand"])}
+    return concat(annotated(spark, d)[:2], merge=rule).var.rows.select(F.col(KEY).alias("v"), "size", "brand")
 
 
 @query("SELECT count(*) AS n, sum(value) AS total FROM " + REGIONAL + " WHERE r = 2")
 def label_filter_pruning(spark, d):
     g = concat(regional(spark, d), join="outer", label="region")
-    return g[F.col("region") == "2"].X.df.where("o.src = 2").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g[F.col("region") == "2"].X.df.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 # Reshape and references
@@ -365,11 +377,16 @@ def ref_layer_column(spark, d):
     return sales(spark, d)[A.resolve("layers.n[:,99]")].select(F.col(KEY).alias("key"), "value")
 
 
-@query("SELECT true AS with_zeros, false AS with_change")
+_SAME = f"""NOT EXISTS (SELECT 1 FROM {SALES} a FULL JOIN ({{}}) b ON a.o = b.o AND a.v = b.v WHERE coalesce(a.value, 0) <> coalesce(b.value, 0))""".format
+
+
+@query(f"""SELECT {_SAME(f"SELECT o, v, value FROM {SALES} UNION ALL SELECT o_orderkey, -1, 0.0 FROM orders")} AS with_zeros,
+  {_SAME(f"SELECT o, v, CASE WHEN o = (SELECT min(l_orderkey) FROM lineitem) THEN value + 1 ELSE value END AS value FROM {SALES}")} AS with_change""")
 def sparse_equal(spark, d):
     a = sales(spark, d).X
     zeros = Matrix(a.df.union(table(spark, d, "orders").select(F.col("o_orderkey"), F.lit(-1).cast("long"), F.lit(0.0))))
-    changed = Matrix(a.df.withColumn("value", F.when(F.col("o") == 7, F.col("value") + 1).otherwise(F.col("value"))))
+    least = table(spark, d, "lineitem").agg(F.min("l_orderkey")).first()[0]
+    changed = Matrix(a.df.withColumn("value", F.when(F.col("o") == least, F.col("value") + 1).otherwise(F.col("value"))))
     return spark.createDataFrame([(a.same_as(zeros), a.same_as(changed))], "with_zeros boolean, with_change boolean")
 
 
@@ -387,7 +404,7 @@ def text_roundtrip(spark, d):
     store.write_csvs(g, path)
     types = [r[0] for r in g.var.rows.select(NAME).collect()]
     lines = spark.read.option("header", True).csv(f"{path}/X")
-    lines.select(F.concat_ws(",", "_name", *types).alias("value")).coalesce(1).write.text(f"{path}/plain")
+    lines.select(F.concat_ws(",", "_name", *types).alias("value")).write.text(f"{path}/plain")
     back = text.read_csv(spark, f"{path}/plain", first_column_names=True)
     name = F.create_map(*(F.lit(x) for i, t in enumerate(types) for x in (i, t)))
     cells = back.X.df.join(back.obs.rows.select(F.col(KEY).alias("o"), F.col(NAME).alias("name")), "o")
@@ -407,9 +424,8 @@ def matrix_market(spark, d):
     path = scratch(spark)
     g = sales(spark, d)
     top = g.X.df.agg(F.max("o"), F.max("v"), F.count("*")).first()
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{top[0]} {top[1]} {top[2]}")], "k int, value string")
-    body = g.X.df.select(F.lit(2).alias("k"), F.concat_ws(" ", "o", "v", "value").alias("value"))
-    head.union(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # one text file is the format
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{top[0]} {top[1]} {top[2]}",)], "value string").coalesce(1)
+    head.union(g.X.df.select(F.concat_ws(" ", "o", "v", "value").alias("value"))).write.text(path)  # the head is the first part file
     return text.read_mtx(spark, path).X.df
 
 
@@ -493,12 +509,84 @@ def subset_by_frame(spark, d):
     return sales(spark, d)[keys].obs.rows.select(F.col(KEY).alias("key"), "o_orderpriority")
 
 
-@query()
+_DRAWN = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)".format
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+t AS (SELECT {_DRAWN("'1:' || k")} AS x FROM range(least(1000, (SELECT count(*) FROM orders))) AS r(k))
+SELECT o_orderkey AS key, o_orderstatus FROM t JOIN p ON t.x % p.n = p.i""")
 def sample_rows(spark, d):
-    return sales(spark, d).sample_rows(1000, replace_=True, seed=1).obs.rows.select(F.col(KEY).alias("key"), "o_orderstatus")
+    rows = sales(spark, d).sample_rows(1000, replace_=True, seed=1).obs.rows
+    return rows.select(F.col("_from").alias("key"), "o_orderstatus")
 
 
-@query()
+@query(f"""SELECT o_orderkey AS key, o_orderstatus FROM orders ORDER BY {_DRAWN("'2:{\"_key\":' || o_orderkey || '}'")}, o_orderkey LIMIT 1000""")
+def sample_rows_once(spark, d):
+    return sales(spark, d).sample_rows(1000, replace_=False, seed=2).obs.rows.select(F.col(KEY).alias("key"), "o_orderstatus")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY {_DRAWN("'3:{\"_key\":' || o_orderkey || '}'")}, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT key, i // 256 AS batch FROM p WHERE i // 256 < n // 256""")
 def shuffled_batches(spark, d):
     g = sales(spark, d)
     return Collection(g).batches(256, shuffle=True, drop_last=True, seed=3).select(F.col(KEY).alias("key"), "batch")
+
+
+@query(f"""SELECT r::INTEGER AS src, o, v, value, r::VARCHAR AS region FROM {REGIONAL} WHERE r IN (1, 3)""")
+def concat_on_disk(spark, d):
+    """Two stored grids become a third, which is read back."""
+    path = scratch(spark)
+    parts = {k: g for k, g in regional(spark, d).items() if k in ("1", "3")}
+    for k, g in parts.items():
+        store.write(g, f"{path}/{k}")
+    store.concat_on_disk(spark, {k: f"{path}/{k}" for k in parts}, f"{path}/both", join="outer", label="region")
+    g = store.read(spark, f"{path}/both")
+    return g.X.df.join(g.obs.rows.select(F.col(KEY).alias("o"), "region"), "o").select(
+        F.col("region").cast("int").alias("src"), F.col("o.key").alias("o"), F.col("v").cast("long").alias("v"), "value", "region")
+
+
+@query("""SELECT b.part, count(*) AS n, sum(b.x) AS total FROM (
+  SELECT 'obs' AS part, o_custkey::DOUBLE AS x FROM orders UNION ALL SELECT 'X', value FROM (SELECT sum(l_quantity) AS value FROM lineitem GROUP BY l_orderkey, l_partkey)
+  UNION ALL SELECT 'price', round(sum(l_extendedprice) * 100) FROM lineitem GROUP BY l_orderkey, l_partkey UNION ALL SELECT 'm', o_custkey::DOUBLE FROM orders) b GROUP BY 1""")
+def append_every_element(spark, d):
+    """A store of half the rows, and the other half appended: axis, layers, aligned array and raw all grow."""
+    path = scratch(spark)
+    g = sales(spark, d)
+    g = g.with_element("obsm", "m", Aligned.of(table(spark, d, "orders"), "o_orderkey", F.array(F.col("o_custkey").cast("double")), 1)).with_raw()
+    one = F.col("o_orderkey") % 2 == 0
+    store.write(g[one], path)
+    store.append(path, g[~one])
+    back = store.read(spark, path)
+    assert back.raw.x.same_as(g.raw.x)
+    total = lambda df, c, n: df.agg(F.count("*").alias("n"), F.sum(F.col(c).cast("double")).alias("total")).select(F.lit(n).alias("part"), "n", "total")
+    return total(back.obs.df, "o_custkey", "obs").union(total(back.X.df, "value", "X")).union(total(back.layer("price").df, "value", "price")).union(total(back.obsm["m"].column(0), "value", "m"))
+
+
+@query("""SELECT t.i AS pos, t.name, coalesce(c_acctbal, -1.0) AS acctbal, CASE WHEN c_custkey IS NULL THEN 'none' ELSE c_mktsegment END AS segment
+FROM (VALUES (0, '7'), (1, 'nobody'), (2, '3'), (3, '100')) AS t(i, name) LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = t.name""")
+def reindexed_axis(spark, d):
+    a = customers(spark, d).reindexed(["7", "nobody", "3", "100"], {"c_acctbal": -1.0, "c_mktsegment": "none"})
+    return a.rows.select(F.col(KEY).cast("int").alias("pos"), F.col(NAME).alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
+
+
+@query(f"SELECT o, v, value FROM {SALES} WHERE o IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)")
+def subset_sparse_mask(spark, d):
+    """A mask that is itself a sparse matrix of one column."""
+    mask = Matrix(table(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o"), F.lit(0).cast("long").alias("v"), F.lit(True).alias("value")).distinct())
+    return sales(spark, d)[mask].X.df
+
+
+@query(f"SELECT o_orderkey AS key, coalesce(value, 0) AS value FROM orders LEFT JOIN (SELECT * FROM {SALES} WHERE v = 17) ON o = o_orderkey WHERE o_orderstatus = 'F'")
+def raw_vector(spark, d):
+    g = sales(spark, d).with_raw()[F.col("o_orderstatus") == "F", F.col("p_size") > 40]
+    return g.raw.vector(g.obs, "17").select(F.col(KEY).alias("key"), "value")
+
+
+@query("""SELECT b AS src, conv_id, count(*) AS turns, count(CASE WHEN b = 0 THEN role END) AS roles FROM conversations, (VALUES (0), (1)) AS t(b) GROUP BY 1, 2""")
+def ragged_fields(spark, d):
+    """Ragged arrays with different fields: outer keeps all of them, null where one lacks it."""
+    c = table(spark, d, "conversations")
+    var = Axis.of_names(spark, ["x"])
+    one = lambda *f: Grid(Axis.of(c.select("conv_id").distinct(), "conv_id"), var, {}, {"t": Aligned.of(c.groupBy("conv_id").agg(F.collect_list(F.struct(*f)).alias("t")), "conv_id", "t")})
+    a = concat([one("turn", "role"), one("turn")], join="outer").obsm_["t"].df
+    return a.select(F.col("_key.src").alias("src"), F.col("_key.key").alias("conv_id"), F.size("value").cast("long").alias("turns"), F.size(F.filter("value", lambda t: t["role"].isNotNull())).cast("long").alias("roles"))

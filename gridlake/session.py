@@ -24,6 +24,9 @@ class Settings:
     check_uniqueness: bool = True
     disallow_slash_in_keys: bool = True
     restrict_index_types: bool = True
+    #: More distinct values than this are not collected for a category column, nor more rows by to_memory().
+    max_categories: int = 100_000
+    max_local_rows: int = 5_000_000
     #: More cells than this are not made when a fill value makes a sparse concatenation dense.
     max_filled_cells: int = 10_000_000_000
 
@@ -55,5 +58,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridlake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridlake-"))
     return df.checkpoint(eager=True)

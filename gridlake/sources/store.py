@@ -170,18 +170,44 @@ def read(spark: SparkSession, path: str, *, elements: list[str] | None = None, o
     return g
 
 
-def append(path: str, g: Grid, layers: list[str | None] = (None,)) -> None:
-    """Append rows to a stored grid; keys must be new. The row axis and the named layers grow."""
+def append(path: str, g: Grid) -> None:
+    """Append rows to a stored grid. Keys must be new, and g must have every element that runs along obs, so that none is left short.
+
+    obs, every layer, obsm, obsp and raw grow; categories that are new are added; var and what belongs to it stay."""
     spark = g.obs.df.sparkSession
-    old = read(spark, path, elements=[])
+    manifest = json.loads(_get_text(spark, f"{path}/manifest.json"))
+    old = read(spark, path)
     if old.obs.df.join(g.obs.rows.select(KEY), KEY, "left_semi").limit(1).count():
         raise ValueError("keys exist already")
     g = g.realised()
-    if g.var.rows.select(KEY).join(old.var.df, KEY, "left_anti").limit(1).count():
-        raise ValueError("columns that the stored grid lacks")
+    for mine, theirs, what in ((g.var, old.var, "columns"), *(((g.raw_.var, old.raw_.var, "raw columns"),) if g.raw_ and old.raw_ else ())):
+        if mine.rows.select(KEY).join(theirs.df, KEY, "left_anti").limit(1).count():
+            raise ValueError(f"{what} that the stored grid lacks")
+    named = lambda x: {"X" if k is None else f"layers/{k}": m for k, m in x.elements.items()} | {f"{s}/{k}": e for s in ("obsm", "obsp") for k, e in getattr(x, s + "_").items()} | ({"raw/X": x.raw_.x} if x.raw_ else {})
+    have, grow = named(g), named(old)
+    if set(have) != set(grow):
+        raise ValueError(f"elements along obs differ: {sorted(set(have) ^ set(grow))}")
+    for where, e in grow.items():
+        if encoding_of(have[where]) != encoding_of(e) or getattr(have[where], "width", None) != getattr(e, "width", None):
+            raise ValueError(f"{where} is of another kind than the stored one")
     write_elem(f"{path}/obs", replace(g.obs, df=g.obs.df.select(*old.obs.df.columns)), "append")
-    for k in layers:
-        write_elem(f"{path}/{'X' if k is None else 'layers/' + k}", g.elements[k], "append")
+    for where, e in have.items():
+        write_elem(f"{path}/{where}", e, "append")
+    stored = manifest["elements"]["obs"].get("categories", {})
+    new = {c: [v for v in cats.values if c in stored and v not in stored[c]["values"]] for c, cats in g.obs.categories.items()}
+    if any(new.values()):
+        for c, values in new.items():
+            if values:
+                stored[c]["values"] += values
+        _put_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=1))
+
+
+def concat_on_disk(spark: SparkSession, paths: list[str] | dict[str, str], out: str, mode: str = "errorifexists", **how) -> None:
+    """Concatenate stored grids into a new store; how: the options of concat(). Cells go from scans to files, none is held."""
+    from gridlake.operators.concat import concat
+
+    grids = {k: read(spark, p) for k, p in paths.items()} if isinstance(paths, dict) else [read(spark, p) for p in paths]
+    write(concat(grids, **how), out, mode)
 
 
 def write_csvs(g: Grid, path: str, layers: bool = True, sep: str = ",") -> list[str]:

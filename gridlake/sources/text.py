@@ -19,6 +19,16 @@ def _fields(line: str, delimiter: str | None) -> list[str]:
     return line.split(delimiter) if delimiter else line.split()
 
 
+#: Where a line stands: by file name, then by its place in the file.
+_AT = "struct(_metadata.file_path AS f, _metadata.file_block_start AS b) AS _file"
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines that are not empty with their number, part files in the order of their names."""
+    at = lines.where("line <> ''").withColumn("_at", F.struct("_file", F.monotonically_increasing_id().alias("i")))
+    return with_positions(at, "_at", "n").drop("_at", "_file")
+
+
 def read_text(spark: SparkSession, path: str, delimiter: str | None = None, first_column_names: bool | None = None) -> Grid:
     """A delimited matrix (plain, .gz or .bz2) as a dense grid.
 
@@ -26,8 +36,7 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, firs
     header if its last field is no number; the first column holds row names if its field is no number. Spark reads
     the rest; the driver sees the leading lines only.
     """
-    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("f")).where("line <> ''")
-    numbered = with_positions(lines.withColumn("_at", F.struct("f", F.monotonically_increasing_id().alias("i"))), "_at", "n").drop("_at", "f")
+    numbered = _numbered(spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.expr(_AT)))
     head: list[tuple[int, str]] = []
     comments: list[str] = []
     size = 64
@@ -96,11 +105,11 @@ def read_umi(spark: SparkSession, path: str) -> Grid:
 
 
 def read_mtx(spark: SparkSession, path: str) -> Grid:
-    """A Matrix Market coordinate file (general or symmetric, real, integer or pattern), or an array file (column by column)."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    """A Matrix Market coordinate file (general or symmetric, real, integer or pattern), or an array file (column by column). It may be cut into part files."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.expr(_AT)).where("line <> ''")
     banner = next((r[0] for r in lines.where(F.col("line").startswith("%%")).limit(1).collect()), "%%MatrixMarket matrix coordinate real general").lower().split()
     data = lines.where(~F.col("line").startswith("%"))
-    at = with_positions(data.withColumn("_i", F.monotonically_increasing_id()), "_i", "n").drop("_i")
+    at = _numbered(data)
     size = at.where("n = 0").first().line.split()
     rows, cols = int(size[0]), int(size[1])
     f = F.split("line", r"\s+")
