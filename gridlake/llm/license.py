@@ -9,8 +9,9 @@ best template at or above the threshold (the first listed of equals).
 A notice may also stand in a unit with other words: behind them on its line, or hard-wrapped, with or without comment
 marks, in a longer paragraph. So where no unit matched, windows of each template's length in words, across lines, are
 compared too; a window starts at a bigram of its template. Of windows that overlap the best one counts (of equals the
-longer, then the first listed). A text is cut into windows only if it holds a word that each match must hold, and only
-for templates of whose bigrams it has enough: both follow from the threshold, and nothing that matches is lost by them.
+longer, then the first listed). A text, and a unit of it, is looked at only if it holds a word that each match must hold,
+and a text is cut into windows only for templates of whose bigrams it has enough: both follow from the threshold, and
+nothing that matches is lost by them.
 
 All of it is done within the row: no shuffle, and one source or one long text does not gather rows.
 
@@ -52,6 +53,13 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CDDL-1.0", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.'),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
 
 
@@ -81,6 +89,10 @@ def words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
+#: Words of all kinds of text: a text is asked for them last.
+COMMON = frozenset("a an and any as at but by for in is it no not of on or that the this to under use with you".split())
+
+
 def needed_words(templates: list[list[str]], percent: int) -> list[str]:
     """Words of which a text must hold one to reach the threshold with any template. A match has at least
     n * percent / (200 - percent) of a template's n bigrams, so at least one of any set of more than the others."""
@@ -88,7 +100,7 @@ def needed_words(templates: list[list[str]], percent: int) -> list[str]:
     for b in templates:
         spare = len(b) - -(-len(b) * percent // (200 - percent)) + 1
         left = set(b)
-        for w in sorted({w for g in b for w in g.split()}, key=lambda w: (-len(w), w)):
+        for w in sorted({w for g in b for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
             if len(b) - len(left) >= spare:
                 break
             out.add(w)
@@ -96,6 +108,14 @@ def needed_words(templates: list[list[str]], percent: int) -> list[str]:
     return sorted(out)
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for whole words, by their first letters."""
+    starts: dict[str, list[str]] = {}
+    for w in words:
+        starts.setdefault(w[0], []).append(w[1:])
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'{x}(?:{"|".join(rest)})' for x, rest in starts.items())})(?![\p{{L}}\p{{N}}])"
+
+
 def _sequence(text: Column) -> Column:
     """All word bigrams of a text, in order."""
     return _let(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x00]+", " ")), " "), lambda w: F.zip_with(
@@ -130,7 +150,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     small = -(-min(len(b) for _, b, _ in rows) * percent // (200 - percent))
     # a unit of fewer than small + 1 words (one blank or mark between two at least) can't match any template
     body = F.coalesce(F.col(text_col), F.lit(""))
-    long_enough = F.filter(units(body), lambda u: F.length(u) >= 2 * small + 1)
+    needed = _any_of(needed_words([b for _, b, _ in rows], percent))
+    may = F.lower(body).rlike(needed)
+    long_enough = F.filter(units(body), lambda u: (F.length(u) >= 2 * small + 1) & F.lower(u).rlike(needed))
 
     def best(b: Column) -> Column:
         d = F.size(b)
@@ -142,11 +164,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     # units that matched give way to a mark that no template has
     mark = F.lit(" \x00 ")
-    hit = lambda u: _let(bigrams(u), best).isNotNull()
+    hit = lambda u: (F.length(u) >= 2 * small + 1) & F.lower(u).rlike(needed) & _let(bigrams(u), best).isNotNull()
     lines = lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda u: F.when(hit(u), mark).otherwise(u)), "\n")
     rest = F.array_join(F.transform(F.split(F.replace(body, F.lit("\x00"), F.lit(" ")), r"\n\s*\n"), lambda p: F.when(F.contains(p, F.lit("\n")) & hit(p), mark).otherwise(lines(p))), "\n")
-    may = F.lower(body).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(needed_words([b for _, b, _ in rows], percent))})(?![\p{{L}}\p{{N}}])")
-    hits = F.concat(hits, F.when(may, _windows(_sequence(rest), known, percent)).otherwise(F.array().cast("array<struct<dice:double,first:int,name:string>>")))
+    found = F.concat(hits, _windows(_sequence(rest), known, percent))
+    hits = F.when(may, found).otherwise(F.array().cast("array<struct<dice:double,first:int,name:string>>"))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), hits.alias("hits")).select(
         "doc_id", F.size("hits").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.col("hits.name"))), ",").alias("licenses"),
