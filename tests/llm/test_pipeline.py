@@ -44,3 +44,16 @@ def test_empty(docs_of, spark):
         docs = f(spark, docs, "")
         assert docs.count() == 0
     assert cp.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_stages_on_odd_rows_and_clashing_columns(odd, spark):
+    """Columns that operators use inside, null ids, repeated rows: every stage but the last gives back the columns it got."""
+    docs = odd.selectExpr("*", "1 AS _id", "2 AS _th", "3 AS _salt", "4 AS p", "'c' AS carry_0", "5 AS component_id", "6 AS bucket").unionByName(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).selectExpr("*", "'k' AS kept", "1 AS g", "'i' AS ids", "1 AS _id", "2 AS _th", "3 AS _salt", "4 AS p", "'c' AS carry_0", "5 AS component_id", "6 AS bucket"))
+    docs = docs.checkpoint()
+    for (_, f), most in zip(cp.STAGES[:-1], (51, 51, 51, 51)):
+        out = f(spark, docs, "").checkpoint()
+        assert out.columns == docs.columns and 0 < out.count() <= most
+        docs = out
+    assert {(r._id, r._th, r._salt, r.p, r.carry_0, r.bucket) for r in docs.collect()} == {(1, 2, 3, 4, "c", 6)}
+    assert cp.STAGES[-1][1](spark, docs, "").count() >= docs.count()
