@@ -3,8 +3,8 @@
 Documents are dealt at random (by a hash of id and text, and of a number where many rows are equal) into groups of
 bounded size, so each group is packed by one task on its own. Within a group, full sequences are cut off long documents first; what remains is placed by
 first-fit decreasing, where a tournament tree over the free room of all bins finds the first bin that fits in
-log time. Then the emptiest bins are cut up to fill the gaps of the others, so a group ends with one padded bin
-at most.
+log time. Bins that this takes beyond the fewest possible are cut up to fill the gaps of the others, so a group has as few
+sequences as can be, and documents are cut no more than that needs.
 
 Defined results: null or empty text is just the closing id; rows with a null or repeated id are packed as
 documents of their own; other columns are ignored; an empty table gives an empty result.
@@ -27,7 +27,7 @@ from gridlake.llm.common import NULL_ID, told_apart
 SEQUENCE = 2048
 END_ID = 1
 #: Bytes of text in a group, on average.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 #: How byte-level tokenizers of this kind cut a text into words (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -109,26 +109,20 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, i
     bins: dict[int, list[tuple[int, int, int]]] = {}
     for n, d, start in rest:
         bins.setdefault(tree.place(n), []).append((d, start, n))
-    # Cut the emptiest bins into the gaps of the fullest.
+    # Bins beyond the fewest possible are cut into the largest gaps of the others.
     order = sorted(bins.values(), key=lambda b: -sum(p[2] for p in b))
-    used = [sum(p[2] for p in b) for b in order]
-    i, j = 0, len(order) - 1
-    while i < j:
-        gap = capacity - used[i]
-        if not gap:
-            i += 1
-            continue
-        if not order[j]:
-            j -= 1
-            continue
-        d, start, n = order[j].pop()
-        take = min(gap, n)
-        order[i].append((d, start, take))
-        used[i] += take
-        used[j] -= take
-        if n > take:
-            order[j].append((d, start + take, n - take))
-    for k, b in enumerate(x for x in order if x):
+    fewest = -(-sum(n for n, _, _ in rest) // capacity)
+    loose, order = [p for b in order[fewest:] for p in b], order[:fewest]
+    room = sorted(((capacity - sum(p[2] for p in b), k) for k, b in enumerate(order)), reverse=True)
+    i = 0
+    for d, start, n in loose:
+        while n:
+            gap, k = room[i]
+            take = min(gap, n)
+            order[k].append((d, start, take))
+            room[i] = gap - take, k
+            start, n, i = start + take, n - take, i + (take == gap)
+    for k, b in enumerate(order):
         at = 0
         for d, start, n in b:
             out.append((d, start, n, n_bins + k, at))
