@@ -12,7 +12,13 @@ class _Namespace:
         self.name, self.make = name, make
 
     def __get__(self, grid, owner=None):
-        return self.make if grid is None else self.make(grid)
+        """The accessor of a grid, made at its first use. Grids are immutable, so it stays right."""
+        if grid is None:
+            return self.make
+        made = grid.__dict__.setdefault("_namespaces", {})
+        if self.name not in made:
+            made[self.name] = self.make(grid)
+        return made[self.name]
 
 
 def register_namespace(name: str):

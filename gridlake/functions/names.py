@@ -57,3 +57,11 @@ def make_unique(df: DataFrame, name: str, order: str, join: str = "-") -> DataFr
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_rank").cast("long"), lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
     new = F.when(F.col("_rank") > 0, F.concat(F.col(name), F.lit(join), free.cast("string"))).otherwise(F.col(name))
     return numbered.withColumn(name, new).drop("_rank", "_taken")
+
+
+def as_structs(df: DataFrame, columns: list[str], name: str = "value") -> DataFrame:
+    """Some columns as one column of structs, in their order and with their types; the others stay."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise KeyError(f"no columns {missing}")
+    return df.select(*(c for c in df.columns if c not in columns), F.struct(*columns).alias(name))

@@ -7,7 +7,7 @@ positions are worked out only when an operation asks for them, and without a one
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from itertools import accumulate
 from typing import Any
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from gridlake.session import materialise, settings
 
 KEY, NAME, ORD = "_key", "_name", "_ord"
+#: Names under which a mapping may hold an axis's labels.
+NAME_KEYS = ("obs_names", "var_names", "row_names", "col_names")
 #: In an axis with new keys, the key that elements know a row by.
 FROM = "_from"
 
@@ -95,6 +97,33 @@ class Axis:
     def of_names(spark, names: list[str | None]) -> Axis:
         return Axis(spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{KEY} long, {NAME} string"), _n=len(names))
 
+    @staticmethod
+    def from_mapping(spark, columns: Mapping[str, Iterable], names: Iterable[str] | None = None) -> Axis:
+        """From columns of values; labels are given, or stand under one of NAME_KEYS, or are the row numbers."""
+        if not isinstance(columns, Mapping):
+            raise TypeError(f"an axis needs named columns, not a {type(columns).__name__}")
+        cols = {c: list(v) for c, v in columns.items()}
+        for k in NAME_KEYS:
+            if k in cols:
+                names = cols.pop(k)
+        sizes = {c: len(v) for c, v in cols.items()}
+        names = [str(x) for x in (names if names is not None else range(next(iter(sizes.values()), 0)))]
+        wrong = {c: n for c, n in sizes.items() if n != len(names)}
+        if wrong:
+            raise ValueError(f"{len(names)} rows, but columns of {wrong}")
+        rows = [tuple(x) for x in zip(range(len(names)), names, *cols.values())]
+        if not rows:
+            return Axis.of_names(spark, [])
+        return Axis(spark.createDataFrame(rows, [KEY, NAME, *cols]), _n=len(names))
+
+    def __getitem__(self, columns: str | list[str]) -> DataFrame:
+        """(_key, _name) and one or several annotation columns."""
+        wanted = [columns] if isinstance(columns, str) else list(columns)
+        missing = [c for c in wanted if c not in self.columns]
+        if missing:
+            raise KeyError(f"no columns {missing}")
+        return self.rows.select(KEY, NAME, *wanted)
+
     @property
     def columns(self) -> list[str]:
         return [c for c in self.df.columns if c not in (KEY, NAME, FROM)]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.operators.axis import KEY, Axis
 
 
+NUMBERS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 @dataclass(frozen=True)
 class Matrix:
     """Cells (o, v, value). In a sparse matrix an absent cell is zero; a dense one has every cell."""
@@ -22,6 +26,43 @@ class Matrix:
         c = lambda x: F.col(x) if isinstance(x, str) else x
         return Matrix(df.select(c(o).alias("o"), c(v).alias("v"), c(value).alias("value")), sparse)
 
+    @staticmethod
+    def coerced(spark: SparkSession, x: Any) -> Matrix:
+        """A matrix from what holds one: cells in a DataFrame (o, v, value), a pandas frame, a numpy array, or a sparse array that knows tocoo().
+
+        Numbers and booleans in two dimensions; anything else is refused."""
+        if isinstance(x, Matrix):
+            return x
+        if isinstance(x, DataFrame):
+            if sorted(x.columns) != ["o", "v", "value"]:
+                raise TypeError(f"cells are o, v and value, not {x.columns}")
+            kind = dict(x.dtypes)["value"]
+            if kind not in NUMBERS and not kind.startswith("decimal"):
+                raise TypeError(f"a matrix holds numbers, not {kind}")
+            return Matrix(x.select("o", "v", "value"))
+        if hasattr(x, "to_numpy"):  # a frame: every column, one common type
+            x = x.to_numpy()
+        if not hasattr(x, "shape") or not hasattr(x, "dtype"):
+            raise TypeError(f"no matrix: {type(x).__name__}")
+        if len(x.shape) != 2:
+            raise ValueError(f"a matrix has two dimensions, not {len(x.shape)}")
+        if x.dtype.kind not in "biuf":
+            raise TypeError(f"a matrix holds numbers, not {x.dtype}")
+        kind = {"b": "boolean", "f": "double"}.get(x.dtype.kind, "long")
+        value = {"boolean": bool, "double": float, "long": int}[kind]
+        sparse = hasattr(x, "tocoo")
+        if sparse:
+            c = x.tocoo()
+            cells = zip(c.row.tolist(), c.col.tolist(), map(value, c.data.tolist()))
+        else:
+            cells = ((i, j, value(v)) for i, row in enumerate(x.tolist()) for j, v in enumerate(row))
+        return Matrix(spark.createDataFrame(list(cells), f"o long, v long, value {kind}"), sparse)
+
+    def axes(self) -> tuple[Axis, Axis]:
+        """Axes of just the keys that cells name."""
+        side = lambda c: Axis.of(self.df.select(c).distinct(), c)
+        return side("o"), side("v")
+
     def view(self, obs: Axis, var: Axis) -> Matrix:
         return replace(self, df=var.keep(obs.keep(self.df, "o"), "v"))
 
@@ -72,6 +113,17 @@ class Aligned:
     def view(self, axis: Axis) -> Aligned:
         return replace(self, df=axis.keep(self.df, KEY))
 
+    def length(self, dim: int = 0) -> int | None:
+        """Rows (0), or how long the values are (1): None where that differs from row to row."""
+        if dim == 0:
+            return self.df.count()
+        if dim != 1:
+            raise IndexError(f"dimension {dim} of two")
+        if self.width is not None:
+            return self.width
+        r = self.df.agg(F.min(F.size("value")).alias("a"), F.max(F.size("value")).alias("z")).first()
+        return r.a if r.a == r.z else None
+
     def column(self, i: int | str) -> DataFrame:
         """(_key, value) of one place (or struct field)."""
         if isinstance(i, int):

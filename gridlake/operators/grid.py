@@ -107,6 +107,23 @@ class Grid:
         m = Matrix(cells, False)
         return Grid(Axis.of(df, key, name, columns=[]), Axis.of_names(df.sparkSession, cols), {None: m.nonzero() if sparse else m})
 
+    @staticmethod
+    def from_matrix(m: Matrix) -> Grid:
+        """A grid from a matrix alone: its axes are the keys that cells name."""
+        return Grid(*m.axes(), {None: m})
+
+    def keys(self, slot: str) -> list[str]:
+        """The names in a slot: columns of obs and var, keys of layers, obsm, varm, obsp, varp and uns."""
+        if slot in ("obs", "var"):
+            return self.axis(slot).columns
+        if slot == "layers":
+            return [k for k in self.elements if k is not None]
+        if slot == "uns":
+            return list(self.uns)
+        if slot not in ("obsm", "varm", "obsp", "varp"):
+            raise ValueError(f"no slot {slot!r}")
+        return list(getattr(self, slot + "_"))
+
     def validate(self) -> Grid:
         """Keys of every element exist on its axes, keys are unique, arrays have their width. Runs jobs."""
         for side, axis in (("obs", self.obs), ("var", self.var)):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.ext import register_namespace
-from gridlake.functions.names import convert_string, natural_key
+from gridlake.functions.names import as_structs, convert_string, natural_key
 from gridlake.operators.axis import KEY, NAME, Axis, Categories
 from gridlake.operators.collection import Collection, chosen, composed
 from gridlake.operators.concat import concat
@@ -341,6 +341,39 @@ def test_more_indexers(g, spark):
         Axis.of(frame.select("k", "name", "name"), "k", columns=["name", "name"])
 
 
+def test_what_a_matrix_or_an_axis_may_be_made_of(spark, g):
+    class Coo:  # stands for a sparse array
+        shape, dtype = (2, 3), np.dtype("f8")
+        row, col, data = np.array([0, 1]), np.array([2, 0]), np.array([1.5, 2.5])
+
+        def tocoo(self):
+            return self
+
+    sparse, dense = Matrix.coerced(spark, Coo()), Matrix.coerced(spark, np.array([[0, 4], [5, 0]]))
+    assert sparse.sparse and sorted(map(tuple, sparse.df.collect())) == [(0, 2, 1.5), (1, 0, 2.5)]
+    assert not dense.sparse and dense.df.count() == 4 and Matrix.coerced(spark, pd.DataFrame({"a": [True], "b": [False]})).df.dtypes[2][1] == "boolean"
+    assert Matrix.coerced(spark, g.X) is g.X or Matrix.coerced(spark, g.X).df is not None
+    for bad, error in ((np.zeros((2, 2, 2)), ValueError), (np.zeros(3), ValueError), (np.array([["a"]]), TypeError), ([[1]], TypeError), (g.obs.df, TypeError), (g.X.df.withColumn("value", F.lit("x")), TypeError)):
+        with pytest.raises(error):
+            Matrix.coerced(spark, bad)
+    alone = Grid.from_matrix(sparse)
+    assert alone.shape == (2, 2) and names(alone.var) == ["0", "2"] and alone.validate() is alone
+    a = Axis.from_mapping(spark, {"obs_names": ["p", "q"], "n": [1, 2]})
+    assert names(a) == ["p", "q"] and a.columns == ["n"] and names(Axis.from_mapping(spark, {"n": [5, 6]})) == ["0", "1"]
+    assert [r.n for r in a["n"].orderBy(KEY).collect()] == [1, 2] and a[["n"]].columns == [KEY, NAME, "n"]
+    for bad, error in ((pd.Series([1]), TypeError), ({"obs_names": ["p"], "n": [1, 2]}, ValueError)):
+        with pytest.raises(error):
+            Axis.from_mapping(spark, bad)
+    with pytest.raises(KeyError):
+        a["m"]
+    rag = Aligned(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], f"{KEY} long, value array<double>"))
+    assert rag.length() == 2 and rag.length(1) is None and Aligned(rag.df.where(f"{KEY} = 1")).length(1) == 2
+    full = g.with_layer("l", g.X).with_uns(u=1)
+    assert [full.keys(s) for s in ("obs", "var", "layers", "obsm", "uns")] == [["t"], ["w"], ["l"], [], ["u"]]
+    s = as_structs(g.obs.df, [NAME, "t"])
+    assert s.columns == [KEY, "value"] and s.orderBy(KEY).first().value.asDict() == {NAME: "a", "t": 0}
+
+
 def test_positions_are_worked_out_once(g, monkeypatch):
     import gridlake.operators.axis as axis
 
@@ -456,7 +489,8 @@ def test_small_functions(spark):
         def cells(self):
             return self.grid.X.df.count()
 
-    assert grid(spark, [[1, 0]], ["a"], ["x", "y"]).counts.cells() == 1
+    one = grid(spark, [[1, 0]], ["a"], ["x", "y"])
+    assert one.counts.cells() == 1 and one.counts is one.counts and one.with_uns(n=1).counts is not one.counts
     with pytest.raises(AttributeError):
         register_namespace("obs")(Counts)
 
