@@ -13,7 +13,7 @@ NULL_ID = 2**63 - 1
 
 #: Rows and bytes in a batch for Python: texts are long, so the default row count would make batches of many MB.
 BATCH_ROWS = 512
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

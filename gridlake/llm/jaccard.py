@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import NULL_ID, connected_components, cut, folded, free_names, shuffle_parts
-from gridlake.llm.suffix import Block, by_bucket, mix, pb
+from gridlake.llm.suffix import BLOCK, Block, by_bucket, mix, pb
 
 U64 = np.uint64
 #: Where the global order is cut: the first logarithm of a count in each further fragment.
@@ -41,7 +41,7 @@ CUTS = (2, 3, 4, 6, 9)
 TILE = 512
 #: Fragments in which shingles are only counted, to rule out pairs. Counts stop at 255, which can only loosen the bound.
 SKETCH = 256
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 24
 
@@ -56,7 +56,7 @@ def shingle_sets(texts: list[str], words: int):
     i = 0
     while i < len(raw):
         j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) <= 1 << 20):
+        while j < len(raw) and (j == i or size + len(raw[j]) <= BLOCK):
             size += len(raw[j])
             j += 1
         block = Block([r + b" " for r in raw[i:j]])

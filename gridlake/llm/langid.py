@@ -42,16 +42,25 @@ _OFFSET = {1: 0, 2: 1 << 8, 3: (1 << 8) + (1 << 16)}
 CODES = (1 << 8) + (1 << 16) + (1 << 24)
 
 
+#: Bytes whose n-grams are sorted at once, and texts scored at once.
+PIECE = 1 << 16
+ROWS = 64
+
+
 def grams(text: str) -> np.ndarray:
     """Distinct codes of the n-grams of a text, sorted."""
-    a = np.frombuffer((" " + _RUNS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    parts = [a + np.uint32(_OFFSET[1])]
-    if len(a) > 1:
-        two = (a[:-1] << np.uint32(8)) | a[1:]
-        parts.append(two + np.uint32(_OFFSET[2]))
-        if len(a) > 2:
-            parts.append(((two[:-1] << np.uint32(8)) | a[2:]) + np.uint32(_OFFSET[3]))
-    return np.unique(np.concatenate(parts))
+    a = np.frombuffer((" " + _RUNS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    found = []
+    for i in range(0, max(1, len(a) - 2), PIECE):
+        one = a[i : i + PIECE + 2].astype(np.uint32)  # two bytes more, so that no n-gram is lost between pieces
+        parts = [one + np.uint32(_OFFSET[1])]
+        if len(one) > 1:
+            two = (one[:-1] << np.uint32(8)) | one[1:]
+            parts.append(two + np.uint32(_OFFSET[2]))
+            if len(one) > 2:
+                parts.append(((two[:-1] << np.uint32(8)) | one[2:]) + np.uint32(_OFFSET[3]))
+        found.append(np.unique(np.concatenate(parts)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def _chosen(labelled: DataFrame, counts: dict[str, int], per_lang: int, seed: int) -> DataFrame:
@@ -66,7 +75,10 @@ class Model:
         self.langs, self.vocab, self.weights = langs, vocab, weights
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """(texts x languages): one batched product."""
+        """(texts x languages): a product for every ROWS texts."""
+        return np.concatenate([self._score(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)])
+
+    def _score(self, texts: list[str]) -> np.ndarray:
         present = np.zeros((len(texts), len(self.vocab)), np.float32)
         norm = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):

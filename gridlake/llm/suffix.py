@@ -45,7 +45,7 @@ MIN_LENGTH = 50
 #: Bytes in an anchor.
 K = 24
 #: Text bytes in a group of documents and behind a bucket, on average.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 60
 #: Text bytes hashed at once.
