@@ -10,11 +10,14 @@ them), then by hash.
    of shingles that no other class has) with each of the others. Two sets of n and m shingles, u and v of which no
    other class has, overlap in min(n - u, m - v) at most. Their numbers of shingles in SKETCH vertical fragments bound
    it too: the sum of the differences is at most the symmetric difference. Pairs that this rules out are not verified.
+   A shingle that more than HOT classes have is dealt by groups of documents into parts of about that many, each with a
+   star of its own in a task of its own, and the parts' centres make one more star.
 3. Verification. The global order is cut into vertical fragments at CUTS. The overlap of a proposed pair is counted in
    each fragment on its own, and the counts are summed per pair. (Shingles that no other class has count nowhere.)
 4. Linked classes get components. Where a shingle's classes still lie in several components, all pairs across
-   components that the bound allows are proposed and verified, so no link is lost. The classes of a long list are
-   compared in tiles of TILE by TILE, each pair of tiles in a task of its own. Then components are final.
+   components that the bound allows are proposed and verified, so no link is lost. The classes of a long list, and of a
+   list in parts, are compared in tiles of TILE by TILE, each pair of tiles in a task of its own, unless both lie in one
+   component. Then components are final.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; a null id counts as the largest id (its component_id is null where no
@@ -39,6 +42,8 @@ U64 = np.uint64
 CUTS = (2, 3, 4, 6, 9)
 #: Classes of a list that are compared in one piece.
 TILE = 512
+#: Classes of a shingle from which on its list is cut into parts (a power of two).
+HOT = 1024
 #: Fragments in which shingles are only counted, to rule out pairs. Counts stop at 255, which can only loosen the bound.
 SKETCH = 256
 GROUP_BYTES = 2 << 20
@@ -129,6 +134,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = max(MIN_BUCKETS, -(-size // bucket_bytes)).bit_length()
     n_buckets = 1 << bits
     to_bucket, to_low = U64(64 - bits), U64(32 - bits)
+    hot_log = HOT.bit_length() - 1
     p_of = lambda a, b: F.pmod(F.xxhash64(a, b, F.lit(3)), F.lit(n_groups))
 
     every = cut(sets_of(docs, words, id_col, text_col))
@@ -175,7 +181,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         answers = {r["bucket"]: r["log"] for r in rows if r["log"] is not None}
         for b, at in by_bucket((h >> to_bucket).astype(np.int64), n_buckets):
             log[at] = np.frombuffer(answers[b], np.uint8)
-        tokens, owner, out = [], [], []
+        tokens, owner, logs_, out = [], [], [], []
         alone = np.zeros(len(sets), "<i8")
         at = 0
         for i, s in enumerate(sets):
@@ -188,15 +194,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if not len(first):
                 continue
             tokens.append(s[first])
+            logs_.append(lg[first])
             owner.append(np.full(len(first), i, "<u4"))
             fragment = np.searchsorted(CUTS, lg, "right")
             for k in np.unique(fragment[lg > 0]).tolist():
                 out.append((None, p, None, None, keys[i][0], keys[i][1], n, k, pack48(s[(fragment == k) & (lg > 0)])))
         if tokens:
-            tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+            tokens, owner, logs_ = np.concatenate(tokens), np.concatenate(owner), np.concatenate(logs_).astype(np.int64)
+            # frequent shingles: this group's part of the list, in a bucket of its own
+            parts_of = np.int64(1) << np.minimum(np.maximum(logs_ - hot_log, 0), 30)
+            place_ = (tokens >> to_bucket).astype(np.int64)
+            place_ += np.where(parts_of > 1, n_buckets * (1 + int(mix(np.array([p], U64))[0] >> U64(33)) % parts_of), 0)
             about = np.stack([np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8"), np.array([len(s) for s in sets], "<i8"), alone], 1)
             sketch = np.stack([np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=SKETCH), 255) for s in sets]).astype(np.uint8)
-            for b, at in by_bucket((tokens >> to_bucket).astype(np.int64), n_buckets):
+            by = np.argsort(place_, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(place_[by]) != 0, [True]]))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                b, at = int(place_[by[a]]), by[a:z]
                 docs_, place = np.unique(owner[at], return_inverse=True)
                 low = ((tokens[at] >> to_low) & U64(0xFFFFFFFF)).astype("<u4")
                 out.append((b, p, low.tobytes() + place.astype("<u4").tobytes(), about[docs_].tobytes() + sketch[docs_].tobytes(), None, None, None, None, None))
@@ -214,7 +228,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = found.where("f is not null").select("_id", "_th", "f", "blob")
 
     def by_shingle(table):
-        """Classes in the order of their keys (id, th, n, u) with their sketches; the lists of classes by shingle, and where each begins and ends."""
+        """Classes in the order of their keys (id, th, n, u) with their sketches; the lists of classes by shingle, where each begins and ends, and the shingle."""
         low, doc, about, sketch, at = [], [], [], [], 0
         for x, y in zip(table.column("low").to_pylist(), table.column("meta").to_pylist()):
             k = len(y) // (32 + SKETCH)
@@ -232,7 +246,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.lexsort((doc, low))
         low, doc = low[order], doc[order]
         edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
-        return about[by_key], sketch[by_key], doc, edge[:-1], edge[1:]
+        return about[by_key], sketch[by_key], doc, edge[:-1], edge[1:], low[edge[:-1]]
 
     pair_columns = [f"{x}_{c}" for x in "ab" for c in ("id", "th", "n")] + ["most"]
     pair_schema = ", ".join(f"{c} long" for c in [*pair_columns, "bucket"])
@@ -260,46 +274,107 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return by_rank[np.minimum.reduceat(rank[doc], first)] if len(first) else first
 
     def stars(key, table):
-        keys, sketch, doc, first, last = by_shingle(table)
-        centre = np.repeat(centres(keys, doc, first, last), last - first)
-        return rows_of(keys, sketch, np.stack([centre, doc], 1)[centre != doc], key[0].as_py())
-
-    def across(key, table, open_pairs):
-        """Lists of classes that lie in several components: pairs across components that the bound allows, of a long list tiles."""
+        """Pairs of each list's centre with its other classes; of parts also the centre itself."""
+        bucket = key[0].as_py()
+        keys, sketch, doc, first, last, low = by_shingle(table)
+        at = centres(keys, doc, first, last)
+        centre = np.repeat(at, last - first)
+        pairs = rows_of(keys, sketch, np.stack([centre, doc], 1)[centre != doc], bucket)
+        heads = [(int(x), keys[i].astype("<i8").tobytes() + sketch[i].tobytes()) for x, i in zip(low.tolist(), at.tolist())] if bucket >= n_buckets else []
+        n = len(heads)
+        own = dict(zip(("a_id", "a_th", "a_n"), keys[at, :3].T)) if n else {}
+        extra = pa.table([*(pa.array(own[c], pa.int64()) if c in own else pa.nulls(n, pa.int64()) for c in pair_columns), pa.array([bucket] * n, pa.int64()), pa.array([x for x, _ in heads], pa.int64()), pa.array([x for _, x in heads], pa.binary())], [*pairs.schema.names, "low", "head"])
+        return pa.concat_tables([pairs.append_column("low", pa.nulls(len(pairs), pa.int64())).append_column("head", pa.nulls(len(pairs), pa.binary())), extra])
+
+    def heads_of(column):
+        raw = [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
+        return np.array([x[:32].view("<i8") for x in raw]).reshape(-1, 4), np.array([x[32:] for x in raw]).reshape(-1, SKETCH)
+
+    def star_of_parts(key, table):
+        """Pairs of the most central of the centres of a list's parts with the others."""
+        keys, sketch = heads_of(table.column("head"))
+        by_key = np.lexsort((keys[:, 1], keys[:, 0]))
+        keys, sketch = keys[by_key], sketch[by_key]
+        new = np.concatenate([[True], (keys[1:, :2] != keys[:-1, :2]).any(1)])  # a class may be the centre of one part only, but rows may repeat
+        keys, sketch = keys[new], sketch[new]
+        centre = np.lexsort((np.arange(len(keys)), keys[:, 3] / keys[:, 2]))[0]
+        others = np.flatnonzero(np.arange(len(keys)) != centre)
+        return rows_of(keys, sketch, np.stack([np.full(len(others), centre), others], 1), -1)
+
+    def code_of(id_, th):
+        """A component as one number."""
+        return mix(np.asarray(id_, np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + np.asarray(th, np.int64).view(U64)).view(np.int64)
+
+    def placed(table, told):
+        """The lists of a bucket, and the component of each class in each list (None if all lists lie in one component each).
+
+        told: open pairs (centre and class of a list, and their components), and of parts the centre's component."""
+        keys, sketch, doc, first, last, low = by_shingle(table)
+        m = len(keys)
+        number = {k: i for i, k in enumerate(map(tuple, keys[:, :2].tolist()))}
+        col = {c: told.column(c).to_pylist() for c in told.schema.names}
+        pairs = [i for i, x in enumerate(col["b_id"]) if x is not None]
+        heads = [i for i, x in enumerate(col["b_id"]) if x is None and col["low"][i] is not None]
+        pick = lambda c, rows: np.array([col[c][i] for i in rows], np.int64)
+        a, b = (np.array([number[col[f"{x}_id"][i], col[f"{x}_th"][i]] for i in pairs], np.int64) for x in "ab")
+        of_a, of_b = code_of(pick("d_id", pairs), pick("d_th", pairs)), code_of(pick("c_id", pairs), pick("c_th", pairs))
+        # (centre, class), the component of the class and the centre's; classes not named here lie in their centre's
+        away, at = np.unique(np.concatenate([a * m + b, b * m + a]), return_index=True)
+        its, centre_of = np.concatenate([of_b, of_a])[at], np.concatenate([of_a, of_b])[at]
+        size = last - first
+        ask = np.repeat(centres(keys, doc, first, last), size) * m + doc
+        at = np.minimum(np.searchsorted(away, ask), max(0, len(away) - 1))
+        hit = away[at] == ask if len(away) else np.zeros(len(ask), bool)
+        centre = np.zeros(len(first), np.int64)
+        known = np.zeros(len(first), bool)
+        some = np.logical_or.reduceat(hit, first)
+        for i in np.flatnonzero(some).tolist():
+            l_ = slice(first[i], last[i])
+            centre[i], known[i] = centre_of[at[l_][hit[l_]][0]], True
+        if heads:
+            where = np.searchsorted(low, pick("low", heads))
+            centre[where], known[where] = code_of(pick("c_id", heads), pick("c_th", heads)), True
+        comp = np.repeat(centre, size)
+        comp[hit] = its[at[hit]]
+        return keys, sketch, doc, first, last, low, comp, some, known
+
+    def reach_of_parts(key, table, told):
+        """Least and greatest component of each part of a list."""
+        if not table.num_rows or not told.num_rows:
+            return pb([[]] * 4, {"bucket": pa.int64(), "low": pa.int64(), "lo": pa.int64(), "hi": pa.int64()})
+        _, _, _, first, _, low, comp, _, known = placed(table, told)
+        at = np.flatnonzero(known)
+        lo, hi = np.minimum.reduceat(comp, first)[at], np.maximum.reduceat(comp, first)[at]
+        return pb([np.full(len(at), key[0].as_py()), low[at].astype(np.int64), lo, hi], {"bucket": pa.int64(), "low": pa.int64(), "lo": pa.int64(), "hi": pa.int64()})
+
+    def across(key, table, told):
+        """Lists of classes that lie in several components: pairs across components that the bound allows, of a long list or a part tiles."""
         bucket = key[0].as_py()
-        none = rows_of(np.zeros((0, 4), np.int64), np.zeros((0, SKETCH), np.uint8), [], 0)
+        done = rows_of(np.zeros((0, 4), np.int64), np.zeros((0, SKETCH), np.uint8), [], 0)
         pairs, tiles = [np.zeros((0, 2), np.int64)], []
-        if open_pairs.num_rows and table.num_rows:
-            keys, sketch, doc, first, last = by_shingle(table)
-            m = len(keys)
-            number = {k: i for i, k in enumerate(map(tuple, keys[:, :2].tolist()))}
-            col = {c: open_pairs.column(c).to_pylist() for c in open_pairs.schema.names}
-            a, b = (np.array([number[k] for k in zip(col[f"{x}_id"], col[f"{x}_th"])], np.int64) for x in "ab")
-            code = {c: i for i, c in enumerate({*zip(col["c_id"], col["c_th"]), *zip(col["d_id"], col["d_th"])})}
-            of_a, of_b = (np.array([code[c] for c in zip(col[f"{x}_id"], col[f"{x}_th"])], np.int64) for x in "dc")
-            # (centre, class), the component of the class and the centre's; classes not named here lie in their centre's
-            away, at = np.unique(np.concatenate([a * m + b, b * m + a]), return_index=True)
-            its, centres_ = np.concatenate([of_b, of_a])[at], np.concatenate([of_a, of_b])[at]
-            ask = np.repeat(centres(keys, doc, first, last), last - first) * m + doc
-            at = np.minimum(np.searchsorted(away, ask), len(away) - 1)
-            hit = away[at] == ask
-            for i in np.flatnonzero(np.logical_or.reduceat(hit, first)).tolist():
-                l_ = slice(first[i], last[i])
-                who, comp = doc[l_], np.where(hit[l_], its[at[l_]], centres_[at[l_][hit[l_]][0]])
-                if len(who) <= TILE:
+        if told.num_rows and table.num_rows:
+            keys, sketch, doc, first, last, low, comp, some, known = placed(table, told)
+            if bucket >= n_buckets:
+                open_ = {x for x, y in zip(told.column("low").to_pylist(), told.column("open").to_pylist()) if y}
+                some = known & np.array([x in open_ for x in low.tolist()], bool)
+            for i in np.flatnonzero(some).tolist():
+                who, its = doc[first[i] : last[i]], comp[first[i] : last[i]]
+                if len(who) <= TILE and bucket < n_buckets:
                     x, y = np.triu_indices(len(who), 1)
-                    x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+                    x, y = x[its[x] != its[y]], y[its[x] != its[y]]
                     pairs.append(np.stack([who[x], who[y]], 1))
                     pairs[-1] = pairs[-1][allowed(bound(keys, sketch, *pairs[-1].T), *keys[pairs[-1], 2].T)]
                 else:
+                    by = np.argsort(its, kind="stable")
                     for j in range(0, len(who), TILE):
-                        w = who[j : j + TILE]
-                        tiles.append((bucket, int(i), j // TILE, keys[w].astype("<i8").tobytes() + comp[j : j + TILE].astype("<i8").tobytes() + sketch[w].tobytes()))
-            none = rows_of(keys, sketch, np.concatenate(pairs), bucket)
-        tile_types = {"list": pa.int64(), "tile": pa.int64(), "members": pa.binary()}
-        short = none.append_column("list", pa.nulls(len(none), pa.int64())).append_column("tile", pa.nulls(len(none), pa.int64())).append_column("members", pa.nulls(len(none), pa.binary()))
-        long = pa.table([*(pa.nulls(len(tiles), pa.int64()) for _ in pair_columns), *(pa.array(c, t) for c, t in zip(list(zip(*tiles)) or [[]] * 4, [pa.int64(), *tile_types.values()]))], short.schema.names)
-        return pa.concat_tables([short, long])
+                        w, c = who[by[j : j + TILE]], its[by[j : j + TILE]]
+                        tiles.append((bucket % n_buckets, int(low[i]), bucket // n_buckets << 32 | j // TILE, int(c[0]), int(c[-1]), keys[w].astype("<i8").tobytes() + c.astype("<i8").tobytes() + sketch[w].tobytes()))
+            done = rows_of(keys, sketch, np.concatenate(pairs), bucket)
+        types = {"list": pa.int64(), "tile": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "members": pa.binary()}
+        for c, t in types.items():
+            done = done.append_column(c, pa.nulls(len(done), t))
+        long = pa.table([*(pa.nulls(len(tiles), pa.int64()) for _ in pair_columns), *(pa.array(c, t) for c, t in zip(list(zip(*tiles)) or [[]] * 6, [pa.int64(), *types.values()]))], done.schema.names)
+        return pa.concat_tables([done, long])
 
     def allowed(most, n, m):
         return 100 * most >= percent * (n + m - most)
@@ -350,8 +425,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edges = links.select(F.struct(F.col("a_id").alias("_id"), F.col("a_th").alias("_th")).alias("a"), F.struct(F.col("b_id").alias("_id"), F.col("b_th").alias("_th")).alias("b"))
         return connected_components(edges)
 
-    star = lists.groupBy("bucket").applyInArrow(stars, pair_schema)
-    links = cut(verified(star.select(*pair_columns).distinct()))
+    starred = cut(lists.groupBy("bucket").applyInArrow(stars, pair_schema + ", low long, head binary"))
+    heads = starred.where("head is not null").select("bucket", F.pmod("bucket", F.lit(n_buckets)).alias("main"), "low", "head", F.col("a_id").alias("b_id"), F.col("a_th").alias("b_th"))
+    star = starred.where("head is null").select(*pair_columns, "bucket")
+    parted = heads.limit(1).count() > 0
+    proposed = star.select(*pair_columns)
+    if parted:
+        proposed = proposed.union(heads.groupBy("main", "low").applyInArrow(star_of_parts, pair_schema).select(*pair_columns))
+    proposed = cut(proposed.distinct())
+    links = cut(verified(proposed))
     label = labelled(links)
     named = label.select(F.col("node._id").alias("k_id"), F.col("node._th").alias("k_th"), F.col("component._id").alias("c_id"), F.col("component._th").alias("c_th"))
     of_a = named.select(F.col("k_id").alias("a_id"), F.col("k_th").alias("a_th"), F.col("c_id").alias("d_id"), F.col("c_th").alias("d_th"))
@@ -360,16 +442,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         star.join(links, ["a_id", "a_th", "b_id", "b_th"], "left_anti").join(of_a, ["a_id", "a_th"], "left").join(of_b, ["b_id", "b_th"], "left")
         .select("bucket", "a_id", "a_th", "b_id", "b_th", F.coalesce("c_id", "b_id").alias("c_id"), F.coalesce("c_th", "b_th").alias("c_th"),
                 F.coalesce("d_id", "a_id").alias("d_id"), F.coalesce("d_th", "a_th").alias("d_th"))
-        .where("c_id <> d_id or c_th <> d_th"))
-    if still.limit(1).count():
-        opened = cut(lists.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(across, pair_schema + ", list long, tile long, members binary"))
-        tile = opened.where("members is not null").select("bucket", "list", "tile", "members")
-        i, j = tile.select("bucket", "list", F.col("tile").alias("i")), tile.select("bucket", "list", F.col("tile").alias("j"))
-        both = i.join(j, ["bucket", "list"]).where("i <= j").join(tile.withColumnsRenamed({"tile": "i", "members": "x"}), ["bucket", "list", "i"]).join(
-            tile.withColumnsRenamed({"tile": "j", "members": "y"}), ["bucket", "list", "j"]).select("x", "y")
-        pair_types_sql = ", ".join(f"{c} long" for c in pair_columns)
-        more = opened.where("members is null").select(*pair_columns).union(both.mapInArrow(tiles_compared, pair_types_sql)).distinct()
-        fresh = cut(more.join(star.select("a_id", "a_th", "b_id", "b_th").distinct(), ["a_id", "a_th", "b_id", "b_th"], "left_anti"))
+        .where("c_id <> d_id or c_th <> d_th").withColumns({"low": F.lit(None).cast("long"), "open": F.lit(False)}))
+    if parted:
+        none_ = F.lit(None).cast("long")
+        centre = heads.select("bucket", "main", "low", "b_id", "b_th").join(of_b, ["b_id", "b_th"], "left").select(
+            "bucket", none_.alias("a_id"), none_.alias("a_th"), none_.alias("b_id"), none_.alias("b_th"), F.coalesce("c_id", "b_id").alias("c_id"), F.coalesce("c_th", "b_th").alias("c_th"),
+            none_.alias("d_id"), none_.alias("d_th"), "low", F.lit(False).alias("open"))
+        told = still.where(F.col("bucket") >= n_buckets).unionByName(centre)
+        reach = lists.where(F.col("bucket") >= n_buckets).groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(reach_of_parts, "bucket long, low long, lo long, hi long")
+        open_ = reach.groupBy(F.pmod("bucket", F.lit(n_buckets)).alias("main"), "low").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("main", "low", F.lit(True).alias("is_open"))
+        told = cut(still.unionByName(
+            centre.withColumn("main", F.pmod("bucket", F.lit(n_buckets))).join(open_, ["main", "low"], "left").withColumn("open", F.coalesce("is_open", F.lit(False))).select(*still.columns)))
+    else:
+        told = still
+    if told.where("open or low is null").limit(1).count():
+        opened = cut(lists.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(across, pair_schema + ", list long, tile long, lo long, hi long, members binary"))
+        tile = opened.where("members is not null").select("bucket", "list", "tile", "lo", "hi", "members")
+        side = lambda x: tile.select("bucket", "list", F.col("tile").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"))
+        both = side("i").join(side("j"), ["bucket", "list"]).where("i <= j and not (i_lo = i_hi and j_lo = j_hi and i_lo = j_lo)").select("bucket", "list", "i", "j")
+        both = both.join(tile.select("bucket", "list", F.col("tile").alias("i"), F.col("members").alias("x")), ["bucket", "list", "i"]).join(
+            tile.select("bucket", "list", F.col("tile").alias("j"), F.col("members").alias("y")), ["bucket", "list", "j"]).select("x", "y")
+        more = opened.where("members is null").select(*pair_columns).union(both.mapInArrow(tiles_compared, ", ".join(f"{c} long" for c in pair_columns))).distinct()
+        fresh = cut(more.join(proposed.select("a_id", "a_th", "b_id", "b_th"), ["a_id", "a_th", "b_id", "b_th"], "left_anti"))
         found_more = cut(verified(fresh))
         if found_more.limit(1).count():
             links = links.union(found_more)

@@ -61,6 +61,10 @@ def test_near_copies_about_the_threshold(docs_of, seed):
     df = docs_of(rows)
     assert ours(df) == brute(rows)
     assert ours(df, group_bytes=4000, bucket_bytes=8000) == brute(rows)
+    with pytest.MonkeyPatch.context() as m:  # lists of more than two, or eight, classes in parts, and tiles of three
+        m.setattr(jaccard, "HOT", 2 + 6 * seed)
+        m.setattr(jaccard, "TILE", 3)
+        assert ours(df, group_bytes=1500, bucket_bytes=8000) == brute(rows)
 
 
 def test_chain_that_its_smallest_member_does_not_link(docs_of):
@@ -86,7 +90,9 @@ def test_long_lists_are_compared_in_tiles(docs_of):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(jaccard, "TILE", 7)
         assert ours(docs_of(rows)) == brute(rows)
-        assert ours(docs_of(rows), group_bytes=4000, bucket_bytes=8000) == brute(rows)
+        for hot in (2, 8, 32):  # and lists in parts
+            m.setattr(jaccard, "HOT", hot)
+            assert ours(docs_of(rows), group_bytes=2000, bucket_bytes=8000) == brute(rows)
 
 
 def test_table(spark):
