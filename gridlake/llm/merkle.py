@@ -268,20 +268,20 @@ def tampered(id_col: str = "doc_id", text_col: str = "text", fields: tuple[str,
     return F.when(hit, leaf(*(lowered(F.col(c)) if c == text_col else F.col(c) for c in fields)))
 
 
-def _crc(bytes_sql: str) -> str:
-    """DuckDB SQL for the crc32 of a list of bytes, half a byte at a time."""
+def crc_of_nibbles(sql: str) -> str:
+    """DuckDB SQL for the crc32 of a list of half bytes, the lower half of a byte first."""
     table = []
     for x in range(16):
         for _ in range(4):
             x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
         table.append(x)
     step = f"xor(a >> 4, list_extract({table}::bigint[], (xor(a, b) & 15) + 1))"
-    return f"xor(list_reduce([4294967295::bigint] || flatten(list_transform({bytes_sql}, lambda c: [c & 15, c >> 4])), lambda a, b: {step}), 4294967295)"
+    return f"xor(list_reduce([4294967295::bigint] || {sql}, lambda a, b: {step}), 4294967295)"
 
 
-def crc_of(text_sql: str) -> str:
+def crc_of(sql: str) -> str:
     """DuckDB SQL for the crc32 of ASCII text."""
-    return _crc(f"list_transform(string_split({text_sql}, ''), lambda c: ascii(c)::bigint)")
+    return crc_of_nibbles(f"flatten(list_transform(string_split({sql}, ''), lambda c: [ascii(c)::bigint & 15, ascii(c)::bigint >> 4]))")
 
 
 def _field(sql: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import bpe, chat, html, jaccard, langid, license, merkle, neardup, packing, quality, suffix
+from gridlake.llm import bpe, chat, html, jaccard, langid, license, merkle, neardup, packing, quality, suffix, variants
 from gridlake.llm.common import read
 
 try:
@@ -56,6 +56,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_messages(read(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), other=merkle.tampered())
 
@@ -64,11 +68,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_embedding_near_dedup, op3_html_extraction, op4_suffix_dedup, op5_ngram_jaccard_join,
-        op6_bpe, op7_quality_rules, op8_license_scan, op9_packing, op10_chat_format, op13_merkle_manifest,
+        op6_bpe, op7_quality_rules, op8_license_scan, op9_packing, op10_chat_format, op11_spelling_variants, op13_merkle_manifest,
     )
 }
 
 SQL: dict[str, str] = {
     "op2_embedding_near_dedup": neardup.ORACLE, "op5_ngram_jaccard_join": jaccard.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_license_scan": license.oracle(), "op10_chat_format": chat.ORACLE,
-    "op13_merkle_manifest": merkle.oracle(),
+    "op11_spelling_variants": variants.oracle(), "op13_merkle_manifest": merkle.oracle(),
 }
