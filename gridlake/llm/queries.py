@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import bpe, chat, html, jaccard, langid, license, merkle, neardup, packing, quality, suffix, variants
+from gridlake.llm import bpe, chat, html, jaccard, langid, license, merkle, neardup, packing, quality, suffix, toxicity, variants
 from gridlake.llm.common import read
 
 try:
@@ -60,6 +60,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), other=merkle.tampered())
 
@@ -68,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_embedding_near_dedup, op3_html_extraction, op4_suffix_dedup, op5_ngram_jaccard_join,
-        op6_bpe, op7_quality_rules, op8_license_scan, op9_packing, op10_chat_format, op11_spelling_variants, op13_merkle_manifest,
+        op6_bpe, op7_quality_rules, op8_license_scan, op9_packing, op10_chat_format, op11_spelling_variants, op12_toxicity, op13_merkle_manifest,
     )
 }
 
