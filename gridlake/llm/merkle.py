@@ -248,7 +248,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "lang", fi
     tree = F.when(F.col(tree_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(tree_col).cast("string")))
     rows = docs.select(tree.alias("tree"), F.col(id_col).cast("long").alias("doc_id"), leaf(*(F.col(c) for c in fields)).alias("digest"),
                        (F.lit(None).cast("string") if other is None else other).alias("other"))
-    nodes = _placed(rows, "doc_id", "digest")
+    nodes = _placed(cut(rows), "doc_id", "digest")  # written, so that the range sort's sample doesn't read the texts again
     levels = _levels(nodes)
     if len(levels) == 1:  # lone leaves, or nothing
         tops = _upper(nodes.select("tree", "digest"))
