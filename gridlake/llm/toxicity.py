@@ -51,6 +51,8 @@ EASE = 0.02
 SEED = 20240517
 #: Windows scored at once, and words that a task remembers.
 AT_ONCE = 1024
+#: Words whose n-grams are worked out at once.
+PIECE = 10_000
 KNOWN = 100_000
 
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -66,7 +68,7 @@ def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     where, hashes, count = [], [], np.zeros(len(words), np.int64)
     for k in GRAMS:
         n = np.maximum(size - k + 1, 0)
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = _spans(start, n)
         h = np.full(len(at), k, np.uint64)
         for j in range(k):
             h = (h ^ a[at + j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -78,6 +80,11 @@ def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes)[order], np.cumsum(count) - count
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., and so on for each span."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def windows(n: int) -> np.ndarray:
     """First words of the overlapping windows of n words; together they cover all."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -91,8 +98,8 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(docs)), [len(f) for f in firsts])
     at = np.concatenate(firsts)[:, None] + np.arange(WINDOW)
     inside = at < size[owner][:, None]
-    flat = np.concatenate([*docs, np.zeros(1, np.int64)])
-    return np.where(inside, flat[np.where(inside, start[owner][:, None] + at, -1)], -1), owner
+    flat = np.concatenate([*docs, np.zeros(1, np.int64)]).astype(np.int32)
+    return np.where(inside, flat[np.where(inside, start[owner][:, None] + at, -1)], np.int32(-1)), owner
 
 
 class Network:
@@ -116,11 +123,13 @@ class Network:
         at = (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
         return np.where(self.owner[at] == hashes, at, SLOTS)
 
-    def learn_grams(self, hashes: np.ndarray) -> None:
-        """hashes: of every row's n-grams, once a row; where two share a slot, the one in more rows has it."""
-        known, rows = np.unique(hashes, return_counts=True)
-        known = known[rows >= SUPPORT][np.argsort(rows[rows >= SUPPORT], kind="stable")]
-        self.owner[(known >> np.uint64(40)).astype(np.int64) % SLOTS] = known
+    def learn_grams(self, known: np.ndarray, rows: np.ndarray, start: np.ndarray) -> None:
+        """Slots for n-grams, given in how many rows each is, and what their vectors start from; where two share a slot, the one in more rows has it."""
+        fit = np.flatnonzero(rows >= SUPPORT)
+        fit = fit[np.argsort(rows[fit], kind="stable")]
+        at = (known[fit] >> np.uint64(40)).astype(np.int64) % SLOTS
+        self.owner[at] = known[fit]
+        self.gram[at, 0] = start[fit]
 
     def inputs(self, words: list[str], places: np.ndarray | None = None, grams=None) -> np.ndarray:
         if grams is None:
@@ -201,11 +210,10 @@ class Network:
         return g, dx
 
 
-def evidence(present: np.ndarray, toxic: np.ndarray, slots: int, owner: np.ndarray) -> np.ndarray:
-    """How far a feature's share of toxic rows is beyond chance, from 0 to 3. present: features, owner: their rows, pairs once."""
-    n, k = np.bincount(present, minlength=slots), np.bincount(present[toxic[owner]], minlength=slots)
+def evidence(rows: np.ndarray, toxic_rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How far a feature's share of toxic rows is beyond chance, from 0 to 3, by how many rows and toxic rows have it."""
     p = toxic.mean()
-    z = (k - 0.5 - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+    z = (toxic_rows - 0.5 - rows * p) / np.sqrt(np.maximum(rows, 1) * p * (1 - p))
     return np.clip((z - 3.5) / 3, 0, 3).astype(f32)
 
 
@@ -224,36 +232,40 @@ class Adam:
 def trained(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Network | None:
     """A network from texts and their labels (bool)."""
     rng = np.random.default_rng(seed)
-    split = [words_of(t.lower()) for t in texts]
-    fit = [i for i, w in enumerate(split) if w]
-    split, toxic = [split[i] for i in fit], toxic[fit]
+    place: dict[str, int] = {}
+    docs = [np.array([place.setdefault(w, len(place)) for w in words_of(t.lower())], np.int32) for t in texts]
+    fit = [i for i, d in enumerate(docs) if len(d)]
+    docs, toxic = [docs[i] for i in fit], toxic[fit]
     if not toxic.any() or toxic.all():
         return None
-    place: dict[str, int] = {}
-    docs = [np.array([place.setdefault(w, len(place)) for w in ws]) for ws in split]
     words = list(place)
-    hashes, start = gram_hashes(words)
-    ends = np.append(start[1:], len(hashes))
-    seen = [np.unique(d) for d in docs]
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in seen])
-    flat = np.concatenate(seen)
+    pieces = [gram_hashes(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+    sizes = np.concatenate([np.diff(np.append(at, len(h))) for h, at in pieces])
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    known, gram = np.unique(np.concatenate([h for h, _ in pieces]), return_inverse=True)
+    gram = gram.astype(np.int32)
+    del pieces
+    counts = {n: np.zeros((2, n), np.int32) for n in (len(words), len(known))}  # rows and toxic rows of each word and n-gram
+    for d, y in zip(docs, toxic):
+        seen = np.unique(d)
+        grams = np.unique(gram[_spans(start[seen], sizes[seen])])
+        for of, n in ((seen, len(words)), (grams, len(known))):
+            counts[n][0, of] += 1
+            counts[n][1, of] += y
     net = Network(place, rng)
-    net.word[: len(words), 0] = evidence(flat, toxic, len(words), owner)
-    size = (ends - start)[flat]
-    at = np.repeat(start[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    rows = np.repeat(owner, size)
-    once = np.lexsort((hashes[at], rows))
-    once = once[np.append(True, (np.diff(rows[once]) != 0) | (hashes[at][once][1:] != hashes[at][once][:-1]))]
-    net.learn_grams(hashes[at][once])
-    slots = net.slots(hashes)
-    net.gram[:SLOTS, 0] = evidence(slots[at][once], toxic, SLOTS + 1, rows[once])[:SLOTS]
+    net.word[: len(words), 0] = evidence(*counts[len(words)], toxic)
+    net.learn_grams(known, counts[len(known)][0], evidence(*counts[len(known)], toxic))
+    slots = net.slots(known).astype(np.int32)[gram]
+    del known, gram, counts
     net.dense["o"][[0, STATE]] = 1
     ids, of = laid_out(docs)
     adam, square = Adam(RATE), {"word": np.zeros(len(net.word), f32), "gram": np.zeros(SLOTS + 1, f32)}
     places = np.arange(len(words))
     for k in range(rounds):
         adam.rate = RATE * (1 - k / rounds)
-        proj = net.projected(net.inputs(words, places, (slots, start)))
+        proj = net.projected(np.concatenate([
+            net.inputs(words[i : i + PIECE], places[i : i + PIECE], (slots[start[i] : ends[min(i + PIECE, len(words)) - 1]], start[i : i + PIECE] - start[i])) for i in range(0, len(words), PIECE)]))
         logit = np.concatenate([net.logits(proj, ids[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)])
         order = np.lexsort((-logit, of))
         rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
@@ -264,9 +276,9 @@ def trained(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int
             here, local = np.unique(ids[some], return_inverse=True)
             local = local.reshape(len(some), WINDOW) - (here[0] < 0)
             here = here[here >= 0]
-            d = ends[here] - start[here]
+            d = sizes[here]
             at = np.cumsum(d) - d
-            gs = slots[np.repeat(start[here] - at, d) + np.arange(d.sum())]
+            gs = slots[_spans(start[here], d)]
             vec = net.gram[gs]
             top = np.maximum.reduceat(vec, at, axis=0)
             kept = rng.random(len(here)) > 0.3
@@ -306,8 +318,8 @@ class Scorer:
         ids = self.ids
         out = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t.lower())], np.int64) for t in texts]
         new = list(ids)[len(self.proj[0]) :] if len(ids) > len(self.proj[0]) else []
-        for i in range(0, len(new), 20_000):
-            more = self.net.projected(self.net.inputs(new[i : i + 20_000]))
+        for i in range(0, len(new), PIECE):
+            more = self.net.projected(self.net.inputs(new[i : i + PIECE]))
             self.proj = tuple(np.concatenate(x) for x in zip(self.proj, more))
         return out
 
