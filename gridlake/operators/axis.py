@@ -46,6 +46,27 @@ def with_positions(df: DataFrame, order: str = KEY, name: str = ORD) -> DataFram
     return local.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
+def marks(columns: list[Column]) -> tuple[Column, Column]:
+    """Two sums of row hashes: whatever the order and however the rows are dealt, equal for equal multisets of rows."""
+    return tuple(F.coalesce(F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(20,0)")), F.lit(0)) for seed in (1, 2))  # no overflow: the sum has ten digits more
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """Count and marks of a frame's rows, in one pass without moving them."""
+    a, b = marks([F.col(f"`{c}`") for c in df.columns])
+    return tuple(df.agg(F.count("*"), a, b).first())
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """The same columns and the same rows, however often: by fingerprints, or row by row where types differ."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    b = b.select(*(f"`{c}`" for c in a.columns))
+    if a.dtypes == b.dtypes and "map<" not in str(a.dtypes):
+        return fingerprint(a) == fingerprint(b)
+    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
 def distinct_values(rows: DataFrame, column: str) -> list:
     """The distinct values of a category column; more than max_categories raise."""
     most = settings().max_categories
@@ -68,8 +89,8 @@ class Axis:
     #: A pending slice over `df`'s positions, composed without a job.
     window: range | None = None
     _n: int | None = None
-    #: Of a concatenated axis: its label column and each source's label; and the sources that a selection leaves.
-    label: tuple[str, tuple[str, ...]] | None = None
+    #: Of a concatenated axis: its label column, each source's label and the frame for which that holds; and the sources that a selection leaves.
+    label: tuple[str, tuple[str, ...], DataFrame] | None = field(default=None, compare=False)
     sources: tuple[int, ...] | None = None
     #: The frame whose positions were worked out, and the result: axes over one frame share it.
     _sorted: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
@@ -149,6 +170,19 @@ class Axis:
             object.__setattr__(self, "_n", self.df.count())
         return self._n
 
+    def labels_print(self) -> dict[str, Any]:
+        """What tells the axis's labels from others': how many rows, how often a label at most, marks of the labels and of keys with labels.
+
+        One job, whose result the axis keeps."""
+        if self._sorted.get("print_of") is not self.df or self._sorted.get("print_window") != self.window:
+            kind = dict(self.df.dtypes)[KEY]
+            each = self.rows.groupBy(NAME).agg(F.count("*").alias("n"), *(m.alias(x) for m, x in zip(marks([F.col(KEY), F.col(NAME)]), "ab")))
+            names = (F.coalesce(F.sum(F.col("n") * F.xxhash64(NAME, F.lit(seed)).cast("decimal(20,0)")), F.lit(0)) for seed in (3, 4))
+            r = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), *names, F.sum("a"), F.sum("b")).first()
+            self._sorted.update(print_of=self.df, print_window=self.window, print={"n": r[0], "most": r[1], "names": tuple(r[2:4]), "keys": (kind, *r[4:6])})
+            object.__setattr__(self, "_n", r[0])
+        return self._sorted["print"]
+
     def all_positions(self) -> DataFrame:
         """The frame's rows, before any slice, with positions; sorted once."""
         if self._sorted.get("of") is not self.df:
@@ -229,21 +263,40 @@ class Axis:
         return self.sliced(slice(at[start][0] if start is not None else None, at[stop][1] + 1 if stop is not None else None, step))
 
     def where(self, condition: Column | str) -> Axis:
-        left = self._sources_left(condition)
-        rows = self.rows if left is None else self.rows.where(F.col(f"{KEY}.src").isin(*left))
-        return Axis(rows.where(condition), False, self.categories, label=self.label, sources=left)
-
-    def _sources_left(self, condition: Column | str) -> tuple[int, ...] | None:
-        """Sources of a concatenation that a condition on its label alone leaves; others need not be scanned at all."""
-        if self.label is None:
+        found = self.rows.where(condition)
+        left = self._sources_left(condition, found)
+        if left is not None and left != self.sources:
+            found = self.rows.where(F.col(f"{KEY}.src").isin(*left)).where(condition)
+        label = self.label and (*self.label[:2], found) if self._labels_hold() else None
+        return Axis(found, False, self.categories, label=label, sources=left)
+
+    def _labels_hold(self) -> bool:
+        """Is the label column still the one that the concatenation made? Setters give the axis another frame."""
+        return self.label is not None and self.label[2] is self.df and self.window is None
+
+    def _sources_left(self, condition: Column | str, found: DataFrame) -> tuple[int, ...] | None:
+        """Sources of a concatenation that a condition on its label alone leaves; others need not be scanned at all.
+
+        found: the rows that the condition leaves. Whatever speaks of another column, or draws numbers, leaves all sources.
+        """
+        if not self._labels_hold():
+            return self.sources
+        name, values, _ = self.label
+        plan = found._jdf.queryExecution().analyzed()
+        test = plan.condition()
+        spoken = test.references().iterator()
+        ids = set()
+        while spoken.hasNext():
+            ids.add(spoken.next().exprId().toString())
+        own = next(a for a in (plan.child().output().apply(i) for i in range(plan.child().output().size())) if a.name() == name)
+        if ids != {own.exprId().toString()} or not test.deterministic():
             return self.sources
-        name, values = self.label
-        table = self.df.sparkSession.createDataFrame(list(enumerate(values)), f"src int, `{name}` string")
+        labels = self.df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"`{name}` string")
         try:
-            hit = [r.src for r in table.where(condition).select("src").collect()]  # a row a source
-        except AnalysisException:  # it speaks of other columns
+            hit = {r[0] for r in labels.where(condition).collect()}  # a row a source
+        except AnalysisException:  # it names the column through another frame
             return self.sources
-        return tuple(i for i in hit if self.sources is None or i in self.sources)
+        return tuple(i for i, v in enumerate(values) if v in hit and (self.sources is None or i in self.sources))
 
     def masked(self, mask: list[bool]) -> Axis:
         if len(mask) != self.count():

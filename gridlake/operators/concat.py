@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from gridlake.functions.names import natural_key
-from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories
+from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, same_rows
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
@@ -61,20 +61,17 @@ def concat_axis(axes: list[Axis], join: str, label: str | None, keys: list[str],
     cats = {c: u for c in columns if (u := unified_categories(axes, c))}
     if label:
         cats[label] = Categories(tuple(keys))
-    df = _union(parts)
-    return Axis(df.select(KEY, NAME, *(c for c in columns if c != label), *([label] if label else [])), True, cats, label=(label, tuple(keys)) if label else None)
+    df = _union(parts).select(KEY, NAME, *(c for c in columns if c != label), *([label] if label else []))
+    return Axis(df, True, cats, label=(label, tuple(keys), df) if label else None)
 
 
 def same_labels(a: Axis, b: Axis) -> str | None:
     """`keys` if two axes have the same labels under the same keys, `order` if they have the same labels in the same order."""
-    if a.count() != b.count():
+    x, y = a.labels_print(), b.labels_print()
+    if x["names"] != y["names"] or x["n"] != y["n"]:
         return None
-    x, y = a.rows.select(KEY, NAME), b.rows.select(KEY, NAME)
-    inside = lambda p, q: not p.exceptAll(q).limit(1).count()  # noqa: E731  # and of the same size, so the same
-    if dict(x.dtypes)[KEY] == dict(y.dtypes)[KEY] and inside(x, y):
+    if x["keys"] == y["keys"]:
         return "keys"
-    if not inside(x.select(NAME), y.select(NAME)):
-        return None
     places = a.positions().select(NAME, F.col(ORD).alias("_a")).join(b.positions().select(NAME, F.col(ORD).alias("_b")), NAME)
     return "order" if not places.where("_a <> _b").limit(1).count() else None
 
@@ -87,7 +84,7 @@ def aligned_axis(axes: list[Axis], join: str) -> tuple[Axis, list[DataFrame | No
     if all(a is axes[0] or a.df is axes[0].df and a.full and axes[0].full for a in axes):
         return Axis(axes[0].rows.select(KEY, NAME), True), [None] * len(axes)
     for a in axes:
-        if settings().check_uniqueness and a.repeated().limit(1).count():
+        if settings().check_uniqueness and a.labels_print()["most"] > 1:
             raise ValueError("labels repeat on the axis that is joined; make them unique first")
     alike = [same_labels(axes[0], a) for a in axes[1:]]
     if all(x == "keys" for x in alike):
@@ -231,10 +228,6 @@ def merge_columns(axes: list[Axis], new: Axis, maps, rule: str | Callable | None
     return Axis(table.select(KEY, NAME, *(F.col(f"_{picked[c]}_{c}").alias(c) for c in order)), True, cats)
 
 
-def _same_frames(a: DataFrame, b: DataFrame) -> bool:
-    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
-
-
 def merge_elements(slots: list[dict[str, Any]], maps, keys: tuple[str, ...], rule: str | Callable | None) -> dict[str, Any]:
     """Aligned arrays or graphs of the joined axis, by the same rules. A callable gets a mapping for each input, aligned."""
     if rule is None:
@@ -247,7 +240,7 @@ def merge_elements(slots: list[dict[str, Any]], maps, keys: tuple[str, ...], rul
     out = {}
     for k in union_keys(moved):
         have = [s[k] for s in moved if k in s]
-        alike = lambda: all(getattr(h, "width", None) == getattr(have[0], "width", None) and _same_frames(have[0].df, h.df) for h in have[1:])  # noqa: E731, B023
+        alike = lambda: all(getattr(h, "width", None) == getattr(have[0], "width", None) and same_rows(have[0].df, h.df) for h in have[1:])  # noqa: E731, B023
         if rule == "first" or (len(have) == 1 and rule in ("only", "unique")) or (rule in ("same", "unique") and (rule == "unique" or len(have) == len(slots)) and alike()):
             out[k] = have[0]
     return out

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.operators.axis import KEY, Axis
+from gridlake.operators.axis import KEY, Axis, fingerprint
 
 
 NUMBERS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
@@ -80,6 +80,17 @@ class Matrix:
 
     def same_as(self, other: Matrix) -> bool:
         """Equal values: an explicit zero equals an absent cell of a sparse matrix, NaN equals NaN."""
+        if dict(self.df.dtypes) == dict(other.df.dtypes):
+            # Cells that count: in sparse matrices none is zero or null, beside a sparse one a dense one needs no zeros, and two dense ones may lack nulls.
+            zeros, value = self.sparse or other.sparse, F.col("value")
+
+            def cells(m: Matrix) -> DataFrame:
+                df = m.df.select("o", "v", "value")
+                if m.sparse:
+                    return df.where(F.coalesce(value, F.lit(0)) != 0)
+                return df.where(value.isNull() | (value != 0)) if zeros else df.where(value.isNotNull())
+
+            return fingerprint(cells(self)) == fingerprint(cells(other))
         a, b = self.df.withColumnRenamed("value", "a"), other.df.withColumnRenamed("value", "b")
         zero = lambda c, sparse: F.coalesce(c, F.lit(0)) if sparse else F.col(c)
         j = a.join(b, ["o", "v"], "full_outer")

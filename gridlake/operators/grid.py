@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.names import make_unique, natural_key
-from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, distinct_values, with_positions
+from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, distinct_values, same_rows, with_positions
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.merge import equal
 from gridlake.session import settings
@@ -55,14 +55,6 @@ def unpack(index: Any) -> tuple[Any, Any]:
     return (*parts, *[slice(None)] * (2 - len(parts)))
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """The same columns and the same rows, however often."""
-    if sorted(a.columns) != sorted(b.columns):
-        return False
-    b = b.select(*a.columns)
-    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
-
-
 def equal_maps(a: Any, b: Any) -> bool:
     if isinstance(a, Mapping) and isinstance(b, Mapping):
         return set(a) == set(b) and all(equal_maps(a[k], b[k]) for k in a)
@@ -76,6 +68,14 @@ def drawn(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def once(frame: DataFrame, key: str) -> DataFrame:
+    """frame, if no key that an axis could have repeats in it."""
+    twice = [r[0] for r in frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"keys repeat in the frame: {twice}")
+    return frame
+
+
 def check_key(key: str) -> str:
     if not isinstance(key, str):
         raise TypeError(f"keys are strings, not {type(key).__name__}")
@@ -262,6 +262,7 @@ class Grid:
         double = [c for c in add.columns if c != KEY and c in axis.columns]
         if double:
             raise ValueError(f"columns exist already: {double}")
+        once(frame, key)
         return replace(self, **{side: replace(axis, df=axis.df.join(add, KEY, "left"))})
 
     def without_columns(self, side: str, *names: str) -> Grid:
@@ -271,6 +272,7 @@ class Grid:
     def with_names(self, side: str, frame: DataFrame, key: str, name: str) -> Grid:
         """Replace labels by a frame's; every row needs one."""
         axis = self.axis(side)
+        once(frame, key)
         got = axis.df.drop(NAME).join(frame.select(F.col(key).alias(KEY), F.col(name).cast("string").alias(NAME), F.lit(True).alias("_hit")), KEY, "left")
         if got.where("_hit is null").limit(1).count():
             raise ValueError("the frame has not a label for every row")

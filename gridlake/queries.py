@@ -303,6 +303,36 @@ def label_filter_pruning(spark, d):
     return g[F.col("region") == "2"].X.df.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+@query(f"SELECT r::INTEGER AS src, o, CAST(v AS VARCHAR) AS v, value FROM {REGIONAL} WHERE o % 7 = 3")
+def filter_own_src(spark, d):
+    """A concatenation's rows by a column of their own that is called src."""
+    g = concat(regional(spark, d), join="outer", label="region").with_column("obs", "src", F.col(f"{KEY}.key") % 7)
+    return g[F.col("src") == 3].X.df.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", "value")
+
+
+@query(f"SELECT r::INTEGER AS src, o, CAST(v AS VARCHAR) AS v, value FROM {REGIONAL} WHERE o % 2 = 1 AND r <> 4")
+def filter_replaced_label(spark, d):
+    """The label column, first as the concatenation made it, then with other values."""
+    g = concat(regional(spark, d), join="outer", label="region")[F.col("region") != "4"].with_column("obs", "region", (F.col(f"{KEY}.key") % 2).cast("string"))
+    return g[F.col("region") == "1"].X.df.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", "value")
+
+
+@query(f"SELECT r::INTEGER AS src, o, CAST(v AS VARCHAR) AS v, value FROM {REGIONAL} WHERE r IN (2, 3)")
+def filter_renamed_label(spark, d):
+    """The label column after its categories were renamed, beside one that kept its name."""
+    g = concat(regional(spark, d), join="outer", label="region").categories_renamed("obs", "region", {"2": "two"})
+    return g[F.col("region").isin("two", "3")].X.df.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", "value")
+
+
+@query(f"SELECT r::INTEGER AS src, o, CAST(v AS VARCHAR) AS v, value FROM {REGIONAL} WHERE r <> 1")
+def filter_random(spark, d):
+    """Two random halves of a concatenation, which make the whole."""
+    g = concat(regional(spark, d), join="outer", label="region")[F.col("region") != "1"]
+    low = F.rand(11) < 0.5
+    both = g[low].X.df.unionByName(g[~low].X.df)
+    return both.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", "value")
+
+
 # Reshape and references
 @query("SELECT l_partkey AS o, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY 1")
 def transpose_cells(spark, d):

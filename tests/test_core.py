@@ -512,3 +512,52 @@ def test_plans(g, spark):
     assert "Union" not in both.X.df._jdf.queryExecution().optimizedPlan().toString() and both.X.df.count() == g.X.df.count()
     v = both.obs.rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in v
+
+
+def test_filters_on_concatenations(spark):
+    """Only a condition on the label as concat() made it, and on nothing else, leaves sources out."""
+    x = grid(spark, [[1, 2], [3, 4]], ["a", "b"], ["f", "g"], obs_cols={"src": [100, 0]})
+    y = grid(spark, [[5, 6], [7, 8]], ["c", "d"], ["f", "g"], obs_cols={"src": [1, 100]})
+    g = concat({"p": x, "q": y}, label="batch")
+    assert g[F.col("batch") == "q"].obs.sources == (1,) and sorted(wide(g[F.col("batch") == "q"])) == ["c", "d"]
+    assert g.obs.where("batch <> 'q'").sources == (0,) and g[F.col("batch") == "q"][F.col("src") == 100].obs.sources == (1,)
+    assert sorted(wide(g[F.col("src") == 100])) == ["a", "d"]
+    assert sorted(wide(g[(F.col("batch") == "p") | (F.col("src") == 100)])) == ["a", "b", "d"]
+    other = g.with_column("obs", "batch", F.concat(F.lit("new "), "batch"))
+    assert sorted(wide(other[F.col("batch") == "new p"])) == ["a", "b"]
+    assert sorted(wide(g.categories_renamed("obs", "batch", {"p": "P"})[F.col("batch") == "P"])) == ["a", "b"]
+    assert sorted(wide(g[F.col("batch") == "p"].with_column("obs", "batch", F.lit("q"))[F.col("batch") == "q"])) == ["a", "b"]
+    assert g[F.rand(4) < 0.5].obs.sources is None and sorted(wide(g[F.rand(4) >= 0])) == ["a", "b", "c", "d"]
+
+
+def test_repeated_keys_in_frames(spark, g):
+    twice = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z"), (None, "n"), (None, "n")], "k long, new string")
+    with pytest.raises(ValueError, match="repeat"):
+        g.with_annotation("obs", twice, "k")
+    with pytest.raises(ValueError, match="repeat"):
+        g.with_names("obs", twice, "k", "new")
+    assert g.with_annotation("obs", twice.where("new <> 'y'"), "k").obs.rows.count() == g.n_obs
+
+
+def test_fingerprints(spark):
+    from gridlake.operators.axis import fingerprint, same_rows
+
+    rows = [(1, "a", float("nan")), (2, None, -0.0), (2, None, -0.0)]
+    df = spark.createDataFrame(rows, "k long, s string, v double")
+    assert fingerprint(df) == fingerprint(df.orderBy(F.desc("k"))) != fingerprint(df.distinct())
+    assert same_rows(df, df.select("v", "s", "k")) and not same_rows(df, df.where("k = 1")) and same_rows(df, df.withColumn("k", F.col("k").cast("int")))
+    a, b = Axis.of_names(spark, ["x", "y", None]), Axis.of_names(spark, ["x", None, "y"])
+    p, q = a.labels_print(), b.labels_print()
+    assert p["names"] == q["names"] and p["keys"] != q["keys"] and (p["n"], p["most"]) == (3, 1) and a.labels_print() is p
+    assert Axis.of_names(spark, ["x", "x"]).labels_print()["most"] == 2 and Axis.of_names(spark, []).labels_print()["n"] == 0
+
+
+def test_concat_runs_few_jobs(spark):
+    """At most a job an input before the query starts."""
+    gs = [grid(spark, [[1, 2, 3]], [f"r{i}"], ["a", "b", "c"] if i % 2 else ["c", "b", "d"]) for i in range(5)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    concat(gs, join="outer")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # with adaptive execution a query of one shuffle counts as two jobs, one for its stage
+    assert len(tracker.getJobIdsForGroup("few")) <= 3 * len(gs)
