@@ -16,7 +16,7 @@ from gridlake.operators.grid import Grid
 from gridlake.operators.merge import merge_maps
 from gridlake.plans.refs import A
 from gridlake.session import materialise
-from gridlake.sources import store, text
+from gridlake.sources import store, text, zarr
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -467,6 +467,29 @@ def element_store_partial(spark, d):
     return g.layer("price").df.join(g.obs.rows, F.col("o") == F.col(KEY)).select(F.col("o").alias("key"), "o_orderstatus", "o_orderpriority", F.col("value").alias("price"), "v")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS o FROM orders), q AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS v FROM part)
+SELECT p.o, q.v, x.value, n_name.o_orderstatus AS status FROM {SALES} x JOIN p ON p.k = x.o JOIN q ON q.k = x.v JOIN orders n_name ON n_name.o_orderkey = x.o WHERE p.o BETWEEN 100 AND 4000""")
+def zarr_rows(spark, d):
+    """A chunked store of orders x parts: written, and a range of its rows read with their annotation."""
+    path = scratch(spark)
+    g = sales(spark, d)
+    zarr.write_zarr(Grid(g.obs, g.var, {None: g.elements[None]}), path, chunk=2048)
+    h = zarr.read_zarr(spark, path)
+    cells = h.X.df.where("o BETWEEN 100 AND 4000")
+    return cells.join(h.obs.df.select(F.col(KEY).alias("o"), F.col("o_orderstatus").alias("status")), "o").select("o", "v", "value", "status")
+
+
+@query("""SELECT vec_id, embedding[1]::DOUBLE AS emb1, embedding[64]::DOUBLE AS emb64, label FROM embeddings""")
+def zarr_dense(spark, d):
+    """Dense arrays in chunks of rows: embeddings, written and read back as arrays; positions follow the ids."""
+    path = scratch(spark)
+    g = vectors(spark, d)
+    zarr.write_zarr(Grid(g.obs, g.var, {}, {"emb": g.obsm_["emb"]}), path, chunk=8192)
+    h = zarr.read_zarr(spark, path)
+    rows = h.obs.df.join(h.obsm["emb"].df, KEY)
+    return rows.select(F.col(NAME).cast("long").alias("vec_id"), F.get("value", F.lit(0)).cast("double").alias("emb1"), F.get("value", F.lit(63)).cast("double").alias("emb64"), "label")
+
+
 @query("SELECT count(*) AS n_obs, (SELECT count(*) FROM " + SALES + ") AS cells, (SELECT sum(value) FROM " + SALES + ") AS total FROM orders")
 def append_rows(spark, d):
     path = scratch(spark)
