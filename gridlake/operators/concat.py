@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from gridlake.functions.names import natural_key
 from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, same_rows
+from gridlake.operators.blocks import Blocks, stacked
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
@@ -121,7 +122,24 @@ def default_fill(matrices: list[Matrix | None]) -> float:
     return 0.0 if any(m is not None and m.sparse for m in matrices) else float("nan")
 
 
-def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps, new: Axis, fill: float | None) -> Matrix:
+def _from_source(i: int):
+    return lambda k: F.struct(F.lit(i).alias("src"), k.alias("key"))
+
+
+def concat_blocks(ms: list[Blocks], maps, new: Axis, fill: float | None) -> Blocks:
+    """Dense inputs that are blocks, along obs: columns are rewritten where they lie, rows are a union. Columns are as many as a row has values."""
+    columns = [r[0] for r in new.rows.orderBy(KEY).select(KEY).collect()]
+    parts = []
+    for m, to in zip(ms, maps):
+        names = {} if to is None else dict(map(tuple, to.select("_old", "_new").collect()))
+        renamed = m if to is None else replace(m, columns=tuple(names.get(c, (None, i)) for i, c in enumerate(m.columns)))  # those that go get a name of their own
+        parts.append(renamed.reindexed(columns, float("nan") if fill is None else fill))
+    return stacked(parts, [_from_source(i) for i in range(len(ms))])
+
+
+def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps, new: Axis, fill: float | None) -> Matrix | Blocks:
+    if side == "obs" and all(isinstance(m, Blocks) for m in ms):
+        return concat_blocks(ms, maps, new, fill)
     along, across = ("o", "v") if side == "obs" else ("v", "o")
     sparse = any(m is not None and m.sparse for m in ms)
     value = default_fill(ms) if fill is None else fill

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.names import make_unique, natural_key
 from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, distinct_values, same_rows, with_positions
+from gridlake.operators.blocks import Blocks
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.merge import equal
 from gridlake.session import settings
@@ -388,6 +389,13 @@ class Grid:
     def chunked(self, size: int = 6000, layer: str | None = None) -> DataFrame:
         """The layer's cells with their chunk of rows: chunk, start, end, o, v, value."""
         n = self.n_obs
+        m = self.layer(layer)
+        if isinstance(m, Blocks):
+            cells = m.chunked(size)
+            rows = cells.select("chunk", "start", "end", F.posexplode("keys").alias("_i", "o"), "values")
+            names = self.var.df.sparkSession.createDataFrame(list(enumerate(m.columns)), f"_p int, v {m._column_type()}")
+            one = rows.select("chunk", "start", "end", "o", F.posexplode(F.slice("values", F.col("_i") * m.width + 1, F.lit(m.width))).alias("_p", "value"))
+            return one.join(names, "_p").select("chunk", "start", "end", "o", "v", "value")
         at = with_positions(self.obs.rows.select(KEY)).select(F.col(KEY).alias("o"), F.floor(F.col(ORD) / size).alias("chunk"))
         return self.layer(layer).df.join(at, "o").select("chunk", (F.col("chunk") * size).alias("start"), F.least((F.col("chunk") + 1) * size, F.lit(n)).alias("end"), "o", "v", "value")
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.operators.axis import KEY, NAME, Axis, Categories
+from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, with_positions
+from gridlake.operators.blocks import Blocks
 from gridlake.operators.collection import Collection
 from gridlake.operators.concat import concat, concat_axis
 from gridlake.operators.element import Aligned, Matrix, Pairs, from_rows, to_rows
@@ -297,6 +298,54 @@ def merge_callable(spark, d):
     return concat(annotated(spark, d)[:2], merge=rule).var.rows.select(F.col(KEY).alias("v"), "size", "brand")
 
 
+def embedding_blocks(spark, d) -> list[Grid]:
+    """Two dense grids of embeddings as blocks: places 0 to 39 of even ids, 20 to 63 of odd ones."""
+    e = table(spark, d, "embeddings")
+    out = []
+    for odd, (a, z) in enumerate(((0, 40), (20, 64))):
+        mine = e.where(F.col("vec_id") % 2 == odd)
+        rows = mine.select("vec_id", F.slice("embedding", a + 1, z - a).cast("array<double>").alias("row"))
+        var = Axis(spark.createDataFrame([(i, f"e{i:02}") for i in range(a, z)], f"{KEY} long, {NAME} string"))
+        out.append(Grid(Axis.of(mine.select("vec_id"), "vec_id"), var, {None: Blocks.of_rows(rows, "vec_id", "row", list(range(a, z)))}))
+    return out
+
+
+PLACES = "(SELECT vec_id, i - 1 AS p, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i))"
+
+
+@query(f"""SELECT (vec_id % 2)::INTEGER AS src, vec_id AS o, format('e{{:02d}}', p) AS v, CASE WHEN vec_id % 2 = 0 AND p < 40 OR vec_id % 2 = 1 AND p >= 20 THEN value END AS value FROM {PLACES}""")
+def concat_outer_blocks(spark, d):
+    """Dense inputs over different columns, as blocks: a union of rewritten arrays. What an input lacks is NaN, shown as null."""
+    m = concat(embedding_blocks(spark, d), join="outer").X
+    return m.df.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query(f"""SELECT (vec_id % 2)::INTEGER AS src, count(*) AS cells, round(sum(round(value, 6)), 3) AS total FROM {PLACES} WHERE p BETWEEN 20 AND 39 GROUP BY 1""")
+def concat_inner_blocks(spark, d):
+    m = concat(embedding_blocks(spark, d)).X
+    return m.df.groupBy(F.col("o.src").alias("src")).agg(F.count("*").alias("cells"), F.round(F.sum(F.round("value", 6)), 3).alias("total"))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings)
+SELECT at // 300 AS chunk, min(at) AS start, max(at) + 1 AS end_, count(*) AS n, min(vec_id) AS first_key, arg_min(embedding[1]::DOUBLE, at) AS first_value, arg_max(embedding[64]::DOUBLE, at) AS last_value FROM x WHERE at BETWEEN 50 AND 100000 OR at < 50 GROUP BY 1""")
+def blocks_chunked(spark, d):
+    """Chunks of 300 rows of a dense matrix, from blocks of another size."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("row"))
+    b = Blocks.of_rows(rows, "vec_id", "row", list(range(64)), per_block=64 * 77).chunked(300)
+    return b.select("chunk", "start", F.col("end").alias("end_"), F.size("keys").cast("long").alias("n"), F.element_at("keys", 1).alias("first_key"), F.element_at("values", 1).alias("first_value"), F.element_at("values", -1).alias("last_value"))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id DESC) - 1 AS place FROM embeddings WHERE vec_id % 3 = 0)
+SELECT place AS key, embedding[8]::DOUBLE AS a, embedding[3]::DOUBLE AS b, -1.0::DOUBLE AS c FROM x""")
+def blocks_taken(spark, d):
+    """Every third row in reverse order, two columns in another order and a new one."""
+    e = table(spark, d, "embeddings")
+    m = Blocks.of_rows(e.select("vec_id", F.col("embedding").cast("array<double>").alias("row")), "vec_id", "row", list(range(64)))
+    want = with_positions(e.where("vec_id % 3 = 0").select(F.col("vec_id").alias(KEY), (-F.col("vec_id")).alias("_by")), "_by").select(F.col(ORD).alias("_new"), KEY)
+    got = m.taken(want).reindexed([7, 2, 99], -1.0)
+    return got.rows().select(F.col(KEY).alias("key"), F.get("_row", F.lit(0)).alias("a"), F.get("_row", F.lit(1)).alias("b"), F.get("_row", F.lit(2)).alias("c"))
+
+
 @query("SELECT count(*) AS n, sum(value) AS total FROM " + REGIONAL + " WHERE r = 2")
 def label_filter_pruning(spark, d):
     g = concat(regional(spark, d), join="outer", label="region")

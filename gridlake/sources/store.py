@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.operators.axis import KEY, NAME, Axis, Categories
+from gridlake.operators.blocks import Blocks
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw, check_key
 
@@ -32,6 +33,7 @@ def register(encoding: str, write: Callable[[Any], DataFrame], read: Callable[[D
 
 register("axis", lambda a: a.rows, lambda df, e: Axis(df, True, {c: Categories(tuple(v["values"]), v["ordered"]) for c, v in e.get("categories", {}).items()}, None, e.get("n")))
 register("sparse-matrix", lambda m: m.df, lambda df, e: Matrix(df, True))
+register("block-matrix", lambda b: b.blocks, lambda df, e: Blocks(df, tuple(e["columns"])))
 register("dense-matrix", lambda m: m.df, lambda df, e: Matrix(df, False))
 register("aligned-array", lambda a: a.df, lambda df, e: Aligned(df, e.get("width")))
 register("ragged-array", lambda a: a.df, lambda df, e: Aligned(df, None))
@@ -43,6 +45,8 @@ def encoding_of(x: Any) -> str:
     match x:
         case Axis():
             return "axis"
+        case Blocks():
+            return "block-matrix"
         case Matrix():
             return "sparse-matrix" if x.sparse else "dense-matrix"
         case Aligned():
@@ -70,7 +74,7 @@ def _get_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # the manifest
 
 
-SORT = {"sparse-matrix": ["o", "v"], "dense-matrix": ["o", "v"], "axis": [KEY], "pairs": ["i", "j"], "aligned-array": [KEY], "ragged-array": [KEY]}
+SORT = {"block-matrix": ["start"], "sparse-matrix": ["o", "v"], "dense-matrix": ["o", "v"], "axis": [KEY], "pairs": ["i", "j"], "aligned-array": [KEY], "ragged-array": [KEY]}
 
 
 def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSession | None = None) -> dict:
@@ -81,6 +85,8 @@ def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSessi
     if enc == "axis":
         df = df.drop("_from")
         entry |= {"categories": {c: {"values": list(v.values), "ordered": v.ordered} for c, v in x.categories.items()}}
+    if enc == "block-matrix":
+        entry["columns"] = list(x.columns)
     if enc == "aligned-array":
         entry["width"] = x.width
     order = SORT.get(enc)
