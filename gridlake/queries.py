@@ -326,8 +326,8 @@ def concat_inner_blocks(spark, d):
     return m.df.groupBy(F.col("o.src").alias("src")).agg(F.count("*").alias("cells"), F.round(F.sum(F.round("value", 6)), 3).alias("total"))
 
 
-@query("""WITH x AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings)
-SELECT at // 300 AS chunk, min(at) AS start, max(at) + 1 AS end_, count(*) AS n, min(vec_id) AS first_key, arg_min(embedding[1]::DOUBLE, at) AS first_value, arg_max(embedding[64]::DOUBLE, at) AS last_value FROM x WHERE at BETWEEN 50 AND 100000 OR at < 50 GROUP BY 1""")
+@query("""WITH x AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)
+SELECT place // 300 AS chunk, min(place) AS start, max(place) + 1 AS end_, count(*) AS n, min(vec_id) AS first_key, arg_min(embedding[1]::DOUBLE, place) AS first_value, arg_max(embedding[64]::DOUBLE, place) AS last_value FROM x GROUP BY 1""")
 def blocks_chunked(spark, d):
     """Chunks of 300 rows of a dense matrix, from blocks of another size."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("row"))
