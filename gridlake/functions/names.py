@@ -42,6 +42,7 @@ def make_unique(df: DataFrame, name: str, order: str, join: str = "-") -> DataFr
     """
     from gridlake.operators.axis import with_positions
 
+    whole, df = df, df.select(name, order)  # annotation stays where it is
     at = with_positions(df.withColumn("_by", F.struct(name, order)), "_by", "_at").drop("_by")
     first = at.groupBy(F.col(name).alias("_label")).agg(F.min("_at").alias("_first"))
     ranked = at.join(first, F.col(name) == F.col("_label"), "left").withColumn("_rank", F.when(F.col(name).isNotNull(), F.col("_at") - F.col("_first")).otherwise(0)).drop("_label", "_first", "_at")
@@ -56,7 +57,8 @@ def make_unique(df: DataFrame, name: str, order: str, join: str = "-") -> DataFr
     # the k-th free number: k plus how many taken ones lie at or below it, found by walking the sorted taken list
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_rank").cast("long"), lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
     new = F.when(F.col("_rank") > 0, F.concat(F.col(name), F.lit(join), free.cast("string"))).otherwise(F.col(name))
-    return numbered.withColumn(name, new).drop("_rank", "_taken")
+    got = numbered.select(order, new.alias(name))
+    return got.select(*whole.columns) if set(whole.columns) == {name, order} else whole.drop(name).join(got, order).select(*whole.columns)
 
 
 def as_structs(df: DataFrame, columns: list[str], name: str = "value") -> DataFrame:

@@ -186,11 +186,11 @@ class Axis:
     def all_positions(self) -> DataFrame:
         """The frame's rows, before any slice, with positions; sorted once."""
         if self._sorted.get("of") is not self.df:
-            self._sorted.update(of=self.df, rows=with_positions(self.df))
+            self._sorted.update(of=self.df, rows=self.df.join(with_positions(self.df.select(KEY)), KEY))  # keys alone are sorted and written
         return self._sorted["rows"]
 
     def positions(self) -> DataFrame:
-        return self.all_positions() if self.window is None else with_positions(self.rows)
+        return self.all_positions() if self.window is None else self.rows.join(with_positions(self.rows.select(KEY)), KEY)
 
     # Selection
     def sliced(self, s: slice) -> Axis:

@@ -539,6 +539,32 @@ def zarr_dense(spark, d):
     return rows.select(F.col(NAME).cast("long").alias("vec_id"), F.get("value", F.lit(0)).cast("double").alias("emb1"), F.get("value", F.lit(63)).cast("double").alias("emb64"), "label")
 
 
+@query(f"""SELECT o, v, value, o_orderpriority AS priority FROM {SALES} JOIN orders ON o_orderkey = o WHERE o BETWEEN 200 AND 900 OR o % 1000 = 7""")
+def store_rows(spark, d):
+    """Rows of a stored grid by key: a run of them, and points; only files whose zones they meet are opened."""
+    path = scratch(spark)
+    g = sales(spark, d)
+    store.write(Grid(g.obs, g.var, {None: g.elements[None]}), path)
+    most = g.obs.df.agg(F.max(KEY)).first()[0]
+    points = store.Keys.of([k for k in range(7, most + 1, 1000) if not 200 <= k <= 900])
+    parts = [store.read(spark, path, elements=["X"], keys=k) for k in (store.Keys.between(200, 900), points)]
+    both = [p.X.df.join(p.obs.df.select(F.col(KEY).alias("o"), F.col("o_orderpriority").alias("priority")), "o").select("o", "v", "value", "priority") for p in parts]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS since, count(*) AS n FROM orders GROUP BY 1")
+def store_versions(spark, d):
+    """A stored grid before and after an append, both read at the end."""
+    path = scratch(spark)
+    g = sales(spark, d)
+    even = F.col(KEY) % 2 == 0
+    store.write(Grid(g.obs, g.var, {None: g.elements[None]})[even], path)
+    store.append(path, Grid(g.obs, g.var, {None: g.elements[None]})[~even])
+    before, after = (store.read(spark, path, version=v).obs.df.select(KEY) for v in (1, 2))
+    seen = after.join(before.withColumn("_old", F.lit(True)), KEY, "left")
+    return seen.groupBy(F.when(F.col("_old"), "old").otherwise("new").alias("since")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS n_obs, (SELECT count(*) FROM " + SALES + ") AS cells, (SELECT sum(value) FROM " + SALES + ") AS total FROM orders")
 def append_rows(spark, d):
     path = scratch(spark)
