@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.operators.dictionary import Dictionary
 from gridlake.session import materialise, settings
 
 KEY, NAME, ORD = "_key", "_name", "_ord"
@@ -67,13 +68,14 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
 
-def distinct_values(rows: DataFrame, column: str) -> list:
-    """The distinct values of a category column; more than max_categories raise."""
-    most = settings().max_categories
-    got = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(got) > most:
-        raise ValueError(f"{column!r} has more than {most} values; raise max_categories to allow it")
-    return got
+def used_values(rows: DataFrame, column: str, known: tuple[str, ...]) -> set[str]:
+    """Which of some values a column has: no more come to the driver than are there already."""
+    values = rows.select(F.col(f"`{column}`").alias("value"))
+    if len(known) <= 1000:
+        found = values.where(F.col("value").isin(*known)) if known else values.where(F.lit(False))
+    else:
+        found = values.join(rows.sparkSession.createDataFrame([(v,) for v in known], "value string"), "value", "left_semi")
+    return {r[0] for r in found.distinct().collect()}
 
 
 #: A slice of so many first rows is taken without sorting all of them.
@@ -85,7 +87,7 @@ class Axis:
     df: DataFrame
     #: Is this every row that elements may have? Then elements need no join.
     full: bool = True
-    categories: dict[str, Categories] = field(default_factory=dict)
+    categories: dict[str, Categories | Dictionary] = field(default_factory=dict)
     #: A pending slice over `df`'s positions, composed without a job.
     window: range | None = None
     _n: int | None = None
@@ -364,9 +366,7 @@ class Axis:
             return self
         categories = self.categories
         if categories and settings().remove_unused_categories:
-            rows = self.rows
-            used = {c: set(distinct_values(rows, c)) for c in categories}
-            categories = {c: Categories(tuple(x for x in v.values if x in used[c]), v.ordered) for c, v in categories.items()}
+            categories = {c: self.used_categories(c) for c in categories}
         return Axis(self.rows.drop(FROM), True, categories)
 
     # Links from elements to this axis
@@ -386,7 +386,12 @@ class Axis:
         """Labels that occur more than once, and how often."""
         return self.rows.groupBy(NAME).agg(F.count("*").alias("n")).where("n > 1")
 
-    def used_categories(self, column: str) -> list[str]:
-        """Categories that still occur, in category order (the distinct values of one category column)."""
-        used = set(distinct_values(self.rows, column))
-        return [c for c in self.categories[column].values if c in used] if column in self.categories else sorted(used)
+    def used_categories(self, column: str) -> Categories | Dictionary:
+        """The categories of a column that still occur, in their order; a column without categories has those that Dictionary.of() gives it."""
+        cats = self.categories.get(column)
+        if cats is None:
+            return Dictionary.of(self.rows, column)
+        if isinstance(cats, Dictionary):
+            return cats.kept(self.rows, column)
+        used = used_values(self.rows, column, cats.values)
+        return Categories(tuple(x for x in cats.values if x in used), cats.ordered)

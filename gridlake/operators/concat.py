@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StructType
 from gridlake.functions.names import natural_key
 from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, same_rows
 from gridlake.operators.blocks import Blocks, stacked
+from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
@@ -34,13 +35,18 @@ def _source_key(i: int, column: str):
     return F.struct(F.lit(i).alias("src"), F.col(column).alias("key"))
 
 
-def unified_categories(axes: list[Axis], column: str) -> Categories | None:
+def unified_categories(axes: list[Axis], column: str) -> Categories | Dictionary | None:
     """Categories of a concatenated column: the union in natural order; ordered only if all are the same; none if
     an input that has the column has no categories for it."""
     having = [a for a in axes if column in a.columns]
     cats = [a.categories.get(column) for a in having]
     if not cats or any(c is None for c in cats):
         return None
+    if any(isinstance(c, Dictionary) for c in cats):
+        tables = [c if isinstance(c, Dictionary) else Dictionary.of_values(axes[0].df.sparkSession, c.values, c.ordered) for c in cats]
+        if any(t.ordered for t in tables):
+            return tables[0] if all(tables[0].same_as(t) for t in tables[1:]) else None
+        return tables[0] if all(t is tables[0] for t in tables) else tables[0].union(*tables[1:])
     if all(c == cats[0] for c in cats):
         return cats[0]
     if any(c.ordered for c in cats):

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.names import make_unique, natural_key
-from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, distinct_values, same_rows, with_positions
+from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, same_rows, with_positions
 from gridlake.operators.blocks import Blocks
+from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.merge import equal
 from gridlake.session import settings
@@ -226,16 +227,15 @@ class Grid:
         """Drop categories that no row has, and their entries in a list `<column>_colors` of uns."""
         axis, uns, cats = self.axis(side), dict(self.uns), {}
         for c, old in axis.categories.items():
-            used = axis.used_categories(c)
-            cats[c] = Categories(tuple(used), old.ordered)
-            uns |= self._colors(c, old.values, used)
+            cats[c] = axis.used_categories(c)
+            uns |= self._colors(c, old, cats[c])
         return replace(self, uns=uns, **{side: replace(axis, categories=cats)})
 
     def _colors(self, column: str, old, used) -> dict[str, list]:
-        """The entries of uns' list of colours that go with the categories used."""
+        """The entries of uns' list of colours that go with the categories used; a table of categories has no such list."""
         colors = self.uns.get(f"{column}_colors")
-        fits = isinstance(colors, list) and len(colors) == len(old)
-        return {f"{column}_colors": [x for x, v in zip(colors, old) if v in set(used)]} if fits else {}
+        fits = isinstance(old, Categories) and isinstance(colors, list) and len(colors) == len(old.values)
+        return {f"{column}_colors": [x for x, v in zip(colors, old.values) if v in set(used.values)]} if fits else {}
 
     def realised(self) -> Grid:
         """This view as a grid in its own right: axes have just these rows, elements speak of their keys."""
@@ -245,7 +245,7 @@ class Grid:
         obs, var, uns = self.obs.own(), self.var.own(), dict(self.uns)
         for old, new in ((self.obs, obs), (self.var, var)):
             for c in old.categories:
-                uns |= self._colors(c, old.categories[c].values, new.categories[c].values)
+                uns |= self._colors(c, old.categories[c], new.categories[c])
         return replace(self, obs=obs, var=var, uns=uns, elements=self.layers, obsm_=self.obsm, varm_=self.varm, obsp_=self.obsp, varp_=self.varp,
                        raw_=raw and replace(raw, var=raw.var.own()))
 
@@ -358,6 +358,12 @@ class Grid:
     def categories_renamed(self, side: str, column: str, new: Mapping[str, str] | list[str]) -> Grid:
         axis = self.axis(side)
         old = axis.categories[column]
+        if isinstance(old, Dictionary):
+            if not isinstance(new, Mapping):
+                raise TypeError("a table of categories is renamed by a mapping")
+            table = F.create_map(*(F.lit(x) for kv in new.items() for x in kv)) if new else None
+            df = axis.df.withColumn(column, F.coalesce(F.try_element_at(table, F.col(column)), F.col(column))) if new else axis.df
+            return replace(self, **{side: replace(axis, df=df, categories={**axis.categories, column: old.renamed(new)})})
         names = dict(zip(old.values, new)) if isinstance(new, list) else dict(new)
         if isinstance(new, list) and len(new) != len(old.values):
             raise ValueError(f"{len(new)} names for {len(old.values)} categories")
@@ -382,7 +388,9 @@ class Grid:
         found = {}
         for i, c in enumerate(text):
             if n[f"d{i}"] < n.n:
-                found[c] = Categories(tuple(sorted(distinct_values(axis.rows, c), key=natural_key)))
+                every = Dictionary.of(axis.rows, c)
+                small = n[f"d{i}"] <= settings().local_categories
+                found[c] = Categories(tuple(sorted((r.value for r in every.table.select("value").collect()), key=natural_key))) if small else every
         return replace(self, **{side: replace(axis, categories={**axis.categories, **found})})
 
     # Chunks

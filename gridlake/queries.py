@@ -16,7 +16,7 @@ from gridlake.operators.element import Aligned, Matrix, Pairs, from_rows, to_row
 from gridlake.operators.grid import Grid
 from gridlake.operators.merge import merge_maps
 from gridlake.plans.refs import A
-from gridlake.session import materialise
+from gridlake.session import materialise, override
 from gridlake.sources import store, text, zarr
 
 QUERIES: dict = {}
@@ -436,6 +436,15 @@ def strings_to_categoricals(spark, d):
     return spark.createDataFrame([(c, ",".join(sorted(v.values))) for c, v in got.items()], "col string, categories string")
 
 
+@query("""SELECT v AS value, row_number() OVER (ORDER BY substr(v, 4)::BIGINT) - 1 AS code FROM (SELECT DISTINCT source AS v FROM documents WHERE lang = 'fr' OR doc_id % 11 = 3)""")
+def category_tables(spark, d):
+    """Categories kept as tables: of two selections, concatenated, in natural order."""
+    a = Axis.of(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    with override(local_categories=3):
+        g = Grid(a, Axis.of_names(spark, ["x"])).strings_categorised()
+    return concat([g[F.col("lang") == "fr"], g[F.col(KEY) % 11 == 3]]).obs.categories["source"].coded()
+
+
 @query("SELECT vec_id AS key, label AS value FROM embeddings")
 def ref_obs_column(spark, d):
     return vectors(spark, d)[A.resolve("obs.label")].select(F.col(KEY).alias("key"), "value")

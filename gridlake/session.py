@@ -24,8 +24,9 @@ class Settings:
     check_uniqueness: bool = True
     disallow_slash_in_keys: bool = True
     restrict_index_types: bool = True
-    #: More distinct values than this are not collected for a category column, nor more rows by to_memory().
-    max_categories: int = 100_000
+    #: Categories of a column are kept on the driver up to so many, and as a table (a Dictionary) beyond.
+    local_categories: int = 100_000
+    #: to_memory() refuses more rows than these.
     max_local_rows: int = 5_000_000
     #: More cells than this are not made when a fill value makes a sparse concatenation dense.
     max_filled_cells: int = 10_000_000_000

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridlake.operators.axis import KEY, NAME, Axis, Categories
 from gridlake.operators.blocks import Blocks
+from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw, check_key
 
@@ -38,7 +39,11 @@ def register(encoding: str, write: Callable[[Any], DataFrame], read: Callable[[D
     ENCODINGS[encoding] = (write, read)
 
 
-register("axis", lambda a: a.rows, lambda df, e: Axis(df, True, {c: Categories(tuple(v["values"]), v["ordered"]) for c, v in e.get("categories", {}).items()}, None, e.get("n")))
+def _categories(df: DataFrame, v: dict, base: str) -> Categories | Dictionary:
+    return Dictionary(df.sparkSession.read.parquet(f"{base}/{v['table']}"), v["ordered"]) if "table" in v else Categories(tuple(v["values"]), v["ordered"])
+
+
+register("axis", lambda a: a.rows, lambda df, e: Axis(df, True, {c: _categories(df, v, e.get("base", "")) for c, v in e.get("categories", {}).items()}, None, e.get("n")))
 register("sparse-matrix", lambda m: m.df, lambda df, e: Matrix(df, True))
 register("block-matrix", lambda b: b.blocks, lambda df, e: Blocks(df, tuple(e["columns"])))
 register("dense-matrix", lambda m: m.df, lambda df, e: Matrix(df, False))
@@ -202,7 +207,7 @@ def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSessi
     entry: dict[str, Any] = {"encoding-type": enc, "encoding-version": VERSION}
     if enc == "axis":
         df = df.drop("_from")
-        entry |= {"categories": {c: {"values": list(v.values), "ordered": v.ordered} for c, v in x.categories.items()}}
+        entry |= {"categories": {c: {"values": list(v.values), "ordered": v.ordered} for c, v in x.categories.items() if isinstance(v, Categories)}}
     if enc == "block-matrix":
         entry["columns"] = list(x.columns)
     if enc == "aligned-array":
@@ -211,6 +216,9 @@ def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSessi
     where = path if folder is None else f"{path}/{folder}"
     try:
         (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.mode(mode).parquet(where)
+        for i, (c, v) in enumerate(x.categories.items() if enc == "axis" else ()):
+            if isinstance(v, Dictionary):
+                entry["categories"][c] = _put_dictionary(where, f"{folder}/" if folder else "", i, v)
         if folder is not None:
             entry["folders"] = [folder]
             if order:
@@ -221,6 +229,12 @@ def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSessi
     return entry
 
 
+def _put_dictionary(where: str, folder: str, i: int, v: Dictionary) -> dict:
+    """A table of categories beside the axis that has them, where scans of the axis don't see it."""
+    v.table.write.mode("overwrite").parquet(f"{where}/_categories/{i}")
+    return {"table": f"{folder}_categories/{i}", "ordered": v.ordered}
+
+
 def _write_zones(spark: SparkSession, where: str, column: str) -> None:
     """The least and the largest key of each file: one pass over the key column."""
     zones = spark.read.parquet(where).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"))
@@ -257,7 +271,7 @@ def read_elem(spark: SparkSession, path: str, entry: dict, keys: Keys | None = N
     if enc not in ENCODINGS:
         raise KeyError(f"unknown encoding {enc!r} of {path}")
     try:
-        return ENCODINGS[enc][1](_frame(spark, path, entry, keys), entry if keys is None else {k: v for k, v in entry.items() if k != "n"})
+        return ENCODINGS[enc][1](_frame(spark, path, entry, keys), {k: v for k, v in entry.items() if keys is None or k != "n"} | {"base": path})
     except Exception as e:
         e.add_note(f"while reading element {path}")
         raise
@@ -372,8 +386,11 @@ def append(path: str, g: Grid) -> None:
         for where in ("obs", *have):
             entries[where] = {k: v for k, v in entries[where].items() if k != "n"} | {"folders": [*entries[where]["folders"], folder]}
         stored = entries["obs"].get("categories", {})
-        for c, cats in g.obs.categories.items():
-            if c in stored:
+        for i, (c, cats) in enumerate(g.obs.categories.items()):
+            if c in stored and (isinstance(cats, Dictionary) or "table" in stored[c]):
+                table = lambda v: v if isinstance(v, Dictionary) else Dictionary.of_values(spark, v.values)
+                stored[c] = _put_dictionary(f"{path}/obs/{folder}", f"{folder}/", i, table(old.obs.categories[c]).union(table(cats)))
+            elif c in stored:
                 stored[c]["values"] += [v for v in cats.values if v not in stored[c]["values"]]
         _publish(spark, path, manifest["version"], manifest)
     except BaseException:

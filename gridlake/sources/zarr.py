@@ -36,8 +36,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.window import Window
 
 from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, with_positions
+from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid
+from gridlake.session import materialise, settings
 
 #: Values of a 1-D chunk, and of a dense chunk of rows.
 CHUNK = 1 << 16
@@ -326,7 +328,7 @@ class DenseReader(ElementReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + chunk * a.chunks[0]), lists], [KEY, "value"])
                 continue
             i, j = chunk
-            block = a.read(self.store, i, j) if two else np.asarray(a.read(self.store, i))[:, None]
+            block = a.read(self.store, i, j) if two else np.asarray(a.read(self.store, i), object if a.dtype == "O" else None)[:, None]
             n, w = block.shape
             at = np.arange(n) + i * a.chunks[0]
             keep = self.bounds["o"].mask(at)
@@ -518,16 +520,17 @@ class Sink:
         kind = "string-array" if dtype == "O" else "array"
         self.array(df, name, (n,), (max(1, min(self.chunk, n)),), ("pos",), dtype, "" if dtype == "O" else 0, **{"encoding-type": kind, "encoding-version": "0.2.0"} | attrs)
 
-    def column(self, df: DataFrame, name: str, n: int, categories: Categories | None, nulls: bool) -> None:
+    def column(self, df: DataFrame, name: str, n: int, categories: Categories | Dictionary | None, nulls: bool) -> None:
         kind = df.schema["value"].dataType.simpleString()
         if kind not in TYPES:
             kind = "double" if kind.startswith("decimal") else "string"
             df = df.withColumn("value", F.col("value").cast(kind))
         dtype = TYPES.get(kind, "O")
         if categories is not None:
-            codes = self.spark.createDataFrame([(v, i) for i, v in enumerate(categories.values)], "value string, code int")
-            self.line(codes.select(F.col("code").cast("long").alias("pos"), "value"), f"{name}/categories", len(categories.values), "O")
-            self.line(df.join(codes, "value", "left").select("pos", F.coalesce("code", F.lit(-1)).alias("value")), f"{name}/codes", n, "<i4")
+            table = isinstance(categories, Dictionary)
+            codes = materialise(categories.coded()) if table else self.spark.createDataFrame([(v, i) for i, v in enumerate(categories.values)], "value string, code int")
+            self.line(codes.select(F.col("code").cast("long").alias("pos"), "value"), f"{name}/categories", codes.count() if table else len(categories.values), "O")
+            self.line(df.join(codes, "value", "left").select("pos", F.coalesce(F.col("code").cast("int"), F.lit(-1)).alias("value")), f"{name}/codes", n, "<i4")
             self.group(name, **{"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": categories.ordered})
         elif nulls and kind not in ("double", "float"):
             empty = F.lit("") if dtype == "O" else F.lit(0).cast(kind)
@@ -663,6 +666,9 @@ def read_zarr(spark: SparkSession, path: str, elements: list[str] | None = None)
             kind = store.attributes(f"{side}/{c}")
             if kind.get("encoding-type") == "categorical" and column_type(store, f"{side}/{c}") == "string":
                 values = Array.load(store, f"{side}/{c}/categories")
+                if values.shape[0] > settings().local_categories:
+                    cats[c] = Dictionary.at_places(read_element(spark, path, f"{side}/{c}/categories").select("o", "value"), "o", bool(kind.get("ordered")))
+                    continue
                 cats[c] = Categories(tuple(map(str, values.part(store, 0, values.shape[0]))), bool(kind.get("ordered")))
         index = f"{side}/{attrs.get('_index', '_index')}"
         return Axis(read_element(spark, path, side), True, cats, None, (Array.load(store, index) or Array.load(store, f"{index}/values")).shape[0])
