@@ -83,7 +83,7 @@ def folded(keyed: DataFrame, repeats: int = REPEATS) -> tuple[DataFrame, int]:
     return keyed.join(often, same, "left_anti").unionByName(keyed.join(often, same, "left_semi").groupBy("_id", "_th").agg(F.min("text").alias("text"))), size
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list: the smallest node reachable.
 
     Alternating large-star and small-star rounds: each round is two aggregations over the edges, and a
@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = cut(
         edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
     )
-    for _ in range(max_rounds):
+    while True:  # the sum of all nodes' smallest neighbours falls with each round, so it settles
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -114,7 +114,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not bad:
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
                 e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-    raise RuntimeError("connected components did not settle")
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

@@ -11,7 +11,10 @@ edges: a one-word paragraph, or one that is all link, is boilerplate by itself a
 and a long line between the links of a menu goes with the menu. Elements such as nav and footer, and class and id names
 that are words for boilerplate, weigh more than any prose; a vaguer name (related-work, has-sidebar) weighs less than
 prose. Where nearly all of a page's prose stands inside elements of such names, or of a form, these are
-wrappers, and their weight falls with their share of the page's text. Only what is never shown as text (controls, hidden
+wrappers, and their weight falls with their share of the page's text; and words that layouts use for anything (widget,
+posts) weigh the less the more of the page's prose stands in elements of that name, so that prose can outweigh them.
+Reader comments without a telling name are known by their head (`12 responses`, or `Comments` over entries that repeat
+with a date or a reply link): what follows it under the same parent counts as named. Only what is never shown as text (controls, hidden
 elements, raw elements) is left out before.
 
 Defined results: null or empty html, or a page without content, gives the empty text; null ids and urls are kept;
@@ -61,6 +64,12 @@ BAD = frozenset(
 #: Those that say little in a name with other words, and words that turn a name into one for what is around.
 VAGUE = frozenset("related recommended recommendations side share sharing social notice notices alert search legal copyright disclaimer tags rail skip reply replies respond paging pager login posts stories links".split())
 AROUND = frozenset("has with no without open".split())
+#: Those that layouts also use for their text.
+LOOSE_WORDS = frozenset("widget widgets posts stories links teaser teasers side rail banner overlay modal".split()) | VAGUE
+#: Heads of reader comments: with a number, and without one over entries that have a mark of an entry.
+COUNTED = re.compile(r"\(?\d+\)?\s+(?:reader\s+)?(?:responses?|comments?|replies|reply|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)(?:\s+(?:to|on|zu|sur|a)\s.*)?", re.I)
+BARE = re.compile(r"(?:(?:reader|user|your)\s+)?(?:comments|responses|replies|discussion|kommentare|commentaires|comentarios)(?:\s*\(\d+\))?:?", re.I)
+ENTRY = re.compile(r"\b(?:says|said|wrote|ago|reply|\d{4}-\d\d?-\d\d?|\d\d?[:.]\d\d|\d\d?[./]\d\d?[./]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d)", re.I)
 #: Words that name a site's head; inside an article they may hold its title.
 HEAD_WORDS = frozenset("header masthead topbar hero".split())
 GOOD = frozenset("article content entry post story body text main prose markdown".split())
@@ -75,11 +84,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Element:
     """One element. Filled in by weigh: cost (of its own and all around it), share of text."""
 
-    __slots__ = ("tag", "parent", "depth", "hidden", "side", "named", "head", "main", "good", "size", "words", "inside", "cost", "list")
+    __slots__ = ("tag", "parent", "depth", "hidden", "side", "named", "loose", "head", "main", "good", "size", "words", "prose", "inside", "cost", "list")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.size = self.words = 0
+        self.size = self.words = self.prose = 0
+        self.loose: dict[str, float] = {}
         self.hidden, self.main, self.side, self.head = tag in DROP, tag in MAIN, tag in SIDE, tag == "header"
         self.named = float(BOILERPLATE) if tag in FORM else 0.0
         self.good = False
@@ -103,7 +113,11 @@ class Element:
         if words:
             share = sum(w in BAD for w in words) / len(words)
             clear = share == 1 or (any(w in BAD and w not in VAGUE for w in words) and AROUND.isdisjoint(words))
-            self.named = max(self.named, BOILERPLATE if clear else MIXED * share * share)
+            weight = float(BOILERPLATE) if clear else MIXED * share * share
+            if weight and LOOSE_WORDS.issuperset(w for w in words if w in BAD):
+                self.loose[one] = weight
+            else:
+                self.named = max(self.named, weight)
             self.head |= any(w in HEAD_WORDS for w in words)
             self.good |= any(w in GOOD for w in words)
 
@@ -184,8 +198,9 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
             continue
         if tag in RAW and not end:
             flush() if tag not in ("script", "style") else None
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = stop.end() if stop else len(html)
+            stop = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            at = html.find(">", stop.end()) + 1 if stop else 0
+            at = at or len(html)
             continue
         flush()
         if end:
@@ -219,6 +234,7 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
 
 def weigh(found: list[Block], made: list[Element]) -> None:
     """Sets each element's cost, from its own evidence and that of all around it."""
+    name_comments(found, made)
     holds_main = set()
     for x in reversed(made):  # what holds an article is no page head
         if x.parent and (x.main or x in holds_main):
@@ -230,7 +246,7 @@ def weigh(found: list[Block], made: list[Element]) -> None:
         x.inside = x.main or bool(up and up.inside)
         x.good |= bool(up and up.good)
         x.head &= not x.inside and x not in holds_main
-        clean[x] = clean[up] and not (x.hidden or x.side or x.head or x.named)
+        clean[x] = clean[up] and not (x.hidden or x.side or x.head or x.named or x.loose)
     prose = total = 0
     main = False
     for b in found:
@@ -240,6 +256,7 @@ def weigh(found: list[Block], made: list[Element]) -> None:
             total += len(b.text)
             if b.at:
                 b.at.size += len(b.text)
+                b.at.prose += b.words if b.words >= NEUTRAL and 2 * b.link < len(b.text) else 0
             if clean[b.at]:
                 prose += b.words if b.words >= NEUTRAL and 2 * b.link < len(b.text) else 0
                 main |= bool(b.at and b.at.inside)
@@ -247,12 +264,55 @@ def weigh(found: list[Block], made: list[Element]) -> None:
         if x.parent:
             x.parent.size += x.size
             x.parent.words += x.words
+            x.parent.prose += x.prose
+    share = shares(made, sum(x.prose for x in made if x.parent is None))
+    for x in made:
+        x.named = max([x.named, *(w * (1 - share[one]) ** 2 for one, w in x.loose.items())])
     wrapped = not main and prose < PROSE
     for x in made:
         own = max(BOILERPLATE if x.side or x.head else 0, x.named * (1 - x.size / total) ** 2 if wrapped and total else x.named)
         x.cost = HARD if x.hidden else min(BOILERPLATE, own + (x.parent.cost if x.parent else 0))
 
 
+def shares(made: list[Element], total: int) -> dict[str, float]:
+    """For each name of loose words, the share of the page's prose in elements of that name, nested ones once."""
+    at = {x: i for i, x in enumerate(made)}
+    last = list(range(len(made)))
+    for x in reversed(made):
+        if x.parent:
+            last[at[x.parent]] = max(last[at[x.parent]], last[at[x]])
+    seen: dict[str, int] = {}
+    got: dict[str, float] = {}
+    for i, x in enumerate(made):
+        for one in x.loose:
+            if i > seen.get(one, -1):
+                seen[one] = last[i]
+                got[one] = got.get(one, 0.0) + x.prose / max(1, total)
+    return got
+
+
+def name_comments(found: list[Block], made: list[Element]) -> None:
+    """Reader comments by their head: the elements after it under its parent count as named, and so does the head."""
+    heads = [b for b in found if b.at and b.at.parent and b.words <= 12 and (COUNTED.fullmatch(b.text) or BARE.fullmatch(b.text))]
+    if not heads:
+        return
+    below: dict[Element, list[Element]] = {}
+    for x in made:
+        if x.parent:
+            below.setdefault(x.parent, []).append(x)
+    marks = {id(b.at) for b in found if b.words <= 12 and ENTRY.search(b.text)}
+    marked: dict[Element, bool] = {}
+    for x in reversed(made):
+        marked[x] = id(x) in marks or x.tag == "time" or any(marked[y] for y in below.get(x, ()))
+    for b in heads:
+        after = below[b.at.parent]
+        after = after[after.index(b.at) + 1 :]
+        entries = [y for x in after for y in ([x] if x.tag not in LISTS else below.get(x, []))]
+        if COUNTED.fullmatch(b.text) and entries or sum(marked[y] for y in entries) > 1:
+            for x in (b.at, *after):
+                x.named = float(BOILERPLATE)
+
+
 def balance(b: Block) -> int:
     """Capacity from the source less capacity to the sink: above zero for content."""
     x = b.at

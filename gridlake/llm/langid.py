@@ -7,8 +7,9 @@ A batch of texts is scored as (presence matrix) x (landmark presence, weighted):
 has to be held, because (B L') A = B (L' A).
 
 The classifier is fitted on a bounded sample of labelled rows: LANDMARKS_PER_LANG and about TRAIN_PER_LANG rows a
-language, chosen by a hash of id and text (equal texts count once), for the MAX_LANGS most frequent labels. Everything
-else covers every row and whole texts.
+language, chosen by a hash of id and text (equal texts count once). Every label is learned, however many there are: all
+share the landmarks (LANDMARKS at most, so that with many labels each gives fewer), and as one-versus-rest systems are
+independent, labels are solved in blocks of BLOCK over the same kernel. Everything else covers every row and whole texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0; null labels and null ids do not train
 (a null id is not held out either); repeated rows get equal results; other columns are ignored; without any
@@ -33,8 +34,9 @@ RIDGE = 1e-4
 UNKNOWN = "und"
 #: Pipeline: a document goes if its language is unknown or the score is below this.
 MIN_SCORE = 0.25
-#: Labels that are learned at most, the most frequent ones.
-MAX_LANGS = 256
+#: Landmarks of all languages together, and labels whose systems are summed in one pass.
+LANDMARKS = 4096
+BLOCK = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(r"[\W\d_]+")
@@ -91,20 +93,21 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        landmarks_per_lang: int = LANDMARKS_PER_LANG, train_per_lang: int = TRAIN_PER_LANG, ridge: float = RIDGE) -> Model | None:
+        landmarks_per_lang: int = LANDMARKS_PER_LANG, train_per_lang: int = TRAIN_PER_LANG, ridge: float = RIDGE, landmarks: int = LANDMARKS, block: int = BLOCK) -> Model | None:
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
+    landmarks_per_lang = max(1, min(landmarks_per_lang, landmarks // len(langs)))
 
     def sets(batches):
         for b in batches:
             g = [grams(t).tobytes() if _LETTER.search(t) else b"" for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), b.column(1)], ["g", "lang"])
 
-    few = _chosen(labelled, counts, landmarks_per_lang, 1).orderBy("h", "lang").limit(2 * landmarks_per_lang * len(langs))
+    few = _chosen(labelled, counts, landmarks_per_lang, 1).orderBy("h", "lang").limit(min(2 * landmarks_per_lang * len(langs), max(landmarks, 2 * landmarks_per_lang)))
     marks = few.select("text", "lang").mapInArrow(sets, "g binary, lang string").where(
         F.length("g") > 0).collect()  # bounded by the limit
     own = [np.frombuffer(r.g, np.uint32) for r in sorted(marks, key=lambda r: (r.lang, r.g))]
@@ -115,35 +118,49 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for i, g in enumerate(own):
         land[i, np.searchsorted(vocab, g)] = 1 / np.sqrt(len(g))
     kernel = land.astype(np.float64) @ land.T
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, land, langs))  # bounded by the landmarks
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, land))  # bounded by the landmarks
+    m = len(own)
+    sample = _chosen(labelled, counts, train_per_lang, 2).select("text", "lang").repartition(8)
+    weights, gram, n = [], None, 0
+    for i in range(0, len(langs), block):
+        some = langs[i : i + block]
+        kk, ky, rows = np.zeros((m, m)), np.zeros((m, len(some))), 0
+        for r in sample.mapInArrow(_sums(shared, some, gram is None), "kk binary, ky binary, n long").toLocalIterator():  # at most eight rows of a fixed size
+            if r.kk:
+                kk += np.frombuffer(r.kk).reshape(m, m)
+            ky += np.frombuffer(r.ky).reshape(m, -1)
+            rows += r.n
+        if gram is None:
+            gram, n = kk, rows
+        alpha = np.linalg.solve(gram + ridge * max(n, 1) * kernel + 1e-8 * np.trace(kernel) / m * np.eye(m), ky)
+        weights.append((land.T @ alpha).astype(np.float32))
+    shared.unpersist()
+    return Model(langs, vocab, np.concatenate(weights, axis=1))
+
+
+def _sums(shared, some: list[str], first: bool):
+    """Kernel rows times themselves (once, for all labels) and times the targets of some labels, summed over a task's texts."""
 
-    def sums(batches):
-        vocab, land, langs = shared.value
-        m = len(land)
-        kk, ky, n = np.zeros((m, m)), np.zeros((m, len(langs))), 0
+    def run(batches):
+        vocab, land = shared.value
+        m, at = len(land), {lang: i for i, lang in enumerate(some)}
+        kk, ky, n = np.zeros((m, m)), np.zeros((m, len(some))), 0
         for b in batches:
             for i in range(0, b.num_rows, 128):
-                rows = [(t, y) for t, y in zip(*(c.to_pylist() for c in b.slice(i, 128).columns)) if y in langs]
-                if not rows:
-                    continue
-                k = Model(langs, vocab, np.ascontiguousarray(land.T)).score([t for t, _ in rows]).astype(np.float64)
-                y = np.array([[float(x == lang) for lang in langs] for _, x in rows])
-                kk += k.T @ k
+                texts, labels = (c.to_pylist() for c in b.slice(i, 128).columns)
+                k = Model([], vocab, np.ascontiguousarray(land.T)).score(texts).astype(np.float64)
+                y = np.zeros((len(texts), len(some)))
+                for row, lang in enumerate(labels):
+                    if lang in at:
+                        y[row, at[lang]] = 1
+                if first:
+                    kk += k.T @ k
                 ky += k.T @ y
-                n += len(rows)
+                n += len(texts)
         if n:
-            yield pa.RecordBatch.from_pydict({"kk": pa.array([kk.tobytes()], pa.binary()), "ky": pa.array([ky.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kk": pa.array([kk.tobytes() if first else b""], pa.binary()), "ky": pa.array([ky.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-    m = len(own)
-    kk, ky, n = np.zeros((m, m)), np.zeros((m, len(langs))), 0
-    partial = _chosen(labelled, counts, train_per_lang, 2).select("text", "lang").repartition(8).mapInArrow(sums, "kk binary, ky binary, n long")
-    for r in partial.toLocalIterator():  # at most eight rows of a fixed size
-        kk += np.frombuffer(r.kk).reshape(m, m)
-        ky += np.frombuffer(r.ky).reshape(m, -1)
-        n += r.n
-    shared.unpersist()
-    alpha = np.linalg.solve(kk + ridge * max(n, 1) * kernel + 1e-8 * np.trace(kernel) / m * np.eye(m), ky)
-    return Model(langs, vocab, (land.T @ alpha).astype(np.float32))
+    return run
 
 
 def _judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -121,3 +121,50 @@ def test_class_words_are_a_finite_cost():
     teaser = "<article><h3>Other story</h3><p>What the other story is about, told in some more words than one line has</p></article>"
     page = f"<body><main><article>{f'<p>{body}</p>' * 6}</article></main><section class='related'>{teaser * 3}</section></body>"
     assert html.main_text(page).split("\n\n") == [body] * 6
+
+
+def test_prose_outweighs_loose_class_words():
+    for name in ("elementor-widget elementor-widget-text-editor", "posts", "stories", "rail"):
+        page = f"<body><nav><a href=a>Home</a></nav><p>{BODY} Lead.</p><div class='{name}'><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div><footer>© 2020 Us</footer></body>"
+        assert html.main_text(page).split("\n\n") == [BODY + " Lead.", BODY, BODY, BODY]
+    page = f"<body><div class='posts'><h2>Head</h2><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div><p>{BODY}</p><div class='posts'><ul>{'<li><a href=x>Another story</a></li>' * 5}</ul></div></body>"
+    assert html.main_text(page).split("\n\n") == ["Head", BODY, BODY, BODY, BODY]
+
+
+def test_comments_without_a_telling_name():
+    entry = f"<div class='c'><b>Ann</b> <time>2024-05-01 10:30</time><p>{BODY}</p></div>"
+    for head, entries in (("<h3>12 responses</h3>", entry * 3), ("<h3>Comments</h3>", entry * 3), ("<p>3 comments on this story</p>", f"<ol>{entry.replace('div', 'li') * 3}</ol>"), ("<h4>2 Kommentare</h4>", entry * 2)):
+        page = f"<body><div><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div><div>{head}{entries}</div></body>"
+        assert html.main_text(page).split("\n\n") == ["Head", BODY, BODY]
+    page = f"<article><h1>Python</h1><p>{BODY}</p><h2>Comments</h2><p>{BODY}</p><p>{BODY}</p></article>"
+    assert html.main_text(page).split("\n\n") == ["Python", BODY, "Comments", BODY, BODY]
+
+
+def test_raw_text_takes_linear_time():
+    t = time.perf_counter()
+    assert html.main_text("<script>" + "</script " * 110_000) == "" and html.main_text(f"<p>{BODY}</p><style>" + "</style" * 100_000 + ">") == BODY
+    assert time.perf_counter() - t < 1
+
+
+def test_whole_pages_against_all_cuts():
+    """From html to text, with every labelling of a page's blocks tried: the cheapest, and of equal ones the one that keeps most."""
+    r = random.Random(7)
+    bits = ["<p>{b}</p>", "<p>Short.</p>", "<li><a href=x>Link text</a></li>", "<div class='sidebar'><p>{b}</p></div>", "<h2>Head</h2>", "<div class='widget'><p>{b}</p></div>", "<ul><li>one<li>two words</ul>",
+            "<p>© 2020 Us</p>", "<nav><a href=a>Home</a></nav>", "<article><p>{b}</p></article>", "<p hidden>{b}</p>", "<form><p>Your name</p></form>"]
+    for _ in range(150):
+        body = "".join(r.choice(bits).format(b=" ".join(BODY.split()[: r.randrange(3, 23)])) for _ in range(r.randrange(1, 8)))
+        page = f"<body><div>{body}</div></body>"
+        found, made = html.blocks(page)
+        html.weigh(found, made)
+        found = [b for b in found if not (b.at and b.at.hidden)][:11]
+        if not found or len(found) > 10:
+            continue
+        u, e = [html.balance(b) for b in found], html.edges(found)
+        cost = lambda keep: sum(max(0, v) for v, k in zip(u, keep) if not k) + sum(max(0, -v) for v, k in zip(u, keep) if k) + sum(w for i, j, w in e if keep[i] != keep[j])  # noqa: E731, B023
+        best = min(itertools.product((False, True), repeat=len(u)), key=lambda k: (cost(k), -sum(k)))
+        assert html.main_text(page) == "\n\n".join(b.text for b, k in zip(found, best) if k)
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{BODY}</p>")] * 3, "page_id long, url string, html string")
+    assert [r.text for r in html.extract(df).collect()] == [BODY] * 3

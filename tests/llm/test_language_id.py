@@ -61,3 +61,16 @@ def test_repeated_labelled_rows(spark):
     df = spark.createDataFrame([(1, "one text that is there many times", "en")] * 5000 + [(2, "un autre texte", "fr"), (3, "ein Text", "de")], "doc_id long, text string, lang string")
     model = langid.fit(df)
     assert set(model.langs) <= {"en", "fr", "de"} and langid.identify(df, model).count() == 5002
+
+
+def test_every_label_is_learned(spark):
+    """300 labels with a word of their own each, more than one block holds, and more than landmarks give each its share."""
+    r = np.random.default_rng(4)
+    own = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for _ in range(300)]
+    rows = [(4 * i + k, f"{own[i]} {own[i][::-1]} {k}", f"l{i:03}") for i in range(300) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for landmarks in (4096, 900):
+        model = langid.fit(df, landmarks=landmarks, block=128)
+        assert len(model.langs) == 300 and model.weights.shape[1] == 300
+        out = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id")
+        assert out.where("lang = lang_pred").count() >= 1190
