@@ -15,6 +15,7 @@ from gridlake.operators.concat import concat, concat_axis
 from gridlake.operators.element import Aligned, Matrix, Pairs, from_rows, to_rows
 from gridlake.operators.grid import Grid
 from gridlake.operators.merge import merge_maps
+from gridlake.operators.stream import BatchStream
 from gridlake.plans.refs import A
 from gridlake.session import materialise, override
 from gridlake.sources import store, text, zarr
@@ -382,6 +383,17 @@ def filter_random(spark, d):
     return both.select(F.col("o.src").alias("src"), F.col("o.key").alias("o"), "v", "value")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey AS o, row_number() OVER (ORDER BY o_orderkey) - 1 AS at_ FROM orders)
+SELECT at_ // 500 AS batch, count(*) AS cells, sum(value) AS total, min(at_ % 500) AS first_place FROM {SALES} JOIN p USING (o) WHERE at_ // 500 >= 2 GROUP BY 1""")
+def batch_stream(spark, d):
+    """Batches of 500 orders, dealt to files once; what a cursor at the third batch has before it."""
+    g = sales(spark, d)
+    c = Collection(Grid(g.obs, g.var, {None: g.elements[None]}))
+    s = BatchStream.resume(spark, {**BatchStream.write(c, scratch(spark), 500).cursor(), "next": 2})
+    cells = spark.read.parquet(s.path).where(F.col("batch") >= s.next)
+    return cells.groupBy("batch").agg(F.count("*").alias("cells"), F.sum("value").alias("total"), F.min("place").alias("first_place"))
+
+
 # Reshape and references
 @query("SELECT l_partkey AS o, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY 1")
 def transpose_cells(spark, d):

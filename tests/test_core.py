@@ -150,24 +150,28 @@ def test_reference_rules():
 
 # Concatenation
 @pytest.fixture(scope="module")
-def abc(spark):
-    a = grid(spark, [[0, 2], [7, 1]], ["k1", "k2"], ["m", "n"], obs_cols={"kind": ["u", "v"]}, uns={"run": 3, "depth": 8, "info": {"x": 1, "y": 5}})
-    b = grid(spark, [[4, 1, 6], [9, 8, 3]], ["k3", "k4"], ["m", "n", "o"], obs_cols={"kind": ["v", "w"], "size": [0.5, 2.5]}, uns={"run": 3, "depth": 9, "info": {"x": 2, "y": 5}})
-    c = grid(spark, [[8, 5], [2, 11]], ["k1", "k2"], ["o", "p"], obs_cols={"kind": ["u", "v"]}, uns={"run": 3, "depth": 10, "info": {"y": 5, "z": 7}})
-    return a, b, c
-
-
-def test_inner_and_outer(abc):
-    a, b, c = abc
-    assert wide(concat([a, b])) == {"k1": {"m": 0, "n": 2}, "k2": {"m": 7, "n": 1}, "k3": {"m": 4, "n": 1}, "k4": {"m": 9, "n": 8}}
-    o = concat([a, b], join="outer")
-    assert names(o.var) == ["m", "n", "o"] and wide(o)["k1"] == {"m": 0, "n": 2, "o": 0} and o.obs.columns == ["kind", "size"]
-    assert wide(concat([a, b], join="outer", fill_value=-1.0))["k2"] == {"m": 7, "n": 1, "o": -1}
-    v = concat([a, c], axis="var")
-    assert wide(v) == {"k1": {"m": 0, "n": 2, "o": 8, "p": 5}, "k2": {"m": 7, "n": 1, "o": 2, "p": 11}}
-    assert wide(concat([concat([a, b]), concat([a, b])]))["k4"] == {"m": 9, "n": 8}
+def stalls(spark):
+    """Days at three market stalls by goods sold. Hall and quay share two goods, hall and pier one, quay and pier none but a day."""
+    hall = grid(spark, [[5, 0, 1], [0, 2, 2], [3, 3, 0]], ["mon", "tue", "wed"], ["pear", "fig", "leek"], obs_cols={"rain": ["yes", "no", "no"]}, uns={"city": "Kiel", "owner": "Ida", "open": {"at": 7, "till": 18}})
+    quay = grid(spark, [[8, 4]], ["sun"], ["leek", "fig"], obs_cols={"rain": ["hail"], "tide": [1.25]}, uns={"city": "Kiel", "owner": "Bo", "open": {"at": 7, "till": 14}, "fish": [3]})
+    pier = grid(spark, [[6, 1, 9, 0], [0, 0, 2, 7]], ["sun", "sat"], ["pear", "rope", "net", "oar"], obs_cols={"berth": [4, 5]}, uns={"city": "Kiel", "owner": "Ida", "boats": 2})
+    return hall, quay, pier
+
+
+def test_inner_and_outer(stalls):
+    hall, quay, pier = stalls
+    assert wide(concat([hall, quay])) == {"mon": {"fig": 0, "leek": 1}, "tue": {"fig": 2, "leek": 2}, "wed": {"fig": 3, "leek": 0}, "sun": {"fig": 4, "leek": 8}}
+    assert concat([hall, quay, pier]).shape == (6, 0) and names(concat([quay, hall]).var) == ["leek", "fig"]
+    every = concat([hall, quay, pier], join="outer")
+    assert names(every.var) == ["fig", "leek", "net", "oar", "pear", "rope"] and every.obs.columns == ["rain", "tide", "berth"] and every.n_obs == 6
+    assert wide(every)["sat"] == {"fig": 0, "leek": 0, "net": 2, "oar": 7, "pear": 0, "rope": 0}
+    assert wide(concat([hall, quay], join="outer", fill_value=-2.5))["sun"] == {"fig": 4, "leek": 8, "pear": -2.5}
+    beside = concat([quay, pier], axis="var")
+    assert wide(beside) == {"sun": {"leek": 8, "fig": 4, "pear": 6, "rope": 1, "net": 9, "oar": 0}}
+    nested = concat([concat([hall, quay]), concat([quay, hall])])
+    assert nested.shape == (8, 2) and nested.X.df.agg(F.sum("value")).first()[0] == 2 * (0 + 1 + 2 + 2 + 3 + 0 + 4 + 8)
     with pytest.raises(ValueError):
-        concat([a, b], axis=2)
+        concat([hall, quay], axis=2)
 
 
 def test_order_of_the_joined_axis(spark):
@@ -189,12 +193,12 @@ def test_equal_labels_keep_their_order(spark):
     assert names(concat([x, turned], join="outer").var) == ["a", "b", "c"] and wide(concat([x, turned]))["q"] == {"c": 4, "a": 5, "b": 6}
 
 
-def test_labels_keys_and_names(abc):
-    a, b, _ = abc
-    rows = concat({"a": a, "b": b}, label="batch", index_unique="-").obs
-    assert names(rows) == ["k1-a", "k2-a", "k3-b", "k4-b"] and rows.categories["batch"] == Categories(("a", "b"))
+def test_labels_keys_and_names(stalls):
+    hall, quay, pier = stalls
+    rows = concat({"h": hall, "q": quay, "p": pier}, label="place", index_unique="/").obs
+    assert names(rows) == ["mon/h", "tue/h", "wed/h", "sun/q", "sun/p", "sat/p"] and rows.categories["place"] == Categories(("h", "q", "p"))
     with pytest.raises(TypeError):
-        concat({"a": a}, keys=["a"])
+        concat({"h": hall}, keys=["h"])
 
 
 def test_dense_inputs_fill_with_nan(spark):
@@ -205,15 +209,23 @@ def test_dense_inputs_fill_with_nan(spark):
     assert Matrix(m.df).same_as(Matrix(m.df))
 
 
-def test_layers_and_arrays(spark, abc):
-    a, b, _ = abc
-    one = a.with_layer("l", a.elements[None])
-    assert set(concat([one, b]).elements) == {None} and set(concat([one, b], join="outer").elements) == {None, "l"}
-    assert set(concat([Grid(a.obs, a.var), b]).elements) == set()
-    ones = lambda n, w: Aligned(spark.createDataFrame([(i, [1.0] * w) for i in range(n)], f"{KEY} long, value array<double>"), w)
-    p, q = a.with_element("varm", "ones", ones(2, 5)).with_element("varm", "rand", ones(2, 3)).with_element("varm", "zeros", ones(2, 5)), b.with_element("varm", "ones", ones(3, 5)).with_element("varm", "rand", ones(3, 4))
-    got = lambda rule: sorted(concat([p, q], merge=rule).varm_)
-    assert (got("same"), got("unique"), got("first"), got("only"), got(None)) == (["ones"], ["ones", "zeros"], ["ones", "rand", "zeros"], ["zeros"], [])
+def test_layers_and_arrays(spark, stalls):
+    hall, quay, _ = stalls
+    priced = hall.with_layer("cost", hall.elements[None])
+    assert set(concat([quay, priced]).elements) == {None} and set(concat([quay, priced], join="outer").elements) == {None, "cost"}
+    assert concat([hall, Grid(quay.obs, quay.var)]).elements == {}
+
+    def arrays(goods, **made):
+        """Arrays along var by a function of a good's name."""
+        return {k: Aligned(spark.createDataFrame([(i, f(x)) for i, x in enumerate(goods)], f"{KEY} long, value array<double>"), len(f(goods[0]))) for k, f in made.items()}
+
+    size = lambda x: [float(len(x)), 0.5]
+    p = replace(hall, varm_=arrays(["pear", "fig", "leek"], size=size, shelf=lambda x: [1.0], season=lambda x: [6.0, 9.0, 3.0]))
+    q = replace(quay, varm_=arrays(["leek", "fig"], size=size, shelf=lambda x: [1.0, 2.0]))
+    r = replace(quay, varm_=arrays(["leek", "fig"], size=lambda x: [float(ord(x[0])), 0.5]))
+    got = lambda rule, *gs: sorted(concat(list(gs), merge=rule).varm_)
+    assert got("same", p, q) == ["size"] and got("unique", p, q) == ["season", "size"] and got("only", p, q) == ["season"]
+    assert got("first", p, q) == ["season", "shelf", "size"] and got(None, p, q) == [] and got("same", p, r) == [] and got("unique", p, r) == ["season", "shelf"]
 
 
 @pytest.mark.parametrize(("rule", "columns"), [(None, []), ("same", ["length"]), ("unique", ["length", "tag", "note"]), ("first", ["length", "tag", "score", "note"]), ("only", ["note"])])
@@ -225,8 +237,7 @@ def test_merge_of_annotation(spark, rule, columns):
     assert concat(gs, merge=rule).var.columns == columns
 
 
-def test_merge_by_a_function(spark, abc):
-    a, b, _ = abc
+def test_merge_by_a_function(spark):
     p, q = (grid(spark, [[1, 2]], [r], ["f", "g"], var_cols={"n": n}) for r, n in (("p", [1, 5]), ("q", [4, 2])))
     got = concat([p, q], merge=lambda maps: {"most": F.greatest(*(m["n"] for m in maps))}).var.rows.orderBy(KEY).collect()
     assert [r.most for r in got] == [4, 5]
@@ -251,38 +262,38 @@ def test_merge_of_maps(maps, want, wrap):
     assert merge_maps(maps, lambda ms: {"n": len(ms)}) == {"n": len(maps)}
 
 
-def test_uns_merge(abc):
-    get = lambda r: concat(list(abc), uns_merge=r).uns
-    assert get("same") == {"run": 3, "info": {"y": 5}} and get("only") == {"info": {"z": 7}} and get(None) == {}
-    assert get("unique") == {"run": 3, "info": {"y": 5, "z": 7}} and get("first") == {"run": 3, "depth": 8, "info": {"x": 1, "y": 5, "z": 7}}
-
-
-def test_categories(spark, abc):
-    a, b, _ = abc
-    with_cat = lambda x, *v: Grid(Axis(x.obs.df, True, {"kind": Categories(v)}), x.var, x.elements)
-    assert concat([with_cat(a, "g10", "g2"), with_cat(b, "g1")]).obs.categories["kind"].values == ("g1", "g2", "g10")
-    assert "kind" not in concat([with_cat(a, "a"), b]).obs.categories
-    s = a.strings_categorised().obs.categories
-    assert s == {} and concat([a, a]).strings_categorised().obs.categories["kind"].values == ("u", "v")
-    h = Grid(Axis(a.obs.df, True, {"kind": Categories(("u", "v", "z"))}), a.var, {}, uns={"kind_colors": ["r", "g", "b"], "rank": {"params": {"groupby": "kind"}, "names": ["u", "v"]}})
-    u = h[["k2"]].unused_categories_removed()
-    assert u.obs.categories["kind"].values == ("v",) and u.uns["kind_colors"] == ["g"]
-    own = h[["k2"]].realised()  # a view's own copy drops them by itself, unless told not to
-    assert own.obs.categories["kind"].values == ("v",) and own.uns["kind_colors"] == ["g"] and h.uns["kind_colors"] == ["r", "g", "b"]
+def test_uns_merge(stalls):
+    get = lambda r: concat(list(stalls), uns_merge=r).uns
+    assert get("same") == {"city": "Kiel"} and get("only") == {"fish": [3], "boats": 2} and get(None) == {}
+    assert get("unique") == {"city": "Kiel", "open": {"at": 7}, "fish": [3], "boats": 2}
+    assert get("first") == {"city": "Kiel", "owner": "Ida", "open": {"at": 7, "till": 18}, "fish": [3], "boats": 2}
+
+
+def test_categories(spark, stalls):
+    hall, quay, _ = stalls
+    with_cat = lambda x, *v: Grid(Axis(x.obs.df, True, {"rain": Categories(v)}), x.var, x.elements)
+    assert concat([with_cat(hall, "w30", "w4"), with_cat(quay, "w007")]).obs.categories["rain"].values == ("w4", "w007", "w30")
+    assert "rain" not in concat([with_cat(hall, "yes"), quay]).obs.categories
+    assert hall.strings_categorised().obs.categories["rain"].values == ("no", "yes") and quay.strings_categorised().obs.categories == {}
+    h = Grid(Axis(hall.obs.df, True, {"rain": Categories(("yes", "no", "snow"))}), hall.var, {}, uns={"rain_colors": ["blue", "gold", "white"], "rank": {"params": {"groupby": "rain"}, "names": ["yes", "no"]}})
+    u = h[["tue"]].unused_categories_removed()
+    assert u.obs.categories["rain"].values == ("no",) and u.uns["rain_colors"] == ["gold"]
+    own = h[["wed"]].realised()  # a view's own copy drops them by itself, unless told not to
+    assert own.obs.categories["rain"].values == ("no",) and own.uns["rain_colors"] == ["gold"] and h.uns["rain_colors"] == ["blue", "gold", "white"]
     with override(remove_unused_categories=False):
-        assert h[["k2"]].realised().obs.categories["kind"].values == ("u", "v", "z")
-    assert h.obs.used_categories("kind") == Categories(("u", "v")) and h[["k2"]].obs.used_categories("kind").values == ("v",)
-    r = h.categories_renamed("obs", "kind", ["U", "V", "Z"])
-    assert r.obs.categories["kind"].values == ("U", "V", "Z") and r.uns["rank"]["names"] == ["U", "V"] and {x.kind for x in r.obs.rows.collect()} == {"U", "V"}
+        assert h[["mon"]].realised().obs.categories["rain"].values == ("yes", "no", "snow")
+    assert h.obs.used_categories("rain") == Categories(("yes", "no")) and h[["mon"]].obs.used_categories("rain").values == ("yes",)
+    r = h.categories_renamed("obs", "rain", ["wet", "dry", "cold"])
+    assert r.obs.categories["rain"].values == ("wet", "dry", "cold") and r.uns["rank"]["names"] == ["wet", "dry"] and {x.rain for x in r.obs.rows.collect()} == {"wet", "dry"}
     with pytest.raises(ValueError):
-        h.categories_renamed("obs", "kind", ["U"])
+        h.categories_renamed("obs", "rain", ["wet"])
 
 
-def test_raw(abc):
-    a, b, _ = abc
-    r = a.with_raw()[:, ["m"]]
-    assert r.shape == (2, 1) and r.raw.var.count() == 2 and r[["k2"]].raw.x.df.count() == 2 and r.raw_grid().shape == (2, 2)
-    assert concat([a.with_raw(), b]).raw_ is None and concat([a.with_raw(), b.with_raw()]).raw.var.count() == 2
+def test_raw(stalls):
+    hall, quay, _ = stalls
+    r = hall.with_raw()[:, ["fig"]]
+    assert r.shape == (3, 1) and r.raw.var.count() == 3 and r[["tue"]].raw.x.df.count() == 2 and r.raw_grid().shape == (3, 3)
+    assert concat([quay.with_raw(), hall]).raw_ is None and names(concat([hall.with_raw(), quay.with_raw()]).raw.var) == ["fig", "leek"]
     with pytest.raises(IndexError):
         r.raw[0]
 
@@ -392,8 +403,8 @@ def test_a_common_label_is_made_unique(spark):
     assert len({x for x in got if x}) == 301 and got[1] == "same" and got[2] == "same-1" and got[4] == "same-3" and got[300] is None
 
 
-def test_arrays_of_two_kinds_do_not_mix(spark, abc):
-    a, b, _ = abc
+def test_arrays_of_two_kinds_do_not_mix(spark, stalls):
+    a, b, _ = stalls
     array = Aligned(spark.createDataFrame([(0, [1.0]), (1, [2.0])], f"{KEY} long, value array<double>"), None)
     struct = Aligned(spark.createDataFrame([(0, (1.0,)), (1, (2.0,))], f"{KEY} long, value struct<x: double>"), None)
     with pytest.raises(ValueError, match="mixes"):
@@ -425,8 +436,8 @@ def test_store(g, spark, tmp_path):
     assert store.write_csvs(full, str(tmp_path / "csv")) == ["uns/n"]
 
 
-def test_concat_on_disk(spark, tmp_path, abc):
-    a, b, _ = abc
+def test_concat_on_disk(spark, tmp_path, stalls):
+    a, b, _ = stalls
     for k, x in (("a", a.with_raw()), ("b", b.with_raw())):
         store.write(x.with_layer("l", x.X), str(tmp_path / k))
     for join in ("inner", "outer"):
@@ -459,19 +470,19 @@ def test_text(spark, tmp_path):
     assert wide(text.read_mtx(spark, put("n.mtx", "%%MatrixMarket matrix array real general\n2 1\n5\n6\n"))) == {"0": {"0": 5}, "1": {"0": 6}}
 
 
-def test_collection(spark, abc):
-    a, b, _ = abc
+def test_collection(spark, stalls):
+    hall, quay, _ = stalls
     with pytest.raises(ValueError):
-        Collection.of([a, b])
-    c = Collection.of({"p": a, "q": b}, join_vars="inner", label="src", convert={"X": lambda v: v * 2, "obs": {"kind": F.upper}})
-    assert len(c) == 4 and c.layer().agg(F.sum("value")).first()[0] == 2 * 32 and {r.value for r in c.attr("obs", "kind").collect()} == {"U", "V", "W"}
+        Collection.of([hall, quay])
+    c = Collection.of({"h": hall, "q": quay}, join_vars="inner", label="place", convert={"X": lambda v: v * 2, "obs": {"rain": F.upper}})
+    assert len(c) == 4 and c.layer().agg(F.sum("value")).first()[0] == 2 * 20 and {r.value for r in c.attr("obs", "rain").collect()} == {"YES", "NO", "HAIL"}
     assert c.n_batches(3) == 2 and c.n_batches(3, drop_last=True) == 1
     got = list(c.iterate(3))
-    assert [len(x) for _, x in got] == [3, 1] and names(got[0][1].grid.obs) == ["k1", "k2", "k3"]
+    assert [len(x) for _, x in got] == [3, 1] and names(got[0][1].grid.obs) == ["mon", "tue", "wed"]
     cells = list(c.iterate_cells(3))
-    assert [(k, len(x)) for k, x in cells] == [(0, 5), (1, 2)] and sum(r.value for _, x in cells for r in x) == 64
-    loose = Collection.of([a, b], join_vars="inner", join_obsm=None, indices_strict=False)
-    assert names(loose[[3, 0]].grid.obs) == ["k1", "k4"] and names(Collection.of([a, b], join_vars="inner")[[3, 0]].grid.obs) == ["k4", "k1"]
+    assert [(k, len(x)) for k, x in cells] == [(0, 4), (1, 2)] and sum(r.value for _, x in cells for r in x) == 40
+    loose = Collection.of([hall, quay], join_vars="inner", join_obsm=None, indices_strict=False)
+    assert names(loose[[3, 0]].grid.obs) == ["mon", "sun"] and names(Collection.of([hall, quay], join_vars="inner")[[3, 0]].grid.obs) == ["sun", "mon"]
     assert sorted(r.batch for r in c.batches(3, shuffle=True, drop_last=True, seed=1).collect()) == [0, 0, 0]
     assert set(c.to_grid(x=False).elements) == set() and chosen({"a": 1}, "a") is None and composed(None, F.upper) is not None
 
