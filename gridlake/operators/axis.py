@@ -12,11 +12,14 @@ from dataclasses import dataclass, field, replace
 from itertools import accumulate
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.operators.dictionary import Dictionary
+from gridlake.operators.index import Ranges, Taken
 from gridlake.session import materialise, settings
 
 KEY, NAME, ORD = "_key", "_name", "_ord"
@@ -94,6 +97,8 @@ class Axis:
     #: Of a concatenated axis: its label column, each source's label and the frame for which that holds; and the sources that a selection leaves.
     label: tuple[str, tuple[str, ...], DataFrame] | None = field(default=None, compare=False)
     sources: tuple[int, ...] | None = None
+    #: Keys are the positions 0, 1, ... of all rows: nothing needs sorting.
+    dense: bool = False
     #: The frame whose positions were worked out, and the result: axes over one frame share it.
     _sorted: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
@@ -118,7 +123,7 @@ class Axis:
 
     @staticmethod
     def of_names(spark, names: list[str | None]) -> Axis:
-        return Axis(spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{KEY} long, {NAME} string"), _n=len(names))
+        return Axis(spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{KEY} long, {NAME} string"), _n=len(names), dense=True)
 
     @staticmethod
     def from_mapping(spark, columns: Mapping[str, Iterable], names: Iterable[str] | None = None) -> Axis:
@@ -187,6 +192,8 @@ class Axis:
 
     def all_positions(self) -> DataFrame:
         """The frame's rows, before any slice, with positions; sorted once."""
+        if self.dense:
+            return self.df.withColumn(ORD, F.col(KEY).cast("long"))
         if self._sorted.get("of") is not self.df:
             self._sorted.update(of=self.df, rows=self.df.join(with_positions(self.df.select(KEY)), KEY))  # keys alone are sorted and written
         return self._sorted["rows"]
@@ -202,27 +209,38 @@ class Axis:
         if w.step < 0:
             inside = F.col(ORD).between(w[-1], w[0]) & ((F.lit(w.start) - F.col(ORD)) % -w.step == 0) if len(w) else F.lit(False)
             found = self.all_positions().where(inside).withColumn("_new", F.floor((F.lit(w.start) - F.col(ORD)) / -w.step))
-            return self._rekeyed(found.drop(ORD))
+            return self._rekeyed(found.drop(ORD), len(w))
         return replace(self, window=w, full=False, _n=None)
 
-    def taken_positions(self, positions: Iterable[int]) -> Axis:
-        """Rows by position, in that order, repeats allowed: they get new keys, and remember the old as `_from`."""
-        positions = list(positions)
+    def taken_positions(self, positions: Iterable[int] | Taken) -> Axis:
+        """Rows by position, in that order, repeats allowed: they get new keys, and remember the old as `_from`.
+
+        A list or array goes out as a column; a frame never comes to the driver."""
         n = self.count()
-        wrong = [p for p in positions if not -n <= p < n]
-        if wrong:
-            raise IndexError(f"positions out of range for {n} rows: {wrong[:10]}")
         spark = self.df.sparkSession
         base = self.window or range(n)
-        want = spark.createDataFrame([(i, base[p]) for i, p in enumerate(positions)], f"_new long, {ORD} long")
-        return self._rekeyed(self.all_positions().join(want, ORD).drop(ORD))
-
-    def _rekeyed(self, found: DataFrame) -> Axis:
+        if isinstance(positions, Taken):
+            ends = positions.frame.agg(F.min("at").alias("a"), F.max("at").alias("z"), F.count("*").alias("n")).first()
+            if ends.n and not (-n <= ends.a and ends.z < n):
+                raise IndexError(f"positions out of range for {n} rows: {[x for x in (ends.a, ends.z) if not -n <= x < n]}")
+            size = ends.n
+            want = positions.frame.select(F.col("new").alias("_new"), (F.lit(base.start) + base.step * F.when(F.col("at") < 0, F.col("at") + n).otherwise(F.col("at"))).alias(ORD))
+        else:
+            at = np.fromiter(positions, np.int64)
+            wrong = at[(at < -n) | (at >= n)]
+            if len(wrong):
+                raise IndexError(f"positions out of range for {n} rows: {wrong[:10].tolist()}")
+            size = len(at)
+            want = spark.createDataFrame(pd.DataFrame({"_new": np.arange(size), ORD: base.start + base.step * np.where(at < 0, at + n, at)}), f"_new long, {ORD} long")
+        return self._rekeyed(self.all_positions().join(want, ORD).drop(ORD), size)
+
+    def _rekeyed(self, found: DataFrame, size: int | None = None) -> Axis:
+        """found: rows with _new. size: their number, if _new counts from 0."""
         kept = [c for c in found.columns if c not in (KEY, "_new", FROM)]
         # elements speak of the root's keys; a second take goes through the first one's `_from`
         source = FROM if FROM in found.columns else KEY
         df = found.select(F.col("_new").alias(KEY), *(c for c in kept if c == NAME), *(c for c in kept if c != NAME), F.col(source).alias(FROM))
-        return Axis(df, False, self.categories)
+        return Axis(df, False, self.categories, None, size, dense=size is not None)
 
     def labelled(self, names: list[str]) -> Axis:
         """Rows by label, in that order. Labels must exist, and must not repeat on the axis."""
@@ -300,10 +318,18 @@ class Axis:
             return self.sources
         return tuple(i for i, v in enumerate(values) if v in hit and (self.sources is None or i in self.sources))
 
-    def masked(self, mask: list[bool]) -> Axis:
+    def masked(self, mask: Any) -> Axis:
         if len(mask) != self.count():
             raise IndexError(f"mask has length {len(mask)}, axis has {self.count()}")
-        return replace(self.taken_positions([i for i, m in enumerate(mask) if m]))
+        return self.ranged(Ranges.of_mask(mask))
+
+    def ranged(self, at: Ranges) -> Axis:
+        """Rows at a set of positions, in the axis's order, with their keys."""
+        n = self.count()
+        if len(at.starts) and (at.starts[0] < 0 or at.stops[-1] > n):
+            raise IndexError(f"positions out of range for {n} rows")
+        here = at if self.window is None else at.within(self.window)
+        return Axis(here.rows(self.all_positions(), ORD).drop(ORD), False, self.categories, None, len(at), label=None, sources=self.sources)
 
     def matching(self, keys: DataFrame) -> Axis:
         """Rows whose key is in the first column of a DataFrame: a distributed mask."""
@@ -316,6 +342,10 @@ class Axis:
             return self.where(index)
         if isinstance(index, DataFrame):
             return self.matching(index)
+        if isinstance(index, Ranges):
+            return self.ranged(index)
+        if isinstance(index, Taken):
+            return self.taken_positions(index)
         if hasattr(index, "df") and hasattr(index, "sparse"):  # a matrix of one column: rows with a true (or other than zero) cell
             return self.matching(index.df.where(F.col("value").cast("boolean")).select("o").distinct())
         if hasattr(index, "toarray"):  # a sparse mask of one row or column
@@ -325,7 +355,12 @@ class Axis:
         if hasattr(index, "ravel") and hasattr(index, "dtype"):  # numpy: (n, 1) and (1, n) count as n
             if index.ndim > 1 and max(index.shape) != index.size:
                 raise IndexError(f"index has shape {index.shape}")
-            index = index.ravel().tolist()
+            index = index.ravel()
+            if index.dtype.kind == "b":
+                return self.masked(index)
+            if index.dtype.kind in "iu" and len(index):
+                return self.taken_positions(index)
+            index = index.tolist()
         if index is Ellipsis:
             return self
         if isinstance(index, slice):
@@ -357,7 +392,7 @@ class Axis:
             if kinds <= {int, float} and bool not in kinds:
                 if any(float(x) != int(x) for x in index):
                     raise IndexError("fractional positions")
-                return self.taken_positions([int(x) for x in index])
+                return self.taken_positions(np.array(index).astype(np.int64))
         raise IndexError(f"unknown indexer: {type(index).__name__}")
 
     def own(self) -> Axis:

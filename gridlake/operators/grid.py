@@ -353,7 +353,7 @@ class Grid:
 
     def names_made_unique(self, side: str, join: str = "-") -> Grid:
         axis = self.axis(side)
-        return replace(self, **{side: replace(axis, df=make_unique(axis.rows, NAME, KEY, join), window=None)})
+        return replace(self, **{side: replace(axis, df=make_unique(axis.rows, NAME, KEY, join), window=None, dense=axis.dense and axis.window is None)})
 
     def categories_renamed(self, side: str, column: str, new: Mapping[str, str] | list[str]) -> Grid:
         axis = self.axis(side)
@@ -419,7 +419,7 @@ class Grid:
         spark = self.obs.df.sparkSession
         if replace_:
             draws = spark.range(n).select(F.col("id").alias("_new"), (drawn(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))) % total).alias(ORD))
-            return replace(self, obs=self.obs._rekeyed(self.obs.positions().join(draws, ORD).drop(ORD)))
+            return replace(self, obs=self.obs._rekeyed(self.obs.positions().join(draws, ORD).drop(ORD), n))
         picked = self.obs.rows.orderBy(drawn(F.concat_ws(":", F.lit(str(seed)), F.to_json(F.struct(KEY)))), KEY).limit(n)
         return replace(self, obs=Axis(picked, False, self.obs.categories))
 

@@ -14,6 +14,7 @@ from gridlake.operators.collection import Collection
 from gridlake.operators.concat import concat, concat_axis
 from gridlake.operators.element import Aligned, Matrix, Pairs, from_rows, to_rows
 from gridlake.operators.grid import Grid
+from gridlake.operators.index import Ranges, Taken
 from gridlake.operators.merge import merge_maps
 from gridlake.operators.stream import BatchStream
 from gridlake.plans.refs import A
@@ -165,6 +166,28 @@ def names_replaced(spark, d):
     return new.obs.rows.select(F.col(KEY).alias("key"), F.col(KEY).cast("string").alias("name"), F.col(NAME).alias("label"))
 
 
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS at_ FROM orders)
+SELECT o_orderkey AS key FROM p WHERE (at_ % 10 < 3 OR at_ < 100) AND NOT at_ BETWEEN 40 AND 49""")
+def ranges_of_rows(spark, d):
+    """A set of positions as runs: three of ten, and the first hundred, without ten of them."""
+    a = Axis.of(table(spark, d, "orders"), "o_orderkey")
+    n = a.count()
+    some = Ranges.of(*((i, min(i + 3, n)) for i in range(0, n, 10)), (0, 100)) & Ranges.of((40, 50)).beside(n)
+    return Grid(a, a)[some].obs.rows.select(F.col(KEY).alias("key"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS at_, count(*) OVER () AS n FROM orders), q AS (SELECT o_orderkey, (at_ - 5) // 2 AS s, (n - 5 + 1) // 2 AS m FROM p WHERE at_ >= 5 AND (at_ - 5) % 2 = 0),
+t AS (SELECT i AS new, (i * 7919) % m AS s FROM q, range(0, 3000) r(i) WHERE q.s = (i * 7919) % m) SELECT new - 10 AS place, o_orderkey AS key FROM t JOIN q USING (s) WHERE new >= 10 AND new < 2900""")
+def slice_of_take_of_slice(spark, d):
+    """Every other row, of these a frame of positions with repeats, of that a slice."""
+    a = Axis.of(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    half = Grid(a, a)[5::2]
+    m = half.n_obs
+    drawn = Taken.of(spark.range(3000), "id", (F.col("id") * 7919) % m)
+    got = half[drawn][10:2900].obs
+    return got.rows.select((F.col(KEY) - 10).alias("place"), F.col(NAME).cast("long").alias("key"))
+
+
 # Concatenation
 @query(f"""WITH x AS {REGIONAL}, c AS (SELECT v FROM (SELECT DISTINCT r, v FROM x) GROUP BY v HAVING count(*) = 5)
 SELECT r::INTEGER AS src, o, v, value FROM x WHERE v IN (SELECT v FROM c)""")
