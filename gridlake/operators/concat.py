@@ -9,7 +9,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from gridlake.functions.names import natural_key
 from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, same_rows
@@ -18,6 +17,7 @@ from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
+from gridlake.operators.ragged import alike
 from gridlake.session import settings
 
 AXES = {"obs": "obs", 0: "obs", "var": "var", 1: "var"}
@@ -168,24 +168,10 @@ def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps,
 
 
 def _common_fields(have: list[Aligned | None], join: str) -> list[Aligned | None]:
-    """Ragged arrays of structs with the fields that all have (inner) or any has (outer, null where one lacks it)."""
-    types = [a.df.schema["value"].dataType for a in have if a is not None]
-    if not all(isinstance(t, ArrayType) and isinstance(t.elementType, StructType) for t in types):
+    """Values of any length with one type: at every depth the fields that all have (inner) or any has (outer, null where one lacks it)."""
+    if len({str(a.df.schema["value"].dataType) for a in have if a is not None}) == 1:
         return have
-    fields = [{f.name: f.dataType for f in t.elementType} for t in types]
-    names = shared_keys(fields) if join == "inner" else union_keys(fields)
-    if all(list(f) == names for f in fields):
-        return have
-    kind = {n: next(f[n] for f in fields if n in f) for n in names}
-
-    def taken(a: Aligned | None) -> Aligned | None:
-        if a is None:
-            return None
-        mine = a.df.schema["value"].dataType.elementType.names
-        one = lambda x: F.struct(*((x[n] if n in mine else F.lit(None).cast(kind[n])).alias(n) for n in names))
-        return replace(a, df=a.df.select(KEY, F.transform("value", one).alias("value")))
-
-    return [taken(a) for a in have]
+    return [a and replace(a, df=df) for a, df in zip(have, alike([a and a.df for a in have], join))]
 
 
 def concat_aligned(slots: list[dict[str, Aligned]], axes: list[Axis], join: str, fill: float | None) -> dict[str, Aligned]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.operators.axis import KEY, Axis, fingerprint
+from gridlake.operators.ragged import cut, sizes
 
 
 NUMBERS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
@@ -125,16 +126,18 @@ class Aligned:
         return replace(self, df=axis.keep(self.df, KEY))
 
     def length(self, dim: int = 0) -> int | None:
-        """Rows (0), or how long the values are (1): None where that differs from row to row."""
+        """Rows (0), or how long the values are (1), the lists in them (2) and so on: None where that differs."""
         if dim == 0:
             return self.df.count()
-        if dim != 1:
-            raise IndexError(f"dimension {dim} of two")
-        if self.width is not None:
+        if dim == 1 and self.width is not None:
             return self.width
-        r = self.df.agg(F.min(F.size("value")).alias("a"), F.max(F.size("value")).alias("z")).first()
+        r = sizes(self.df, dim).agg(F.min("size").alias("a"), F.max("size").alias("z")).first()
         return r.a if r.a == r.z else None
 
+    def cut(self, *at: slice | int) -> Aligned:
+        """Places within the values, for each depth a slice or a number."""
+        return replace(self, df=self.df.select(KEY, cut(F.col("value"), self.df.schema["value"].dataType, *at).alias("value")), width=None)
+
     def column(self, i: int | str) -> DataFrame:
         """(_key, value) of one place (or struct field)."""
         if isinstance(i, int):

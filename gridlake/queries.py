@@ -417,6 +417,25 @@ def batch_stream(spark, d):
     return cells.groupBy("batch").agg(F.count("*").alias("cells"), F.sum("value").alias("total"), F.min("place").alias("first_place"))
 
 
+@query("""WITH x AS (SELECT l_orderkey AS o, l_suppkey % 2 AS src, l_partkey % 3 AS bag, l_partkey AS part, l_quantity AS qty, l_extendedprice AS price FROM lineitem WHERE l_orderkey % 4 = 1)
+SELECT src::INTEGER AS src, o, bag, count(*) AS n, sum(part)::BIGINT AS parts, sum(CASE WHEN src = 0 THEN qty END) AS qty, round(sum(CASE WHEN src = 1 THEN price END), 2) AS price FROM x GROUP BY 1, 2, 3""")
+def ragged_nested(spark, d):
+    """Lists of lists of structs: an order's lines in bags, of two inputs with other fields, concatenated and cut to a quarter of the orders."""
+    line = table(spark, d, "lineitem")
+
+    def one(src, *fields):
+        mine = line.where(F.col("l_suppkey") % 2 == src)
+        item = F.struct((F.col("l_partkey") % 3).alias("bag"), F.struct(F.col("l_partkey").alias("part"), *fields).alias("line"))
+        kept = mine.groupBy("l_orderkey").agg(F.collect_list(item).alias("all"))
+        bags = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda b: F.transform(F.filter("all", lambda x: x["bag"] == b), lambda x: x["line"]))
+        return Grid(Axis.of(kept.select("l_orderkey"), "l_orderkey"), Axis.of_names(spark, ["x"]), {}, {"bags": Aligned(kept.select(F.col("l_orderkey").alias(KEY), bags.alias("value")))})
+
+    g = concat([one(0, F.col("l_quantity").alias("qty")), one(1, F.col("l_extendedprice").alias("price"))], join="outer")
+    lines = g[F.col(f"{KEY}.key") % 4 == 1].obsm["bags"].df.select(KEY, F.posexplode("value").alias("bag", "lines")).select(KEY, "bag", F.explode("lines").alias("x"))
+    return lines.groupBy(F.col(f"{KEY}.src").alias("src"), F.col(f"{KEY}.key").alias("o"), F.col("bag").cast("long").alias("bag")).agg(
+        F.count("*").alias("n"), F.sum("x.part").alias("parts"), F.sum("x.qty").alias("qty"), F.round(F.sum("x.price"), 2).alias("price"))
+
+
 # Reshape and references
 @query("SELECT l_partkey AS o, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY 1")
 def transpose_cells(spark, d):
