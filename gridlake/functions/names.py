@@ -67,3 +67,12 @@ def as_structs(df: DataFrame, columns: list[str], name: str = "value") -> DataFr
     if missing:
         raise KeyError(f"no columns {missing}")
     return df.select(*(c for c in df.columns if c not in columns), F.struct(*columns).alias(name))
+
+
+def from_structs(df: DataFrame, name: str = "value") -> DataFrame:
+    """A column of structs as columns of their own, in the struct's order; the others stay."""
+    fields = df.schema[name].dataType.names
+    clash = [f for f in fields if f in df.columns and f != name]
+    if clash:
+        raise ValueError(f"columns exist already: {clash}")
+    return df.select(*(c for c in df.columns if c != name), *(F.col(name)[f].alias(f) for f in fields))

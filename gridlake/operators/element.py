@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.operators.axis import KEY, Axis, fingerprint
 from gridlake.operators.ragged import cut, sizes
+from gridlake.session import settings
 
 
 NUMBERS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
@@ -50,14 +53,14 @@ class Matrix:
         if x.dtype.kind not in "biuf":
             raise TypeError(f"a matrix holds numbers, not {x.dtype}")
         kind = {"b": "boolean", "f": "double"}.get(x.dtype.kind, "long")
-        value = {"boolean": bool, "double": float, "long": int}[kind]
         sparse = hasattr(x, "tocoo")
         if sparse:
             c = x.tocoo()
-            cells = zip(c.row.tolist(), c.col.tolist(), map(value, c.data.tolist()))
+            o, v, values = c.row, c.col, c.data
         else:
-            cells = ((i, j, value(v)) for i, row in enumerate(x.tolist()) for j, v in enumerate(row))
-        return Matrix(spark.createDataFrame(list(cells), f"o long, v long, value {kind}"), sparse)
+            o, v, values = np.repeat(np.arange(x.shape[0]), x.shape[1]), np.tile(np.arange(x.shape[1]), x.shape[0]), np.ravel(x)
+        cells = pd.DataFrame({"o": np.asarray(o, np.int64), "v": np.asarray(v, np.int64), "value": np.asarray(values).astype({"boolean": bool, "double": float, "long": np.int64}[kind])})
+        return Matrix(spark.createDataFrame(cells, f"o long, v long, value {kind}"), sparse)
 
     def axes(self) -> tuple[Axis, Axis]:
         """Axes of just the keys that cells name."""
@@ -75,7 +78,9 @@ class Matrix:
         return Matrix(self.df.where((F.col("value") != 0) | F.col("value").isNull()), True)
 
     def densified(self, obs: Axis, var: Axis, fill=0.0) -> Matrix:
-        """Every cell of the two axes. The output is the product of the axes by definition."""
+        """Every cell of the two axes. The output is the product of the axes by definition; more than max_filled_cells raise."""
+        if obs.count() * var.count() > settings().max_filled_cells:
+            raise ValueError(f"{obs.count()} x {var.count()} cells; raise max_filled_cells to allow it")
         cells = obs.rows.select(F.col(KEY).alias("o")).crossJoin(var.rows.select(F.col(KEY).alias("v")))
         return Matrix(cells.join(self.df, ["o", "v"], "left").select("o", "v", F.coalesce("value", F.lit(fill)).alias("value")), False)
 

@@ -100,6 +100,24 @@ class Grid:
     raw_: Raw | None = None
 
     # Construction
+    def __post_init__(self):
+        """Elements may be given as arrays, frames or sparse arrays: their rows and columns are the axes' positions."""
+        made = {}
+        for k, x in self.elements.items():
+            if isinstance(x, (Matrix, Blocks)):
+                continue
+            m = Matrix.coerced(self.obs.df.sparkSession, x)
+            if not isinstance(x, DataFrame):
+                if tuple(x.shape) != (self.obs.count(), self.var.count()):
+                    raise ValueError(f"layer {k!r} is {x.shape[0]} x {x.shape[1]}, the axes are {self.obs.count()} x {self.var.count()}")
+                for c, axis in (("o", self.obs), ("v", self.var)):
+                    if not axis.dense or axis.window is not None:
+                        place = axis.positions().select(F.col(ORD).alias(c), F.col(KEY).alias("_to"))
+                        m = replace(m, df=m.df.join(place, c).select(*(F.col("_to").alias(n) if n == c else F.col(n) for n in ("o", "v", "value"))))
+            made[k] = m
+        if made:
+            object.__setattr__(self, "elements", {**self.elements, **made})
+
     @staticmethod
     def from_frame(df: DataFrame, key: str, name: str | None = None, columns: list[str] | None = None, sparse: bool = False) -> Grid:
         """Rows to obs, columns to var (they need one common type)."""

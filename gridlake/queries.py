@@ -628,6 +628,33 @@ def store_versions(spark, d):
     return seen.groupBy(F.when(F.col("_old"), "old").otherwise("new").alias("since")).agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT (vec_id % 2)::INTEGER AS src, count(*) AS cells, count(CASE WHEN vec_id % 2 = 0 AND p < 40 OR vec_id % 2 = 1 AND p >= 20 THEN 1 END) AS filled,
+round(sum(CASE WHEN vec_id % 2 = 0 AND p < 40 OR vec_id % 2 = 1 AND p >= 20 THEN round(value, 6) END), 3) AS total FROM {PLACES} GROUP BY 1""")
+def concat_on_disk_dense(spark, d):
+    """Stored dense grids concatenated into a new store, one of them in the long form."""
+    path = scratch(spark)
+    one, two = embedding_blocks(spark, d)
+    store.write(one, f"{path}/a")
+    store.write(Grid(two.obs, two.var, {None: two.elements[None].matrix()}), f"{path}/b")
+    store.concat_on_disk(spark, [f"{path}/a", f"{path}/b"], f"{path}/both", join="outer")
+    m = store.read(spark, f"{path}/both").X.df.where("NOT isnan(value)")
+    every = store.read(spark, f"{path}/both").X.df.groupBy(F.col("o.src").alias("src")).agg(F.count("*").alias("cells"))
+    return every.join(m.groupBy(F.col("o.src").alias("src")).agg(F.count("*").alias("filled"), F.round(F.sum(F.round("value", 6)), 3).alias("total")), "src")
+
+
+@query("SELECT c_custkey AS key, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_acctbal > 0")
+def structs_both_ways(spark, d):
+    """Columns as structs and back, through an annotation of a collection without matrices."""
+    from gridlake.functions.names import as_structs, from_structs
+
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    packed = as_structs(c, ["c_mktsegment", "c_acctbal"], "both")
+    a = Axis.of(packed, "c_custkey")
+    col = Collection(Grid(a, Axis.of_names(spark, ["x"]), {None: Matrix(packed.select(F.col("c_custkey").alias("o"), F.lit(0).cast("long").alias("v"), F.lit(1.0).alias("value")))}))
+    g = col[F.col("both.c_acctbal") > 0].to_grid(x=False, layers=False)
+    return from_structs(g.obs.rows.select(F.col(KEY).alias("key"), "both"), "both").withColumnsRenamed({"c_mktsegment": "segment", "c_acctbal": "balance"})
+
+
 @query("SELECT count(*) AS n_obs, (SELECT count(*) FROM " + SALES + ") AS cells, (SELECT sum(value) FROM " + SALES + ") AS total FROM orders")
 def append_rows(spark, d):
     path = scratch(spark)

@@ -571,3 +571,28 @@ def test_concat_runs_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # with adaptive execution a query of one shuffle counts as two jobs, one for its stage
     assert len(tracker.getJobIdsForGroup("few")) <= 3 * len(gs)
+
+
+def test_grids_take_arrays(spark):
+    """Arrays and frames as elements: their places are the axes' positions, whatever the keys."""
+    x = np.array([[1, 0, 2], [0, 3, 4]])
+    obs = Axis.of(spark.createDataFrame([(7, "a"), (9, "b")], "k long, n string"), "k", "n")
+    var = Axis.of_names(spark, ["u", "v", "w"])
+    want = {"a": {"u": 1, "v": 0, "w": 2}, "b": {"u": 0, "v": 3, "w": 4}}
+    assert wide(Grid(obs, var, {None: x})) == want and wide(Grid(obs, var, {None: pd.DataFrame(x)})) == want
+    assert not Grid(obs, var, {None: x}).X.sparse and Grid(obs, var, {None: x.astype(bool)}).X.df.schema["value"].dataType.simpleString() == "boolean"
+    assert wide(Grid(obs, var, {None: spark.createDataFrame([(7, 2, 5.0)], "o long, v long, value double")}))["a"] == {"u": 0, "v": 0, "w": 5}
+    for bad, error in ((x[:1], ValueError), (x[0], ValueError), (x.astype(str), TypeError), ("text", TypeError)):
+        with pytest.raises(error):
+            Grid(obs, var, {None: bad})
+    with override(max_filled_cells=5), pytest.raises(ValueError, match="max_filled_cells"):
+        Grid(obs, var, {None: x}).X.densified(obs, var)
+
+
+def test_structs_both_ways(spark):
+    from gridlake.functions.names import from_structs
+
+    df = spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "k int, s string, d double")
+    assert from_structs(as_structs(df, ["s", "d"])).collect() == df.collect()
+    with pytest.raises(ValueError):
+        from_structs(as_structs(df, ["s", "d"], "v").withColumn("s", F.lit(1)), "v")
