@@ -37,6 +37,33 @@ class Categories:
     ordered: bool = False
 
 
+@dataclass(frozen=True)
+class LabelIndex:
+    """Where labels are: (bucket, _name, _key) frames, partitioned by a hash of the label, and how many buckets each has."""
+
+    parts: tuple[tuple[DataFrame, int], ...]
+    #: The axis's frame that it speaks of.
+    of: DataFrame
+
+    #: Keys that are a condition on the axis rather than a join.
+    FEW = 1000
+
+    def keys(self, names: list[str]) -> DataFrame:
+        """(_key, _name) of rows with one of the labels; only their buckets are read."""
+        found = None
+        for df, n in self.parts:
+            buckets = [F.pmod(F.xxhash64(F.lit(x)), F.lit(n)) for x in names]
+            hit = df.where(F.col("bucket").isin(*buckets) & F.col(NAME).isin(*names)).select(KEY, NAME)
+            found = hit if found is None else found.unionByName(hit)
+        return found
+
+    def rows(self, names: list[str]) -> DataFrame:
+        """The axis's rows with one of the labels: by their keys, if these are few."""
+        keys = self.keys(names)
+        some = [r[0] for r in keys.select(KEY).limit(self.FEW + 1).collect()]
+        return self.of.where(F.col(KEY).isin(*some)) if len(some) <= self.FEW else self.of.join(keys.select(KEY), KEY, "left_semi").select(*self.of.columns)
+
+
 def with_positions(df: DataFrame, order: str = KEY, name: str = ORD) -> DataFrame:
     """Add 0-based positions in the order of a column.
 
@@ -99,6 +126,8 @@ class Axis:
     sources: tuple[int, ...] | None = None
     #: Keys are the positions 0, 1, ... of all rows: nothing needs sorting.
     dense: bool = False
+    #: Of a stored axis, where its labels are.
+    labels: LabelIndex | None = field(default=None, repr=False, compare=False)
     #: The frame whose positions were worked out, and the result: axes over one frame share it.
     _sorted: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
@@ -246,7 +275,8 @@ class Axis:
         """Rows by label, in that order. Labels must exist, and must not repeat on the axis."""
         spark = self.df.sparkSession
         want = spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"_new long, {NAME} string")
-        found = self.rows.join(want, NAME)
+        few = self._indexed() and len(set(names)) <= LabelIndex.FEW and None not in names
+        found = (self.labels.rows(list(dict.fromkeys(names))) if few else self.rows).join(want, NAME)
         seen = found.groupBy("_new").agg(F.count("*").alias("n"))
         state = want.join(seen, "_new", "left").where("n is null or n > 1").limit(20).collect()
         missing = sorted({r[NAME] for r in state if r.n is None})
@@ -268,13 +298,30 @@ class Axis:
         return Axis(found.select(F.col("_new").alias(KEY), NAME, *cols), True, self.categories, None, len(names))
 
     def named(self, name: str) -> Axis:
-        """Every row with one label."""
+        """Every row with one label. On a stored axis the index tells which, and one bucket of it is read."""
+        if self._indexed():
+            rows = self.labels.rows([name])
+            if rows.limit(1).count() == 0:
+                raise KeyError(name)
+            return Axis(rows, False, self.categories)
         if self.rows.where(F.col(NAME) == name).limit(1).count() == 0:
             raise KeyError(name)
         return self.where(F.col(NAME) == name)
 
+    def _indexed(self) -> bool:
+        """Does the index speak of these very rows?"""
+        return self.labels is not None and self.labels.of is self.df and self.window is None
+
     def name_slice(self, start: str | None, stop: str | None, step: int | None) -> Axis:
         """From one label to another, the last included."""
+        if self._indexed() and step in (None, 1) and not (start is None and stop is None):
+            ends = {r[NAME]: (r.lo, r.hi) for r in self.labels.keys([x for x in (start, stop) if x is not None]).groupBy(NAME).agg(F.min(KEY).alias("lo"), F.max(KEY).alias("hi")).collect()}
+            for x in (start, stop):
+                if x is not None and x not in ends:
+                    raise KeyError(x)
+            inside = F.lit(True) if start is None else F.col(KEY) >= F.lit(ends[start][0])  # an axis's order is that of its keys
+            inside = inside if stop is None else inside & (F.col(KEY) <= F.lit(ends[stop][1]))
+            return Axis(self.df.where(inside), False, self.categories)
         p = self.positions()
         at = {r[NAME]: (r.lo, r.hi) for r in p.where(F.col(NAME).isin([x for x in (start, stop) if x is not None])).groupBy(NAME).agg(F.min(ORD).alias("lo"), F.max(ORD).alias("hi")).collect()}
         for x in (start, stop):

@@ -3,6 +3,7 @@
     <path>/_versions/<n>.json               encodings, folders of each element, widths, categories, uns
     <path>/obs/<id>, layers/<k>/<id>, ...   one folder for each write, sorted by row key
     <path>/<element>/<id>/_zones            the least and the largest row key of each file
+    <path>/obs/<id>/_labels/bucket=<b>      labels and their keys, by a hash of the label
 
 Reading is lazy and by element: elements that are not asked for are never scanned. A selection of row keys opens only
 files whose zone it meets, and within them Parquet's statistics leave row groups out.
@@ -24,7 +25,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.operators.axis import KEY, NAME, Axis, Categories
+from gridlake.operators.axis import KEY, NAME, Axis, Categories, LabelIndex
 from gridlake.operators.blocks import Blocks
 from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
@@ -43,7 +44,16 @@ def _categories(df: DataFrame, v: dict, base: str) -> Categories | Dictionary:
     return Dictionary(df.sparkSession.read.parquet(f"{base}/{v['table']}"), v["ordered"]) if "table" in v else Categories(tuple(v["values"]), v["ordered"])
 
 
-register("axis", lambda a: a.rows, lambda df, e: Axis(df, True, {c: _categories(df, v, e.get("base", "")) for c, v in e.get("categories", {}).items()}, None, e.get("n")))
+def _axis(df: DataFrame, e: dict) -> Axis:
+    a = Axis(df, True, {c: _categories(df, v, e.get("base", "")) for c, v in e.get("categories", {}).items()}, None, e.get("n"))
+    have = e.get("labels", {})
+    if have and set(have) == set(e.get("folders", [])) and not e.get("selected"):
+        parts = tuple((df.sparkSession.read.parquet(f"{e['base']}/{f}/_labels"), n) for f, n in have.items())
+        a = replace(a, labels=LabelIndex(parts, a.df))
+    return a
+
+
+register("axis", lambda a: a.rows, _axis)
 register("sparse-matrix", lambda m: m.df, lambda df, e: Matrix(df, True))
 register("block-matrix", lambda b: b.blocks, lambda df, e: Blocks(df, tuple(e["columns"])))
 register("dense-matrix", lambda m: m.df, lambda df, e: Matrix(df, False))
@@ -223,6 +233,8 @@ def write_elem(path: str, x: Any, mode: str = "errorifexists", spark: SparkSessi
             entry["folders"] = [folder]
             if order:
                 _write_zones(df.sparkSession, where, order[0])
+            if enc == "axis":
+                entry["labels"] = {folder: _write_labels(df.sparkSession, where)}
     except Exception as e:
         e.add_note(f"while writing element {path}")
         raise
@@ -241,6 +253,20 @@ def _write_zones(spark: SparkSession, where: str, column: str) -> None:
     zones.coalesce(1).write.mode("overwrite").parquet(f"{where}/_zones")  # a row a file
 
 
+#: Rows behind a bucket of the label index.
+LABELS = 1_000_000
+
+
+def _write_labels(spark: SparkSession, where: str) -> int:
+    """The label index of an axis's folder: labels and keys by a hash of the label. Returns its number of buckets."""
+    rows = spark.read.parquet(where).select(NAME, KEY)
+    n = max(16, rows.count() // LABELS)
+    bucket = F.pmod(F.xxhash64(NAME), F.lit(n)).cast("int").alias("bucket")
+    # rows of one label may be any share of all: dealt by key as well, a bucket is several files
+    rows.where(f"{NAME} is not null").select(NAME, KEY, bucket).repartition(n, "bucket", F.pmod(F.xxhash64(KEY), F.lit(max(1, n // 16)))).sortWithinPartitions("bucket", NAME).write.partitionBy("bucket").parquet(f"{where}/_labels")
+    return n
+
+
 def zones_of(spark: SparkSession, path: str, entry: dict) -> DataFrame | None:
     """(file, low, high, n) of an element's files, with whole paths; None if it has none."""
     out = None
@@ -271,7 +297,7 @@ def read_elem(spark: SparkSession, path: str, entry: dict, keys: Keys | None = N
     if enc not in ENCODINGS:
         raise KeyError(f"unknown encoding {enc!r} of {path}")
     try:
-        return ENCODINGS[enc][1](_frame(spark, path, entry, keys), {k: v for k, v in entry.items() if keys is None or k != "n"} | {"base": path})
+        return ENCODINGS[enc][1](_frame(spark, path, entry, keys), {k: v for k, v in entry.items() if keys is None or k != "n"} | {"base": path, "selected": keys is not None})
     except Exception as e:
         e.add_note(f"while reading element {path}")
         raise
@@ -380,7 +406,9 @@ def append(path: str, g: Grid) -> None:
         have = {w: e.shifted(old.n_obs) if isinstance(e, Blocks) else e for w, e in have.items()}
     folder = f"w-{uuid.uuid4().hex}"
     try:
-        write_elem(f"{path}/obs", replace(g.obs, df=g.obs.df.select(*old.obs.df.columns)), folder=folder)
+        made = write_elem(f"{path}/obs", replace(g.obs, df=g.obs.df.select(*old.obs.df.columns)), folder=folder)
+        if "labels" in entries["obs"]:
+            entries["obs"]["labels"] |= made["labels"]
         for where, e in have.items():
             write_elem(f"{path}/{where}", e, folder=folder)
         for where in ("obs", *have):

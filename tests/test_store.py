@@ -146,3 +146,30 @@ def test_runs_are_clumped():
     assert store.Keys.of([9, 1, 2, 3]) == store.Keys(((1, 9),), (1, 2, 3, 9)) and store.Keys.of([1, 2, 3], 1) == store.Keys(((1, 3),))
     assert store.Keys.of([1, 500, 2], 10).runs == ((1, 2), (500, 500)) and store.Keys.of(["b", "a"]).runs == (("a", "a"), ("b", "b"))
     assert store.Keys.of([]).runs == ()
+
+
+def test_labels_are_looked_up_in_one_bucket(spark, wide):
+    """By the plan's metrics: one bucket of the index, and one file of obs."""
+    g = store.read(spark, wide, elements=["X"])
+    assert rows(g["123"].obs.rows.select(KEY)) == [(123,)] and rows(g[["77", "3001", "77"]].obs.rows.select("_from")) == [(77,), (77,), (3001,)]
+    part = g["100":"203"].obs
+    assert rows(part.rows.select(KEY)) == [(i,) for i in range(100, 204)] and rows(g["3990":].obs.rows.select(KEY)) == [(i,) for i in range(3990, 4000)]
+    got, files, _ = scanned(g.obs.labels.keys(["123"]))
+    every = scanned(g.obs.labels.parts[0][0])
+    assert got == [(123, "123")] and files == 1 and every[1] >= 16
+    for missing in ("nobody", ["1", "nobody"]):
+        with pytest.raises(KeyError):
+            g[missing]
+    with pytest.raises(KeyError):
+        g["5":"nobody"]
+    assert g[F.col(KEY) > 5].obs.labels is None and store.read(spark, wide, keys=store.Keys.of([5, 6])).obs.labels is None
+    with pytest.raises(KeyError):
+        g[F.col(KEY) > 5]["5"]
+
+
+def test_label_index_grows_with_appends(spark, tmp_path):
+    p = str(tmp_path / "g")
+    store.write(made(spark, 0, 40), p)
+    store.append(p, made(spark, 100, 140))
+    g = store.read(spark, p)
+    assert len(g.obs.labels.parts) == 2 and rows(g[["120", "3"]].obs.rows.select("_from")) == [(3,), (120,)] and store.read(spark, p, version=1).obs.labels.keys(["120"]).count() == 0
