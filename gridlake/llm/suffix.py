@@ -14,16 +14,16 @@ anchor), so equal windows have equal keys and every bucket of keys can be treate
    document's id and the place. Equal contexts of one group are settled there, so a passage in a third of all rows
    leaves a group once. Buckets count the runs of each anchor. Where an anchor has very many (blanks, a common sentence
    with ever other text behind it), its windows are dealt on by the longer string that windows with the anchor at about
-   the same place have in common: the more runs, the longer that string, up to the window itself. So parts stay small,
-   and lie in different buckets.
+   the same place have in common: the more runs, the longer that string, up to all of the window but a byte. Such a
+   part has at most as many different contexts as there are pairs of bytes around that string, so its transform is bounded.
 3. Buckets fold equal contexts into one class with the smallest document id, and ask for the bytes of a class only
    if another class of the anchor shares a longer substring with it.
 4. Buckets build the transform over those bytes, expand the intervals, and take the smallest document id of every
    interval. A window goes if that id is smaller than its own document's.
 5. Groups unite the windows into spans.
 
-Equality of contexts is by 100 or more hash bits (within one anchor); windows that differ in context are compared
-byte by byte through the transform.
+Contexts are equal by 64 bits of their own hash besides the 38 or more of the anchor (or of the longer string in its place);
+windows that differ in context are compared byte by byte through the transform, however frequent their anchor.
 
 Defined results: ill-formed UTF-8 in a string column is read with U+FFFD in its place; null or empty text has no bytes and loses none; a null id counts as larger than every real id;
 documents with equal ids (repeated rows too) do not remove each other's text; other columns may be carried along;
@@ -53,8 +53,8 @@ BLOCK = 1 << 18
 #: Bytes under one transform (more only if one part of an anchor has more), and windows looked at together.
 TRANSFORM_BYTES = 1 << 18
 WINDOWS = 1 << 17
-#: With more runs than these an anchor's windows are dealt by a string 1 / 2, 3 / 4, ... of the way from the anchor to the whole window.
-RUNS = (1 << 9, 1 << 11, 1 << 13, 1 << 16, 1 << 20)
+#: With more runs than these an anchor's windows are dealt by a string 1 / 2, 3 / 4, ... of the way from the anchor to the whole window; the last is a byte shorter than the window.
+RUNS = (1 << 9, 1 << 11, 1 << 13, 1 << 16)
 
 U64 = np.uint64
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -216,7 +216,7 @@ def intervals(order: np.ndarray, bwt: np.ndarray, length: int) -> np.ndarray:
     return number
 
 
-CONTEXT = np.dtype([("low", "<u4"), ("ctx", "<u4"), ("hl", "<u2"), ("hr", "<u2"), ("at", "<u4"), ("n", "<u2")])
+CONTEXT = np.dtype([("low", "<u4"), ("ctx", "<u8"), ("hl", "<u2"), ("hr", "<u2"), ("at", "<u4"), ("n", "<u2")])
 SPAN = np.dtype([("doc", "<u4"), ("at", "<u4"), ("n", "<u2")])
 REP = np.dtype([("cls", "<u4"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u2")])
 
@@ -305,7 +305,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
         Windows with the anchor at offsets j * width to (j + 1) * width - 1 have in common the string from the last one's
         beginning to the first one's end, of length - width + 1 bytes; its hash is the key."""
-        width = -(-(length - k + 1) // (1 << level)) if level < len(RUNS) else 1
+        width = max(2, -(-(length - k + 1) // (1 << level))) if level < len(RUNS) else 2
         lowest, highest = place - first - n + 1, place - first  # offsets of the anchor in the run's windows
         pieces = highest // width - lowest // width + 1
         of = np.repeat(np.arange(len(v)), pieces)
@@ -338,7 +338,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 doc = np.searchsorted(b.starts, first, "right") - 1
                 r = np.zeros(len(first), CONTEXT)
                 r["low"] = anchor & U64(0xFFFFFFFF)
-                r["ctx"] = b.hash(first, first + n + length - 1) >> U64(32)
+                r["ctx"] = b.hash(first, first + n + length - 1)
                 r["at"], r["n"] = first - b.starts[doc], n
                 if place is not None:
                     # every window holds the anchor and half bytes before it, or the anchor and the other half after it
@@ -346,7 +346,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     has_l, has_r = first <= lo, (first + n - 1 >= lo) & (hi <= b.n)
                     for name, ok, x, y in (("hl", has_l, lo, place + k), ("hr", has_r, place, hi)):
                         r[name][ok] = (b.hash(x[ok], y[ok]) >> U64(48)) | U64(1)
-                elif level < len(RUNS):  # all contexts of a part have a string in common; a single window is known by its hash
+                else:  # all contexts of a part have a string in common
                     r["hl"] = 1
                 got.append(r)
                 docs_.append(i + doc)

@@ -65,6 +65,40 @@ def test_common_sentence_and_blanks(docs_of):
         assert ours(docs_of(rows), group_bytes=4000) == want(rows)
 
 
+def test_windows_of_one_short_hash_stay_apart(docs_of):
+    """The upper half of every hash is the same: contexts are told apart by the rest, at every level."""
+    r = random.Random(8)
+    sentence = "thirty bytes that all of these documents have in the middle"
+    rows = [(i, "".join(r.choice("abc") for _ in range(30)) + sentence + "".join(r.choice("abc") for _ in range(30))) for i in range(80)]
+    rows += [(100 + i, t[3 * i % 20 :]) for i, t in rows[:30]]
+
+    class Weak(suffix.Block):
+        def hash(self, start, end):
+            return super().hash(start, end) & np.uint64(0xFFFFFFFF)
+
+    def weak_blocks(texts):
+        for i, t in enumerate(texts):
+            yield i, Weak([t])
+
+    for runs in (suffix.RUNS, (0, 0, 30, 60), (0, 0, 0, 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffix, "RUNS", runs)
+            m.setattr(suffix, "blocks", weak_blocks)  # goes to the workers with the functions that use it
+            assert ours(docs_of(rows), group_bytes=2000, bucket_bytes=4000) == want(rows)
+
+
+def test_parts_of_the_most_frequent_anchors(docs_of):
+    """Windows that share all but a byte at either end, and windows longer than 16 anchors."""
+    r = random.Random(9)
+    rows = [(i, r.choice("abcdefgh") + "-" * 49 + r.choice("ijklmnop") + ("" if i % 3 else "-" * 70)) for i in range(300)]
+    for runs in ((0, 0, 0, 0), (5, 10, 20, 40)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffix, "RUNS", runs)
+            assert ours(docs_of(rows), group_bytes=3000) == want(rows)
+            long = [(i, t * 9) for i, t in rows[:60]]
+            assert ours(docs_of(long), group_bytes=3000, length=400) == sorted((i, *x) for (i, _), x in zip(long, brute(long, 400)))
+
+
 def test_ill_formed_text(spark):
     df = spark.createDataFrame([(1, b"ab\xffcd" * 20), (2, b"x" + b"ab\xffcd" * 20), (3, b"\xff" * 70)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) AS text")
     by = {r.doc_id: r for r in suffix.spans(df).collect()}
