@@ -20,6 +20,7 @@ from gridlake.operators.stream import BatchStream
 from gridlake.plans.refs import A
 from gridlake.session import materialise, override
 from gridlake.sources import store, text, zarr
+from gridlake.streaming.ingest import append_grids
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -628,6 +629,28 @@ def store_versions(spark, d):
     return seen.groupBy(F.when(F.col("_old"), "old").otherwise("new").alias("since")).agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT o, v, value, o_orderstatus AS status, CASE WHEN o % 4 = 0 THEN 1 ELSE 2 END AS since FROM {SALES} JOIN orders ON o_orderkey = o""")
+def stream_of_grids(spark, d):
+    """A stored quarter of the orders, and a stream of the others with their lines, each batch a version; which had an order first."""
+    path = scratch(spark)
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_partkey", "l_quantity")).alias("lines"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(lines, "o_orderkey", "left")
+
+    def grid_of(rows, var):
+        cells = rows.select(F.col("o_orderkey").alias("o"), F.explode("lines").alias("l")).groupBy("o", F.col("l.l_partkey").alias("v")).agg(F.sum("l.l_quantity").alias("value"))
+        return Grid(Axis.of(rows.select("o_orderkey", "o_orderstatus"), "o_orderkey"), var, {None: Matrix(cells)})
+
+    first = F.col("o_orderkey") % 4 == 0
+    store.write(grid_of(orders.where(first), Axis.of(table(spark, d, "part"), "p_partkey")), f"{path}/grid")
+    orders.where(~first).write.parquet(f"{path}/rows")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/rows")
+    append_grids(stream, f"{path}/grid", f"{path}/log", grid_of).awaitTermination()
+    g = store.read(spark, f"{path}/grid")
+    old = store.read(spark, f"{path}/grid", version=1).obs.df.select(F.col(KEY).alias("o"), F.lit(1).alias("since"))
+    return (g.X.df.join(g.obs.df.select(F.col(KEY).alias("o"), F.col("o_orderstatus").alias("status")), "o").join(old, "o", "left")
+            .select("o", "v", "value", "status", F.coalesce("since", F.lit(2)).alias("since")))
+
+
 @query(f"""SELECT (vec_id % 2)::INTEGER AS src, count(*) AS cells, count(CASE WHEN vec_id % 2 = 0 AND p < 40 OR vec_id % 2 = 1 AND p >= 20 THEN 1 END) AS filled,
 round(sum(CASE WHEN vec_id % 2 = 0 AND p < 40 OR vec_id % 2 = 1 AND p >= 20 THEN round(value, 6) END), 3) AS total FROM {PLACES} GROUP BY 1""")
 def concat_on_disk_dense(spark, d):

@@ -377,13 +377,20 @@ def read(spark: SparkSession, path: str, *, elements: list[str] | None = None, o
     return g
 
 
-def append(path: str, g: Grid) -> None:
+def append(path: str, g: Grid, mark: tuple[str, int] | None = None) -> None:
     """Append rows to a stored grid. Keys must be new, and g must have every element that runs along obs, so that none is left short.
 
     obs, every layer, obsm, obsp and raw grow; categories that are new are added; var and what belongs to it stay. All of it
-    is there at once, as a new version, or nothing is; Conflict if another writer was faster."""
+    is there at once, as a new version, or nothing is; Conflict if another writer was faster.
+
+    mark: a stream's name and the number of its batch. The version keeps it, and a batch that a version has is not appended again."""
     spark = g.obs.df.sparkSession
     manifest = snapshot(spark, path)
+    if mark:
+        marks = manifest.setdefault("streams", {})
+        if marks.get(mark[0], -1) >= mark[1]:
+            return
+        marks[mark[0]] = mark[1]
     entries = manifest["elements"]
     old = read(spark, path)
     ends = g.obs.rows.agg(F.min(KEY).alias("a"), F.max(KEY).alias("z"), F.count("*").alias("n")).first()
