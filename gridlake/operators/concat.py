@@ -14,7 +14,7 @@ from gridlake.functions.names import natural_key
 from gridlake.operators.axis import KEY, NAME, ORD, Axis, Categories, same_rows
 from gridlake.operators.blocks import Blocks, stacked
 from gridlake.operators.dictionary import Dictionary
-from gridlake.operators.element import Aligned, Matrix, Pairs
+from gridlake.operators.element import Aligned, Fill, Filled, Matrix, Pairs
 from gridlake.operators.grid import Grid, Raw
 from gridlake.operators.merge import MISSING, RULES, merge_maps, shared_keys, union_keys
 from gridlake.operators.ragged import alike
@@ -149,7 +149,7 @@ def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps,
     along, across = ("o", "v") if side == "obs" else ("v", "o")
     sparse = any(m is not None and m.sparse for m in ms)
     value = default_fill(ms) if fill is None else fill
-    parts = []
+    parts, fills = [], []
     for i, (m, g) in enumerate(zip(ms, grids)):
         if m is not None:
             parts.append(_mapped(m.df, across, maps[i]).withColumn(along, _source_key(i, along)).select("o", "v", "value"))
@@ -160,11 +160,8 @@ def concat_matrices(ms: list[Matrix | None], grids: list[Grid], side: str, maps,
             absent = absent.join(maps[i].select(F.col("_new").alias(across)), across, "left_anti")
         if m is None or maps[i] is not None:
             mine = g.axis(side).rows.select(_source_key(i, KEY).alias(along))
-            if mine.count() * absent.count() > settings().max_filled_cells:
-                raise ValueError("a fill value other than zero would make too many cells; raise max_filled_cells to allow it")
-            # by definition every row of this input meets every label it lacks
-            parts.append(mine.crossJoin(absent).select("o", "v", F.lit(value).cast("double").alias("value")))
-    return Matrix(_union(parts), sparse)
+            fills.append(Fill(mine, absent, value) if along == "o" else Fill(absent, mine, value))
+    return Filled(_union(parts), sparse, tuple(fills)) if fills else Matrix(_union(parts), sparse)
 
 
 def _common_fields(have: list[Aligned | None], join: str) -> list[Aligned | None]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -84,6 +85,10 @@ class Matrix:
         cells = obs.rows.select(F.col(KEY).alias("o")).crossJoin(var.rows.select(F.col(KEY).alias("v")))
         return Matrix(cells.join(self.df, ["o", "v"], "left").select("o", "v", F.coalesce("value", F.lit(fill)).alias("value")), False)
 
+    def tally(self, *by: Column) -> DataFrame:
+        """How often each value stands in each group of rows: the columns that `by` makes of o, value, n."""
+        return self.df.groupBy(*by, "value").agg(F.count("*").alias("n"))
+
     def same_as(self, other: Matrix) -> bool:
         """Equal values: an explicit zero equals an absent cell of a sparse matrix, NaN equals NaN."""
         if dict(self.df.dtypes) == dict(other.df.dtypes):
@@ -103,6 +108,48 @@ class Matrix:
         return j.where(~zero("a", self.sparse).eqNullSafe(zero("b", other.sparse))).limit(1).count() == 0
 
 
+@dataclass(frozen=True)
+class Fill:
+    """One value wherever a row of o meets a column of v."""
+
+    o: DataFrame
+    v: DataFrame
+    value: float
+
+
+class Filled(Matrix):
+    """A matrix some of whose cells are fills. They stay two lists of keys each, through views and tallies; only df makes them, guarded by max_filled_cells."""
+
+    def __init__(self, df: DataFrame, sparse: bool = True, fills: tuple[Fill, ...] = ()):
+        for k, x in (("own", df), ("sparse", sparse), ("fills", fills), ("_whole", None)):
+            object.__setattr__(self, k, x)
+
+    @property
+    def df(self) -> DataFrame:
+        if self._whole is None:
+            if sum(f.o.count() * f.v.count() for f in self.fills) > settings().max_filled_cells:
+                raise ValueError("a fill value other than zero would make too many cells; raise max_filled_cells to allow it")
+            # by definition every row of an input meets every label that the input lacks
+            made = [f.o.crossJoin(f.v).select("o", "v", F.lit(f.value).cast("double").alias("value")) for f in self.fills]
+            object.__setattr__(self, "_whole", reduce(lambda a, b: a.unionByName(b), [self.own, *made]))
+        return self._whole
+
+    def view(self, obs: Axis, var: Axis) -> Matrix:
+        fills = tuple(Fill(obs.keep(f.o, "o"), var.keep(f.v, "v"), f.value) for f in self.fills)
+        return Filled(var.keep(obs.keep(self.own, "o"), "v"), self.sparse, fills)
+
+    def transposed(self) -> Matrix:
+        fills = tuple(Fill(f.v.withColumnRenamed("v", "o"), f.o.withColumnRenamed("o", "v"), f.value) for f in self.fills)
+        return Filled(Matrix(self.own).transposed().df, self.sparse, fills)
+
+    def tally(self, *by: Column) -> DataFrame:
+        own = Matrix(self.own).tally(*by)
+        names = own.columns[:-2]
+        n = lambda f: f.o.groupBy(*by).agg(F.count("*").alias("_o")).crossJoin(f.v.agg(F.count("*").alias("_v")))
+        made = [n(f).where("_v > 0").select(*names, F.lit(f.value).cast("double").alias("value"), (F.col("_o") * F.col("_v")).alias("n")) for f in self.fills]
+        return reduce(lambda a, b: a.unionByName(b), [own, *made]).groupBy(*names, "value").agg(F.sum("n").alias("n"))
+
+
 def from_rows(df: DataFrame, key: str, values: str, sparse: bool = False) -> Matrix:
     """A matrix from one array per row; v is the place in the array."""
     cells = df.select(F.col(key).alias("o"), F.posexplode(values).alias("p", "value")).select("o", F.col("p").cast("long").alias("v"), "value")

@@ -205,8 +205,10 @@ def concat_outer_obs(spark, d):
 gone AS (SELECT r, (SELECT count(*) FROM v) - count(*) AS n FROM rv GROUP BY r), rows AS (SELECT r, count(*) AS n FROM ro GROUP BY r)
 SELECT r::INTEGER AS src, (SELECT count(*) FROM x WHERE x.r = rows.r) AS cells, rows.n * gone.n AS filled FROM rows JOIN gone USING (r)""")
 def concat_outer_fill(spark, d):
-    m = concat(regional(spark, d), join="outer", fill_value=-1.0).X.df
-    return m.groupBy(F.col("o.src").alias("src")).agg(F.count(F.when(F.col("value") != -1, 1)).alias("cells"), F.count(F.when(F.col("value") == -1, 1)).alias("filled"))
+    """Cells and fills of each input, counted without making the fills: these are as many as rows times absent columns."""
+    m = concat(regional(spark, d), join="outer", fill_value=-1.0).X.tally(F.col("o.src").alias("src"))
+    n = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return m.groupBy("src").agg(n(F.col("value") != -1).alias("cells"), n(F.col("value") == -1).alias("filled"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) || '-cust' AS name, 'cust' AS batch FROM customer

@@ -596,3 +596,18 @@ def test_structs_both_ways(spark):
     assert from_structs(as_structs(df, ["s", "d"])).collect() == df.collect()
     with pytest.raises(ValueError):
         from_structs(as_structs(df, ["s", "d"], "v").withColumn("s", F.lit(1)), "v")
+
+
+def test_fills_are_counted_without_being_made(stalls):
+    hall, quay, pier = stalls
+    g = concat([hall, quay, pier], join="outer", fill_value=-2.5)
+    src = F.col("o.src").alias("src")
+    counts = lambda df: {(r.src, r.value): r.n for r in df.collect()}
+    for m in (g.X, g[F.col("_key.src") < 2].X, g[:, F.col(NAME) > "g"].X, concat([hall.T, quay.T], axis="var", join="outer", fill_value=7.0).T.X):
+        assert counts(m.tally(src)) == counts(m.df.groupBy(src, "value").agg(F.count("*").alias("n")))
+    assert g.X.tally(src).where("value = -2.5").agg(F.sum("n")).first()[0] == 3 * 3 + 1 * 4 + 2 * 2
+    with override(max_filled_cells=5):
+        many = concat([hall, quay, pier], join="outer", fill_value=-2.5)
+        assert counts(many.X.tally(src)) == counts(g.X.tally(src))
+        with pytest.raises(ValueError, match="max_filled_cells"):
+            many.X.df
