@@ -331,12 +331,22 @@ class Axis:
 
     def where(self, condition: Column | str) -> Axis:
         found = self.rows.where(condition)
+        if not found._jdf.queryExecution().analyzed().condition().deterministic():
+            # Numbers are drawn once for each selection, from rows that are dealt alike for all: elements agree, and a condition and its opposite leave the whole
+            found = materialise(self._dealt().where(condition))
+            return Axis(found, False, self.categories, label=self.label and (*self.label[:2], found) if self._labels_hold() else None, sources=self.sources)
         left = self._sources_left(condition, found)
         if left is not None and left != self.sources:
             found = self.rows.where(F.col(f"{KEY}.src").isin(*left)).where(condition)
         label = self.label and (*self.label[:2], found) if self._labels_hold() else None
         return Axis(found, False, self.categories, label=label, sources=left)
 
+    def _dealt(self) -> DataFrame:
+        """The axis's rows in partitions and an order that stay; axes over one frame share them."""
+        if self._sorted.get("dealt_of") is not self.df or self._sorted.get("dealt_window") != self.window:
+            self._sorted.update(dealt_of=self.df, dealt_window=self.window, dealt=materialise(self.rows))
+        return self._sorted["dealt"]
+
     def _labels_hold(self) -> bool:
         """Is the label column still the one that the concatenation made? Setters give the axis another frame."""
         return self.label is not None and self.label[2] is self.df and self.window is None

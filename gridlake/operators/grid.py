@@ -16,7 +16,7 @@ from gridlake.operators.blocks import Blocks
 from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
 from gridlake.operators.merge import equal
-from gridlake.session import settings
+from gridlake.session import materialise, settings
 
 
 @dataclass(frozen=True)
@@ -272,7 +272,11 @@ class Grid:
     # Functional setters; on a view they give a grid in its own right
     def with_column(self, side: str, name: str, value: Column | str) -> Grid:
         axis = self.axis(side)
-        return replace(self, **{side: replace(axis, df=axis.df.withColumn(name, F.expr(value) if isinstance(value, str) else value))})
+        df = axis.df.withColumn(name, F.expr(value) if isinstance(value, str) else value)
+        certain = lambda x: x._jdf.queryExecution().analyzed().deterministic()
+        if certain(axis.df) and not certain(df):
+            df = materialise(df)  # numbers are drawn once, whatever is read of the grid
+        return replace(self, **{side: replace(axis, df=df)})
 
     def with_annotation(self, side: str, frame: DataFrame, key: str) -> Grid:
         """Left-align a frame's columns to an axis; rows it lacks get nulls."""

@@ -611,3 +611,22 @@ def test_fills_are_counted_without_being_made(stalls):
         assert counts(many.X.tally(src)) == counts(g.X.tally(src))
         with pytest.raises(ValueError, match="max_filled_cells"):
             many.X.df
+
+
+def test_random_masks_are_drawn_once(spark):
+    def mixed(parts):
+        for p in parts:
+            yield p.sample(frac=1)
+
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit("x").alias("c")).mapInPandas(mixed, "k long, c string")  # in another order each time
+    cells = spark.range(400).select(F.col("id").alias("o"), F.lit(0).cast("long").alias("v"), F.lit(1.0).alias("value"))
+    g = Grid(Axis.of(rows, "k"), Axis.of_names(spark, ["a"]), {None: Matrix(cells)})
+    keys = lambda df, c: sorted(r[0] for r in df.select(c).collect())
+    low = F.rand(11) < 0.5
+    both = [g[m].X.df for m in (low, ~low)]
+    assert keys(both[0].union(both[1]), "o") == list(range(400)) and 0 < both[0].count() < 400
+    other = F.udf(lambda: float(np.random.random()), "double").asNondeterministic()
+    h = g[other() < 0.5]
+    assert keys(h.obs.rows, KEY) == keys(h.X.df, "o") == keys(h.obs.rows, KEY)
+    u = g.with_column("obs", "u", F.rand(3))
+    assert sorted(u[F.col("u") < 0.5].obs.rows.collect() + u[F.col("u") >= 0.5].obs.rows.collect()) == sorted(u.obs.rows.collect())
