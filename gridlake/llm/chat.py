@@ -8,15 +8,20 @@ ids); a tool's text may be a JSON object with `tool_call_id` and `content`. Any
   later one, and a call without an id or a conversation, is written and checked like any other and stays unanswered.
 * Order is topological: a call comes after the calls it depends on (order_level), and a result that stands before its
   call is put behind it (order_turn). Sort a conversation by order_turn, order_level, turn.
-* Arguments are checked against the tools' schemas: required names, unknown names, types.
+* Arguments are checked against the tools' schemas: required names, unknown names, types. The schemas are a catalogue that
+  is given for all conversations, or else what a conversation itself declares: a system's text may be a JSON object with
+  `tools`, each with name, required and properties, these two also under `parameters` or `input_schema`, and all of it also
+  under `function`. Declarations are hash-joined to calls by (conversation, name).
 * A message is serialised as canonical JSON: keys sorted, no blanks. VARIANT keeps object keys sorted, at any depth.
   Its calls are checked and written inside its own row, so each is there whatever it links to.
 
 Nothing is grouped by conversation, so one conversation may hold any share of the rows.
 
-Defined results: null text is empty content; a null conversation links nothing; rows that repeat are formatted each;
+Defined results: null text is empty content; a null conversation links nothing and declares nothing; rows that repeat are formatted each;
 arguments that are absent are {}, and text that is no JSON is kept as a JSON string, with the error `not JSON`; an absent
 id is null; an entry of tool_calls that is no object is kept as it is, with the error `not an object`;
+without a catalogue, calls of a conversation that declares no tools meet no schema, and in one that does a tool it doesn't name is
+`unknown tool`; of declarations of one name the first counts, of parameters without a type any value will do;
 a result without a call is `orphan`; calls in a circle of dependencies, and those after one, are `cycle`; other columns are ignored; an
 empty table gives an empty result.
 """
@@ -49,6 +54,22 @@ def tool_schemas(tools: list[dict]) -> Column:
     return F.array(*rows)
 
 
+def declared_tools(rows: DataFrame) -> DataFrame:
+    """conv_id, name (null: the conversation declares tools at all), required, types: what system messages declare. rows: as parsed() gives them."""
+    every = F.try_variant_get("v", "$.tools", "array<variant>")
+    said = rows.where("role = 'system' and v is not null and conv_id is not null").select("conv_id", "turn", _key().alias("key"), every.alias("t")).where("t is not null")
+    of = lambda c, path: F.try_variant_get(c, path, "variant")
+    one = said.select("conv_id", "turn", "key", F.posexplode("t").alias("pos", "c")).withColumn("c", F.coalesce(of("c", "$.function"), F.col("c")))
+    one = one.withColumn("s", F.coalesce(of("c", "$.parameters"), of("c", "$.input_schema"), F.col("c")))
+    types = F.transform_values(F.coalesce(F.try_variant_get("s", "$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>")),
+                               lambda _, p: F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit("any")))
+    required = F.coalesce(F.try_variant_get("s", "$.required", "array<string>"), F.array().cast("array<string>"))
+    one = one.select("conv_id", F.try_variant_get("c", "$.name", "string").alias("name"), F.struct("turn", "pos", "key").alias("at"), F.struct(required.alias("required"), types.alias("types")).alias("schema")).where("name is not null")
+    first = one.groupBy("conv_id", "name").agg(F.min_by("schema", "at").alias("schema")).select("conv_id", "name", "schema.*")
+    any_ = said.select("conv_id").distinct()
+    return first.unionByName(any_, allowMissingColumns=True)
+
+
 def _errors(args: Column, required: Column, types: Column) -> Column:
     """What is wrong with a call's arguments, sorted; empty if nothing."""
     entries = F.try_variant_get(args, "$", "map<string,variant>")
@@ -84,6 +105,19 @@ def _check(x: Column, tools: list[dict] | None) -> Column:
     return F.when(~x["whole"], F.array(F.lit("not an object"))).when(_lost(x), F.array(F.lit("not JSON"))).otherwise(found)
 
 
+def _checked(found: DataFrame, tools: list[dict] | None, rows: DataFrame) -> DataFrame:
+    """Calls that _calls gave, with what is wrong with each: by the catalogue, or without one by what their conversation declares."""
+    x = F.col("x")
+    if tools:
+        return found.withColumn("errors", _check(x, tools))
+    said = declared_tools(rows)
+    own = said.where("name is null").select("conv_id", F.lit(True).alias("own"))
+    named = found.withColumn("name", x["name"]).join(said.where("name is not null"), ["conv_id", "name"], "left").join(own, "conv_id", "left")
+    plain = _check(x, None)
+    errors = F.when(F.size(plain) > 0, plain).when(F.col("types").isNotNull(), _errors(x["args"], F.col("required"), F.col("types"))).when(F.col("own"), F.array(F.lit("unknown tool"))).otherwise(plain)
+    return named.select(*found.columns, errors.alias("errors"))
+
+
 def _quoted(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
 
@@ -113,13 +147,14 @@ def _calls(rows: DataFrame) -> DataFrame:
 def link_calls(messages: DataFrame, tools: list[dict] | None = None) -> DataFrame:
     """One row per id of a conversation, of its first call: conv_id, id, name, call_turn, pos, arguments (canonical JSON), errors,
     level (null: in a circle, or after one)."""
-    return _linked(_calls(parsed(messages)), tools).drop("key")
+    rows = parsed(messages)
+    return _linked(_checked(_calls(rows), tools, rows)).drop("key")
 
 
-def _linked(found: DataFrame, tools: list[dict] | None) -> DataFrame:
+def _linked(found: DataFrame) -> DataFrame:
     x = F.col("x")
     calls = found.where("x.id is not null").groupBy("conv_id", F.col("x.id").alias("id")).agg(
-        F.min_by(F.struct("turn", "pos", "key", x["name"].alias("name"), _arguments(x).alias("arguments"), _check(x, tools).alias("errors"), x["after"].alias("after")), F.struct("turn", "pos", "key")).alias("c"))
+        F.min_by(F.struct("turn", "pos", "key", x["name"].alias("name"), _arguments(x).alias("arguments"), "errors", x["after"].alias("after")), F.struct("turn", "pos", "key")).alias("c"))
     calls = calls.select("conv_id", "id", "c.name", F.col("c.turn").alias("call_turn"), "c.pos", "c.arguments", "c.errors", "c.key", "c.after")
     needs = calls.select("conv_id", "id", F.explode("after").alias("on")).join(
         calls.select("conv_id", F.col("id").alias("on")), ["conv_id", "on"], "left_semi").distinct()
@@ -164,7 +199,7 @@ def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    v = F.when(F.col(role).isin("assistant", "tool") & body.rlike(r"^\s*\{"), F.try_parse_json(body))
+    v = F.when(F.col(role).isin("assistant", "tool", "system") & body.rlike(r"^\s*\{"), F.try_parse_json(body))
     return messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), body.alias("text"), v.alias("v"))
 
 
@@ -175,8 +210,8 @@ def format_messages(messages: DataFrame, tools: list[dict] | None = None) -> Dat
         F.try_variant_get("v", "$.tool_calls", "array<variant>").alias("c"))
     is_call = (F.col("role") == "assistant") & F.col("c").isNotNull()
     is_result = (F.col("role") == "tool") & F.col("result_of").isNotNull()
-    found = _calls(rows)
-    calls = _linked(found, tools)
+    found = _checked(_calls(rows), tools, rows)
+    calls = _linked(found)
     answered = rows.where(is_result).select("conv_id", F.col("result_of").alias("id")).distinct().withColumn("hit", F.lit(1))
     at = ["conv_id", "key"]
     firsts = calls.join(answered.hint("shuffle_hash"), ["conv_id", "id"], "left").select(*at, "pos", "level", F.coalesce("hit", F.lit(0)).alias("hit"))
@@ -186,11 +221,13 @@ def format_messages(messages: DataFrame, tools: list[dict] | None = None) -> Dat
         F.when(F.every(F.col("level").isNotNull()), F.max("level") + 1).alias("level"), F.lit(True).alias("some"))
     others = others.join(needs, [*at, "pos"], "left").select(*at, F.when(F.col("some").isNull(), 0).otherwise(F.col("level")).alias("level"), F.lit(0).alias("hit"))
     per_message = firsts.drop("pos").unionByName(others).groupBy(*at).agg(F.sum("hit").alias("hits"), F.max(F.col("level").isNull()).alias("circle"), F.min("level").alias("level"))
+    # rows that repeat have the same calls
+    wrong = found.groupBy("conv_id", "key", "pos").agg(F.max(F.size("errors") > 0).alias("bad")).where("bad").groupBy("conv_id", "key").agg(F.count("*").cast("int").alias("wrong"))
     plain = rows.where(~(is_call | is_result)).select(
         "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_level"), F.lit(0).alias("n_calls"), F.lit(0).alias("n_invalid"), F.lit(0).alias("n_unanswered"),
         F.lit("plain").alias("status"), F.to_json(F.struct(F.col("text").alias("content"), F.coalesce("role", F.lit("")).alias("role"))).alias("message"))
-    asked = rows.where(is_call).withColumn("key", _key()).join(per_message, at, "left").withColumn(
-        "bad", F.size(F.filter("c", lambda c: F.size(_check(_read(c), tools)) > 0))).select(
+    asked = rows.where(is_call).withColumn("key", _key()).join(per_message, at, "left").join(wrong, at, "left").withColumn(
+        "bad", F.when(F.col("conv_id").isNull(), F.size(F.filter("c", lambda c: F.size(_check(_read(c), tools)) > 0))).otherwise(F.coalesce("wrong", F.lit(0)))).select(
         "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.coalesce("level", F.lit(0)).alias("order_level"), F.size("c").alias("n_calls"),
         F.col("bad").alias("n_invalid"), (F.size("c") - F.coalesce("hits", F.lit(0))).cast("int").alias("n_unanswered"),
         F.when(F.col("circle"), "cycle").when(F.col("bad") > 0, "invalid").otherwise("calls").alias("status"),

@@ -189,3 +189,21 @@ def test_linking_against_brute_force(spark):
     rows += [(99, i, "assistant", call({"id": f"n{i}", "name": "f", "arguments": {}, "depends_on": [f"n{i - 1}"] if i else []})) for i in range(90)] + [(99, 200, "tool", json.dumps({"tool_call_id": "n89", "content": "y" * 200_000}))]
     got = [(x.conv_id, x.turn, x.role, x.order_turn, x.order_level, x.n_calls, x.n_invalid, x.n_unanswered, x.status) for x in chat.format_messages(frame(spark, rows)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+
+
+def test_calls_meet_the_schemas_that_their_conversation_declares(spark):
+    nested = [{"type": "function", "function": {"name": t["name"], "parameters": {"required": t.get("required", []), "properties": t["properties"]}}} for t in TOOLS]
+    late = {"name": "now", "input_schema": {"properties": {"zone": {}}, "required": ["zone"]}}
+    asks = call({"id": "a", "name": "add", "arguments": {"a": 1, "b": 2}}, {"id": "b", "name": "add", "arguments": '{"b": "2", "q": 1}'}, {"id": "c", "name": "gone"}, {"name": "now", "arguments": {"zone": 1}}, {"id": "e", "name": "now", "arguments": "{"})
+    rows = [(0, 0, "system", json.dumps({"tools": TOOLS})), (1, 0, "system", json.dumps({"tools": nested})), (2, 0, "system", "{tools"), (3, 0, "system", json.dumps({"tools": []})),
+            (4, 0, "system", json.dumps({"tools": [late]})), (4, 1, "system", json.dumps({"tools": TOOLS})), (None, 0, "system", json.dumps({"tools": TOOLS})), (5, 0, "user", json.dumps({"tools": TOOLS}))]
+    rows += [(k, 9, "assistant", asks) for k in (0, 1, 2, 3, 4, 5, None, 1)]
+    df = frame(spark, rows)
+    out = chat.format_messages(df).collect()
+    bad = sorted((str(r.conv_id), r.n_invalid) for r in out if r.role == "assistant")
+    assert bad == [("0", 4), ("1", 4), ("1", 4), ("2", 1), ("3", 5), ("4", 3), ("5", 1), ("None", 1)]
+    assert {r.status for r in out if r.role == "system"} == {"plain"} and len(out) == len(rows)
+    errors = {(r.conv_id, r.id): r.errors for r in chat.link_calls(df).collect()}
+    assert errors[1, "b"] == ["missing:a", "type:b", "unknown:q"] and errors[1, "c"] == ["unknown tool"] and errors[2, "c"] == [] and errors[4, "e"] == ["not JSON"] and errors[3, "a"] == ["unknown tool"]
+    # a catalogue that is given counts for all
+    assert {r.n_invalid for r in chat.format_messages(df, TOOLS).collect() if r.role == "assistant"} == {4}
