@@ -64,6 +64,11 @@ class LabelIndex:
         return self.of.where(F.col(KEY).isin(*some)) if len(some) <= self.FEW else self.of.join(keys.select(KEY), KEY, "left_semi").select(*self.of.columns)
 
 
+def certain(df: DataFrame) -> bool:
+    """Are rows the same however often they are worked out: does nothing draw numbers or depend on how rows are dealt?"""
+    return df._jdf.queryExecution().analyzed().deterministic()
+
+
 def with_positions(df: DataFrame, order: str = KEY, name: str = ORD) -> DataFrame:
     """Add 0-based positions in the order of a column.
 
@@ -331,9 +336,13 @@ class Axis:
 
     def where(self, condition: Column | str) -> Axis:
         found = self.rows.where(condition)
-        if not found._jdf.queryExecution().analyzed().condition().deterministic():
+        if not certain(found):
             # Numbers are drawn once for each selection, from rows that are dealt alike for all: elements agree, and a condition and its opposite leave the whole
-            found = materialise(self._dealt().where(condition))
+            try:
+                found = self._dealt().where(condition)
+            except AnalysisException:  # it names a column that the axis itself doesn't have
+                pass
+            found = materialise(found)
             return Axis(found, False, self.categories, label=self.label and (*self.label[:2], found) if self._labels_hold() else None, sources=self.sources)
         left = self._sources_left(condition, found)
         if left is not None and left != self.sources:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.names import make_unique, natural_key
-from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, same_rows, with_positions
+from gridlake.operators.axis import FROM, KEY, NAME, ORD, Axis, Categories, certain, same_rows, with_positions
 from gridlake.operators.blocks import Blocks
 from gridlake.operators.dictionary import Dictionary
 from gridlake.operators.element import Aligned, Matrix, Pairs
@@ -273,7 +273,6 @@ class Grid:
     def with_column(self, side: str, name: str, value: Column | str) -> Grid:
         axis = self.axis(side)
         df = axis.df.withColumn(name, F.expr(value) if isinstance(value, str) else value)
-        certain = lambda x: x._jdf.queryExecution().analyzed().deterministic()
         if certain(axis.df) and not certain(df):
             df = materialise(df)  # numbers are drawn once, whatever is read of the grid
         return replace(self, **{side: replace(axis, df=df)})

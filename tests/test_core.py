@@ -628,5 +628,6 @@ def test_random_masks_are_drawn_once(spark):
     other = F.udf(lambda: float(np.random.random()), "double").asNondeterministic()
     h = g[other() < 0.5]
     assert keys(h.obs.rows, KEY) == keys(h.X.df, "o") == keys(h.obs.rows, KEY)
+    assert g[F.col("k") > 390].n_obs == 9 and keys((k := g[(other() < 0.5) & (F.col("k") > 9)]).obs.rows, KEY) == keys(k.X.df, "o")  # k: the table's own column
     u = g.with_column("obs", "u", F.rand(3))
     assert sorted(u[F.col("u") < 0.5].obs.rows.collect() + u[F.col("u") >= 0.5].obs.rows.collect()) == sorted(u.obs.rows.collect())
