@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions.names import convert_string, is_float, to_double
-from gridlake.operators.axis import KEY, NAME, Axis, with_positions
+from gridlake.operators.axis import KEY, NAME, Axis
 from gridlake.operators.element import Matrix
 from gridlake.operators.grid import Grid
+from gridlake.session import materialise
 
 
 def _number(s: str) -> bool:
@@ -24,9 +27,14 @@ _AT = "struct(_metadata.file_path AS f, _metadata.file_block_start AS b) AS _fil
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines that are not empty with their number, part files in the order of their names."""
-    at = lines.where("line <> ''").withColumn("_at", F.struct("_file", F.monotonically_increasing_id().alias("i")))
-    return with_positions(at, "_at", "n").drop("_at", "_file")
+    """Lines that are not empty with their number, part files in the order of their names.
+
+    Nothing is sorted: a split's lines have ids that count on, and what stands before a split comes from counts. Lines are written once, so that ids hold."""
+    local = materialise(lines.where("line <> ''").select("line", "_file", F.monotonically_increasing_id().alias("_i")))
+    splits = local.groupBy("_file").agg(F.count("*").alias("n"), F.min("_i").alias("a")).orderBy("_file").collect()  # a row a split of a file
+    before = accumulate((r.n for r in splits), initial=0)
+    starts = local.sparkSession.createDataFrame([(r["_file"], b - r.a) for r, b in zip(splits, before)], "_file struct<f string, b long>, _start long")
+    return local.join(starts, "_file").withColumn("n", F.col("_start") + F.col("_i")).drop("_i", "_start", "_file")
 
 
 def read_text(spark: SparkSession, path: str, delimiter: str | None = None, first_column_names: bool | None = None) -> Grid:
@@ -109,17 +117,24 @@ def read_mtx(spark: SparkSession, path: str) -> Grid:
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.expr(_AT)).where("line <> ''")
     banner = next((r[0] for r in lines.where(F.col("line").startswith("%%")).limit(1).collect()), "%%MatrixMarket matrix coordinate real general").lower().split()
     data = lines.where(~F.col("line").startswith("%"))
-    at = _numbered(data)
-    size = at.where("n = 0").first().line.split()
+    head = data.select("line", F.struct("_file", F.monotonically_increasing_id()).alias("at")).agg(F.min_by("line", "at").alias("line")).first().line
+    if head is None:
+        raise ValueError(f"no size in {path}")
+    size = head.split()
     rows, cols = int(size[0]), int(size[1])
     f = F.split("line", r"\s+")
     if "array" in banner:
-        k = F.col("n") - 1
+        at, k = _numbered(data), F.col("n") - 1
         cells = at.where("n > 0").select((k % rows).alias("o"), F.floor(k / rows).alias("v"), F.col("line").cast("double").alias("value"))
         m = Matrix(cells, False)
     else:
+        # Cells say where they are, so lines need no order: the size goes, and cells that read like it stay.
+        alike = data.where(F.col("line") == head).count() - 1
+        entries = data.where(F.col("line") != head).select("line")
+        if alike:
+            entries = entries.unionByName(spark.range(alike).select(F.lit(head).alias("line")))
         value = F.lit(1.0) if "pattern" in banner else F.get(f, 2).cast("double")
-        cells = at.where("n > 0").select((F.get(f, 0).cast("long") - 1).alias("o"), (F.get(f, 1).cast("long") - 1).alias("v"), value.alias("value"))
+        cells = entries.select((F.get(f, 0).cast("long") - 1).alias("o"), (F.get(f, 1).cast("long") - 1).alias("v"), value.alias("value"))
         if "symmetric" in banner:
             cells = cells.unionByName(cells.where("o <> v").select(F.col("v").alias("o"), F.col("o").alias("v"), "value"))
         m = Matrix(cells, True)

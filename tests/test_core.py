@@ -631,3 +631,27 @@ def test_random_masks_are_drawn_once(spark):
     assert g[F.col("k") > 390].n_obs == 9 and keys((k := g[(other() < 0.5) & (F.col("k") > 9)]).obs.rows, KEY) == keys(k.X.df, "o")  # k: the table's own column
     u = g.with_column("obs", "u", F.rand(3))
     assert sorted(u[F.col("u") < 0.5].obs.rows.collect() + u[F.col("u") >= 0.5].obs.rows.collect()) == sorted(u.obs.rows.collect())
+
+
+def test_coordinate_files_are_read_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """Cut into part files; cells that read like the size line are cells."""
+    (tmp_path / "m").mkdir()
+    put = lambda name, lines: (tmp_path / "m" / name).write_text("\n".join(lines) + "\n")
+    put("part-0", ["%%MatrixMarket matrix coordinate real general", "% c", "", "3 3 4", "1 2 5"])
+    put("part-1", ["3 3 4", "2 1 6"])
+    put("part-2", [" 3 3  4 "])
+    with monkeypatch.context() as m:
+        for name in ("with_positions", "_numbered"):
+            m.setattr(text, name, None, raising=False)
+        g = text.read_mtx(spark, str(tmp_path / "m"))
+        got = sorted(map(tuple, g.X.df.collect()))
+    assert g.shape == (3, 3) and got == [(0, 1, 5.0), (1, 0, 6.0), (2, 2, 4.0), (2, 2, 4.0)]
+
+
+def test_lines_are_numbered_across_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for i in range(7):
+        (tmp_path / "t" / f"part-{i}").write_text("".join(f"{i * 100 + j},1\n\n" for j in range(i * 10)))
+    cells = text.read_csv(spark, str(tmp_path / "t"), first_column_names=True)
+    rows = {r[KEY]: r[NAME] for r in cells.obs.rows.collect()}
+    assert [rows[k] for k in range(len(rows))] == [str(i * 100 + j) for i in range(7) for j in range(i * 10)]
