@@ -69,17 +69,18 @@ def certain(df: DataFrame) -> bool:
     return df._jdf.queryExecution().analyzed().deterministic()
 
 
-def with_positions(df: DataFrame, order: str = KEY, name: str = ORD) -> DataFrame:
-    """Add 0-based positions in the order of a column.
+def with_positions(df: DataFrame, order: str | list[str] = KEY, name: str = ORD) -> DataFrame:
+    """Add 0-based positions in the order of a column, or of several.
 
     A range sort, then each partition's offset from the partition counts: no task sees more than its partition.
     The sorted rows are written once, so positions hold if a task runs again.
     """
     local = materialise(df.orderBy(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = local.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row a partition
-    offsets = list(zip((r["_p"] for r in sizes), accumulate((r.n for r in sizes), initial=0)))
-    starts = df.sparkSession.createDataFrame(offsets, "_p int, _start long")
-    return local.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+    starts = np.zeros(sizes[-1]["_p"] + 1 if sizes else 1, np.int64)
+    starts[[r["_p"] for r in sizes]] = list(accumulate((r.n for r in sizes), initial=0))[:-1]
+    start = F.split(F.lit(",".join(map(str, starts.tolist()))), ",").cast("array<bigint>")  # a constant, so that no row moves
+    return local.withColumn(name, F.get(start, F.col("_p")) + F.col("_i")).drop("_p", "_i")
 
 
 def marks(columns: list[Column]) -> tuple[Column, Column]:

@@ -431,7 +431,7 @@ class Written(WriterCommitMessage):
 
 
 class ChunkSink(DataSource):
-    """df (chunk, at, value), sorted by chunk with whole chunks in one partition each, to the array that option `array` describes."""
+    """df (chunk, at, value), chunk by name or by number in row order, sorted by chunk with whole chunks in one partition each, to the array that option `array` describes."""
 
     @classmethod
     def name(cls) -> str:
@@ -457,19 +457,16 @@ class ChunkWriter(DataSourceArrowWriter):
                 store.put(keys[-1], a.encoded(values))
 
         for b in iterator:
-            chunks, at = np.array(b.column(0).to_pylist()), b.column(1).to_numpy()
-            new = b.column(2).to_pylist() if a.dtype == "O" else b.column(2).to_numpy(zero_copy_only=False)
+            chunks, at = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            new = b.column(2).to_numpy(zero_copy_only=False)
             edges = np.append(np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])), len(chunks)) if len(chunks) else [0]
             for i, j in zip(edges[:-1], edges[1:]):
-                if chunks[i] != name:
+                here = chunks[i] if isinstance(chunks[i], str) else ".".join(map(str, np.unravel_index(chunks[i], a.grid)))
+                if here != name:
                     close()
-                    name = str(chunks[i])
-                    values = [""] * size if a.dtype == "O" else np.full(size, np.nan if a.fill == "NaN" else a.fill, a.dtype)
-                if a.dtype == "O":
-                    for k, x in zip(at[i:j].tolist(), new[i:j]):
-                        values[k] = x
-                else:
-                    values[at[i:j]] = new[i:j]
+                    name = here
+                    values = np.full(size, "", object) if a.dtype == "O" else np.full(size, np.nan if a.fill == "NaN" else a.fill, a.dtype)
+                values[at[i:j]] = new[i:j]
         close()
         return Written(keys)
 
@@ -506,9 +503,9 @@ class Sink:
 
     def array(self, df: DataFrame, name: str, shape: tuple[int, ...], chunks: tuple[int, ...], places: tuple[str, ...], dtype: str, fill: Any = 0, **attrs) -> None:
         """A column `value` at places (columns of positions)."""
-        chunk = F.concat_ws(".", *(F.floor(F.col(p) / c).cast("string") for p, c in zip(places, chunks)))
-        at = F.lit(0).cast("long")
-        for p, c in zip(places, chunks):
+        chunk = at = F.lit(0).cast("long")
+        for p, n, c in zip(places, shape, chunks):
+            chunk = chunk * -(-n // c) + F.floor(F.col(p) / c)
             at = at * c + F.col(p) % c
         spec = {"name": name, "shape": shape, "chunks": chunks, "dtype": dtype, "codec": self.codec, "fill": fill, "attrs": attrs}
         rows = df.select(chunk.alias("chunk"), at.alias("at"), F.col("value"))
@@ -551,19 +548,18 @@ class Sink:
         self.group(name, **{"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": columns})
 
     def sparse(self, cells: DataFrame, name: str, n: int, width: int, dtype: str) -> None:
-        """Cells (o, v, value) by positions, as rows end to end. Where a row begins comes from counts of rows, summed within
-        blocks of rows and over blocks; where a cell stands, from its rank in its row."""
+        """Cells (o, v, value) by positions, as rows end to end: sorted and written once, and numbered. Where a row begins comes
+        from counts of rows, summed within blocks of rows and over blocks."""
+        cells = with_positions(cells.select("o", "v", "value"), ["o", "v"], "pos")
         block = F.floor(F.col("pos") / self.chunk).alias("block")
         counts = cells.groupBy(F.col("o").alias("pos")).agg(F.count("*").alias("n"))
         every = self.spark.range(n + 1).select(F.col("id").alias("pos")).join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"), block)
         blocks = every.groupBy("block").agg(F.sum("n").alias("m"))
         blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("before"))  # a row for `chunk` rows
         start = every.join(blocks, "block").select("pos", (F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("pos")) - F.col("n")).alias("value"))
-        placed = cells.withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy("v")) - 1).join(start.select(F.col("pos").alias("o"), F.col("value").alias("first")), "o")
-        placed = placed.select((F.col("first") + F.col("rank")).alias("pos"), "v", "value")
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.line(placed.select("pos", "value"), f"{name}/data", total, dtype)
-        self.line(placed.select("pos", F.col("v").alias("value")), f"{name}/indices", total, "<i8" if width > 2**31 - 1 else "<i4")
+        total = cells.count()
+        self.line(cells.select("pos", "value"), f"{name}/data", total, dtype)
+        self.line(cells.select("pos", F.col("v").alias("value")), f"{name}/indices", total, "<i8" if width > 2**31 - 1 else "<i4")
         self.line(start, f"{name}/indptr", n + 1, "<i8")
         self.group(name, **{"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [n, width]})
 

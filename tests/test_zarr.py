@@ -144,3 +144,22 @@ def test_commit_and_abort(tmp_path):
     w.write(iter([batch(("0", 0, 5), ("0", 1, 6))]))
     w.commit([one, two])
     assert zarr.Array.load(store, "x").part(store, 0, 4).tolist() == [5, 6, 7, 8]
+
+
+def test_cells_are_sorted_once_and_no_row_is_ranked(spark, tmp_path, monkeypatch):
+    """Where cells of a sparse matrix stand comes from one sort, whatever order they come in; chunks are told by number."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 9, (60, 40)) * (rng.random((60, 40)) < 0.3)
+    x[[0, 17, 59]] = 0
+    o, v = np.nonzero(x)
+    mix = rng.permutation(len(o))
+    cells = spark.createDataFrame([(int(o[i]), int(v[i]), float(x[o[i], v[i]])) for i in mix], "o long, v long, value double").repartition(5)
+    g = Grid(Axis.of_names(spark, list(map(str, range(60)))), Axis.of_names(spark, list(map(str, range(40)))), {None: Matrix(cells)})
+    with monkeypatch.context() as m:
+        m.setattr(zarr.F, "row_number", None)
+        zarr.write_zarr(g, str(tmp_path / "z"), chunk=16)
+    store = zarr.Store(str(tmp_path / "z"))
+    whole = lambda n: (a := zarr.Array.load(store, f"X/{n}")).part(store, 0, a.shape[0])
+    assert whole("data").tolist() == x[o, v].tolist() and whole("indices").tolist() == v.tolist()
+    assert whole("indptr").tolist() == [0, *np.cumsum((x != 0).sum(1)).tolist()]
+    assert sorted(map(tuple, zarr.read_zarr(spark, str(tmp_path / "z")).X.df.collect())) == [(a, b, float(x[a, b])) for a, b in zip(o, v)]
